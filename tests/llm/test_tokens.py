@@ -1,0 +1,131 @@
+"""Token counts, shards and packing against the tokenizer's library itself."""
+
+from __future__ import annotations
+
+import random
+import struct
+import zlib
+from collections import defaultdict
+
+import pytest
+from conftest_llm import SF, docs_frame
+
+from evidra.llm import packing, queries, sstable, token_counts
+from evidra.llm.tokens import Encoder, default_path
+
+ODD = [None, "", " ", "a", "<|endoftext|> x<|endoftext|>", "é\xa0ß \x1c\x85", "日本語 👍🏽 ok", "word " * 30000, "x" * 5000, "\n\n  \t", "same", "same"]
+
+
+def library(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(default_path())
+    return [e.ids for e in t.encode_batch(list(texts), add_special_tokens=False)]
+
+
+def packed(ids):
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_encoder_equals_library_on_random_texts():
+    rng = random.Random(5)
+    chars = " \n\t\r'sdtmlrev12.!<|endoftext|>é ßA$_’\x85\xa0\x1c\x0b¼ªÿĀ中‍"
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 50))) for _ in range(4000)]
+    assert Encoder(default_path()).encode(texts) == [packed(x) for x in library(texts)]
+
+
+def test_encoder_takes_other_files():
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = ["Some words, and éa", "", "a  b"]
+    own = public_tokenizers.path("piece_bpe_32k.model")
+    assert Encoder(own).encode(texts) == [packed(x) for x in sentencepiece.SentencePieceProcessor(model_file=own).encode(texts)]
+    own = public_tokenizers.path("word_bpe_49k.json")
+    assert Encoder(own).encode(texts) == [packed(e.ids) for e in Tokenizer.from_file(own).encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("source", ["table", "odd", "empty"])
+def test_counts(spark, source):
+    docs = spark.read.parquet(f"{SF}/documents.parquet") if source == "table" else docs_frame(spark, ODD if source == "odd" else [])
+    got = sorted(map(tuple, token_counts.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()))
+    rows = docs.select("doc_id", "text").collect()
+    want = sorted((d, len((t or "").encode()), len(i), len(i) > 1024) for (d, t), i in zip(rows, library(t or "" for _, t in rows), strict=True))
+    assert got == want
+
+
+def test_counts_keep_other_columns_and_replace_clashing_ones(spark):
+    docs = spark.createDataFrame([(1, "a b", "old", None)], "doc_id long, text string, n_tokens string, extra int")
+    out = token_counts.count_tokens(docs)
+    assert out.columns == ["doc_id", "text", "extra", "n_bytes", "n_tokens", "over_limit"]
+    assert out.first().n_tokens == 2
+
+
+@pytest.mark.parametrize("source", ["table", "odd", "empty"])
+def test_shards_round_trip(spark, source, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet") if source == "table" else docs_frame(spark, ODD if source == "odd" else [])
+    manifest = sstable.write_shards(docs, str(tmp_path / "s"), shard_rows=50 if source == "table" else 3)
+    got = sorted((tuple(r) for r in sstable.read_shards(spark, manifest).collect()), key=lambda r: r[1])
+    rows = docs.select("doc_id", "text").collect()
+    want = defaultdict(list)
+    for (d, _), i in zip(rows, library(t or "" for _, t in rows), strict=True):
+        want[d].append(packed([*i, 0]))
+    at = 0
+    for _, start, ids in got:
+        assert start == at
+        at += len(ids) // 4
+    assert [d for d, *_ in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+    assert {d: sorted(x for e, _, x in got if e == d) for d in want} == {d: sorted(x) for d, x in want.items()}
+    for s in manifest:
+        reader = sstable.Reader(s["path"])
+        for d, ids in reader:
+            assert ids in reader.get(d)
+        assert reader.get(987654321) == []
+
+
+def test_null_and_negative_keys_sort_first(spark, tmp_path):
+    docs = spark.createDataFrame([(5, "a"), (None, "b"), (-7, "c"), (5, "d")], "doc_id long, text string")
+    manifest = sstable.write_shards(docs, str(tmp_path / "s"))
+    assert [d for d, *_ in sorted(sstable.read_shards(spark, manifest).collect(), key=lambda r: r[1])] == [None, -7, 5, 5]
+
+
+@pytest.mark.parametrize("source", ["table", "odd", "empty"])
+def test_packing(spark, source):
+    docs = spark.read.parquet(f"{SF}/documents.parquet") if source == "table" else docs_frame(spark, ODD if source == "odd" else [])
+    rows = docs.select("doc_id", "text").collect()
+    ids = {d: [*i, 2] for (d, _), i in zip(rows, library(t or "" for _, t in rows), strict=True)}
+    pieces = packing.pack(docs).collect()
+    by_doc, by_bin = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+        by_bin[p.sequence_id].append((p.offset, p.length))
+    for d, want in ids.items():
+        own = sorted(by_doc[d], key=lambda p: p.piece)
+        assert b"".join(p.ids for p in own) == packed(want)
+        assert [p.length for p in own] == packing.cuts(len(want), 1024)
+        assert [p.start for p in own] == [sum(q.length for q in own[:k]) for k in range(len(own))]
+    for own in by_bin.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    if source == "table":
+        assert len(by_bin) <= 1.05 * sum(map(len, ids.values())) / 1024 + 1
+
+
+def test_bounded_bins_close_the_fullest():
+    bins = packing.Bins(10, 2)
+    a, b, c = bins.place(4)[0], bins.place(7)[0], bins.place(8)[0]  # the third opens; the fullest of the open ones closes
+    assert len({a, b, c}) == 3 and bins.open == 2
+    assert bins.place(6) == (a, 4)
+
+
+def test_queries_give_the_digests(spark):
+    crc = {r.doc_id: r.ids_crc32 for r in queries.op9_token_shards(spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    some = list(texts)[:50]
+    assert [crc[d] for d in some] == [zlib.crc32(packed([*i, 0])) for i in library(texts[d] for d in some)]
+    assert queries.op10_best_fit_packing(spark, SF).columns == ["doc_id", "piece", "start", "length", "sequence_id", "offset", "ids_crc32"]
+    assert queries.op1_token_counts(spark, SF).count() == len(texts)
