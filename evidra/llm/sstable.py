@@ -4,8 +4,8 @@ A shard file is: data blocks, a block index, a Bloom filter, a footer.
 
 - A data block holds entries in key order. Key: 8 bytes, doc_id with its sign bit flipped, big-endian, so that bytes
   sort as numbers do; a null doc_id has no bytes and so sorts before all. Each entry: shared prefix length (1 byte),
-  number of own key bytes (1), own key bytes, number of ids (uint32), ids (little-endian uint32). The first key of a
-  block shares nothing. After its entries a block has crc32 of them (uint32).
+  number of own key bytes (1), own key bytes, bytes an id (1: 2, or 4 where an id needs them), number of ids (uint32),
+  ids (little-endian). The first key of a block shares nothing. After its entries a block has crc32 of them (uint32).
 - Block index: for each block its first key's length (1 byte) and bytes, offset (uint64), length (uint32), entries (uint32).
 - Bloom filter: number of hashes (uint32), number of bits (uint64), bits.
 - Footer, 56 bytes: index offset and length, filter offset and length, entries, ids (uint64 each), magic.
@@ -28,6 +28,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,7 @@ BLOCK_BYTES = 64 << 10
 BITS_PER_KEY = 10
 HASHES = 7
 RUN = 256
-MAGIC = b"EVSST001"
+MAGIC = b"EVSST002"
 FOOTER = struct.Struct("<6Q8s")
 
 MANIFEST = T.StructType(
@@ -63,6 +64,16 @@ def bloom_bits(key: bytes, n_hashes: int, n_bits: int) -> list[int]:
     return [(a + i * b) % n_bits for i in range(n_hashes)]
 
 
+def narrow(ids: bytes) -> tuple[int, bytes]:
+    """Little-endian 32-bit ids in as few bytes as their largest needs, 2 or 4."""
+    x = np.frombuffer(ids, "<u4")
+    return (2, x.astype("<u2").tobytes()) if x.max(initial=0) < 65536 else (4, ids)
+
+
+def wide(width: int, data: bytes) -> bytes:
+    return data if width == 4 else np.frombuffer(data, "<u2").astype("<u4").tobytes()
+
+
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
@@ -87,7 +98,8 @@ class Writer:
                 shared += 1
         else:
             self.first = key
-        self.block += struct.pack("<BB", shared, len(key) - shared) + key[shared:] + struct.pack("<I", len(ids) // 4) + ids
+        width, data = narrow(ids)
+        self.block += struct.pack("<BB", shared, len(key) - shared) + key[shared:] + struct.pack("<BI", width, len(ids) // 4) + data
         self.last = key
         self.entries += 1
         self.keys.append(zlib.crc32(key) << 32 | zlib.crc32(key, 0x9E3779B9))
@@ -155,10 +167,10 @@ class Reader:
         while at < length - 4:
             shared, own = data[at], data[at + 1]
             key = key[:shared] + data[at + 2 : at + 2 + own]
-            (n,) = struct.unpack_from("<I", data, at + 2 + own)
-            at += 6 + own
-            yield from_key(key), data[at : at + 4 * n]
-            at += 4 * n
+            width, n = struct.unpack_from("<BI", data, at + 2 + own)
+            at += 7 + own
+            yield from_key(key), wide(width, data[at : at + width * n])
+            at += width * n
 
     def __iter__(self) -> Iterator[tuple[int | None, bytes]]:
         for block in range(len(self.index)):
