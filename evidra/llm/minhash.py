@@ -12,7 +12,8 @@ unequal minima, and those not six standard errors below the threshold are compar
 off in two waves. The first takes few bands and costs in proportion to the key's members: members are dealt to tiles,
 each tile meets itself and the first tile. The second takes every key, of any band, whose members are not yet all
 connected: all members outside its largest component meet all others, tile by tile. In a tile pairs already connected
-are skipped, likely ones come first, and a pair is compared under the first key it shares only. Only links that join
+are skipped, likely ones come first, and a pair is compared under the first key it shares only. Registers travel to the
+tiles; full sets only to those tiles in which a document has a pair to compare. Only links that join
 two parts of a tile are put out, never all pairs, and no tile exceeds about 2 * TILE documents. So every pair that
 shares a key and is similar ends in one component; there are no caps.
 
@@ -137,22 +138,48 @@ class Member:
     node: int
     component: int
     tile: int
+    regs: np.ndarray
+    n: int
     hashes: np.ndarray
 
 
-def links(key: int, members: list[Member], across: bool, percent: int) -> Iterator[tuple[int, int]]:
-    """Links that join components among members that meet under key; across: only pairs of different tiles are due."""
-    regs = np.stack([registers(m.hashes) for m in members])
+def due(key: int, members: list[Member], across: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of members under key, as positions and estimates, that may link two components: key is the first that they
+    share, sizes allow for it and the estimate too. across: only pairs of different tiles are due."""
+    regs = np.stack([m.regs for m in members])
     keys = np.stack([band_keys(r) for r in regs])
-    sizes = np.array([len(m.hashes) for m in members])
+    sizes = np.array([m.n for m in members])
     tiles = np.array([m.tile for m in members])
+    parts = np.unique([m.component for m in members], return_inverse=True)[1]
     split = [np.flatnonzero(tiles == t) for t in np.unique(tiles)]
-    left, right = (split[0], split[1]) if across and len(split) == 2 else (np.arange(len(members)),) * 2
     if across and len(split) < 2:
         return
+    left, right = split if across else (np.arange(len(members)),) * 2
     threshold = percent / 100
-    root = list(range(len(members)))
-    first: dict[int, int] = {}
+    for at in range(0, len(left), 64):
+        some = left[at : at + 64]
+        ok = parts[some][:, None] != parts[right][None, :]
+        ok &= 100 * np.minimum.outer(sizes[some], sizes[right]) >= percent * np.maximum.outer(sizes[some], sizes[right])
+        if not across:
+            ok &= some[:, None] < right[None, :]
+        if not ok.any():
+            continue
+        shared = (keys[some][:, None, :] == keys[right][None, :, :]) & (keys[some][:, None, :] > 0)
+        ok &= shared.any(-1) & (keys[some][np.arange(len(some))[:, None], shared.argmax(-1)] == U(key))
+        like, used = estimate(regs[some], regs[right], sizes[some], sizes[right])
+        ok &= like >= threshold - 6 * np.sqrt(threshold * (1 - threshold) / np.maximum(1, used))
+        i, j = np.nonzero(ok)
+        yield some[i], right[j], like[i, j]
+
+
+def wanted(key: int, members: list[Member], across: bool, percent: int) -> list[int]:
+    """Positions of the members with a pair that is due."""
+    return sorted({int(x) for i, j, _ in due(key, members, across, percent) for x in (*i, *j)})
+
+
+def links(key: int, members: list[Member], across: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that join components among members that meet under key."""
+    root, first = list(range(len(members))), {}
     for i, m in enumerate(members):
         root[i] = first.setdefault(m.component, i)
 
@@ -161,29 +188,18 @@ def links(key: int, members: list[Member], across: bool, percent: int) -> Iterat
             root[i] = i = root[root[i]]
         return i
 
-    roots = np.array(root)
-    due = []
-    for at in range(0, len(left), 64):
-        l = left[at : at + 64]
-        like, used = estimate(regs[l], regs[right], sizes[l], sizes[right])
-        shared = (keys[l][:, None, :] == keys[right][None, :, :]) & (keys[l][:, None, :] > 0)
-        here = keys[l][np.arange(len(l))[:, None], shared.argmax(-1)] == U(key)
-        ok = here & shared.any(-1) & (like >= threshold - 6 * np.sqrt(threshold * (1 - threshold) / np.maximum(1, used)))
-        ok &= 100 * np.minimum.outer(sizes[l], sizes[right]) >= percent * np.maximum.outer(sizes[l], sizes[right])
-        ok &= roots[l][:, None] != roots[right][None, :]
-        if not across:
-            ok &= l[:, None] < right[None, :]
-        i, j = np.nonzero(ok)
-        due += zip((-like[i, j]).tolist(), l[i].tolist(), right[j].tolist(), strict=True)
-    for _, i, j in sorted(due):
+    found = []
+    pairs = [x for i, j, like in due(key, members, across, percent) for x in zip((-like).tolist(), i.tolist(), j.tolist(), strict=True)]
+    for _, i, j in sorted(pairs):
         a, b = find(i), find(j)
         if a != b and similar(members[i].hashes, members[j].hashes, percent):
             root[max(a, b)] = min(a, b)
-            yield members[i].node, members[j].node
+            found.append((members[i].node, members[j].node))
+    return found
 
 
 SIGNED = T.LongType()
-SETS = T.StructType([T.StructField("node", SIGNED), T.StructField("hashes", T.BinaryType())])
+SETS = T.StructType([T.StructField("node", SIGNED), T.StructField("regs", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
 SIGNATURES = T.StructType([T.StructField("doc_id", SIGNED), T.StructField("n_shingles", SIGNED), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(SIGNED))])
 LINKS = T.StructType([T.StructField("a", SIGNED), T.StructField("b", SIGNED)])
 
@@ -203,28 +219,44 @@ def signatures(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
     return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")), SIGNATURES, run)
 
 
+def groups(batches: Iterable[pa.RecordBatch], full: bool) -> Iterator[tuple[tuple[int, int, int], list[Member]]]:
+    """Runs of rows with one (key, i, j), as members, if there are several components."""
+    now, members, none = None, [], np.empty(0, U)
+    columns = ["key", "i", "j", "tile", "node", "component", "regs", "n", *["hashes"] * full]
+    for batch in batches:
+        for some in slices(batch, RUN):
+            for k, i, j, tile, node, component, regs, n, *hashes in zip(*(some.column(c).to_pylist() for c in columns), strict=True):
+                if (k, i, j) != now:
+                    if len({m.component for m in members}) > 1:
+                        yield now, members
+                    now, members = (k, i, j), []
+                members.append(Member(node, component, tile, np.frombuffer(regs, np.uint32), n, np.frombuffer(hashes[0], U) if full else none))
+    if len({m.component for m in members}) > 1:
+        yield now, members
+
+
 def compare(meeting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of meeting (key, i, j, tile, node, component): who meets under (key, i, j)."""
-    rows = meeting.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    """Links of meeting (key, i, j, tile, node, component): who meets under (key, i, j). First registers decide which
+    members have a pair to compare under this key; only these bring their sets."""
+    names = ["key", "i", "j", "tile", "node", "component"]
+    together = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        def group(of: tuple, members: list[Member]) -> dict:
-            found = list(links(of[0] & (2**64 - 1), members, of[1] != of[2], percent)) if len({m.component for m in members}) > 1 else []
-            return {"a": [a for a, _ in found], "b": [b for _, b in found]}
+    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        for (k, i, j), members in groups(batches, False):
+            if some := [members[x] for x in wanted(k & (2**64 - 1), members, i != j, percent)]:
+                of = {"key": k, "i": i, "j": j}
+                yield {n: [of[n]] * len(some) if n in of else [getattr(m, n) for m in some] for n in names}
 
-        now, members = None, []
-        for batch in batches:
-            for some in slices(batch, RUN):
-                for k, i, j, tile, node, component, hashes in zip(*(some.column(c).to_pylist() for c in ("key", "i", "j", "tile", "node", "component", "hashes")), strict=True):
-                    if (k, i, j) != now:
-                        if len(members) > 1:
-                            yield group(now, members)
-                        now, members = (k, i, j), []
-                    members.append(Member(node, component, tile, np.frombuffer(hashes, U)))
-        if len(members) > 1:
-            yield group(now, members)
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        for (k, i, j), members in groups(batches, True):
+            if found := links(k & (2**64 - 1), members, i != j, percent):
+                yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
-    return map_batches(rows.select("key", "i", "j", "tile", "node", "component", "hashes"), LINKS, run)
+    brief = sets.select("node", "regs", F.expr("length(hashes) div 8").alias("n"))
+    schema = T.StructType([T.StructField(n, T.IntegerType() if n in ("i", "j", "tile") else SIGNED) for n in names])
+    chosen = cut(map_batches(together(meeting.join(brief, "node")).select(*names, "regs", "n"), schema, choose), "chosen")
+    rows = together(chosen.join(sets.withColumn("n", F.expr("length(hashes) div 8")), "node")).select(*names, "regs", "n", "hashes")
+    return map_batches(rows, LINKS, join)
 
 
 def tiles(n: str) -> F.Column:
@@ -271,7 +303,8 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None, text: str = "text
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for some in slices(batch, RUN):
-                yield {"node": some.column("node"), "hashes": [shingles(t, rule.words).tobytes() for t in some.column("t").to_pylist()]}
+                own = [shingles(t, rule.words) for t in some.column("t").to_pylist()]
+                yield {"node": some.column("node"), "regs": [registers(h).tobytes() for h in own], "hashes": [h.tobytes() for h in own]}
 
     full = cut(map_batches(texts, SETS, sets).where("length(hashes) > 0"), "sets")
     # the first wave's keys: FIRST_WAVE in BANDS of all, taken by the key's hash, the same for all who meet under it
@@ -281,5 +314,5 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None, text: str = "text
     second = cut(compare(full_wave(members, labels), full, rule.percent), "links")
     labels = connected_components(first.unionByName(second))
     found = signed.join(classes, "print", "left").join(labels, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
-    return found.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("class_id"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("class_id"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
