@@ -21,18 +21,19 @@ def log_factorials(df: DataFrame, most: int) -> DataFrame:
 
 
 def hypergeometric_tail(tests: DataFrame, population: int) -> DataFrame:
-    """tests (with id columns, k, K, n) with p = P(X >= k), X the marked ones among n of population, K of them marked."""
+    """tests (with k, marked, drawn) with p = P(X >= k): X of drawn items are marked, where marked of population are. Each
+    term's eight log factorials come from one table by broadcast joins; it has population + 1 rows."""
     lf = log_factorials(tests, population)
-    ids = [c for c in tests.columns]
-    terms = tests.withColumn("_i", F.explode(F.when(F.col("k") <= F.least("K", "n"), F.sequence(F.greatest(F.col("k"), F.col("K") + F.col("n") - population, F.lit(0)), F.least("K", "n"))).otherwise(F.array().cast("array<bigint>"))))
-    parts = {"K": 1, "n": 1, "i": -1, "Ki": -1, "ni": -1, "rest": -1, "N_K": 1, "N_n": 1}
-    values = {"K": F.col("K"), "n": F.col("n"), "i": F.col("_i"), "Ki": F.col("K") - F.col("_i"), "ni": F.col("n") - F.col("_i"), "rest": population - F.col("K") - F.col("n") + F.col("_i"), "N_K": population - F.col("K"), "N_n": population - F.col("n")}
-    for name in parts:
-        terms = terms.withColumn(f"_{name}_at", values[name].cast("long")).join(F.broadcast(lf.select(F.col("n").alias(f"_{name}_at"), F.col("lf").alias(f"_{name}"))), f"_{name}_at")
+    k, marked, drawn, i = F.col("k"), F.col("marked"), F.col("drawn"), F.col("_i")
+    most, least = F.least(marked, drawn), F.greatest(k, marked + drawn - population, F.lit(0))
+    terms = tests.withColumn("_i", F.explode(F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<bigint>"))))
+    parts = [(1, marked), (1, drawn), (1, population - marked), (1, population - drawn), (-1, i), (-1, marked - i), (-1, drawn - i), (-1, population - marked - drawn + i)]
+    for n, (_, at) in enumerate(parts):
+        terms = terms.withColumn(f"_at{n}", at.cast("long")).join(F.broadcast(lf.select(F.col("n").alias(f"_at{n}"), F.col("lf").alias(f"_lf{n}"))), f"_at{n}")
     whole = lf.where(F.col("n") == population).select(F.col("lf").alias("_N"))
-    log_p = sum((sign * F.col(f"_{name}") for name, sign in parts.items()), F.lit(0.0)) - F.col("_N")
-    p = terms.crossJoin(F.broadcast(whole)).groupBy(*ids).agg(F.sum(F.exp(log_p)).alias("p"))
-    return tests.join(p, ids, "left").withColumn("p", F.least(F.lit(1.0), F.coalesce("p", F.lit(0.0))))
+    log_p = sum((sign * F.col(f"_lf{n}") for n, (sign, _) in enumerate(parts)), F.lit(0.0)) - F.col("_N")
+    p = terms.crossJoin(F.broadcast(whole)).groupBy(*tests.columns).agg(F.sum(F.exp(log_p)).alias("p"))
+    return tests.join(p, tests.columns, "left").withColumn("p", F.least(F.lit(1.0), F.coalesce("p", F.lit(0.0))))
 
 
 def null_share(tests: DataFrame, by: str, value: str, name: str = "share") -> DataFrame:

@@ -44,7 +44,7 @@ def motif_null(changes: DataFrame, motif: str = "GT", draws: int = 200, reach: i
     def creates(d):
         at = F.col("at") + d["o"]
         old = F.substr("seq", at, F.lit(1))
-        base = F.substr(F.translate(F.lit("ACGT"), old, F.lit("")), d["b"] + 1, F.lit(1))
+        base = F.substr(F.replace(F.lit("ACGT"), old, F.lit("")), d["b"] + 1, F.lit(1))
         inside = (at >= 1) & (at <= F.length("seq"))
         new = F.concat(F.substr("seq", F.lit(1), at - 1), base, F.substr("seq", at + 1, F.length("seq")))
         return inside & (F.size(F.array_except(motif_places(new, motif), before)) > 0)

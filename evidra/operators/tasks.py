@@ -18,19 +18,16 @@ def ready(edges: DataFrame, tasks: DataFrame) -> DataFrame:
     return tasks.where("NOT done").join(open_, "task", "left_anti").select("task", "priority")
 
 
-def on_cycles(edges: DataFrame, cut) -> DataFrame:
-    """Edges among tasks that cannot be ordered: tasks without open dependencies are taken off, and those that nothing
-    depends on, until none is left to take. Each round is two semi-joins; cut() writes a round's edges. A chain of n tasks
-    takes n rounds at most, so pointer doubling shortens it: see reachable()."""
-    now = cut(edges.where("dep IS NOT NULL").select("task", "dep").distinct())
-    left = now.count()
-    while left:
-        now = cut(now.join(now.select(F.col("task").alias("dep")).distinct(), "dep", "left_semi").join(now.select(F.col("dep").alias("task")).distinct(), "task", "left_semi").select("task", "dep"))
-        rest = now.count()
-        if rest == left:
-            break
-        left = rest
-    return now
+def cyclic(spark: SparkSession, edges: DataFrame, most: int = 40) -> DataFrame:
+    """Tasks that a walk of at most most dependencies leads back to, by a recursive query; a walk ends where it meets its
+    start again."""
+    return spark.sql(
+        f"""WITH RECURSIVE up(task, top, depth) AS (
+              SELECT task, dep, 1 FROM {{e}} UNION ALL
+              SELECT u.task, e.dep, u.depth + 1 FROM up u JOIN {{e}} e ON u.top = e.task WHERE u.depth < {most} AND u.top <> u.task)
+            SELECT task, min(depth) AS length FROM up WHERE top = task GROUP BY task""",
+        e=edges.where("dep IS NOT NULL"),
+    )
 
 
 def ancestors(spark: SparkSession, edges: DataFrame, most: int = 40) -> DataFrame:

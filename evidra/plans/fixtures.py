@@ -49,9 +49,6 @@ SELECT chrom, pos, ref, alt,
        CASE min(l_partkey) % 4 WHEN 0 THEN 'Pathogenic' WHEN 1 THEN 'Likely_pathogenic' WHEN 2 THEN 'Uncertain_significance' ELSE 'Benign' END AS sig,
        concat('D', CAST(min(l_partkey) % 5 AS @S), '|D', CAST(min(l_suppkey) % 7 AS @S)) AS dn
 FROM v WHERE l_orderkey % 17 = 0 GROUP BY chrom, pos, ref, alt""",
-    "label": """
-SELECT vid, CASE WHEN length(ref) <> length(alt) THEN CASE WHEN (length(alt) - length(ref)) % 3 <> 0 THEN 'frameshift' ELSE 'inframe' END
-                 WHEN vid % 7 = 0 THEN 'nonsense' WHEN vid % 3 = 0 THEN 'synonymous' ELSE 'missense' END AS kind FROM v""",
     "info": """
 SELECT vid, concat('AC=2;AF=', CASE WHEN l_partkey % 13 = 0 THEN '.' WHEN l_partkey % 11 = 0 THEN 'bad' ELSE concat('0.', CAST(1000 + l_partkey % 9000 AS @S)) END,
        CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE concat(';AN=', CAST(1000 + l_orderkey % 5000 AS @S)) END,
@@ -79,7 +76,7 @@ FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) e""",
     "site": """
 SELECT vid, concat('T', CAST(l_partkey AS @S)) AS acc, (l_partkey * 2399) % 5000000 + (l_orderkey * 7 + l_linenumber * 13) % 1000 AS pos FROM lineitem_v""",
     "codon": f"""
-SELECT vid, gene, ref, alt, strand, cds_len, o, concat({", ".join("substr('TCAG', CAST(" + base(f"o - o % 3 + {i}") + " AS INT), 1)" for i in range(3))}) AS codon, o % 3 AS at
+SELECT vid, gene, ref, alt, strand, cds_len, o, concat({", ".join("substr('TCAG', CAST(" + base(f"o - o % 3 + {i}") + " AS INT), 1)" for i in range(3))}) AS codon, o % 3 AS off
 FROM (SELECT vid, concat('G', CAST(l_partkey AS @S)) AS gene, ref, substr(alt, 1, 1) AS alt, CASE WHEN l_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
              l_partkey AS p_partkey, 600 + 3 * (l_partkey % 90) AS cds_len, (l_orderkey * 13 + l_linenumber) % 900 AS o FROM v WHERE length(alt) = 1) c""",
     "win": """

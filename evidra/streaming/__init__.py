@@ -1,0 +1 @@
+"""Empty on purpose: the work that this engine reproduces has no streams, and nothing is built for show."""
