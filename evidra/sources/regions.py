@@ -1,6 +1,6 @@
 """Batch source of variant records by region, from block-gzip files with a bin index.
 
-spark.dataSource.register(RegionSource); spark.read.format("variant_regions").option("path", ...).option("regions",
+register(spark); spark.read.format("variant_regions").option("path", ...).option("regions",
 "1:1000-2000;X:5-9").load() gives the records that overlap the regions, 1-based and both ends included. The index prunes
 the file to chunks: bins of the region, less those that end before the linear index's offset; chunks with small gaps are
 read as one. Each merged chunk is a partition, so tasks read only their own byte ranges. A region is whole or the task
@@ -17,8 +17,11 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from evidra.ship import ship
+
 SCHEMA = "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string, format string, sample string"
 #: Chunks whose gap in the file is at most this many bytes are read together.
 GAP = 65_536
@@ -153,3 +156,8 @@ class RegionSource(DataSource):
 
     def reader(self, schema) -> RegionReader:
         return RegionReader(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    ship(spark)
+    spark.dataSource.register(RegionSource)

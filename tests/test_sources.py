@@ -136,7 +136,7 @@ def test_region_source(spark, tmp_path, start, end, monkeypatch):
     records = [("chr1", 100 + 700 * i, "A" if i % 5 else "ACG", "G") for i in range(200)]
     path = tmp_path / "r.vcf.gz"
     indexed(path, records)
-    spark.dataSource.register(regions.RegionSource)
+    regions.register(spark)
     got = spark.read.format("variant_regions").option("path", str(path)).option("regions", f"1:{start}-{end}").load()
     assert sorted((r.pos, r.ref) for r in got.collect()) == sorted((p, r) for _, p, r, _ in records if p <= end and p + len(r) - 1 >= start)
 
