@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidra.ship import ship
+
 #: White space that separates words: the ASCII blanks only.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,6 +61,7 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 def map_batches(df: DataFrame, schema: T.StructType, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """mapInArrow whose function yields {column: list or Arrow array}; the columns come out in the schema's order."""
     names = schema.fieldNames()
+    ship(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = arrow_schema(schema)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidra.llm.common import WORD, cut, map_batches, slices
+from evidra.ship import ship
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -103,6 +104,7 @@ def quotas(rows: DataFrame, block: int = BLOCK, **shares) -> tuple[DataFrame, di
         own = [g for g in groups if g["_source"] == s]
         given += [(s, g["_group"], int(n)) for g, n in zip(own, sainte_lague(np.array([g.w for g in own]), of[s]), strict=True)]
     spark = rows.sparkSession
+    ship(spark)
     seats = spark.createDataFrame(given, "_source string, _group long, _seats long")
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
