@@ -1,9 +1,9 @@
 """Quality score of a document: a convolutional network over its bytes, in numpy.
 
-Each byte has a fixed code: its class (capital, small letter, digit, blank, other ASCII, above ASCII) and two fixed
+Each byte has a fixed code: its class (capital, small letter, digit, blank, other ASCII, above ASCII) and four fixed
 pseudo-random numbers. Learned filters of WIDTH bytes move over the whole document by STRIDE. Chunks of two units of UNIT
 bytes overlap by half and cover the document from its first byte to its last; a filter's value in a chunk is its maximum
-there. Means and maxima over the chunks go through one hidden layer into one probability. Training runs on the driver on
+there. Means, maxima and minima over the chunks go through one hidden layer into one probability. Training runs on the driver on
 at most TRAIN_ROWS labelled documents of at most TRAIN_BYTES each, a fixed number of steps; scoring is one narrow pass
 that holds a few documents' bytes at a time. Labels, languages, sources and ids are never inputs.
 
@@ -26,7 +26,7 @@ from evidra.llm.common import map_batches, slices
 
 WIDTH, STRIDE, UNIT, FILTERS, HIDDEN = 16, 8, 256, 32, 16
 TRAIN_ROWS, TRAIN_BYTES = 2_000, 100_000
-STEPS, BATCH = 700, 16
+STEPS, BATCH = 1200, 16
 #: Bytes scored at once.
 RUN_BYTES = 1 << 19
 PAD = 256
@@ -40,7 +40,7 @@ def codes() -> np.ndarray:
     blank, high = (b == 32) | ((b >= 9) & (b <= 13)), (b >= 128) & (b < 256)
     other = (b < 128) & ~(capital | small | digit | blank)
     table = np.column_stack([capital, small, digit, blank, other, high]).astype(np.float32)
-    table = np.hstack([table, np.random.default_rng(7).standard_normal((257, 2)).astype(np.float32)])
+    table = np.hstack([table, np.random.default_rng(7).standard_normal((257, 4)).astype(np.float32)])
     table[PAD] = 0
     return table
 
@@ -54,7 +54,7 @@ class Network:
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.p = {
             "w": draw(WIDTH * CODES.shape[1], FILTERS), "b": np.zeros(FILTERS, np.float32),
-            "v": draw(2 * FILTERS, HIDDEN), "c": np.zeros(HIDDEN, np.float32), "u": draw(HIDDEN, 1), "d": np.zeros(1, np.float32),
+            "v": draw(3 * FILTERS, HIDDEN), "c": np.zeros(HIDDEN, np.float32), "u": draw(HIDDEN, 1), "d": np.zeros(1, np.float32),
         }
 
     def forward(self, texts: list[bytes], keep: bool = False) -> np.ndarray | tuple[np.ndarray, dict]:
@@ -82,13 +82,13 @@ class Network:
         counts = np.maximum(1, units - 1)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         mean = np.add.reduceat(own, starts) / counts[:, None]
-        top = np.maximum.reduceat(own, starts)
-        f = np.hstack([mean, top]).astype(np.float32)
+        top, low = np.maximum.reduceat(own, starts), np.minimum.reduceat(own, starts)
+        f = np.hstack([mean, top, low]).astype(np.float32)
         h = np.maximum(f @ p["v"] + p["c"], 0)
         out = 1 / (1 + np.exp(-np.clip((h @ p["u"] + p["d"])[:, 0].astype(np.float64), -40, 40)))
         if not keep:
             return out
-        return out, {"windows": windows, "z": z, "unit": unit, "after": after, "right": right, "own": own, "use": use, "counts": counts, "top": top, "f": f, "h": h}
+        return out, {"windows": windows, "z": z, "unit": unit, "after": after, "right": right, "own": own, "use": use, "counts": counts, "top": top, "low": low, "f": f, "h": h}
 
     def gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
@@ -99,8 +99,8 @@ class Network:
         grads |= {"v": k["f"].T @ gh, "c": gh.sum(0)}
         gf = gh @ p["v"].T
         of = np.repeat(np.arange(len(texts)), k["counts"])
-        at_top = k["own"] == k["top"][of]
-        gown = (gf[of, :FILTERS] / k["counts"][of][:, None] + gf[of, FILTERS:] * at_top) * (k["own"] > 0)
+        at_top, at_low = k["own"] == k["top"][of], k["own"] == k["low"][of]
+        gown = (gf[of, :FILTERS] / k["counts"][of][:, None] + gf[of, FILTERS : 2 * FILTERS] * at_top + gf[of, 2 * FILTERS :] * at_low) * (k["own"] > 0)
         grads["b"] = gown.sum(0)
         gunit = np.zeros_like(k["unit"])
         rows = np.flatnonzero(k["use"])
