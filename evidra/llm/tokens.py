@@ -8,8 +8,6 @@ import re
 import struct
 from itertools import chain
 
-import numpy as np
-
 #: The letters and numbers below U+0250, as in the Unicode classes L and N, and the white space
 #: that the byte-level pre-tokenizer's pattern splits on. Texts with any other character go whole to the library.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -18,9 +16,18 @@ SPACES = r"\t-\r "
 PIECES = re.compile(
     rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
-BLANK_WORD = re.compile(rf" [{LETTERS}]+")
-#: How the vocabulary file spells the blank's byte.
-BLANK = "\u0120"
+#: Formats of few ids.
+FORMS = [f"<{n}I" for n in range(32)]
+
+
+def byte_chars() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable Latin-1 as it is, the others as the characters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_CHARS = byte_chars()
 #: Characters whose class differs, or may differ, between libraries.
 OTHER = re.compile(r"[^\t-\r -~\xa1-ɏ‐-‧‰-⁞₠-₿]")
 
@@ -62,10 +69,7 @@ class Encoder:
             and not split.get("add_prefix_space")
             and not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or ())
         )
-        if self.by_piece:
-            #: Whether a token's first byte is the blank.
-            self.starts = np.zeros(library.get_vocab_size() + 1, bool)
-            self.starts[[i for t, i in library.get_vocab().items() if t.startswith(BLANK)]] = True
+        self.model = library.model
         self.added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or ()) or r"(?!)")
 
     def pieces(self, text: str) -> list[str] | None:
@@ -77,21 +81,12 @@ class Encoder:
         return PIECES.findall(text)
 
     def look_up(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of distinct pre-tokens from the library. Blank-and-letters pre-tokens go many at a time in one text,
-        which splits into just them again; each begins at a token that begins with a blank."""
-        words = [p for p in new if BLANK_WORD.fullmatch(p)]
-        found: dict[str, bytes] = {}
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.array(self.whole(["".join(some)])[0], dtype="<u4")
-            at_ids = np.flatnonzero(self.starts[ids])
-            if len(at_ids) != len(some):
-                raise ValueError("the tokenizer's pre-tokens do not begin at blanks")
-            bounds = [*(4 * at_ids).tolist(), 4 * len(ids)]
-            data = ids.tobytes()
-            found |= {p: data[a:b] for p, a, b in zip(some, bounds, bounds[1:], strict=False)}
-        rest = [p for p in new if p not in found]
-        return found | {p: struct.pack(f"<{len(ids)}I", *ids) for p, ids in zip(rest, self.whole(rest) if rest else (), strict=True)}
+        """The ids of pre-tokens from the library's model, which takes a pre-token's bytes as characters."""
+        merge, found = self.model.tokenize, {}
+        for p in new:
+            ids = [t.id for t in merge((p if p.isascii() else p.encode().decode("latin-1")).translate(BYTE_CHARS))]
+            found[p] = struct.pack(FORMS[len(ids)] if len(ids) < len(FORMS) else f"<{len(ids)}I", *ids)
+        return found
 
     def learn(self, lists: list[list[str] | None]) -> dict[str, bytes]:
         """A look-up that has every pre-token of the lists: the cache, or a passing copy for those not kept."""
