@@ -7,30 +7,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.llm import minhash, mixing, packing, pii, quality
-from evidra.llm.common import cut, table
+from evidra.llm.common import cut, set_aside, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     network = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, network).where("predicted = 1").select(*docs.columns)
+    docs, back = set_aside(docs, "score", "predicted")
+    return back(quality.score(docs, network).where("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest doc_id. Rows with one doc_id are one
     document, of which the first text in order stays; rows without doc_id stay."""
     kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    docs, back = set_aside(docs, "_n")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text", *[c for c in docs.columns if c not in ("doc_id", "text")])]))
     found = docs.join(kept, "doc_id", "left_semi").withColumn("_n", first).where("_n = 1").drop("_n")
-    return found.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return back(found.select(*docs.columns).unionByName(docs.where("doc_id IS NULL")))
 
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates in place of private data, n_chars to match."""
+    docs, back = set_aside(docs, "entities", "n_entities")
     found = pii.surrogates(docs, key=pii.KEY)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    return back(found)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,10 @@ def finite_vector(column: str) -> F.Column:
     """True for an array that is not null and holds neither null nor non-finite components."""
     bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.col(column).isNotNull() & ~F.coalesce(bad, F.lit(True))
+
+
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns that clash with an operator's own names renamed, and what gives such rows their columns back."""
+    own = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    back = {new: old for old, new in own.items()}
+    return docs.withColumnsRenamed(own), lambda df: df.select(*[own.get(c, c) for c in docs.columns]).withColumnsRenamed(back)

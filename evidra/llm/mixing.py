@@ -11,7 +11,7 @@ Targets: sources in code point order, null last, weigh WEIGHTS in turn and share
 MOST times its source's words, the excess is shared again by weight among the others.
 
 Defined results: null or empty text: size 0, taken 0; null source: a source of its own; null doc_id: kept; repeated
-rows are counted one by one; empty table: no rows.
+rows are counted one by one; empty table: no rows; columns of documents named like the plan's own come through unharmed.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm.common import WORD, cut, map_batches, slices
+from evidra.llm.common import WORD, cut, map_batches, set_aside, slices
 from evidra.ship import ship
 
 WEIGHTS = (3, 1, 2)
@@ -37,6 +37,8 @@ BLOCK = 16
 SHARD_ROWS = 256
 GROUPS = 64
 SEED = 20
+#: Names that the plan of a mix uses.
+OWN = ("_size", "_source", "_order", "_shard", "_words", "_quota", "_before", "_blocks", "_times", "_first", "_last", "_lo", "_hi", "_lo2", "_hi2", "source_size", "target", "taken")
 
 
 def targets(sizes: dict[str | None, int], share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> dict[str | None, float]:
@@ -148,6 +150,7 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED, key: str = "doc_i
 def mixed_texts(docs: DataFrame, seed: int = SEED, text: str = "text", source: str = "source", key: str = "doc_id", n_chars: str = "n_chars", **shares) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole copy of a document that the mix takes, then one
     for each run of words that it takes more. Nothing is left of documents that it does not take."""
+    docs, back = set_aside(docs, *OWN)
     kept = docs.columns
     planned = mix(sized(docs, seed, text, source, key), seed=seed, key=key, **shares).select(*kept, "_size", "_times", "_lo", "_hi", "_lo2", "_hi2")
     schema = T.StructType([docs.schema[c] for c in kept])
@@ -158,7 +161,7 @@ def mixed_texts(docs: DataFrame, seed: int = SEED, text: str = "text", source: s
             for some in slices(batch, 256):
                 rows, texts, of = [], [], zip(*(some.column(c).to_pylist() for c in (text, "_size", "_times", "_lo", "_hi", "_lo2", "_hi2")), strict=True)
                 for i, (t, size, times, *runs) in enumerate(of):
-                    texts += [t] * times
+                    texts += [t] * (times if size else 0)
                     for lo, hi in (runs[:2], runs[2:]):
                         if hi - lo == size > 0:
                             texts.append(t)
@@ -170,4 +173,4 @@ def mixed_texts(docs: DataFrame, seed: int = SEED, text: str = "text", source: s
                 out = {c: taken.column(c) for c in kept} | {text: texts}
                 yield out | ({n_chars: [len(t) if t is not None else None for t in texts]} if n_chars in kept else {})
 
-    return map_batches(planned, schema, take)
+    return back(map_batches(planned, schema, take))

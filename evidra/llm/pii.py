@@ -81,7 +81,7 @@ def possible(text: str) -> tuple[str, ...]:
     return tuple(t for t in TYPES if t in found)
 
 
-KEY_WORD = re.compile(r"(?i)(?:pass|pwd|secret|key|token)[A-Za-z_-]* ?[=:]")
+KEY_WORD = re.compile(r"(?i)(?:password|passwd|pwd|passphrase|secret|key|token) ?[=:]")
 ONE_DIGIT = re.compile("[0-9]")
 NUMBER = re.compile(r"[0-9][0-9 ().-]*")
 IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")

@@ -388,3 +388,24 @@ def test_pipeline_runs_as_a_query(spark):
     import corpus_pipeline as cp
 
     assert cp.run(spark, SF).count() > 0
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls in every column, repeated rows, empty tables, and extra columns with clashing names."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, entities string, n_entities string, _size string, taken string, _n string, node long"
+    extra = ("x",) * 7 + (5,)
+    rows = [(1, "clean words of a text", "en", "a", 21, *extra), (1, "clean words of a text", "en", "a", 21, *extra), (None, "no id a.b@c.de", None, None, None, *extra), (2, None, "en", "a", None, *extra),
+            (3, "", None, None, 0, *extra), (4, "w " * 30000, "en", None, 60000, *extra), (5, None, None, None, None, None, None, None, None, None, None, None, None)]
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, schema)
+        for _, stage in cp.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert all(r.score == "x" and r.entities == "x" and r._size == "x" and r.taken == "x" and r._n == "x" and r.node == 5 for r in got if r.doc_id != 5)
+            assert some or not got
+        assert {r.doc_id for r in cp.STAGES[-1][1](spark, docs, SF).collect()} == {r[0] for r in some}
+    kept = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted((r.doc_id for r in kept), key=str) == [1, 2, 3, 4, 5, None]
