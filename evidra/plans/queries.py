@@ -683,3 +683,82 @@ def dag_cycles(spark, sf):
 def queue_generation(spark, sf):
     template = spark.sql("SELECT * FROM VALUES ('audit', 1), ('review', 2) AS t(role, priority)")
     return tasks.generated(template, view(spark, sf, "nation").select(F.col("n_name").alias("item")))
+
+
+# ---------------------------------------------------------------- more rules
+
+
+@query(HITS + MERGED + """ SELECT h.gene, count(*) AS n, count(*) FILTER (fm.src IS NULL) AS absent FROM hits h LEFT JOIN fm ON h.chrom = fm.chrom AND h.pos = fm.pos AND h.ref = fm.ref AND h.alt = fm.alt
+WHERE coalesce(fm.af, 0.0) <= 0.001 GROUP BY h.gene""", "v", "g", "fr")
+def rarity_filter(spark, sf):
+    """Hits at most 0.001 frequent; what has no frequency counts as nought."""
+    found = hits(spark, sf).join(annotate.priority_merge(view(spark, sf, "fr")), annotate.KEY, "left").where(F.coalesce("af", F.lit(0.0)) <= 0.001)
+    return found.groupBy("gene").agg(F.count("*").alias("n"), F.count_if(F.col("src").isNull()).alias("absent"))
+
+
+@query(""", f AS (SELECT *, string_split(format, ':') AS k, string_split(sample, ':') AS s FROM sample)
+SELECT s.chrom, c.sig, count(*) AS n FROM f s JOIN cvr c ON s.chrom = c.chrom AND s.pos = c.pos AND s.ref = c.ref AND s.alt = c.alt
+WHERE s.filt = 'PASS' AND regexp_matches(c.sig, '^(Pathogenic|Likely_pathogenic)') AND try_cast(s.s[list_position(k, 'GQ')] AS INT) >= 50 GROUP BY 1, 2""", "sample", "cvr")
+def strong_hits(spark, sf):
+    """Passing variants of good genotype quality whose curated class is pathogenic or likely so."""
+    gq = fields.sample_value(F.col("format"), F.col("sample"), "GQ").try_cast("int")
+    found = annotate.exact_match(view(spark, sf, "sample"), view(spark, sf, "cvr")).where((F.col("filt") == "PASS") & fields.starts_with_any(F.col("sig"), "Pathogenic", "Likely_pathogenic") & (gq >= 50))
+    return found.groupBy("chrom", "sig").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, p_brand FROM part), l AS (SELECT l_partkey, count(*) AS n, count(DISTINCT l_suppkey) AS supp FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT p_partkey, p_brand, coalesce(n, 0) AS n, coalesce(supp, 0) AS suppliers FROM p LEFT JOIN l ON p_partkey = l_partkey""")
+def landscape_join(spark, sf):
+    """Every member of the panel, with what is known of it or noughts."""
+    known = view(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"))
+    return view(spark, sf, "part").join(known, "p_partkey", "left").select("p_partkey", "p_brand", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "suppliers")])
+
+
+@query(""", b AS (SELECT max(span) AS longest FROM (SELECT max(pos) - min(pos) AS span FROM ph WHERE pid <> '.' GROUP BY pid HAVING count(*) >= 2) q)
+SELECT gene, max(pos) - min(pos) AS separation, round((max(pos) - min(pos)) * 1.0E0 / max(longest), 9) AS ratio FROM ph, b GROUP BY gene HAVING count(*) >= 2""", "ph")
+def candidate_separation(spark, sf):
+    """How far a gene's variants lie apart, and that over the longest phase block."""
+    ph = view(spark, sf, "ph")
+    longest = genes.phase_blocks(ph).agg(F.max("span").alias("longest"))  # one row
+    apart = ph.groupBy("gene").agg(F.count("*").alias("n"), (F.max("pos") - F.min("pos")).alias("separation")).where("n >= 2")
+    return apart.crossJoin(F.broadcast(longest)).select("gene", "separation", r9(F.col("separation") / F.col("longest")).alias("ratio"))
+
+
+@query(" SELECT chrom, count(*) AS n, count(*) FILTER (sig IN ('Pathogenic', 'Likely_pathogenic')) AS pathogenic, round(count(*) FILTER (sig IN ('Pathogenic', 'Likely_pathogenic')) * 1.0E0 / count(*), 9) AS share FROM cvr GROUP BY chrom", "cvr")
+def curated_share(spark, sf):
+    plp = F.count_if(fields.starts_with_any(F.col("sig"), "Pathogenic", "Likely_pathogenic"))
+    return view(spark, sf, "cvr").groupBy("chrom").agg(F.count("*").alias("n"), plp.alias("pathogenic"), r9(plp / F.count("*")).alias("share"))
+
+
+@query("SELECT lower(trim(coalesce(nullif(p_name, ''), p_brand))) AS compound, max(p_size) AS phase, count(*) AS n FROM part GROUP BY 1")
+def compound_names(spark, sf):
+    """Names in one spelling, with the highest phase of each."""
+    name = F.lower(F.trim(F.coalesce(F.nullif(F.col("p_name"), F.lit("")), F.col("p_brand"))))
+    return view(spark, sf, "part").groupBy(name.alias("compound")).agg(F.max("p_size").alias("phase"), F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, md5(CAST(p_partkey AS VARCHAR) || '-2026') AS draw FROM part ORDER BY draw, p_partkey LIMIT 40")
+def control_sample(spark, sf):
+    """Forty controls by seeded hash order; the limit is the sample's size."""
+    draw = F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("-2026")))
+    return view(spark, sf, "part").select("p_partkey", draw.alias("draw")).orderBy("draw", "p_partkey").limit(40)
+
+
+@query(""", n AS (SELECT grp, count(*) AS size FROM gs GROUP BY grp HAVING count(*) >= 15), own AS (SELECT DISTINCT grp FROM gs WHERE gene IN ('C1', 'C2', 'C4', 'C5', 'C7'))
+SELECT n.grp, n.size FROM n JOIN own ON n.grp = own.grp""", "gs")
+def verified_sets(spark, sf):
+    """Sets of at least fifteen members that hold one of their targets."""
+    gs = view(spark, sf, "gs")
+    size = gs.groupBy("grp").agg(F.count("*").alias("size"), F.bool_or(F.col("gene").isin("C1", "C2", "C4", "C5", "C7")).alias("verified"))
+    return size.where("size >= 15 AND verified").select("grp", "size")
+
+
+@query(""", a AS (SELECT DISTINCT grp, gene FROM gs), k AS (SELECT x.grp AS a, y.grp AS b, count(*) AS k FROM a x JOIN a y ON x.gene = y.gene WHERE x.grp < y.grp GROUP BY 1, 2), n AS (SELECT grp, count(*) AS n FROM a GROUP BY grp)
+SELECT k.a, k.b, k.k, k.k = p.n AND k.k = q.n AS equal FROM k JOIN n p ON p.grp = k.a JOIN n q ON q.grp = k.b""", "gs")
+def set_equality(spark, sf):
+    """Pairs of sets with shared members, and whether they are equal."""
+    gs = view(spark, sf, "gs").distinct()
+    n = gs.groupBy("grp").agg(F.count("*").alias("n"))
+    k = enrichment.overlaps(gs.select(F.col("grp").alias("a"), "gene"), gs.select(F.col("grp").alias("b"), "gene")).where("a < b AND k > 0")
+    both = k.join(n.select(F.col("grp").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("grp").alias("b"), F.col("n").alias("nb")), "b")
+    return both.select("a", "b", "k", ((F.col("k") == F.col("na")) & (F.col("k") == F.col("nb"))).alias("equal"))

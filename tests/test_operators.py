@@ -186,7 +186,7 @@ BLOCK = [
     "p.Arg12Ter", "p.(Gly5Asp)", "proband: P001", "sample_id=S12", "patient-7", "GT: 0/1", "genotype 1|1", "GT=./.", "cat data/reads.txt", "upload work/table.tsv", "curl -F file=@data/x", "sample.vcf.gz",
     "x.bam", "reads.fastq.gz", "a.g.vcf", "see 'work/out.tsv'", "index.vcf.gz.tbi", "chrM 16569000", "X:153000000",
 ]
-ALLOW = ["gene FBN1 and the pathway", "loss of function in gene A", "DepMap scores by gene", "chromosome 7 overview", "0.5 ratio 3:2", "a search for BRCA2 drugs", "phase 3 trial", "p value 0.05", "c. 1900", "dataset of genes"]
+ALLOW = ["gene A1 and the pathway", "loss of function in gene A", "DepMap scores by gene", "chromosome 7 overview", "0.5 ratio 3:2", "a search for BRCA2 drugs", "phase 3 trial", "p value 0.05", "c. 1900", "dataset of genes"]
 
 
 def test_egress(spark):
