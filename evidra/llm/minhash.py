@@ -143,11 +143,11 @@ class Member:
     hashes: np.ndarray
 
 
-def due(key: int, members: list[Member], across: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of members under key, as positions and estimates, that may link two components: key is the first that they
-    share, sizes allow for it and the estimate too. across: only pairs of different tiles are due."""
+def due(key: int | None, members: list[Member], across: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of members, as positions and estimates, that may link two components: sizes allow for it, the estimate too,
+    and key, if given, is the first that they share. across: only pairs of different tiles are due."""
     regs = np.stack([m.regs for m in members])
-    keys = np.stack([band_keys(r) for r in regs])
+    keys = np.stack([band_keys(r) for r in regs]) if key is not None else None
     sizes = np.array([m.n for m in members])
     tiles = np.array([m.tile for m in members])
     parts = np.unique([m.component for m in members], return_inverse=True)[1]
@@ -164,20 +164,21 @@ def due(key: int, members: list[Member], across: bool, percent: int) -> Iterator
             ok &= some[:, None] < right[None, :]
         if not ok.any():
             continue
-        shared = (keys[some][:, None, :] == keys[right][None, :, :]) & (keys[some][:, None, :] > 0)
-        ok &= shared.any(-1) & (keys[some][np.arange(len(some))[:, None], shared.argmax(-1)] == U(key))
+        if keys is not None:
+            shared = (keys[some][:, None, :] == keys[right][None, :, :]) & (keys[some][:, None, :] > 0)
+            ok &= shared.any(-1) & (keys[some][np.arange(len(some))[:, None], shared.argmax(-1)] == U(key))
         like, used = estimate(regs[some], regs[right], sizes[some], sizes[right])
         ok &= like >= threshold - 6 * np.sqrt(threshold * (1 - threshold) / np.maximum(1, used))
         i, j = np.nonzero(ok)
         yield some[i], right[j], like[i, j]
 
 
-def wanted(key: int, members: list[Member], across: bool, percent: int) -> list[int]:
+def wanted(key: int | None, members: list[Member], across: bool, percent: int) -> list[int]:
     """Positions of the members with a pair that is due."""
     return sorted({int(x) for i, j, _ in due(key, members, across, percent) for x in (*i, *j)})
 
 
-def links(key: int, members: list[Member], across: bool, percent: int) -> list[tuple[int, int]]:
+def links(key: int | None, members: list[Member], across: bool, percent: int) -> list[tuple[int, int]]:
     """Links that join components among members that meet under key."""
     root, first = list(range(len(members))), {}
     for i, m in enumerate(members):
@@ -235,21 +236,22 @@ def groups(batches: Iterable[pa.RecordBatch], full: bool) -> Iterator[tuple[tupl
         yield now, members
 
 
-def compare(meeting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def compare(meeting: DataFrame, sets: DataFrame, percent: int, once: bool) -> DataFrame:
     """Links of meeting (key, i, j, tile, node, component): who meets under (key, i, j). First registers decide which
-    members have a pair to compare under this key; only these bring their sets."""
+    members have a pair to compare; only these bring their sets. once: a pair is compared under its first key only."""
     names = ["key", "i", "j", "tile", "node", "component"]
+    unsigned = lambda k: k & (2**64 - 1) if once else None
     together = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for (k, i, j), members in groups(batches, False):
-            if some := [members[x] for x in wanted(k & (2**64 - 1), members, i != j, percent)]:
+            if some := [members[x] for x in wanted(unsigned(k), members, i != j, percent)]:
                 of = {"key": k, "i": i, "j": j}
                 yield {n: [of[n]] * len(some) if n in of else [getattr(m, n) for m in some] for n in names}
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for (k, i, j), members in groups(batches, True):
-            if found := links(k & (2**64 - 1), members, i != j, percent):
+            if found := links(unsigned(k), members, i != j, percent):
                 yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
     brief = sets.select("node", "regs", F.expr("length(hashes) div 8").alias("n"))
@@ -309,9 +311,9 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None, text: str = "text
     full = cut(map_batches(texts, SETS, sets).where("length(hashes) > 0"), "sets")
     # the first wave's keys: FIRST_WAVE in BANDS of all, taken by the key's hash, the same for all who meet under it
     some = members.where(F.pmod(F.xxhash64("key"), F.lit(BANDS)) < FIRST_WAVE)
-    first = cut(compare(linear_wave(some), full, rule.percent), "links")
+    first = cut(compare(linear_wave(some), full, rule.percent, once=False), "links")
     labels = connected_components(first)
-    second = cut(compare(full_wave(members, labels), full, rule.percent), "links")
+    second = cut(compare(full_wave(members, labels), full, rule.percent, once=True), "links")
     labels = connected_components(first.unionByName(second))
     found = signed.join(classes, "print", "left").join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
