@@ -30,7 +30,7 @@ MIN_ROWS = 4096
 RUN = 256
 
 PIECES = T.StructType(
-    [T.StructField(n, T.LongType() if n in ("doc_id", "start", "sequence_id") else T.IntegerType()) for n in ("doc_id", "piece", "start", "length", "sequence_id", "offset")]
+    [T.StructField(n, T.IntegerType() if n == "piece" else T.LongType()) for n in ("doc_id", "piece", "start", "length", "sequence_id", "offset")]
     + [T.StructField("ids", T.BinaryType())]
 )
 

@@ -127,5 +127,20 @@ def test_queries_give_the_digests(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     some = list(texts)[:50]
     assert [crc[d] for d in some] == [zlib.crc32(packed([*i, 0])) for i in library(texts[d] for d in some)]
-    assert queries.op10_best_fit_packing(spark, SF).columns == ["doc_id", "piece", "start", "length", "sequence_id", "offset", "ids_crc32"]
     assert queries.op1_token_counts(spark, SF).count() == len(texts)
+
+
+def test_queries_have_the_contracts_types(spark):
+    want = {
+        "op1_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+        "op3_exact_top_k": "query_id bigint, rank int, vec_id bigint, score bigint",
+        "op4_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
+        "op5_embedding_near_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+        "op8_source_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+        "op9_token_shards": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+        "op10_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, sequence_id bigint, offset bigint, ids_crc32 bigint",
+    }
+    for name, types in want.items():
+        assert ", ".join(f"{n} {t}" for n, t in queries.QUERIES[name](spark, SF).dtypes) == types
+    near = dict(queries.op7_minhash_near_dedup(spark, SF).dtypes)
+    assert {n: near[n] for n in ("doc_id", "n_shingles", "component_id", "kept")} == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
