@@ -43,7 +43,7 @@ BANDS = BUCKETS // ROWS
 FIRST_WAVE = 4
 TILE = 256
 RUN = 256
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 U = np.uint64
 
 
