@@ -3,7 +3,7 @@
 Catalyst has no interval join. Here overlaps are resolved on the interval side first: its boundaries cut each contig into
 segments, each with the one interval that wins there, so a point meets at most one segment and needs no shuffle to pick a
 winner afterwards. Segments are spread over fixed bins, so the join is an equi join on (contig, bin) with a residual; it is
-broadcast only where the counted segments are few, and shuffled on (contig, bin) else.
+broadcast only where a bound of the segments, counted from the intervals, is low, and shuffled on (contig, bin) else.
 """
 
 from __future__ import annotations
@@ -46,7 +46,9 @@ def interval_join(points: DataFrame, intervals: DataFrame, policy: str = "first_
     wide = intervals.withColumns({start: F.col(start) - pad, end: F.col(end) + pad})
     segments = winners(wide, policy, name, start, end)
     spread = segments.withColumn("_bin", F.explode(F.sequence(F.expr(f"seg_st div {BIN}"), F.expr(f"seg_en div {BIN}"))))
-    if spread.count() <= FEW:
+    # segments are disjoint: their rows by bin are at most the intervals' bins and three more for each interval
+    most = wide.agg(F.sum(F.expr(f"greatest(0, {end} - {start}) div {BIN} + 3"))).first()[0] or 0
+    if most <= FEW:
         spread = F.broadcast(spread)
     p = points.withColumn("_bin", F.expr(f"{pos} div {BIN}"))
     on = (p["chrom"] == spread["chrom"]) & (p["_bin"] == spread["_bin"]) & p[pos].between(F.col("seg_st"), F.col("seg_en"))
