@@ -288,11 +288,11 @@ ENTITY = T.StructType([T.StructField("type", T.StringType()), T.StructField("sta
 MADE = T.StructType([T.StructField("type", T.StringType()), T.StructField("entity", T.BinaryType()), T.StructField("surrogate", T.BinaryType())])
 
 
-def collisions(docs: DataFrame, key: bytes, tweaks: dict[str, int], text: str = "text") -> list[str]:
+def collisions(docs: DataFrame, key: bytes, tweaks: dict[str, int], text: str = "text", make: type = Surrogates) -> list[str]:
     """Types in which different entities of docs would get one surrogate. Only keyed digests are shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        own = Surrogates(key, tweaks)
+        own = make(key, tweaks)
         digest = lambda *x: hashlib.blake2b("\x1f".join(x).encode(), key=key[:64], digest_size=16).digest()
         for batch in batches:
             for some in slices(batch, 1024):
@@ -305,16 +305,16 @@ def collisions(docs: DataFrame, key: bytes, tweaks: dict[str, int], text: str =
     return [r.type for r in by.where("a <> b").select("type").distinct().collect()]  # TYPES at most
 
 
-def surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+def surrogates(docs: DataFrame, key: bytes, text: str = "text", make: type = Surrogates) -> DataFrame:
     """docs with private data replaced, entities (type, start, end, surrogate in the new text) and n_entities."""
     tweaks: dict[str, int] = {}
-    while found := collisions(docs, key, tweaks, text):
+    while found := collisions(docs, key, tweaks, text, make):
         tweaks |= {t: tweaks.get(t, 0) + 1 for t in found}
     kept = [c for c in docs.columns if c not in ("entities", "n_entities")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("entities", T.ArrayType(ENTITY)), T.StructField("n_entities", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        own = Surrogates(key, tweaks)
+        own = make(key, tweaks)
         for batch in batches:
             for some in slices(batch, 256):
                 new = [own.replaced(t) if t is not None else (None, []) for t in some.column(text).to_pylist()]

@@ -298,11 +298,19 @@ def test_surrogates_are_distinct_and_never_the_entity(kind, texts):
     assert len(set(made)) == len(texts) and not any(a == b for a, b in zip(made, texts, strict=True))
 
 
-def test_collisions_are_found(spark, monkeypatch):
+def test_collisions_are_found_and_resolved(spark):
     docs = docs_frame(spark, PRIVATE)
     assert pii.collisions(docs, b"k", {}) == []
-    monkeypatch.setattr(pii.Surrogates, "of", lambda self, kind, text: "same")
-    assert "email" not in pii.collisions(docs, b"k", {}) and "card" in pii.collisions(docs, b"k", {})
+
+    class Colliding(pii.Surrogates):
+        """One surrogate for all cards under the first key."""
+
+        def make(self, kind, text):
+            return "4000000000000000" if kind == "card" and not self.tweaks.get(kind) else pii.Surrogates.make(self, kind, text)
+
+    assert pii.collisions(docs, b"k", {}, make=Colliding) == ["card"]
+    cards = [e.surrogate for r in pii.surrogates(docs, b"k", make=Colliding).collect() for e in r.entities if e.type == "card"]
+    assert len(cards) == len(set(cards)) == 2
 
 
 # ---------------------------------------------------------------- quality
