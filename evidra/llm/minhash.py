@@ -216,6 +216,7 @@ def signatures(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
                     "doc_id": some.column("doc_id"), "n_shingles": [len(s) for s in sets], "print": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "keys": [(k[k > 0]).view(np.int64) if len(s) else None for s in sets for k in [band_keys(registers(s))]],
                 }
+        _words.clear()  # its memory is for the worker's next task, of whatever kind
 
     return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")), SIGNATURES, run)
 
@@ -307,6 +308,7 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None, text: str = "text
             for some in slices(batch, RUN):
                 own = [shingles(t, rule.words) for t in some.column("t").to_pylist()]
                 yield {"node": some.column("node"), "regs": [registers(h).tobytes() for h in own], "hashes": [h.tobytes() for h in own]}
+        _words.clear()
 
     full = cut(map_batches(texts, SETS, sets).where("length(hashes) > 0"), "sets")
     # the first wave's keys: FIRST_WAVE in BANDS of all, taken by the key's hash, the same for all who meet under it

@@ -28,7 +28,7 @@ WIDTH, STRIDE, UNIT, FILTERS, HIDDEN = 16, 8, 256, 32, 16
 TRAIN_ROWS, TRAIN_BYTES = 2_000, 100_000
 STEPS, BATCH = 1200, 16
 #: Bytes scored at once.
-RUN_BYTES = 1 << 19
+RUN_BYTES = 1 << 18
 PAD = 256
 
 ADDED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
