@@ -4,7 +4,8 @@ Detected: e-mail addresses, phone numbers, payment cards, IPv4 and MAC addresses
 access keys, assigned secrets (password, token, key ... = value), and names after a title. An entity's surrogate is a
 keyed permutation of its form: digits stay digits, capitals capitals, hex stays hex, octets stay octets; separators,
 country codes, top-level domains, key prefixes and card issuer digits stay. Names keep title, script, capitals, the
-pattern of vowels and consonants, and their last letter, which marks gender in the scripts covered. Cards keep their
+pattern of vowels and consonants, and their last letter, which marks gender in many scripts. Where nothing in the form can
+vary, the surrogate is keyed letters. A phone number ends with its country's known count of digits, where all have as many. Cards keep their
 checksum's remainder, so valid ones stay valid; IBANs get right check digits.
 
 The permutation is a bijection on each form, and never maps an entity to itself: different entities never share a
@@ -23,6 +24,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +40,13 @@ KEY = b"evidra surrogates"
 
 #: The forms of private data.
 TITLES = r"(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|Sr\.|Sra\.|Srta\.|Herr|Frau|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señor|Señora|Señorita|г-н|г-жа)"
+IP = r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9A-Za-z])"
+#: Digits after the country code, where all of a country's numbers have as many.
+PHONE_DIGITS = {1: 10, 7: 10, 30: 10, 31: 9, 33: 9, 34: 9, 41: 9, 45: 8, 47: 8, 48: 9, 61: 9, 90: 10, 91: 10, 351: 9, 420: 9}
+FIXED_PHONE = r"\+(?:" + "|".join(rf"{c}(?:[ .-]?\(0\))?(?:[ .-]?\(?[0-9]\)?){{{n - 1}}}[ .-]?[0-9]" for c, n in PHONE_DIGITS.items()) + ")(?![0-9])"
+#: Numbers of other lengths: nine digits or more before a blank and a dotted number, or else groups of digits, of which none begins an address.
+ENDED_PHONE = r"\+[0-9](?:[ .-]?\(?[0-9]\)?){7,13}?[ .-]?[0-9](?= [0-9]+[.][0-9])"
+LONG_PHONE = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?|[0-9]{{1,4}}[ .-]?)[0-9]{{2,4}}(?:(?: (?!{IP})|[.-])?[0-9]{{2,4}}){{1,3}}"
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9_][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?i:\b(?:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token|private[_-]?key))(?: ?= ?[\"']?| ?: ?(?:[\"']|(?=[^\s\"']*[0-9])))(?P<secret>[A-Za-z0-9+/_.~!@#$%^&*-]{6,}={0,2})",
@@ -45,9 +54,9 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z.+-])[3-6](?:[0-9]{12,18}|[0-9]{3}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z(+.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{1,4}[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
+    "phone": rf"(?<![0-9A-Za-z(+.-])(?:{FIXED_PHONE}|{ENDED_PHONE}|{LONG_PHONE}|\([0-9]{{3}}\)[ .-]?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}})(?![0-9])",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
-    "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9A-Za-z])",
+    "ip": IP,
     "name": rf"(?<!\w){TITLES} (?P<name>[^\W\d_a-zà-ÿа-я][^\W\d_]+(?:[ -][^\W\d_a-zà-ÿа-я][^\W\d_]+){{0,2}})",
 }
 TYPES = list(PATTERNS)
@@ -121,7 +130,24 @@ def detect(text: str) -> list[Span]:
 
 
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуэюя", "greek": "αεηιουω"}
-CONSONANTS = {"latin": "bcdfghjklmnprstvwz", "cyrillic": "бвгдзклмнпрст", "greek": "βγδζθκλμνπρστφχ"}
+CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзклмнпрстфхцчшщ", "greek": "βγδζθκλμνξπρστφχψ"}
+LETTERS = [*VOWELS.values(), *CONSONANTS.values(), "àáâãäåèéêëìíîïòóôõöøùúûüæ", "çñ", "άέήίόύώ"]
+
+
+@functools.cache
+def letters_like(c: str) -> str | None:
+    """The small letters among which c varies: its class, or else those of its kind in its run of 128 code points."""
+    if named_ := next((a for a in LETTERS if c in a), None):
+        return named_
+    kind = lambda x: (unicodedata.category(x), x.upper() != x)
+    run = map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1))
+    like = "".join(x for x in run if kind(x) == kind(c) and single_case(x) and not any(x in a for a in LETTERS))
+    return like if c in like and len(like) > 1 else None
+
+
+def single_case(x: str) -> bool:
+    """A small or caseless letter whose capital is one letter that leads back to it."""
+    return x.isalpha() and x.lower() == x and len(x.upper()) == 1 and x.upper().lower() == x
 
 
 @dataclass
@@ -177,13 +203,14 @@ def digits_form(text: str, kept: int = 0, tail: int = 0) -> Form:
 
 
 def named(text: str) -> Form:
-    """Letters vary among the vowels or consonants of their script; a word's last letter and rare letters stay."""
+    """Letters vary among those like them in their script; a word's last letter stays."""
     classes: list[str | None] = []
     for i, c in enumerate(text):
         last = i + 1 == len(text) or not text[i + 1].isalpha()
-        classes.append(None if last else next((a for s in VOWELS for a in (VOWELS[s], CONSONANTS[s]) if c.lower() in a), None))
-    form = spelled(text, classes)
-    return form
+        low = c.lower()
+        own = len(low) == 1 and low.upper() in (c, c.upper()) and (c == low or c == low.upper())
+        classes.append(letters_like(low) if own and not last else None)
+    return spelled(text, classes)
 
 
 class Surrogates:
@@ -209,6 +236,12 @@ class Surrogates:
             values[0] = (values[0] + 1 + self.mac(tag, "z", ",".join(map(str, values[1:]))) % (bases[0] - 1)) % bases[0]
         return values
 
+    def drawn(self, kind: str, text: str) -> str:
+        """Keyed letters for a text in whose form nothing varies; collisions() sees to it that they are its own."""
+        draw = self.mac(kind, str(self.tweaks.get(kind, 0)), "drawn", text.lower())
+        new = "".join(SMALL[draw // 26**i % 26] for i in range(max(2, len(text))))
+        return new.capitalize() if new != text.lower() else new[::-1]
+
     def shaped(self, kind: str, form: Form) -> str:
         return form.render(self.permuted(kind, form))
 
@@ -252,7 +285,7 @@ class Surrogates:
             letters = iter(changed[:2] + f"{check:02d}" + changed[4:])
             return "".join(c if c == " " else next(letters) for c in text)
         form = named(text) if kind == "name" else spelled(text, by_class(text))
-        return self.shaped(kind, form)
+        return self.shaped(kind, form) if form.values else self.drawn(kind, text)
 
     def of(self, kind: str, text: str) -> str:
         if (kind, text) not in self.known:
@@ -285,11 +318,11 @@ def canonical(kind: str, text: str) -> str:
 
 
 ENTITY = T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surrogate", T.StringType())])
-MADE = T.StructType([T.StructField("type", T.StringType()), T.StructField("entity", T.BinaryType()), T.StructField("surrogate", T.BinaryType())])
+MADE = T.StructType([T.StructField("type", T.StringType()), T.StructField("entity", T.BinaryType()), T.StructField("surrogate", T.BinaryType()), T.StructField("kept", T.BooleanType())])
 
 
 def collisions(docs: DataFrame, key: bytes, tweaks: dict[str, int], text: str = "text", make: type = Surrogates) -> list[str]:
-    """Types in which different entities of docs would get one surrogate. Only keyed digests are shuffled."""
+    """Types in which different entities of docs would get one surrogate, or one itself. Only keyed digests are shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         own = make(key, tweaks)
@@ -298,11 +331,11 @@ def collisions(docs: DataFrame, key: bytes, tweaks: dict[str, int], text: str =
             for some in slices(batch, 1024):
                 spans = {(s.kind, s.text) for t in some.column(0).to_pylist() for s in detect(t)}
                 if spans:
-                    yield {"type": [k for k, _ in spans], "entity": [digest(k, canonical(k, t)) for k, t in spans], "surrogate": [digest(k, canonical(k, own.of(k, t))) for k, t in spans]}
+                    yield {"type": [k for k, _ in spans], "entity": [digest(k, canonical(k, t)) for k, t in spans], "surrogate": [digest(k, canonical(k, own.of(k, t))) for k, t in spans], "kept": [canonical(k, own.of(k, t)) == canonical(k, t) for k, t in spans]}
 
     made = map_batches(docs.where(F.col(text).isNotNull()).select(text), MADE, run)
-    by = made.groupBy("type", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b"))
-    return [r.type for r in by.where("a <> b").select("type").distinct().collect()]  # TYPES at most
+    by = made.groupBy("type", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b"), F.bool_or(F.col("kept")).alias("kept"))
+    return [r.type for r in by.where("a <> b OR kept").select("type").distinct().collect()]  # TYPES at most
 
 
 def surrogates(docs: DataFrame, key: bytes, text: str = "text", make: type = Surrogates) -> DataFrame:

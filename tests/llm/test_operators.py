@@ -313,6 +313,45 @@ def test_collisions_are_found_and_resolved(spark):
     assert len(cards) == len(set(cards)) == 2
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("+1 (826) 555-4081 190.137.223.204", ["+1 (826) 555-4081", "190.137.223.204"]), ("+1 (826) 555-4081 12 apples", ["+1 (826) 555-4081"]), ("+33 (0)6 12 34 56 78 90 x", ["+33 (0)6 12 34 56 78"]),
+        ("+49 30 1234567 190.137.223.204", ["+49 30 1234567", "190.137.223.204"]), ("+49 30 1234567 12.5", ["+49 30 1234567"]), ("+49 30 123 555.1234", ["+49 30 123 555.1234"]), ("+32 2 555 12.34", ["+32 2 555 12.34"]),
+        ("+44 20 7946 0958", ["+44 20 7946 0958"]), ("+1 (826) 555-40812", ["+1 (826) 555-40812"]), ("(call +1 826 555 4081)", ["+1 826 555 4081"]),
+    ],
+)
+def test_phones_end_where_they_end(text, found):
+    assert [s.text for s in pii.detect(text)] == found
+
+
+@pytest.mark.parametrize("name", ["Xu", "Qy", "Yu", "Éa", "Щю", "Ξη", "Ός", "王明", "김철", "محمد", "אב", "İẞ"])
+def test_every_name_changes(name):
+    spans = pii.detect(f"Dr. {name} wrote")
+    assert [(s.kind, s.text) for s in spans] == [("name", name)]
+    made = [pii.Surrogates(b"k", {"name": k}).of("name", name) for k in range(20)]
+    assert name not in made and all(len(m) == len(name) for m in made)
+
+
+def test_names_of_all_letters_stay_distinct():
+    names = [a + b + "a" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiouqxy"] + [chr(c) + "明" for c in range(0x738B, 0x73FF)]
+    s = pii.Surrogates(b"k")
+    made = [s.of("name", n) for n in names]
+    assert len(set(made)) == len(names) and not set(made) & {n for n in names if n == s.of("name", n)}
+    assert s.of("secret", "!@#$%^&*") != "!@#$%^&*"
+
+
+def test_a_surrogate_that_is_the_entity_is_a_collision(spark):
+    class Keeping(pii.Surrogates):
+        """Names stay under the first key."""
+
+        def make(self, kind, text):
+            return text if kind == "name" and not self.tweaks.get(kind) else pii.Surrogates.make(self, kind, text)
+
+    docs = docs_frame(spark, PRIVATE)
+    assert pii.collisions(docs, b"k", {}, make=Keeping) == ["name"]
+
+
 # ---------------------------------------------------------------- quality
 
 
