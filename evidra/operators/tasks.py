@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from evidra.shared import cut
 
 
 def orphans(edges: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -18,27 +21,105 @@ def ready(edges: DataFrame, tasks: DataFrame) -> DataFrame:
     return tasks.where("NOT done").join(open_, "task", "left_anti").select("task", "priority")
 
 
-def cyclic(spark: SparkSession, edges: DataFrame, most: int = 40) -> DataFrame:
-    """Tasks that a walk of at most most dependencies leads back to, by a recursive query; a walk ends where it meets its
-    start again."""
-    return spark.sql(
-        f"""WITH RECURSIVE up(task, top, depth) AS (
-              SELECT task, dep, 1 FROM {{e}} UNION ALL
-              SELECT u.task, e.dep, u.depth + 1 FROM up u JOIN {{e}} e ON u.top = e.task WHERE u.depth < {most} AND u.top <> u.task)
-            SELECT task, min(depth) AS length FROM up WHERE top = task GROUP BY task""",
-        e=edges.where("dep IS NOT NULL"),
-    )
+def walks(single: DataFrame) -> list[DataFrame]:
+    """Where tasks with one dependency each lead, by pointer doubling: (task, at, depth, open) after 1, 2, 4 ... steps, a row
+    a task. A walk stops at what is no task of single; walks still open in the last table never stop, as they run in a cycle."""
+    n, steps = single.count(), 1
+    found = [cut(single.select("task", F.col("dep").alias("at"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("open")), "walks")]
+    while steps < 2 * n and not found[-1].where("open").isEmpty():
+        now = found[-1]
+        to = now.select(F.col("task").alias("at"), F.col("at").alias("to"), F.col("depth").alias("more"), F.lit(True).alias("met"))
+        far = now.where("open").join(to, "at", "left").select(
+            "task", F.when(F.col("met"), F.col("to")).otherwise(F.col("at")).alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("met", F.lit(False)).alias("open")
+        )
+        found.append(cut(now.where("NOT open").unionByName(far), "walks"))
+        steps *= 2
+    return found
+
+
+def branches(edges: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Tasks with several dependencies; the walks of the others; and each dependency of the first with where its walk stops:
+    task, dep, at, depth, open."""
+    edges = cut(edges.select("task", "dep").distinct(), "edges")
+    branch = cut(edges.groupBy("task").agg(F.count("*").alias("n")).where("n > 1").select("task"), "branches")
+    steps = walks(edges.join(branch, "task", "left_anti"))
+    last = steps[-1].select(F.col("task").alias("dep"), "at", "depth", "open", F.lit(True).alias("met"))
+    way = edges.join(branch, "task").join(last, "dep", "left")
+    way = way.select("task", "dep", F.when(F.col("met"), F.col("at")).otherwise(F.col("dep")).alias("at"), (1 + F.coalesce("depth", F.lit(0))).alias("depth"), F.coalesce("open", F.lit(False)).alias("open"))
+    return branch, steps, cut(way, "ways")
+
+
+def renamed(df: DataFrame, **names: str) -> DataFrame:
+    return df.select(*[F.col(old).alias(new) for old, new in names.items()])
 
 
-def ancestors(spark: SparkSession, edges: DataFrame, most: int = 40) -> DataFrame:
-    """task, root, depth: each task's last ancestor along single dependencies, by a recursive query."""
-    return spark.sql(
-        f"""WITH RECURSIVE up(task, at, depth) AS (
-              SELECT task, dep, 1 FROM {{e}} UNION ALL
-              SELECT u.task, e.dep, u.depth + 1 FROM up u JOIN {{e}} e ON u.at = e.task WHERE u.depth < {most})
-            SELECT task, max_by(at, depth) AS root, max(depth) AS depth FROM up GROUP BY task""",
-        e=edges,
+def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """task, root, depth: each task's last ancestor, along the longest way where there are several; no root and no depth where
+    a way runs into a cycle. A round for each doubling of the chains' length, and for each level of tasks with several
+    dependencies."""
+    branch, steps, way = branches(edges)
+    known = spark.createDataFrame([], T.StructType([T.StructField("task", branch.schema["task"].dataType), T.StructField("root", way.schema["at"].dataType), T.StructField("depth", T.LongType())]))
+    inner = renamed(branch, task="at").withColumn("inner", F.lit(True))
+    while True:
+        reached = way.join(inner, "at", "left").join(renamed(known, task="at", root="root", depth="more"), "at", "left")
+        fixed = ~F.col("open") & (F.col("inner").isNull() | F.col("more").isNotNull())
+        best = F.max(F.struct((F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.when(F.col("more").isNull(), F.col("at")).otherwise(F.col("root")).alias("root")))
+        new = reached.groupBy("task").agg(F.bool_and(fixed).alias("fixed"), best.alias("best")).where("fixed").join(known, "task", "left_anti")
+        new = cut(new.select("task", "best.root", "best.depth"), "levels")
+        if new.isEmpty():
+            break
+        known = cut(known.unionByName(new), "levels")
+    ends = steps[-1].join(inner, "at", "left").join(renamed(known, task="at", root="root", depth="more"), "at", "left")
+    lost = F.col("open") | (F.col("inner").isNotNull() & F.col("more").isNull())
+    single = ends.select(
+        "task", F.when(~lost, F.when(F.col("more").isNull(), F.col("at")).otherwise(F.col("root"))).alias("root"), F.when(~lost, F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
     )
+    return single.unionByName(branch.join(known, "task", "left")).withColumn("depth", F.col("depth").cast("int"))
+
+
+def cyclic(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """Tasks on a cycle, with the length of the shortest one through them.
+
+    Tasks with one dependency are followed by pointer doubling. What never stops leads to a cycle of such tasks alone: its
+    tasks are where all walks are after as many steps as there are tasks. All other cycles have tasks with several
+    dependencies: the graph of these, its edges as long as the walks between, is peeled from both ends, and only in what is
+    left are the shortest ways between all pairs sought."""
+    edges = cut(edges.where("dep IS NOT NULL").select("task", "dep").distinct(), "edges")
+    self_ = edges.where("task = dep").select("task", F.lit(1).cast("long").alias("length"))
+    branch, steps, way = branches(edges.where("task <> dep"))
+    on = steps[-1].where("open").select(F.col("at").alias("task")).distinct()
+    least = steps[0].join(on, "task", "left_semi").select("task", F.col("task").alias("least"))
+    for s in steps:  # the least task of the first 1, 2, 4 ... of a walk
+        then = s.join(renamed(least, task="at", least="then"), "at").select("task", "then")
+        least = cut(least.join(then, "task").select("task", F.least("least", "then").alias("least")), "cycles")
+    alone = least.join(least.groupBy("least").agg(F.count("*").alias("length")), "least").select("task", "length")
+
+    core = cut(way.where("NOT open").join(renamed(branch, task="at"), "at", "left_semi").select("task", "dep", "at", "depth"), "core")
+    n = core.count()
+    while n:
+        kept = core.join(core.select("task").withColumnRenamed("task", "at").distinct(), "at", "left_semi").join(core.select("at").withColumnRenamed("at", "task").distinct(), "task", "left_semi")
+        core, before = cut(kept.select("task", "dep", "at", "depth"), "core"), n
+        n = core.count()
+        if n == before:
+            break
+    if not n:
+        return shortest(self_.unionByName(alone))
+    ways = cut(core.groupBy("task", "at").agg(F.min("depth").alias("depth")), "pairs")
+    size = None
+    while size != (size := tuple(ways.agg(F.count("*"), F.sum("depth")).first())):
+        longer = ways.join(renamed(ways, task="at", at="to", depth="more"), "at").select("task", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
+        ways = cut(ways.unionByName(longer).groupBy("task", "at").agg(F.min("depth").alias("depth")), "pairs")
+    back = renamed(ways, task="at", at="task", depth="more")
+    through = cut(core.join(back, ["task", "at"], "left").select("task", "dep", F.when(F.col("task") == F.col("at"), F.col("depth")).otherwise(F.col("depth") + F.col("more")).alias("length")).where("length IS NOT NULL"), "through")
+    chain = shortest(renamed(through, dep="task", length="length"))
+    for s in steps:  # a cycle that enters a walk goes through all of it
+        onward = s.join(chain, "task").select(F.col("at").alias("task"), "length")
+        chain = cut(shortest(chain.unionByName(onward)), "through")
+    return shortest(self_.unionByName(alone).unionByName(through.select("task", "length")).unionByName(chain.join(branch, "task", "left_anti")))
+
+
+def shortest(lengths: DataFrame) -> DataFrame:
+    return lengths.groupBy("task").agg(F.min("length").cast("int").alias("length"))
 
 
 def generated(template: DataFrame, items: DataFrame) -> DataFrame:

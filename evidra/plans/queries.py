@@ -676,7 +676,7 @@ CYCLE = "SELECT task, dep FROM dag UNION ALL SELECT 1 AS task, 12 AS dep UNION A
 SELECT task, CAST(min(depth) AS INTEGER) AS length FROM up WHERE top = task GROUP BY task""", "dag", recursive=True)
 def dag_cycles(spark, sf):
     edges = spark.sql(CYCLE.replace("FROM dag", "FROM {dag}").replace("FROM orders", "FROM {orders}"), dag=view(spark, sf, "dag"), orders=view(spark, sf, "orders"))
-    return tasks.cyclic(spark, edges, 12)
+    return tasks.cyclic(spark, edges)
 
 
 @query("WITH t AS (SELECT * FROM (VALUES ('audit', 1), ('review', 2)) q(role, priority)) SELECT role || '-' || n_name AS task_id, role, n_name AS item, priority FROM t CROSS JOIN nation")

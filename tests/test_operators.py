@@ -181,6 +181,46 @@ def test_task_graph(spark):
     assert {(r.task, r.length) for r in tasks.cyclic(spark, loop).collect()} == {(1, 3), (2, 3), (3, 3), (5, 1)}
 
 
+def test_long_chains_and_cycles(spark):
+    chain = [(i, i - 1) for i in range(2, 102)]
+    got = {r.task: (r.root, r.depth) for r in tasks.ancestors(spark, spark.createDataFrame(chain, "task long, dep long")).collect()}
+    assert got == {i: (1, i - 1) for i in range(2, 102)}
+    ring = [(i, i % 30 + 1) for i in range(1, 31)]
+    got = {r.task: r.length for r in tasks.cyclic(spark, spark.createDataFrame([*ring, (40, 3), (41, 40), (5, 50)], "task long, dep long")).collect()}
+    assert got == dict.fromkeys(range(1, 31), 30)
+
+
+def test_graphs_against_brute_force(spark):
+    import random
+
+    rng, edges = random.Random(3), []
+    for g in range(24):  # many small graphs at once
+        n = rng.randint(2, 9)
+        edges += [(100 * g + rng.randrange(n), 100 * g + rng.randrange(n)) for _ in range(rng.randint(1, 2 * n))]
+    out = {}
+    for t, d in edges:
+        out.setdefault(t, set()).add(d)
+
+    def length(t):
+        seen, front, k = set(), {t}, 0
+        while front:
+            front, k = {d for x in front for d in out.get(x, ())} - seen, k + 1
+            if t in front:
+                return k
+            seen |= front
+
+    def far(t, path=()):
+        """Depth and greatest root of the longest ways, or nothing where one runs into a cycle."""
+        if t in path:
+            return None
+        ways = [far(d, (*path, t)) if d in out else (0, d) for d in out[t]]
+        return None if None in ways else max((k + 1, r) for k, r in ways)
+
+    df = spark.createDataFrame(edges, "task long, dep long")
+    assert {r.task: r.length for r in tasks.cyclic(spark, df).collect()} == {t: k for t in out if (k := length(t))}
+    assert {r.task: (r.depth, r.root) for r in tasks.ancestors(spark, df).collect()} == {t: far(t) or (None, None) for t in out}
+
+
 BLOCK = [
     "variant at chr7:1234567", "see 15:48762884", "position chrX 123456", "chr1-555555", "rs12345", "dbSNP RS998877", "NM_000123.4", "NC_000007.14", "c.123A>G found", "c.76+1G>T", "g.12345del",
     "p.Arg12Ter", "p.(Gly5Asp)", "proband: P001", "sample_id=S12", "patient-7", "GT: 0/1", "genotype 1|1", "GT=./.", "cat data/reads.txt", "upload work/table.tsv", "curl -F file=@data/x", "sample.vcf.gz",
