@@ -2,8 +2,9 @@
 
 The mix is counted in blocks of BLOCK words. Blocks go to sources by the highest quotients target / (2 * given + 1),
 then in the same way from each source to its groups of shards (on the driver: sources times at most GROUPS rows) and
-from each group to its shards (a task per source and group). A shard is a hash class of about SHARD_ROWS documents, so
-a source that holds most rows only has more shards. In a shard the documents of a source stand in a seeded order as one
+from each group to its shards (a task per source and group); seats above what a shard can take go to others. A shard is a
+hash class of a source's documents, of about SHARD_WORDS of its words, so a rare source has few shards, and one that holds
+most words only has more. In a shard the documents of a source stand in a seeded order as one
 run of words that is divided into equal blocks; its quota takes every block as often as it goes round, and what is over
 as one run of blocks from a seeded start. So all but the run's first and last document are taken whole.
 
@@ -16,7 +17,6 @@ rows are counted one by one; empty table: no rows; columns of documents named li
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -34,11 +34,11 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BLOCK = 16
-SHARD_ROWS = 256
+SHARD_WORDS = 1 << 16
 GROUPS = 64
 SEED = 20
 #: Names that the plan of a mix uses.
-OWN = ("_size", "_source", "_order", "_shard", "_words", "_quota", "_before", "_blocks", "_times", "_first", "_last", "_lo", "_hi", "_lo2", "_hi2", "source_size", "target", "taken")
+OWN = ("_size", "_source", "_order", "_shard", "_shards", "_words", "_quota", "_before", "_blocks", "_times", "_first", "_last", "_lo", "_hi", "_lo2", "_hi2", "source_size", "target", "taken")
 
 
 def targets(sizes: dict[str | None, int], share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> dict[str | None, float]:
@@ -76,24 +76,39 @@ def sainte_lague(weights: np.ndarray, seats: int) -> np.ndarray:
     return given
 
 
+def capped(weights: np.ndarray, caps: np.ndarray, seats: int) -> np.ndarray:
+    """sainte_lague with at most caps seats each; what is above goes to the others."""
+    w, caps = np.asarray(weights, float), np.asarray(caps, np.int64)
+    given, open_ = np.zeros(len(w), np.int64), caps > 0
+    while open_.any():
+        given[open_] = sainte_lague(w[open_], int(seats - given[~open_].sum()))
+        above = open_ & (given > caps)
+        if not above.any():
+            break
+        given[above] = caps[above]
+        open_ &= ~above
+    return given
+
+
 def sized(docs: DataFrame, seed: int = SEED, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """docs with their size in words and the keys of the mix: source as a string that is never null, shard, order."""
-    shards = max(1, math.ceil(docs.count() / SHARD_ROWS))
     h = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
-    return docs.withColumns(
-        {
-            "_size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
-            "_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")),
-            "_order": h,
-            "_shard": F.pmod(h, F.lit(shards)),
-        }
-    )
+    rows = docs.withColumns({"_size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), "_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))})
+    shards = rows.groupBy("_source").agg(F.greatest(F.lit(1), F.ceil(F.sum("_size") / SHARD_WORDS)).cast("long").alias("_shards"))
+    # a row for each source
+    rows = rows.join(F.broadcast(cut(shards, "sources")), "_source").withColumn("_order", h).withColumn("_shard", F.pmod(h, F.col("_shards")))
+    return rows.select(*docs.columns, "_size", "_source", "_order", "_shard")
+
+
+def blocks_of(block: int) -> F.Column:
+    return F.greatest(F.lit(1), F.round(F.col("_words") / block)).cast("long")
 
 
 def quotas(rows: DataFrame, block: int = BLOCK, **shares) -> tuple[DataFrame, dict[str, int], dict[str, float]]:
     """(_source, _shard, _words, _quota) in blocks, each source's size and target."""
     shards = cut(rows.groupBy("_source", "_shard").agg(F.sum("_size").alias("_words")), "shards").withColumn("_group", F.pmod(F.col("_shard"), F.lit(GROUPS)))
-    groups = shards.groupBy("_source", "_group").agg(F.sum("_words").alias("w")).orderBy("_source", "_group").collect()  # sources * GROUPS at most
+    shards = shards.withColumn("_cap", F.when(F.col("_words") > 0, blocks_of(block) * MOST).otherwise(0))
+    groups = shards.groupBy("_source", "_group").agg(F.sum("_words").alias("w"), F.sum("_cap").alias("cap")).orderBy("_source", "_group").collect()  # sources * GROUPS at most
     sizes: dict[str, int] = {}
     for g in groups:
         sizes[g["_source"]] = sizes.get(g["_source"], 0) + g.w
@@ -104,14 +119,14 @@ def quotas(rows: DataFrame, block: int = BLOCK, **shares) -> tuple[DataFrame, di
     given = []
     for s in sizes:
         own = [g for g in groups if g["_source"] == s]
-        given += [(s, g["_group"], int(n)) for g, n in zip(own, sainte_lague(np.array([g.w for g in own]), of[s]), strict=True)]
+        given += [(s, g["_group"], int(n)) for g, n in zip(own, capped(np.array([g.w for g in own]), np.array([g.cap for g in own]), of[s]), strict=True)]
     spark = rows.sparkSession
     ship(spark)
     seats = spark.createDataFrame(given, "_source string, _group long, _seats long")
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_shard")
-        return pdf.assign(_quota=sainte_lague(pdf["_words"].to_numpy(), int(pdf["_seats"].iloc[0])))[["_source", "_shard", "_words", "_quota"]]
+        return pdf.assign(_quota=capped(pdf["_words"].to_numpy(), pdf["_cap"].to_numpy(), int(pdf["_seats"].iloc[0])))[["_source", "_shard", "_words", "_quota"]]
 
     dealt = shards.join(seats, ["_source", "_group"]).groupBy("_source", "_group").applyInPandas(deal, "_source string, _shard long, _words long, _quota long")
     return dealt, sizes, target
@@ -127,7 +142,7 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED, key: str = "doc_i
     plan = (
         rows.withColumn("_before", F.coalesce(F.sum("_size").over(w), F.lit(0)))
         .join(cut(dealt.join(of, "_source"), "quotas"), ["_source", "_shard"])
-        .withColumn("_blocks", F.greatest(F.lit(1), F.round(F.col("_words") / block)).cast("long"))
+        .withColumn("_blocks", blocks_of(block))
         .withColumn("_quota", F.least("_quota", F.col("_blocks") * MOST))
         .withColumn("_times", F.expr("_quota div _blocks"))
         .withColumn("_first", F.pmod(F.xxhash64(F.lit(seed), "_source", "_shard"), F.col("_blocks")))

@@ -239,6 +239,23 @@ def test_mixing_meets_targets(spark):
     assert all(r.source_size == size[docs[r.doc_id].source] for r in rows)
 
 
+@pytest.mark.parametrize("shard_words", [1 << 16, 2000])
+def test_rare_sources_with_short_texts_meet_their_targets(spark, monkeypatch, shard_words):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", shard_words, raising=False)
+    texts = [" ".join(["w"] * 30)] * 5600 + [f"a b {i}" for i in range(900)]
+    docs = docs_frame(spark, texts, ["a"] * 5600 + ["b"] * 300 + ["c"] * 600)
+    plan = mixing.mix(mixing.sized(docs)).select("_source", "target", "taken").collect()
+    taken, target = Counter(), {r["_source"]: r.target for r in plan}
+    for r in plan:
+        taken[r["_source"]] += r.taken
+    assert target["sc"] == 2 * 1800 and all(abs(taken[s] - target[s]) <= max(2 * mixing.BLOCK, 0.001 * target[s]) for s in target)
+
+
+def test_seats_above_a_cap_go_to_others():
+    assert mixing.capped(np.array([10, 10, 20]), np.array([1, 9, 9]), 12).tolist() == [1, 4, 7]
+    assert mixing.capped(np.array([1, 0]), np.array([2, 0]), 5).tolist() == [2, 0]
+
+
 def test_mixed_texts_are_what_is_taken(spark):
     rng = random.Random(2)
     docs = docs_frame(spark, [" ".join(["w"] * rng.randrange(60)) if i % 7 else None for i in range(300)], [["x", "y", None][i % 3] if i % 2 else "x" for i in range(300)])
