@@ -69,6 +69,11 @@ class Network:
         n, e = units.sum() * UNIT // STRIDE, x.shape[1]
         windows = np.lib.stride_tricks.as_strided(x, (n, WIDTH * e), (STRIDE * e * 4, 4))
         z = windows @ p["w"]
+        # a document's last window ends beyond its units: it sees PAD there, not the next document
+        ends = (first + units) * (UNIT // STRIDE) - 1
+        tail = windows[ends]
+        tail[:, STRIDE * e :] = 0
+        z[ends] = tail @ p["w"]
         z = z.reshape(-1, UNIT // STRIDE, FILTERS)
         unit = z.max(1)
         last = np.zeros(len(unit), bool)
@@ -88,7 +93,7 @@ class Network:
         out = 1 / (1 + np.exp(-np.clip((h @ p["u"] + p["d"])[:, 0].astype(np.float64), -40, 40)))
         if not keep:
             return out
-        return out, {"windows": windows, "z": z, "unit": unit, "after": after, "right": right, "own": own, "use": use, "counts": counts, "top": top, "low": low, "f": f, "h": h}
+        return out, {"windows": windows, "ends": ends, "tail": tail, "z": z, "unit": unit, "after": after, "right": right, "own": own, "use": use, "counts": counts, "top": top, "low": low, "f": f, "h": h}
 
     def gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
@@ -110,7 +115,10 @@ class Network:
         which = k["z"].argmax(1)
         gz = np.zeros_like(k["z"])
         np.put_along_axis(gz, which[:, None, :], gunit[:, None, :], 1)
-        grads["w"] = k["windows"].T @ gz.reshape(-1, FILTERS)
+        gz = gz.reshape(-1, FILTERS)
+        at_end = gz[k["ends"]]
+        gz[k["ends"]] = 0
+        grads["w"] = k["windows"].T @ gz + k["tail"].T @ at_end
         return grads
 
     def fit(self, texts: list[bytes], labels: list[int], steps: int = STEPS, rate: float = 0.004, seed: int = 2) -> Network:

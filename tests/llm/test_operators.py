@@ -390,6 +390,14 @@ def test_quality_odd_rows(spark):
     assert quality.score(docs.where("false"), None).count() == 0
 
 
+def test_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(1, 256, n, dtype=np.uint8)) for n in (256, 250, 0, 512, 1, 256, 700, 256)]
+    net = quality.Network().fit(texts, [0, 1, 0, 1, 1, 0, 1, 0], steps=60)
+    alone = [net.score([t])[0] for t in texts]
+    assert net.score(texts) == pytest.approx(alone, abs=1e-6) and net.score(texts[::-1]) == pytest.approx(alone[::-1], abs=1e-6)
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     net = quality.Network()
