@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidra.llm.common import map_batches, slices
-from evidra.llm.tokens import default_path, encoder
+from evidra.llm.tokens import LONGEST_KEPT, default_path, encoder
 
 SAMPLE_ROWS = 2_000
 SAMPLE_PARTS = 8
@@ -43,7 +43,8 @@ ADDED = T.StructType(
 
 
 def frequent_lengths(docs: DataFrame, text: str, path: str) -> tuple[bytes, np.ndarray]:
-    """The most frequent pre-tokens of a bounded sample, as one byte string joined by zero bytes, and their lengths."""
+    """The most frequent pre-tokens of a bounded sample, as one byte string joined by zero bytes, and their lengths;
+    long ones are left to the second tier."""
     rows = docs.count()
     sample = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
     if rows > SAMPLE_ROWS:
@@ -54,7 +55,7 @@ def frequent_lengths(docs: DataFrame, text: str, path: str) -> tuple[bytes, np.n
         for batch in batches:
             for some in slices(batch, RUN):
                 for t in some.column(0).to_pylist():
-                    n.update(p for p in enc.pieces(t) or () if "\0" not in p)
+                    n.update(p for p in enc.pieces(t) or () if len(p) <= LONGEST_KEPT and "\0" not in p)
         top = n.most_common(TABLE_ENTRIES)
         if top:
             yield {"piece": [p for p, _ in top], "n": [k for _, k in top]}

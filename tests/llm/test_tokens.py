@@ -55,6 +55,15 @@ def test_counts(spark, source):
     assert got == want
 
 
+def test_very_long_pre_tokens_are_counted(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choices("ACGT", k=200_000))
+    pieces, lengths = token_counts.frequent_lengths(docs_frame(spark, [text, "a b"]), "text", default_path())
+    assert len(lengths) and text.encode() not in pieces
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs_frame(spark, [text, "a b"])).collect()}
+    assert got[0] > 65_535 and got[0] == len(library([text])[0])
+
+
 def test_counts_keep_other_columns_and_replace_clashing_ones(spark):
     docs = spark.createDataFrame([(1, "a b", "old", None)], "doc_id long, text string, n_tokens string, extra int")
     out = token_counts.count_tokens(docs)
