@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.shared import cut, drop_path, new_path, shared_dir  # noqa: F401
+from evidra.shared import cut, drop, new_path  # noqa: F401
 from evidra.ship import ship
 
 #: White space that separates words: the ASCII blanks only.
