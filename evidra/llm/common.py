@@ -53,6 +53,20 @@ def finite_vector(column: str) -> F.Column:
     return F.col(column).isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
+def dealt(one: DataFrame, two: DataFrame, on: list[str], per: int, by: str) -> DataFrame:
+    """All pairs of a row of one and a row of two with equal on, where few values of on have most rows: rows of two are dealt
+    by their column by into shares of about per rows, and rows of one go to all shares."""
+    shares = two.groupBy(*on).agg(F.ceil(F.count("*") / per).cast("int").alias("_shares"))
+    all_ = one.join(shares, on).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    own = two.join(shares, on).withColumn("_share", F.pmod(F.xxhash64(by), F.col("_shares")).cast("int")).drop("_shares")
+    return all_.join(own, [*on, "_share"]).drop("_share")
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but those that clash with an operator's added names; Spark does not tell letter cases apart."""
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with columns that clash with an operator's own names renamed, and what gives such rows their columns back."""
     own = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in names}

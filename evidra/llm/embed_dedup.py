@@ -3,7 +3,8 @@
 Vectors are scaled to length one and turned into the coordinates of the principal components, largest variance first.
 The components come from sums over all vectors, added up in Spark. Vectors of one label are sorted by their first
 coordinate and cut into tiles, which are rows of a table. Two tiles of a label meet unless their first coordinates lie
-further apart than any linked pair's can. In a pair of tiles products accumulate over leading coordinates, STEP at a time;
+further apart than any linked pair's can; the names of tiles meet in buckets of the first coordinate, dealt out so that
+no task pairs many, and only then do vectors move. In a pair of tiles products accumulate over leading coordinates, STEP at a time;
 the rest of a product is at most the product of the suffix norms, so pairs that cannot reach the threshold drop out, and
 the tile pair stops when none is left. What is left after the last step is confirmed by the plain cosine of the
 given components in double precision.
@@ -14,7 +15,7 @@ sums of links by class and the links that join its parts, not all pairs.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and null labels, link with
 nothing: n_links 0, component the own vec_id, kept. Vectors of different lengths never link. A null vec_id links with
 nothing and has a null component. Rows with one vec_id are one vector in components; each row counts for n_links, its
-own row apart. An empty table gives no rows.
+own row apart. An empty table gives no rows. Other columns, whatever their names, are not carried along.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm.common import cut, finite_vector, map_batches
+from evidra.llm.common import cut, dealt, drop, finite_vector, map_batches
 from evidra.llm.components import connected_components
 
 THRESHOLD = 0.93
 TILE = 1024
 STEP = 8
+#: Tiles of a label and bucket under one key, when the names of tiles meet.
+MEETING = 32
 #: More than double precision loses in a product of vectors of length one.
 SLACK = 1e-9
 
@@ -40,6 +43,7 @@ L, D, B, I = T.LongType(), T.DoubleType(), T.BinaryType(), T.IntegerType()
 TILES = T.StructType(
     [T.StructField("label", L), T.StructField("dim", I), T.StructField("tile", L), T.StructField("low", D), T.StructField("high", D), T.StructField("nodes", B), T.StructField("counts", B), T.StructField("given", B)]
 )
+PRINT = ["print_1", "print_2"]
 FOUND = T.StructType([T.StructField("a", L), T.StructField("b", L), T.StructField("links", L)])
 
 
@@ -138,12 +142,26 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
         from_ = new
 
 
+def meetings(names: DataFrame, reach: float) -> DataFrame:
+    """(tile, other) of each two tiles of a label, tile <= other, whose first coordinates come within reach. A tile is named
+    in each bucket of a width of reach or more that it touches, and meets what is named in it and its neighbours."""
+    width = max(reach, 1 / 64)
+    names = names.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+    one = names.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])))
+    two = names.select("label", "dim", "bucket", F.col("tile").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    met = dealt(one, two, ["label", "dim", "bucket"], MEETING, "other")
+    met = met.where((F.col("tile") <= F.col("other")) & (F.col("low2") <= F.col("high") + reach) & (F.col("low") <= F.col("high2") + reach))
+    return met.select("tile", "other").distinct()
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite_vector("v") & F.exists("v", lambda x: x != 0)
-    rows = cut(rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("v", F.when(F.col("good"), F.transform("v", lambda x: x + F.lit(0.0)))), "vectors")
-    classes = cut(rows.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes")
+    rows = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("v", F.when(F.col("good"), F.transform("v", lambda x: x + F.lit(0.0))))
+    # 128 bits stand for a vector from here on
+    rows = cut(rows.select("*", *[F.when(F.col("good"), F.xxhash64(F.lit(n), "v")).alias(n) for n in PRINT]), "vectors")
+    classes = cut(rows.where("good").groupBy("label", *PRINT).agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("v").alias("v")), "classes")
     axes = principal(classes)
     shared = vectors.sparkSession.sparkContext.broadcast(axes)  # dim * dim numbers
 
@@ -184,9 +202,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     tiles = cut(map_batches(ranged, TILES, cut_tiles), "tiles")
     # two vectors of length one with cosine c are sqrt(2 - 2c) apart at most, and so are their first coordinates
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK)
-    names = tiles.select("label", "dim", "tile", "low", "high")
-    other = names.select("label", "dim", F.col("tile").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    meet = names.join(other, ["label", "dim"]).where((F.col("tile") <= F.col("other")) & (F.col("low2") <= F.col("high") + reach) & (F.col("low") <= F.col("high2") + reach)).select("tile", "other")
+    meet = meetings(tiles.select("label", "dim", "tile", "low", "high"), reach)
     a = tiles.select("tile", "dim", "nodes", "counts", "given")
     b = tiles.select(F.col("tile").alias("other"), F.col("nodes").alias("nodes2"), F.col("counts").alias("counts2"), F.col("given").alias("given2"))
 
@@ -210,8 +226,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     found = cut(map_batches(meet.join(a, "tile").join(b, "other").select("tile", "other", "dim", "nodes", "counts", "given", "nodes2", "counts2", "given2"), FOUND, run), "links")
     sums = found.where("links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labels = connected_components(found.where("b IS NOT NULL").select("a", "b"))
-    by_class = classes.select("label", "v", "node", "n").join(sums, "node", "left").join(labels, "node", "left")
-    by_class = by_class.select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(by_class, ["label", "v"], "left")
+    by_class = classes.select("label", *PRINT, "node", "n").join(sums, "node", "left").join(labels, "node", "left")
+    by_class = cut(by_class.select("label", *PRINT, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "linked")
+    drop(classes, tiles, found, labels)
+    out = rows.select("vec_id", "label", *PRINT).join(by_class, ["label", *PRINT], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
