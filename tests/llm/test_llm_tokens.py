@@ -64,8 +64,16 @@ def test_very_long_pre_tokens_are_counted(spark):
     assert got[0] > 65_535 and got[0] == len(library([text])[0])
 
 
+def test_the_table_holds_what_is_frequent_in_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "TABLE_ENTRIES", 3)
+    monkeypatch.setattr(token_counts, "HELD_ENTRIES", 50)
+    texts = [" the of" * 40 + "".join(f" w{i}x{k}" for k in range(30)) for i in range(60)] + [" late" * 3000]
+    pieces, lengths = token_counts.frequent_lengths(docs_frame(spark, texts).repartition(5), "text", default_path())
+    assert set(pieces.decode().split("\0")) == {" the", " of", " late"} and len(lengths) == 3
+
+
 def test_counts_keep_other_columns_and_replace_clashing_ones(spark):
-    docs = spark.createDataFrame([(1, "a b", "old", None)], "doc_id long, text string, n_tokens string, extra int")
+    docs = spark.createDataFrame([(1, "a b", "old", None)], "doc_id long, text string, N_Tokens string, extra int")
     out = token_counts.count_tokens(docs)
     assert out.columns == ["doc_id", "text", "extra", "n_bytes", "n_tokens", "over_limit"]
     assert out.first().n_tokens == 2
@@ -74,8 +82,9 @@ def test_counts_keep_other_columns_and_replace_clashing_ones(spark):
 @pytest.mark.parametrize("source", ["table", "odd", "empty"])
 def test_shards_round_trip(spark, source, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet") if source == "table" else docs_frame(spark, ODD if source == "odd" else [])
-    manifest = sstable.write_shards(docs, str(tmp_path / "s"), shard_rows=50 if source == "table" else 3)
-    got = sorted((tuple(r) for r in sstable.read_shards(spark, manifest).collect()), key=lambda r: r[1])
+    manifest = sstable.write_shards(docs, str(tmp_path / "s"), shard_bytes=50_000 if source == "table" else 100)
+    assert source == "empty" or manifest.count() > 3
+    got = sorted((tuple(r) for r in sstable.read_shards(manifest).collect()), key=lambda r: r[1])
     rows = docs.select("doc_id", "text").collect()
     want = defaultdict(list)
     for (d, _), i in zip(rows, library(t or "" for _, t in rows), strict=True):
@@ -86,17 +95,44 @@ def test_shards_round_trip(spark, source, tmp_path):
         at += len(ids) // 4
     assert [d for d, *_ in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
     assert {d: sorted(x for e, _, x in got if e == d) for d in want} == {d: sorted(x) for d, x in want.items()}
-    for s in manifest:
+    for s in manifest.collect():
         reader = sstable.Reader(s["path"])
         for d, ids in reader:
             assert ids in reader.get(d)
         assert reader.get(987654321) == []
 
 
+def test_starts_run_over_ranges_of_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sstable, "RANGE", 2)
+    monkeypatch.setattr(sstable, "partitions", lambda *_: 7)
+    docs = docs_frame(spark, [f"w{i} " * (i % 9) for i in range(120)])
+    manifest = sorted(sstable.write_shards(docs, str(tmp_path / "s"), shard_bytes=200).collect(), key=lambda s: (s.part, s.shard))
+    assert len({s.part for s in manifest}) > 4 and max(s.shard for s in manifest) > 0
+    assert [s.start for s in manifest] == [sum(r.ids for r in manifest[:k]) for k in range(len(manifest))]
+    assert [s.first_doc for s in manifest] == sorted(s.first_doc for s in manifest)
+
+
+def test_filter_passes_few_absent_keys(tmp_path):
+    writer = sstable.Writer(str(tmp_path / "s.sst"))
+    for i in range(0, 40_000, 2):
+        writer.add(i, b"")
+    writer.close()
+    reader = sstable.Reader(str(tmp_path / "s.sst"))
+    head = reader.read(reader.bloom[0], reader.bloom[1])
+    reader.read = lambda at, length: head[at - reader.bloom[0] : at - reader.bloom[0] + length]
+    assert all(reader.may_hold(sstable.to_key(i)) for i in range(0, 40_000, 20))
+    assert sum(reader.may_hold(sstable.to_key(i)) for i in range(1, 40_000, 2)) < 0.0115 * 20_000  # 0.8 % are expected
+
+
+def test_partitions_go_by_bytes():
+    gb = 1 << 30
+    assert sstable.partitions(10**6, gb // 2, 6) == 24 and sstable.partitions(10**9, 1000 * gb, 6) == 4000 and sstable.partitions(3, 0, 6) == 1 and sstable.partitions(0, 0, 6) == 1
+
+
 def test_null_and_negative_keys_sort_first(spark, tmp_path):
     docs = spark.createDataFrame([(5, "a"), (None, "b"), (-7, "c"), (5, "d")], "doc_id long, text string")
     manifest = sstable.write_shards(docs, str(tmp_path / "s"))
-    assert [d for d, *_ in sorted(sstable.read_shards(spark, manifest).collect(), key=lambda r: r[1])] == [None, -7, 5, 5]
+    assert [d for d, *_ in sorted(sstable.read_shards(manifest).collect(), key=lambda r: r[1])] == [None, -7, 5, 5]
 
 
 @pytest.mark.parametrize("source", ["table", "odd", "empty"])
