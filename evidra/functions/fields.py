@@ -34,17 +34,19 @@ def sample_value(format_: Column, sample: Column, key: str) -> Column:
     return F.when(at > 0, known(F.get(F.split(sample, ":"), (at - 1).cast("int"))))
 
 
-def alleles(gt: Column) -> Column:
-    return F.split(F.translate(gt, "|", "/"), "/")
+def zygosity(gt: Column) -> Column:
+    """missing, hom_ref, hom_alt or het of a diploid genotype; missing for any other ploidy. gt occurs three times only: Catalyst
+    writes the expression behind it out for each, and long generated methods are not compiled to machine code."""
+    return F.when(gt.rlike("^0[/|]0$"), "hom_ref").when(gt.rlike(r"^([^./|]+)[/|]\1$"), "hom_alt").when(called(gt), "het").otherwise("missing")
 
 
-def zygosity(gt: Column) -> Column:
-    """missing, hom_ref, hom_alt or het of a diploid genotype; missing for any other ploidy."""
-    a = alleles(gt)
-    one, two = F.get(a, F.lit(0)), F.get(a, F.lit(1))
-    return (
-        F.when((F.size(a) != 2) | (one == ".") | (two == ".") | gt.isNull(), "missing").when(one != two, "het").when(one == "0", "hom_ref").otherwise("hom_alt")
-    )
+def called(gt: Column) -> Column:
+    """Two alleles, both known."""
+    return gt.rlike("^[^./|]+[/|][^./|]+$")
+
+
+def non_reference(gt: Column) -> Column:
+    return called(gt) & ~gt.rlike("^0[/|]0$")
 
 
 def bare_contig(chrom: Column) -> Column:
@@ -67,6 +69,15 @@ def is_snv(ref: Column, alt: Column) -> Column:
     return (F.length(ref) == 1) & (F.length(alt) == 1) & (alt != ".")
 
 
+def variant_type(ref: Column, alt: Column) -> Column:
+    return F.when((F.length(ref) == 1) & (F.length(alt) == 1), "SNV").otherwise("indel")
+
+
+def mentions(c: Column, word: str) -> Column:
+    """Whether c holds the word; null does not."""
+    return F.coalesce(F.contains(c, F.lit(word)), F.lit(False))
+
+
 def starts_with_any(c: Column, *heads: str) -> Column:
     return c.rlike("^(" + "|".join(heads) + ")")
 
@@ -78,11 +89,16 @@ def contig_order(chrom: Column) -> list[Column]:
 
 
 def size_text(n: Column) -> Column:
-    """Bytes in B, KB, MB or GB with one decimal; whole bytes without."""
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB")))
-        .when(n < 1024**3, F.concat(F.format_string("%.1f", n / 1024**2), F.lit(" MB"))).otherwise(F.concat(F.format_string("%.1f", n / 1024**3), F.lit(" GB")))
-    )
+    """Bytes in B, KB, MB or GB with one decimal; in whole numbers only, halves to even, so that no sum in doubles decides."""
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+
+    def one_decimal(unit: int, name: str) -> Column:
+        low, rest = div(n * 10, unit), 2 * (n * 10 % unit)
+        tenths = low + F.when((rest > unit) | ((rest == unit) & (low % 2 == 1)), 1).otherwise(0)
+        return F.concat(div(tenths, 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {name}"))
+
+    sizes = [one_decimal(1024**k, name) for k, name in enumerate(("B", "KB", "MB", "GB"))]
+    return F.when(n < 1024, sizes[0]).when(n < 1024**2, sizes[1]).when(n < 1024**3, sizes[2]).otherwise(sizes[3])
 
 
 def thousands(n: Column) -> Column:

@@ -39,6 +39,11 @@ def histogram(df: DataFrame, by: list[str], bin_: Column, bins: int) -> DataFram
     return dense.join(counts, [*by, "bin"], "left").select(*by, "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def log_bin(c: Column, low: float, high: float, bins: int) -> Column:
+    """The bin of the decimal logarithm (of 1 at least) between low and high, towards nought."""
+    return ((F.log10(F.greatest(c.cast("double"), F.lit(1.0))) - low) / (high - low) * bins).cast("int")
+
+
 def histogram_median(hist: DataFrame, by: list[str]) -> DataFrame:
     """The first bin at which the running count reaches half of all."""
     own = Window.partitionBy(*by)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.functions.fields import starts_with_any
+
+#: The review states that do not carry a finding, by their beginnings.
+WEAK = ("no_assertion", "no_classification", "no_interpretation")
 KEY = ["chrom", "pos", "ref", "alt"]
 
 
@@ -14,9 +18,14 @@ def last_by(df: DataFrame, by: list[str], order: str) -> DataFrame:
     return df.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def exact_match(variants: DataFrame, curated: DataFrame) -> DataFrame:
-    """Inner join on the full variant key; curated is unique by key."""
-    return variants.join(curated, KEY)
+def exact_match(variants: DataFrame, curated: DataFrame, order: str | None = None) -> DataFrame:
+    """Inner join on the full variant key. curated is unique by key, or of repeated keys the row last in order counts."""
+    return variants.join(last_by(curated, KEY, order) if order else curated, KEY)
+
+
+def strong(filter_: Column, sig: Column, review: Column, quality: Column, least: int = 50) -> Column:
+    """Passing, of good genotype quality, curated as pathogenic or likely so, and not of weak review."""
+    return filter_.isin("PASS", ".") & starts_with_any(sig, "Pathogenic", "Likely_pathogenic") & ~starts_with_any(F.coalesce(review, F.lit("")), *WEAK) & F.coalesce(quality.try_cast("int") >= least, F.lit(False))
 
 
 def site_matches(variants: DataFrame, curated: DataFrame, value: str = "sig") -> DataFrame:
@@ -30,12 +39,17 @@ def site_matches(variants: DataFrame, curated: DataFrame, value: str = "sig") ->
     return found.withColumns({"exact": F.when(F.size(hits) > 0, hits[0]["_v"]), "others": F.coalesce(F.size("_site") - F.size(hits), F.lit(0)).cast("long")}).drop("_site")
 
 
-def priority_merge(sources: DataFrame, by: list[str] | None = None, weight: str = "an", source: str = "src") -> DataFrame:
-    """Of each key's records the one with the greatest weight (null counts 0); equal weights: the first source by name."""
+def priority_merge(sources: DataFrame, order: tuple[str, ...] = ("exome", "genome"), by: list[str] | None = None, weight: str = "an", source: str = "src") -> DataFrame:
+    """Of each key's records the one with the greatest weight (null counts 0); equal weights: the source first in order.
+    Weight and place in order are packed in one number, so that fixed-width columns are picked by hash aggregates."""
     by = by or KEY
-    rest = [c for c in sources.columns if c not in by]
-    best = F.min_by(F.struct(*rest), F.struct((-F.coalesce(weight, F.lit(0))).alias("w"), F.col(source).alias("s")))
-    return sources.groupBy(*by).agg(best.alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(source)).cast("long")
+    rank = F.coalesce(weight, F.lit(0)).cast("long") * (len(order) + 1) - F.when(place > 0, place).otherwise(len(order) + 1) + len(order) + 1
+    rest = [c for c in sources.columns if c not in (*by, source)]
+    ranked = sources.withColumn("_rank", rank)
+    best = ranked.groupBy(*by).agg(F.max("_rank").alias("_rank"), *[F.max_by(c, "_rank").alias(c) for c in rest])
+    named = F.get(F.array(*[F.lit(x) for x in order]), (len(order) - F.pmod(F.col("_rank"), F.lit(len(order) + 1))).cast("int"))
+    return best.withColumn(source, named).select(*sources.columns)
 
 
 def fail_closed(variants: DataFrame, frequencies: DataFrame, failed: DataFrame, limit: float = 0.001, group: str = "gene") -> DataFrame:

@@ -1,8 +1,10 @@
-"""Set enrichment: overlaps, hypergeometric tails from a table of log factorials, empirical nulls, consensus."""
+"""Set enrichment: overlaps, hypergeometric tails, empirical nulls, consensus."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,26 +16,27 @@ def overlaps(a: DataFrame, b: DataFrame, item: str = "gene", left: str = "a", ri
     return every.join(shared, [left, right], "left").select(left, right, F.coalesce("k", F.lit(0)).cast("long").alias("k"))
 
 
-def log_factorials(df: DataFrame, most: int) -> DataFrame:
-    """n, lf = ln(n!) for n from 0 to most: log-gamma is no Spark function; a running sum of logarithms is as exact."""
-    n = df.sparkSession.range(most + 1).withColumnRenamed("id", "n")
-    return n.withColumn("lf", F.sum(F.log(F.greatest("n", F.lit(1)).cast("double"))).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+def log_factorial(n: Column) -> Column:
+    """ln(n!) as an expression: exact values below 10, Stirling's series from there, to within 1e-12; null below 0."""
+    small = F.get(F.array(*[F.lit(math.log(math.factorial(k))) for k in range(10)]), F.least(n, F.lit(9)).cast("int"))
+    x = n.cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    return F.when(n < 10, small).otherwise(series)
 
 
 def hypergeometric_tail(tests: DataFrame, population: int) -> DataFrame:
-    """tests (with k, marked, drawn) with p = P(X >= k): X of drawn items are marked, where marked of population are. Each
-    term's eight log factorials come from one table by broadcast joins; it has population + 1 rows."""
-    lf = log_factorials(tests, population)
-    k, marked, drawn, i = F.col("k"), F.col("marked"), F.col("drawn"), F.col("_i")
-    most, least = F.least(marked, drawn), F.greatest(k, marked + drawn - population, F.lit(0))
-    terms = tests.withColumn("_i", F.explode(F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<bigint>"))))
-    parts = [(1, marked), (1, drawn), (1, population - marked), (1, population - drawn), (-1, i), (-1, marked - i), (-1, drawn - i), (-1, population - marked - drawn + i)]
-    for n, (_, at) in enumerate(parts):
-        terms = terms.withColumn(f"_at{n}", at.cast("long")).join(F.broadcast(lf.select(F.col("n").alias(f"_at{n}"), F.col("lf").alias(f"_lf{n}"))), f"_at{n}")
-    whole = lf.where(F.col("n") == population).select(F.col("lf").alias("_N"))
-    log_p = sum((sign * F.col(f"_lf{n}") for n, (sign, _) in enumerate(parts)), F.lit(0.0)) - F.col("_N")
-    p = terms.crossJoin(F.broadcast(whole)).groupBy(*tests.columns).agg(F.sum(F.exp(log_p)).alias("p"))
-    return tests.join(p, tests.columns, "left").withColumn("p", F.least(F.lit(1.0), F.coalesce("p", F.lit(0.0))))
+    """tests (with k, marked, drawn) with p = P(X >= k) and log_p, its natural logarithm: X of drawn items are marked, where marked
+    of population are. Terms are summed relative to the largest, so that log_p holds where p is too small for a double."""
+    k, marked, drawn, n = F.col("k"), F.col("marked"), F.col("drawn"), F.lit(population)
+    lf = log_factorial
+    fixed = lf(marked) + lf(drawn) + lf(n - marked) + lf(n - drawn) - lf(n)
+    term = lambda i: F.col("_fixed") - lf(i) - lf(marked - i) - lf(drawn - i) - lf(n - marked - drawn + i)
+    rows = tests.withColumns({"_fixed": fixed, "_most": F.least(marked, drawn), "_least": F.greatest(k, marked + drawn - n, F.lit(0))})
+    mode = F.floor((marked + 1) * (drawn + 1) / (n + 2))
+    rows = rows.withColumn("_top", term(F.greatest(F.col("_least"), F.least(F.col("_most"), mode))))
+    rows = rows.withColumn("_i", F.explode(F.when(F.col("_least") <= F.col("_most"), F.sequence("_least", "_most")).otherwise(F.array().cast("array<bigint>"))))
+    sums = rows.groupBy(*tests.columns).agg((F.max("_top") + F.log(F.sum(F.exp(term(F.col("_i")) - F.col("_top"))))).alias("log_p"))
+    return tests.join(sums, tests.columns, "left").withColumn("log_p", F.when(F.col("log_p").isNull(), -math.inf).otherwise(F.least(F.col("log_p"), F.lit(0.0)))).withColumn("p", F.exp("log_p"))
 
 
 def null_share(tests: DataFrame, by: str, value: str, name: str = "share") -> DataFrame:
@@ -45,6 +48,14 @@ def null_share(tests: DataFrame, by: str, value: str, name: str = "share") -> Da
     return tests.join(upto, [by, value])
 
 
+def share_of_others(tests: DataFrame, by: str, value: str, name: str = "p") -> DataFrame:
+    """For each row the share of its group's other rows whose value is at least its own; null for a row alone."""
+    n = F.sum("_k").over(Window.partitionBy(by))
+    counts = tests.groupBy(by, value).agg(F.count("*").alias("_k"))
+    above = F.sum("_k").over(Window.partitionBy(by).orderBy(F.col(value).desc()).rangeBetween(Window.unboundedPreceding, 0))
+    return tests.join(counts.select(by, value, F.when(n > 1, (above - 1) / (n - 1)).alias(name)), [by, value])
+
+
 def consensus(sets: DataFrame, least: int | None = None, group: str = "grp", item: str = "gene") -> DataFrame:
     """Items in all groups, or in at least some number of them, with that number."""
     n = sets.groupBy(item).agg(F.count_distinct(group).alias("n"))

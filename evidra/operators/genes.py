@@ -17,6 +17,12 @@ def profile(variants: DataFrame) -> DataFrame:
     )
 
 
+def balance_profile(rows: DataFrame) -> DataFrame:
+    """Per contig: mean depth, and the share of sites whose allele balance lies outside 0.4 to 0.6; rows have dp, altdp."""
+    out = ~(F.col("altdp") / F.col("dp")).between(0.4, 0.6)
+    return rows.groupBy("chrom").agg((F.sum("dp") / F.count("*")).alias("mean_depth"), F.avg(out.cast("int")).alias("outside"))
+
+
 def sweep_statistics(hits: DataFrame, panel: DataFrame) -> DataFrame:
     """Counts for every gene of the panel, also those without a hit; hits have gene, filt, gt, pid."""
     z = zygosity(F.col("gt"))

@@ -11,20 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.sources.regions import LEVELS
+
 BIN = 1 << 14
 #: Rows of the interval side up to which it is broadcast.
 FEW = 500_000
 
-#: The six levels of the binning scheme of genomic indexes, as (first bin, shift).
-LEVELS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
-
 
 def region_bins(start: Column, end: Column) -> Column:
     """All index bins that may hold records overlapping [start, end), 0-based."""
     last = end - 1
-    parts = [F.array(F.lit(0).cast("long"))]
-    parts += [F.sequence(F.lit(first) + F.shiftright(start, shift), F.lit(first) + F.shiftright(last, shift)) for first, shift in LEVELS[1:]]
-    return F.flatten(F.array(*parts))
+    return F.flatten(F.array(*[F.sequence(F.lit(first) + F.shiftright(start, shift), F.lit(first) + F.shiftright(last, shift)) for first, shift in LEVELS]))
 
 
 def winners(intervals: DataFrame, policy: str, name: str = "gene", start: str = "st", end: str = "en", chrom: str = "chrom") -> DataFrame:
@@ -55,6 +52,15 @@ def interval_join(points: DataFrame, intervals: DataFrame, policy: str = "first_
     return p.join(spread, on, how).select(*[p[c] for c in points.columns], spread[name])
 
 
+def overlapping(points: DataFrame, intervals: DataFrame, name: str = "gene", pos: str = "pos", start: str = "st", end: str = "en") -> DataFrame:
+    """points with the name of each interval that holds pos, a row for each: an equi join on (contig, bin) with a residual, in
+    which Catalyst may broadcast or split either side."""
+    spread = intervals.select(F.col("chrom").alias("_chrom"), F.col(start).alias("_st"), F.col(end).alias("_en"), name).where("_st <= _en")
+    spread = spread.withColumn("_bin", F.explode(F.sequence(F.expr(f"_st div {BIN}"), F.expr(f"_en div {BIN}"))))
+    p = points.withColumn("_at", F.expr(f"{pos} div {BIN}"))
+    return p.join(spread, (p["chrom"] == spread["_chrom"]) & (p["_at"] == spread["_bin"]) & p[pos].between(F.col("_st"), F.col("_en"))).select(*[p[c] for c in points.columns], spread[name])
+
+
 def merged_spans(spans: DataFrame, gap: int, by: list[str], start: str = "st", end: str = "en") -> DataFrame:
     """Spans of a group whose gaps are at most gap, as one: by, start, end, n."""
     own = Window.partitionBy(*by).orderBy(start, end)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.functions.sequence import donor_score, motif_places
+from evidra.functions.sequence import donor_score, motif_places, pyrimidine_share
 
 
 def motif_counts(seqs: DataFrame, motif: str, seq: str = "seq") -> DataFrame:
@@ -22,31 +20,53 @@ def donor_sites(seqs: DataFrame, seq: str = "seq") -> DataFrame:
     return seqs.withColumn("at", F.explode(at)).withColumn("score", donor_score(F.substr(F.col(seq), F.col("at") - 3, F.lit(9))))
 
 
-def created_sites(changes: DataFrame, motif: str = "GT") -> DataFrame:
-    """changes (seq, at, base) whose altered sequence has the motif at a place where the first has not."""
-    new = F.concat(F.substr("seq", F.lit(1), F.col("at") - 1), F.col("base"), F.substr("seq", F.col("at") + 1, F.length("seq")))
-    lost = F.array_except(motif_places(new, motif), motif_places(F.col("seq"), motif))
-    return changes.withColumn("created", F.size(lost).cast("long"))
+#: Positions of the donor consensus that have to hold, share of pyrimidines before an acceptor, bases looked at
+#: before it, and how many there have to be.
+DONOR_MIN, ACCEPTOR_SHARE, ACCEPTOR_BASES, ACCEPTOR_LEAST = 6, 0.65, 20, 12
+
+
+def altered(seq: Column, at: Column, base: Column) -> Column:
+    return F.concat(F.substr(seq, F.lit(1), at - 1), base, F.substr(seq, at + 1, F.length(seq)))
+
+
+def site_at(new: Column, old: Column, i: Column) -> Column:
+    """The plausible splice site that new has at i (from 1) and old has not: kind, at, score (positions of the donor consensus, or the
+    share of pyrimidines before an acceptor); or null."""
+    two = F.substr(new, i, F.lit(2))
+    other = (i >= 1) & (i < F.length(new)) & (two != F.substr(old, i, F.lit(2)))
+    donor = F.when((i > 3) & (i + 5 <= F.length(new)), donor_score(F.substr(new, i - 3, F.lit(9))))
+    before = F.substr(new, F.greatest(F.lit(1), i - ACCEPTOR_BASES), F.least(i - 1, F.lit(ACCEPTOR_BASES)))
+    share = F.when(F.length(before) >= ACCEPTOR_LEAST, pyrimidine_share(before))
+    made = lambda kind, score: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("at"), score.cast("double").alias("score"))
+    return F.when(other & (two == "GT") & (donor >= DONOR_MIN), made("donor", donor)).when(other & (two == "AG") & (share >= ACCEPTOR_SHARE), made("acceptor", share))
+
+
+def created_sites(changes: DataFrame) -> DataFrame:
+    """changes (seq, at, base) with sites: the plausible splice sites that the change creates. A change of one base touches two
+    pairs of bases only."""
+    new = altered(F.col("seq"), F.col("at"), F.col("base"))
+    sites = F.array(site_at(new, F.col("seq"), F.col("at") - 1), site_at(new, F.col("seq"), F.col("at")))
+    return changes.withColumn("sites", F.filter(sites, lambda x: x.isNotNull()))
 
 
-def null_draws(draws: int, reach: int, seed: int) -> list[tuple[int, int]]:
-    """Seeded (offset, base number) draws; few numbers, the same for every row."""
-    rng = random.Random(seed)
-    return [(rng.randint(-reach, reach), rng.randrange(3)) for _ in range(draws)]
+def draw(key: Column, i: Column, reach: Column, seed: int) -> Column:
+    """The i-th seeded offset of a row, between -reach and reach."""
+    return (F.pmod(F.xxhash64(F.lit(seed), key.cast("long"), i.cast("long")), 2 * reach + 1) - reach).cast("int")
 
 
-def motif_null(changes: DataFrame, motif: str = "GT", draws: int = 200, reach: int = 20, seed: int = 20260912) -> DataFrame:
-    """changes with created, and share: how many of the seeded random substitutions near the change create the motif. The
-    denominator is always draws. Everything stays in the row: no draw becomes a row."""
-    table = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(b).alias("b")) for o, b in null_draws(draws, reach, seed)])
-    before = motif_places(F.col("seq"), motif)
+def motif_null(changes: DataFrame, key: str, draws: int = 2000, reach: int = 5000, seed: int = 20260912) -> DataFrame:
+    """changes with created (sites of the change) and share: how many of draws random places near it would have a plausible site
+    created by the change's own base. Places lie within reach, or within the sequence where that is shorter; those outside it, and
+    those that have the base already, create none. The denominator is always draws. Places that create a site are found once a
+    row; draws only look them up."""
+    seq, base = F.col("seq"), F.col("base")
+    near = F.least(F.lit(reach), F.greatest(F.col("at") - 1, F.length(seq) - F.col("at")))
 
-    def creates(d):
-        at = F.col("at") + d["o"]
-        old = F.substr("seq", at, F.lit(1))
-        base = F.substr(F.replace(F.lit("ACGT"), old, F.lit("")), d["b"] + 1, F.lit(1))
-        inside = (at >= 1) & (at <= F.length("seq"))
-        new = F.concat(F.substr("seq", F.lit(1), at - 1), base, F.substr("seq", at + 1, F.length("seq")))
-        return inside & (F.size(F.array_except(motif_places(new, motif), before)) > 0)
+    def creates(p: Column) -> Column:
+        new = altered(seq, p, base)
+        return (F.substr(seq, p, F.lit(1)) != base) & (site_at(new, seq, p - 1).isNotNull() | site_at(new, seq, p).isNotNull())
 
-    return created_sites(changes, motif).withColumn("share", F.size(F.filter(table, creates)) / F.lit(draws))
+    places = F.filter(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("_near")), F.least(F.length(seq), F.col("at") + F.col("_near"))), creates)
+    hits = F.size(F.filter(F.sequence(F.lit(1), F.lit(draws)), lambda i: F.array_contains(F.col("_places"), F.col("at") + draw(F.col(key), i, F.col("_near"), seed))))
+    rows = created_sites(changes).withColumn("_near", near).withColumn("_places", places)
+    return rows.withColumn("created", F.size("sites").cast("long")).withColumn("share", hits / F.lit(draws)).drop("_near", "_places", "sites")

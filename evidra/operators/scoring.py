@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.fields import known, normal_contig
+from evidra.shared import cut
 
 
 def best_f(scores: DataFrame) -> DataFrame:
     """threshold, precision, recall, f for the best F over score thresholds, of equal F the higher threshold. scores have
     item, score, truth; an item in several rows counts once, with its best score. Running sums go over distinct scores,
-    in ranges whose totals are summed first, so no task sorts all rows."""
+    in ranges whose totals are summed first, so no task sorts all rows; the ranges are written once, as they are read twice."""
     items = scores.where("score IS NOT NULL").groupBy("item").agg(F.max("score").alias("score"), F.max(F.col("truth").cast("int")).alias("truth"))
     by = items.groupBy("score").agg(F.sum("truth").alias("tp"), F.count("*").alias("k"))
-    parts = by.repartitionByRange(F.col("score").desc()).withColumn("_part", F.spark_partition_id())
+    parts = cut(by.repartitionByRange(F.col("score").desc()).withColumn("_part", F.spark_partition_id()), "scores")
     totals = parts.groupBy("_part").agg(F.sum("tp").alias("t"), F.sum("k").alias("c"))
     order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     before = totals.select("_part", F.coalesce(F.sum("t").over(order), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(order), F.lit(0)).alias("c0"))

@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of private content.
+CONTIG = r"(?:chr)?(?:[1-9]|1[0-9]|2[0-2]|X|Y|MT?)"
 DETECTORS = {
-    "coordinate": r"\bchr([0-9]{1,2}|X|Y|M)[:_-][0-9]{4,}",
-    "column_coordinate": r"(?m)^(chr)?([1-9]|1[0-9]|2[0-2]|X|Y)\t[0-9]{4,}\t",
-    "rsid": r"\brs[0-9]{4,}\b",
-    "hgvs": r"\b[cgp]\.[0-9A-Za-z*_+-]*[0-9]+[0-9A-Za-z*_+-]*(>|del|dup|ins|fs|Ter|=)[A-Za-z0-9]*",
-    "genotype": r"(?m)(^|\t)[01][/|][01](:[0-9,.]+)+",
+    "coordinate": rf"\b{CONTIG}\s*[:-]\s*[0-9]{{5,}}\b",
+    "column_coordinate": rf"(?m)(?:^|[,\t]){CONTIG}[,\t]\s*[0-9]{{5,}}(?:[,\t]|$)",
+    "rsid": r"\brs[0-9]{3,}\b",
+    "hgvs": r"\b[cgmn]\.\s*-?\*?[0-9]+",
+    "genotype": rf"\b[0-9][/|][0-9]:[0-9]+,[0-9]+:[0-9]+\b|\b{CONTIG}\s+[0-9]{{4,9}}\s+\S+\s+[ACGTN]+\s+[ACGTN,]+",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
     "phone": r"[(][0-9]{3}[)] [0-9]{3}-[0-9]{4}",
 }
-GENOMIC_FILE = r"(?i)\.(vcf|bcf|bam|cram|fastq|fq|gvcf)(\.gz|\.bgz|\.tbi|\.csi|\.bai)*$"
+GENOMIC_FILE = r"(?i)\.(vcf|bcf|bam|cram|fastq|fq|gvcf|bai|crai|csi|tbi|bgz)(\.(gz|bgz|tbi|csi|bai))*$"
 
-#: What may not leave, as text or as a command.
+#: What may not leave, as text or as a command.
 EGRESS = {
-    "coordinate": r"\b(chr)?([0-9]{1,2}|X|Y)[:-][0-9]{5,}|\bchr([0-9]{1,2}|X|Y|M)\s+[0-9]{5,}",
+    "coordinate": rf"\b{CONTIG}[:-][0-9]{{5,}}|\bchr([0-9]{{1,2}}|X|Y|M)\s+[0-9]{{5,}}",
+    "record": rf"(?<![0-9.])\b{CONTIG}\s+[0-9]{{5,9}}\s+\S+\s+[ACGTN]+\s+[ACGTN,]+",
     "rsid": r"(?i)\brs[0-9]{3,}\b",
     "hgvs": r"\b[NX][MPRC]_[0-9]+|\b[cg]\.[*-]?[0-9]+([+-][0-9]+)?([ACGT]>[ACGT]|del|dup|ins)|\bp\.\(?[A-Z][a-z]{2}[0-9]+",
     "sample": r"(?i)\b(proband|sample|patient)[_-]?(id)?\s*[:=#_-]\s*[A-Za-z0-9]*[0-9]",
-    "genotype": r"\b(GT|genotype)\s*[:=]?\s*[01.][/|][01.]",
-    "data_path": r"(^|[\s\"'=@/])(data|work)/\S+",
+    "genotype": r"\b(GT|genotype)\s*[:=]?\s*[01.][/|][01.]|(?<![0-9/])[0-9.][/|][0-9.]:[0-9]+",
+    "data_path": r"(^|[\s\"'=@/])(data|work)/",
     "genomic_file": r"(?i)\S+\.(vcf|bcf|bam|cram|fastq|fq)(\.gz|\.bgz)?(\.tbi|\.csi|\.bai)?\b",
 }
 
@@ -34,9 +35,9 @@ def scan(docs: DataFrame, detectors: dict[str, str] | None = None, text: str = "
     return docs.withColumns({f"has_{k}": F.coalesce(F.col(text).rlike(p), F.lit(False)) for k, p in (detectors or DETECTORS).items()})
 
 
-def blocked(text: Column) -> Column:
-    """Whether outgoing text holds anything of EGRESS."""
-    hits = [F.coalesce(text.rlike(p), F.lit(False)) for p in EGRESS.values()]
+def blocked(text: Column, samples: tuple[str, ...] = ()) -> Column:
+    """Whether outgoing text holds anything of EGRESS, or one of the samples' names."""
+    hits = [F.coalesce(text.rlike(p), F.lit(False)) for p in EGRESS.values()] + [F.coalesce(F.contains(text, F.lit(s)), F.lit(False)) for s in samples]
     return F.array_contains(F.array(*hits), True)
 
 

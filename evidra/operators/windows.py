@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.functions.fields import AUTOSOME
 from evidra.functions.ranks import ordered_statistic
 
 
@@ -14,18 +15,21 @@ def global_upper_median(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def balance_windows(rows: DataFrame, width: int) -> DataFrame:
-    """chrom, start, het, observed, expected, depth by window of width: rows have chrom, pos, dp, altdp. observed sums
-    |alt/dp - 1/2|, expected what chance alone gives, sqrt(2/pi) * 0.5 / sqrt(dp)."""
+    """chrom, start, n, het, observed, expected, depth by window of width: rows have chrom, pos, dp, altdp, het. Over heterozygous
+    rows observed sums |alt/dp - 1/2|, expected what chance alone gives, sqrt(2/pi) * 0.5 / sqrt(dp); depth sums all rows."""
     start = F.expr(f"pos div {width} * {width}").alias("start")
     obs = F.abs(F.col("altdp") / F.col("dp") - 0.5)
     exp = F.lit((2 / 3.141592653589793) ** 0.5 * 0.5) / F.sqrt("dp")
-    return rows.groupBy("chrom", start).agg(F.count("*").alias("het"), F.sum(obs).alias("observed"), F.sum(exp).alias("expected"), F.sum("dp").alias("depth"))
+    return rows.groupBy("chrom", start).agg(F.count("*").alias("n"), F.count_if("het").alias("het"), F.sum(F.when(F.col("het"), obs)).alias("observed"), F.sum(F.when(F.col("het"), exp)).alias("expected"), F.sum("dp").alias("depth"))
 
 
-def excess(windows: DataFrame, min_het: int) -> DataFrame:
-    """Windows with enough sites: balance excess and mean depth, each over its global upper median."""
-    kept = windows.where(F.col("het") >= min_het).select("chrom", "start", "het", (F.col("observed") / F.col("expected")).alias("excess"), (F.col("depth") / F.col("het")).alias("mean_dp"))
-    base = global_upper_median(kept, "excess", "base_excess").crossJoin(global_upper_median(kept, "mean_dp", "base_dp"))  # one row
+def excess(windows: DataFrame, min_het: int, min_sites: int = 500) -> DataFrame:
+    """Windows with enough sites: balance excess over the upper median of the autosomes' windows, and mean depth over that of the
+    autosomes' windows of at least min_sites. The medians are one row."""
+    mean_dp = F.col("depth") / F.col("n")
+    depths = windows.where(F.col("chrom").rlike(AUTOSOME) & (F.col("n") >= min_sites)).select(mean_dp.alias("mean_dp"))
+    kept = windows.where((F.col("het") >= min_het) & (F.col("expected") > 0)).select("chrom", "start", "het", (F.col("observed") / F.col("expected")).alias("excess"), mean_dp.alias("mean_dp"))
+    base = global_upper_median(kept.where(F.col("chrom").rlike(AUTOSOME)), "excess", "base_excess").crossJoin(global_upper_median(depths, "mean_dp", "base_dp"))
     return kept.crossJoin(F.broadcast(base)).select("chrom", "start", "het", (F.col("excess") / F.col("base_excess")).alias("excess_norm"), (F.col("mean_dp") / F.col("base_dp")).alias("cov_ratio"))
 
 

@@ -12,9 +12,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 CHROM = "CASE WHEN {c} = 23 THEN 'X' WHEN {c} = 24 THEN 'Y' ELSE CAST({c} AS @S) END"
 
-#: Sixty-four amino acids in TCAG order, * for a stop. Fixed value: the standard genetic code.
-AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-
 
 def base(o: str, key: str = "p_partkey") -> str:
     """Number 1 to 4 of the base at offset o of a part's sequence, in TCAG."""
@@ -75,17 +72,29 @@ SELECT concat('T', CAST(p_partkey AS @S)) AS acc, concat('G', CAST(p_partkey @D
 FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) e""",
     "site": """
 SELECT vid, concat('T', CAST(l_partkey AS @S)) AS acc, (l_partkey * 2399) % 5000000 + (l_orderkey * 7 + l_linenumber * 13) % 1000 AS pos FROM lineitem_v""",
+    "txseq": "SELECT concat('T', CAST(sid AS @S)) AS acc, repeat(seq, 10) AS seq FROM dna",
+    "change": """
+SELECT s.vid, t.gene, s.pos, substr('ACGT', CAST(1 + s.vid % 4 AS INT), 1) AS ref, substr('ACGT', CAST(1 + (s.vid + 1 + s.pos % 3) % 4 AS INT), 1) AS alt FROM site s JOIN (SELECT DISTINCT acc, gene FROM tx) t ON s.acc = t.acc""",
     "codon": f"""
 SELECT vid, gene, ref, alt, strand, cds_len, o, concat({", ".join("substr('TCAG', CAST(" + base(f"o - o % 3 + {i}") + " AS INT), 1)" for i in range(3))}) AS codon, o % 3 AS off
 FROM (SELECT vid, concat('G', CAST(l_partkey AS @S)) AS gene, ref, substr(alt, 1, 1) AS alt, CASE WHEN l_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
              l_partkey AS p_partkey, 600 + 3 * (l_partkey % 90) AS cds_len, (l_orderkey * 13 + l_linenumber) % 900 AS o FROM v WHERE length(alt) = 1) c""",
     "win": """
-SELECT chrom, pos, dp, (dp * (20 + vid % 61)) @D 100 AS altdp, vid FROM v WHERE filt = 'PASS' AND dp >= 20""",
+SELECT chrom, pos, dp, (dp * (20 + vid % 61)) @D 100 AS altdp, gt IN ('0|1', '0/1') AS het, vid FROM v WHERE filt = 'PASS' AND dp >= 20""",
     "gs": "SELECT DISTINCT o_orderpriority AS grp, concat('C', CAST(o_custkey AS @S)) AS gene FROM orders",
     "ps": "SELECT DISTINCT p_brand AS a, p_type AS b, p_partkey AS item FROM part",
     "dag": """
 SELECT o_orderkey AS task, CASE WHEN o_orderkey % 97 = 0 THEN -o_orderkey ELSE o_orderkey @D 2 END AS dep, o_orderstatus = 'F' AS done, o_orderpriority AS priority
 FROM orders WHERE o_orderkey > 1""",
+    "notes": """
+SELECT o_orderkey AS line, CAST(o_orderkey % 24 AS INT) AS kind, concat(CASE WHEN o_orderkey % 48 < 24 THEN 'see ' ELSE 'the entry, ' END, CASE o_orderkey % 24
+  WHEN 0 THEN concat('7:', CAST(100000 + o_orderkey AS @S)) WHEN 1 THEN concat('chrX - ', CAST(100000 + o_orderkey AS @S)) WHEN 2 THEN concat('MT:', CAST(10000 + o_orderkey % 6000 AS @S))
+  WHEN 3 THEN concat('a', chr(9), '12', chr(9), CAST(100000 + o_orderkey AS @S), chr(9), 'b') WHEN 4 THEN concat('a,chr3,', CAST(100000 + o_orderkey AS @S), ',b') WHEN 5 THEN concat('rs', CAST(100 + o_orderkey % 900 AS @S))
+  WHEN 6 THEN concat('rs', CAST(o_orderkey % 90 + 10 AS @S)) WHEN 7 THEN concat('m.', CAST(o_orderkey AS @S), 'A>G') WHEN 8 THEN concat('n. -', CAST(o_orderkey AS @S)) WHEN 9 THEN concat('p.', CAST(o_orderkey AS @S))
+  WHEN 10 THEN concat('0/1:', CAST(o_orderkey % 30 AS @S), ',8:20:99') WHEN 11 THEN concat('15 ', CAST(100000 + o_orderkey AS @S), ' . A G') WHEN 12 THEN '0/1 or 1/1' WHEN 13 THEN concat('25:', CAST(100000 + o_orderkey AS @S))
+  WHEN 14 THEN concat('a.b', CAST(o_orderkey AS @S), '@example.org') WHEN 15 THEN concat('(555) 555-', CAST(1000 + o_orderkey % 9000 AS @S)) WHEN 16 THEN concat('at ', CAST(o_orderkey % 24 AS @S), ':30 on day ', CAST(o_orderkey % 28 AS @S))
+  WHEN 17 THEN 'work/out.tsv' WHEN 18 THEN 'network/out.tsv' WHEN 19 THEN 'x.bam' WHEN 20 THEN 'p.Ala123Val' WHEN 21 THEN 'sample_id=S1' WHEN 22 THEN concat('chr7 ', CAST(100000 + o_orderkey AS @S)) ELSE 'nothing of note' END, ' there') AS text
+FROM orders""",
     "sub": """
 SELECT o_orderkey AS line, CASE WHEN o_orderkey % 29 = 0 THEN 'Z9' WHEN o_orderkey % 3 = 0 THEN concat('chr', CAST(1 + o_custkey % 22 AS @S)) WHEN o_orderkey % 5 = 0 THEN 'MT' ELSE CAST(1 + o_custkey % 24 AS @S) END AS chrom_1,
        CASE WHEN o_orderkey % 31 = 0 THEN 'x' ELSE CAST(1 + o_orderkey % 900000 AS @S) END AS pos_1, substr('ACGT', CAST(1 + o_custkey % 4 AS INT), 1) AS ref_1,

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import fields, ranks, sequence
-from evidra.operators import annotate, enrichment, genes, intervals, motifs, nested, scoring, tasks, text, windows
-from evidra.plans.fixtures import AMINO, duck, view
+from evidra.operators import annotate, consequence, enrichment, genes, intervals, motifs, nested, scoring, tasks, text, windows
+from evidra.functions.sequence import AMINO
+from evidra.plans.fixtures import duck, view
+from evidra.shared import new_path
+from evidra.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,15 +97,15 @@ def natural_contig_order(spark, sf):
 
 
 @query(
-    """ SELECT vid, list_aggregate([0] || [1 + (pos - 1 >> 26)] || [9 + (pos - 1 >> 23)] || [73 + (pos - 1 >> 20)] || [585 + (pos - 1 >> 17)] || range(4681 + (pos - 1 >> 14), 4682 + (pos + 20000 - 1 >> 14)), 'sum') AS bins_sum,
-  CAST(5 + 1 + (pos + 20000 - 1 >> 14) - (pos - 1 >> 14) AS INTEGER) AS n_bins FROM (SELECT * FROM v WHERE pos - 1 >> 17 = pos + 20000 - 1 >> 17) v""",
+    """, b AS (SELECT *, [0] || range(1 + (pos - 1 >> 26), 2 + (pos + 19999 >> 26)) || range(9 + (pos - 1 >> 23), 10 + (pos + 19999 >> 23)) || range(73 + (pos - 1 >> 20), 74 + (pos + 19999 >> 20))
+  || range(585 + (pos - 1 >> 17), 586 + (pos + 19999 >> 17)) || range(4681 + (pos - 1 >> 14), 4682 + (pos + 19999 >> 14)) AS bins FROM v)
+SELECT vid, list_aggregate(bins, 'sum') AS bins_sum, CAST(len(bins) AS INTEGER) AS n_bins FROM b""",
     "v",
 )
 def region_bin_enumeration(spark, sf):
-    """Index bins of the 20 kb after each variant, for windows inside one bin of the fifth level."""
-    rows = view(spark, sf, "v").where("shiftright(pos - 1, 17) = shiftright(pos + 20000 - 1, 17)")
+    """Index bins of the 20 kb after each variant."""
     bins = intervals.region_bins(F.col("pos") - 1, F.col("pos") + 20000)
-    return rows.select("vid", F.aggregate(bins, F.lit(0).cast("long"), lambda a, b: a + b).alias("bins_sum"), F.size(bins).alias("n_bins"))
+    return view(spark, sf, "v").select("vid", F.aggregate(bins, F.lit(0).cast("long"), lambda a, b: a + b).alias("bins_sum"), F.size(bins).alias("n_bins"))
 
 
 @query(
@@ -244,7 +247,7 @@ KINDS = """, rare AS (SELECT c.gene, c.gt, CASE WHEN length(ref) <> length(alt)
 
 def rare_kinds(spark, sf) -> DataFrame:
     """Rare or absent, passing, called variants of the panel with zygosity and consequence."""
-    c = classed(spark, sf).where((F.col("filt") == "PASS") & ~fields.zygosity(F.col("gt")).isin("missing", "hom_ref") & F.col("class").isin("rare", "absent"))
+    c = classed(spark, sf).where((F.col("filt") == "PASS") & fields.non_reference(F.col("gt")) & F.col("class").isin("rare", "absent"))
     indel = sequence.length_class(F.col("ref"), F.col("alt"))
     kind = F.coalesce(indel, F.when(F.col("vid") % 7 == 0, "nonsense").when(F.col("vid") % 3 == 0, "synonymous").otherwise("missense"))
     return c.select("vid", "gene", fields.zygosity(F.col("gt")).alias("zyg"), kind.alias("kind"))
@@ -351,10 +354,8 @@ SELECT s.vid, s.acc, CAST(coalesce(e.before, 0) + CASE WHEN e.strand = '-' THEN
 def transcript_offset(spark, sf):
     """Genomic to transcript positions (from 0): running exon lengths in the strand's order, then an interval match."""
     tx = view(spark, sf, "tx")
-    own = Window.partitionBy("acc").orderBy(F.when(F.col("strand") == "-", -F.col("st")).otherwise(F.col("st"))).rowsBetween(Window.unboundedPreceding, -1)
-    e = tx.withColumn("before", F.coalesce(F.sum(F.col("en") - F.col("st") + 1).over(own), F.lit(0)))
-    inside = F.when(F.col("strand") == "-", F.col("en") - F.col("pos")).otherwise(F.col("pos") - F.col("st"))
-    return view(spark, sf, "site").join(e, "acc").where(F.col("pos").between(F.col("st"), F.col("en"))).select("vid", "acc", (F.col("before") + inside).alias("tpos"))
+    e = consequence.placed_exons(tx)
+    return view(spark, sf, "site").join(e, "acc").where(F.col("pos").between(F.col("st"), F.col("en"))).select("vid", "acc", consequence.offset(F.col("pos")).alias("tpos"))
 
 
 @query(""", d AS (SELECT vid, s.acc, bool_or(pos BETWEEN st AND en) AS exonic, bool_or(pos BETWEEN st AND en AND pos BETWEEN cds_st AND cds_en) AS coding, min(least(abs(pos - st), abs(pos - en))) AS dist FROM site s JOIN tx ON s.acc = tx.acc GROUP BY vid, s.acc)
@@ -385,11 +386,28 @@ def donor_sites(spark, sf):
     return d.select("sid", "at", "score", r9(sequence.pyrimidine_share(F.substr("seq", F.lit(1), F.col("at") - 1))).alias("pyrimidine"))
 
 
+def base_changes(spark, sf) -> DataFrame:
+    """A change of one base in each sequence."""
+    return view(spark, sf, "dna").select("sid", "seq", (F.col("sid") % 48 + 1).cast("int").alias("at"), F.substr(F.lit("ACGT"), (F.col("sid") % 4 + 1).cast("int"), F.lit(1)).alias("base"))
+
+
+ONE_SITE = f"""SELECT sid, CASE WHEN two = 'GT' AND i > 3 AND i + 5 <= length(new) AND {DONOR_SQL.replace('seq', 'new')} >= 6 THEN 'donor'
+    WHEN two = 'AG' AND length(upper_) >= 12 AND length(regexp_replace(upper_, '[^CT]', '', 'g')) >= 0.65 * length(upper_) THEN 'acceptor' END AS kind, i
+  FROM (SELECT *, substr(new, i, 2) AS two, substr(new, greatest(1, i - 20), least(i - 1, 20)) AS upper_ FROM (SELECT sid, seq, substr(seq, 1, p - 1) || b || substr(seq, p + 1) AS new, p - {{d}} AS i FROM c) x
+        WHERE i >= 1 AND i < length(seq) AND substr(new, i, 2) <> substr(seq, i, 2)) y"""
+
+
+@query(f""", c AS (SELECT sid, seq, CAST(sid % 48 + 1 AS INTEGER) AS p, substr('ACGT', CAST(sid % 4 + 1 AS INTEGER), 1) AS b FROM dna), s AS ({ONE_SITE.format(d=1)} UNION ALL {ONE_SITE.format(d=0)})
+SELECT sid, kind, CAST(i AS INTEGER) AS at FROM s WHERE kind IS NOT NULL""", "dna")
+def created_splice_sites(spark, sf):
+    """Donors and acceptors, above their floors, that a change creates."""
+    return motifs.created_sites(base_changes(spark, sf)).select("sid", F.explode("sites").alias("s")).select("sid", "s.kind", "s.at")
+
+
 @query()
 def motif_null(spark, sf):
-    """Created motifs of one change in each sequence, and the share of seeded random changes that create one."""
-    changes = view(spark, sf, "dna").select("sid", "seq", (F.col("sid") % 48 + 1).cast("int").alias("at"), F.substr(F.lit("ACGT"), (F.col("sid") % 4 + 1).cast("int"), F.lit(1)).alias("base"))
-    return motifs.motif_null(changes).select("sid", "created", "share")
+    """Splice sites created by one change in each sequence, and the share of seeded random places at which it would create one."""
+    return motifs.motif_null(base_changes(spark, sf), "sid").select("sid", "created", "share")
 
 
 # ---------------------------------------------------------------- order statistics, histograms, windows
@@ -430,14 +448,15 @@ def median_from_hist(spark, sf):
     return ranks.histogram_median(quantity_histogram(spark, sf), ["l_returnflag"])
 
 
-WINDOWS = """, w AS (SELECT chrom, pos // 100000 * 100000 AS start, count(*) AS het, sum(abs(altdp * 1.0E0 / dp - 0.5)) AS obs, sum(sqrt(2 / pi()) * 0.5 / sqrt(dp)) AS exp, sum(dp) AS depth FROM win GROUP BY 1, 2),
-k AS (SELECT chrom, start, het, obs / exp AS excess, depth * 1.0E0 / het AS mean_dp FROM w WHERE het >= 5),
-m AS (SELECT list_sort(list(excess))[count(*) // 2 + 1] AS be, list_sort(list(mean_dp))[count(*) // 2 + 1] AS bd FROM k),
-n AS (SELECT chrom, start, het, round(excess / be, 9) AS excess_norm, round(mean_dp / bd, 9) AS cov_ratio FROM k, m)"""
+WINDOWS = """, w AS (SELECT chrom, pos // 100000 * 100000 AS start, count(*) AS n, count(*) FILTER (het) AS het, sum(abs(altdp * 1.0E0 / dp - 0.5)) FILTER (het) AS obs, sum(sqrt(2 / pi()) * 0.5 / sqrt(dp)) FILTER (het) AS exp, sum(dp) AS depth FROM win GROUP BY 1, 2),
+k AS (SELECT chrom, start, het, obs / exp AS excess, depth * 1.0E0 / n AS mean_dp FROM w WHERE het >= 2),
+a AS (SELECT list_sort(list(excess))[count(*) // 2 + 1] AS be FROM k WHERE chrom NOT IN ('X', 'Y')), b AS (SELECT list_sort(list(depth * 1.0E0 / n))[count(*) // 2 + 1] AS bd FROM w WHERE n >= 5 AND chrom NOT IN ('X', 'Y')),
+n AS (SELECT chrom, start, het, round(excess / be, 9) AS excess_norm, round(mean_dp / bd, 9) AS cov_ratio FROM k, a, b)"""
 
 
 def window_table(spark, sf) -> DataFrame:
-    e = windows.excess(windows.balance_windows(view(spark, sf, "win"), 100_000), 5)
+    """Windows of 100 kb with two heterozygous sites, against autosomal windows of five sites: the derived rows are sparse."""
+    e = windows.excess(windows.balance_windows(view(spark, sf, "win"), 100_000), 2, 5)
     return e.select("chrom", "start", "het", r9("excess_norm").alias("excess_norm"), r9("cov_ratio").alias("cov_ratio"))
 
 
@@ -446,11 +465,11 @@ def window_excess(spark, sf):
     return window_table(spark, sf)
 
 
-@query(WINDOWS + """, f AS (SELECT chrom, start // 100000 AS i, CASE WHEN cov_ratio >= 1.08 THEN 'gain' WHEN cov_ratio <= 0.92 THEN 'loss' ELSE 'flat' END AS call, excess_norm FROM n WHERE excess_norm >= 1.05),
+@query(WINDOWS + """, f AS (SELECT chrom, start // 100000 AS i, CASE WHEN cov_ratio >= 1.08 THEN 'gain' WHEN cov_ratio <= 0.92 THEN 'loss' ELSE 'flat' END AS call, excess_norm FROM n WHERE excess_norm >= 1.05 AND chrom NOT IN ('X', 'Y')),
 r AS (SELECT *, i - row_number() OVER (PARTITION BY chrom, call ORDER BY i) AS island FROM f)
 SELECT chrom, call, min(i) AS first, max(i) AS last, count(*) AS n, round(avg(excess_norm), 6) AS mean FROM r GROUP BY chrom, call, island HAVING count(*) >= 2""", "win")
 def mosaic_runs(spark, sf):
-    called = window_table(spark, sf).withColumn("call", windows.mosaic_call(F.col("excess_norm"), F.col("cov_ratio"), 1.05)).where("call IS NOT NULL")
+    called = window_table(spark, sf).where(F.col("chrom").rlike(fields.AUTOSOME)).withColumn("call", windows.mosaic_call(F.col("excess_norm"), F.col("cov_ratio"), 1.05)).where("call IS NOT NULL")
     found = windows.runs(called, ["chrom", "call"], F.expr("start div 100000"), 2, "excess_norm")
     return found.select("chrom", "call", "first", "last", "n", F.round("mean", 6).alias("mean"))
 
@@ -531,9 +550,9 @@ def enriched(spark, sf) -> DataFrame:
     return enrichment.hypergeometric_tail(tests, ps.count())
 
 
-@query(HYPER + " SELECT x.a, x.b, CAST(x.k AS BIGINT) AS k, round(least(1.0, coalesce(p.p, 0.0)), 7) AS p FROM x LEFT JOIN p ON p.a = x.a AND p.b = x.b", "ps")
+@query(HYPER + " SELECT x.a, x.b, CAST(x.k AS BIGINT) AS k, round(least(1.0, p.p), 7) AS p, round(least(0.0, ln(p.p)), 6) AS log_p FROM x LEFT JOIN p ON p.a = x.a AND p.b = x.b", "ps")
 def hypergeom_enrich(spark, sf):
-    return enriched(spark, sf).select("a", "b", "k", F.round("p", 7).alias("p"))
+    return enriched(spark, sf).select("a", "b", "k", F.round("p", 7).alias("p"), F.round("log_p", 6).alias("log_p"))
 
 
 @query("WITH d AS (SELECT source, doc_id, n_chars FROM documents) SELECT doc_id, round((SELECT count(*) FROM d y WHERE y.source = x.source AND y.n_chars <= x.n_chars) * 1.0E0 / (SELECT count(*) FROM d y WHERE y.source = x.source), 9) AS share FROM d x")
@@ -570,11 +589,11 @@ def document_frequency(spark, sf):
     return f.groupBy("df").agg(F.count("*").alias("n"))
 
 
-@query(HYPER + """, z AS (SELECT x.a, x.b, round(least(1.0, coalesce(p.p, 0.0)), 7) AS p FROM x LEFT JOIN p ON p.a = x.a AND p.b = x.b), w AS (SELECT *, (SELECT count(*) FROM z y WHERE y.b = z.b AND y.p <= z.p) * 1.0E0 / (SELECT count(*) FROM z y WHERE y.b = z.b) AS share FROM z)
+@query(HYPER + """, z AS (SELECT p.a, p.b, round(least(0.0, ln(p.p)), 6) AS p FROM p), w AS (SELECT *, (SELECT count(*) FROM z y WHERE y.b = z.b AND y.p <= z.p) * 1.0E0 / (SELECT count(*) FROM z y WHERE y.b = z.b) AS share FROM z)
 SELECT a, b, round(share, 9) AS share FROM w WHERE share <= 0.2""", "ps")
 def null_frequency_filter(spark, sf):
     """Pairs whose tail probability is among the lowest fifth of their group's."""
-    e = enriched(spark, sf).select("a", "b", F.round("p", 7).alias("p"))
+    e = enriched(spark, sf).select("a", "b", F.round("log_p", 6).alias("p"))
     return enrichment.null_share(e, "b", "p").where("share <= 0.2").select("a", "b", r9("share").alias("share"))
 
 
@@ -615,10 +634,24 @@ def plate_cells(spark, sf):
     return view(spark, sf, "pages").groupBy(part(3).alias("plate")).agg(F.count("*").alias("n"), F.count_distinct(part(4)).alias("cells"))
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '{text.DETECTORS['email']}') AS has_email, regexp_matches(text, '{text.DETECTORS['phone']}') AS has_phone, regexp_matches(text, '{text.DETECTORS['rsid']}') AS has_rsid, regexp_matches(text, '{text.DETECTORS['coordinate']}') AS has_coordinate FROM documents")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\w.%+-]+@[A-Za-z\d.-]+\.[A-Za-z][A-Za-z]+')) > 0 AS has_email, len(regexp_extract_all(text, '\(\d\d\d\) \d\d\d-\d\d\d\d')) > 0 AS has_phone,
+  len(regexp_extract_all(text, '\brs\d\d\d+\b')) > 0 AS has_rsid, len(regexp_extract_all(text, '\b(chr)?(2[0-2]|1\d|[1-9]|X|Y|M|MT)[ \t\r\n\f\v]*[:-][ \t\r\n\f\v]*\d\d\d\d\d+\b')) > 0 AS has_coordinate FROM documents""")
 def pii_scan(spark, sf):
-    found = text.scan(view(spark, sf, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "has_email", "has_phone", "has_rsid", "has_coordinate")
+    found = text.scan(view(spark, sf, "documents").select("doc_id", "text"), {k: text.DETECTORS[k] for k in ("email", "phone", "rsid", "coordinate")})
+    return found.drop("text")
+
+
+@query(""" SELECT line, kind IN (0, 1, 2) AS has_coordinate, kind IN (3, 4) AS has_column_coordinate, kind = 5 AS has_rsid, kind IN (7, 8) AS has_hgvs, kind IN (10, 11) AS has_genotype, kind = 14 AS has_email, kind = 15 AS has_phone
+FROM notes""", "notes")
+def content_detectors(spark, sf):
+    """All detectors over notes whose kind says what they hold; the SQL knows no pattern."""
+    return text.scan(view(spark, sf, "notes")).drop("kind", "text")
+
+
+@query(" SELECT line, kind IN (0, 2, 5, 10, 11, 17, 19, 20, 21, 22) AS blocked FROM notes", "notes")
+def egress_of_notes(spark, sf):
+    """Outgoing notes that are stopped; the SQL knows no pattern."""
+    return view(spark, sf, "notes").select("line", text.blocked(F.col("text")).alias("blocked"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@', '***@', 'g'), '[0-9]{4,}', '####', 'g')) AS masked FROM documents")
@@ -631,15 +664,24 @@ def line_hit_threshold(spark, sf):
     return text.line_hits(view(spark, sf, "documents"), "[.]$", 5)
 
 
-@query("SELECT doc_id, " + " OR ".join("regexp_matches(text, '" + p.replace("'", "''") + "')" for p in text.EGRESS.values()) + " AS blocked FROM documents")
+#: The rules once more for RE2, which has no look-behind.
+STOPPED = " OR ".join("regexp_matches(text, '" + p.replace("'", "''").replace(r"(?<![0-9.])\b", "(^|[^0-9A-Za-z_.])").replace("(?<![0-9/])", "(^|[^0-9/])") + "')" for p in text.EGRESS.values())
+
+
+@query(f"SELECT doc_id, {STOPPED} AS blocked FROM documents")
 def egress_classifier(spark, sf):
     return view(spark, sf, "documents").select("doc_id", text.blocked(F.col("text")).alias("blocked"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f', n_chars / 1024.0) || ' KB' END AS size, replace(format('{:,}', n_chars), ',', '.') AS dotted FROM documents WHERE n_chars < 1048576 AND n_chars * 10 % 512 <> 0")
+@query("""WITH d AS (SELECT doc_id, CAST(n_chars AS BIGINT) * CASE WHEN doc_id % 7 = 0 THEN 1000003 WHEN doc_id % 5 = 0 THEN 4099 ELSE 1 END AS n FROM documents),
+u AS (SELECT *, CASE WHEN n < 1024 THEN 1 WHEN n < 1048576 THEN 1024 WHEN n < 1073741824 THEN 1048576 ELSE 1073741824 END AS unit FROM d),
+t AS (SELECT *, n * 10 // unit + CASE WHEN n * 10 % unit * 2 > unit OR n * 10 % unit * 2 = unit AND n * 10 // unit % 2 = 1 THEN 1 ELSE 0 END AS tenths FROM u)
+SELECT doc_id, (tenths // 10) || '.' || (tenths % 10) || CASE unit WHEN 1 THEN ' B' WHEN 1024 THEN ' KB' WHEN 1048576 THEN ' MB' ELSE ' GB' END AS size, replace(format('{:,}', n), ',', '.') AS dotted FROM t""")
 def size_text(spark, sf):
-    d = view(spark, sf, "documents").where("n_chars < 1048576 AND n_chars * 10 % 512 <> 0")
-    return d.select("doc_id", fields.size_text(F.col("n_chars")).alias("size"), fields.thousands(F.col("n_chars")).alias("dotted"))
+    """Sizes of all documents, some of them as many times as large, so that every unit occurs."""
+    times = F.when(F.col("doc_id") % 7 == 0, 1000003).when(F.col("doc_id") % 5 == 0, 4099).otherwise(1)
+    n = F.col("n_chars") * times
+    return view(spark, sf, "documents").select("doc_id", fields.size_text(n).alias("size"), fields.thousands(n).alias("dotted"))
 
 
 # ---------------------------------------------------------------- task graphs
@@ -762,3 +804,159 @@ def set_equality(spark, sf):
     k = enrichment.overlaps(gs.select(F.col("grp").alias("a"), "gene"), gs.select(F.col("grp").alias("b"), "gene")).where("a < b AND k > 0")
     both = k.join(n.select(F.col("grp").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("grp").alias("b"), F.col("n").alias("nb")), "b")
     return both.select("a", "b", "k", ((F.col("k") == F.col("na")) & (F.col("k") == F.col("nb"))).alias("equal"))
+
+
+# ---------------------------------------------------------------- counters, chains, bounded look-ups
+
+
+@query(""" SELECT c.sig, g.gene, count(*) AS n, count(*) FILTER (c.sig IN ('Pathogenic', 'Likely_pathogenic')) AS pathogenic FROM cvr c JOIN g ON c.chrom = g.chrom AND c.pos BETWEEN g.st AND g.en GROUP BY 1, 2""", "cvr", "g")
+def gene_class_counts(spark, sf):
+    """Curated records by gene and class; a record in several genes counts for each."""
+    found = intervals.overlapping(view(spark, sf, "cvr"), view(spark, sf, "g"))
+    plp = fields.starts_with_any(F.col("sig"), "Pathogenic", "Likely_pathogenic")
+    return found.groupBy("sig", "gene").agg(F.count("*").alias("n"), F.count_if(plp).alias("pathogenic"))
+
+
+@query(", x AS (SELECT g.gene, unnest(string_split(c.dn, '|')) AS disease FROM cvr c JOIN g ON c.chrom = g.chrom AND c.pos BETWEEN g.st AND g.en) SELECT gene, disease, count(*) AS n FROM x GROUP BY gene, disease", "cvr", "g")
+def gene_disease_counts(spark, sf):
+    return annotate.exploded_counts(intervals.overlapping(view(spark, sf, "cvr"), view(spark, sf, "g")), ["gene"], "dn", name="disease")
+
+
+@query(""" SELECT g.gene, f.chrom, f.pos, f.ref, f.alt, f.src, f.an FROM g JOIN fr f ON f.chrom = g.chrom AND f.pos BETWEEN g.st AND g.en WHERE g.p_partkey % 20 = 0""", "fr", "g")
+def gene_bounded_lookup(spark, sf):
+    """The frequency records within the panel genes' own spans: a look-up never goes by where the sample's variants lie."""
+    panel = view(spark, sf, "g").where("p_partkey % 20 = 0")
+    return intervals.overlapping(view(spark, sf, "fr"), panel).select("gene", "chrom", "pos", "ref", "alt", "src", "an")
+
+
+@query("""WITH h AS (SELECT o_orderstatus, least(59, greatest(0, CAST(trunc((log10(greatest(o_totalprice, 1)) - 2) / 4 * 60) AS INTEGER))) AS bin FROM orders), k AS (SELECT o_orderstatus, bin, count(*) AS n FROM h GROUP BY 1, 2)
+SELECT s.o_orderstatus, CAST(b AS INTEGER) AS bin, CAST(coalesce(k.n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT o_orderstatus FROM orders) s CROSS JOIN unnest(range(60)) t(b) LEFT JOIN k ON k.o_orderstatus = s.o_orderstatus AND k.bin = b""")
+def log_histogram(spark, sf):
+    """Sixty bins of the decimal logarithm from 2 to 6; values beyond fall into the end bins."""
+    return ranks.histogram(view(spark, sf, "orders"), ["o_orderstatus"], ranks.log_bin(F.col("o_totalprice"), 2, 6, 60), 60)
+
+
+@query(""" SELECT chrom, round(sum(dp) * 1.0E0 / count(*), 9) AS mean_depth, round(count(*) FILTER (altdp * 1.0E0 / dp NOT BETWEEN 0.4 AND 0.6) * 1.0E0 / count(*), 9) AS outside FROM win WHERE het GROUP BY chrom""", "win")
+def balance_profile(spark, sf):
+    """Mean depth of heterozygous sites, and the share of them out of balance."""
+    return genes.balance_profile(view(spark, sf, "win").where("het")).select("chrom", r9("mean_depth").alias("mean_depth"), r9("outside").alias("outside"))
+
+
+@query(" SELECT vid, CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 'SNV' ELSE 'indel' END AS type FROM v", "v")
+def variant_types(spark, sf):
+    return view(spark, sf, "v").select("vid", fields.variant_type(F.col("ref"), F.col("alt")).alias("type"))
+
+
+@query(CLASSED + """, s AS (SELECT l_linenumber AS sample, c.gene, count(*) AS n, count(*) FILTER (cv.sig IN ('Pathogenic', 'Likely_pathogenic')) AS plp FROM classed c LEFT JOIN cvr cv ON c.chrom = cv.chrom AND c.pos = cv.pos AND c.ref = cv.ref AND c.alt = cv.alt
+  WHERE c.class IN ('rare', 'absent') GROUP BY 1, 2)
+SELECT sample, CAST(sum(n) AS BIGINT) AS rare, count(*) AS genes_1, count(*) FILTER (n >= 2) AS genes_2, CAST(sum(plp) AS BIGINT) AS pathogenic FROM s GROUP BY sample""", "v", "g", "fr", "cvr")
+def sample_metric_rows(spark, sf):
+    """For each sample its rare variants, the genes with one or two of them, and how many are curated as pathogenic."""
+    rare = classed(spark, sf).where(F.col("class").isin("rare", "absent")).join(view(spark, sf, "cvr").select(*annotate.KEY, "sig"), annotate.KEY, "left")
+    plp = F.count_if(F.coalesce(fields.starts_with_any(F.col("sig"), "Pathogenic", "Likely_pathogenic"), F.lit(False)))
+    by = rare.groupBy(F.col("l_linenumber").alias("sample"), "gene").agg(F.count("*").alias("n"), plp.alias("plp"))
+    return by.groupBy("sample").agg(F.sum("n").alias("rare"), F.count("*").alias("genes_1"), F.count_if(F.col("n") >= 2).alias("genes_2"), F.sum("plp").alias("pathogenic"))
+
+
+REVIEWED = """ r AS (SELECT v.chrom, v.pos, v.ref, v.alt, arg_max(CASE l_partkey % 4 WHEN 0 THEN 'Pathogenic' WHEN 1 THEN 'Likely_pathogenic' ELSE 'Benign' END, vid * 10 + l_partkey % 10) AS sig,
+  arg_max(CASE l_partkey % 3 WHEN 0 THEN 'no_assertion_criteria_provided' WHEN 1 THEN 'criteria_provided' ELSE 'reviewed_by_expert_panel' END, vid * 10 + l_partkey % 10) AS review FROM v WHERE l_orderkey % 5 = 0 GROUP BY 1, 2, 3, 4)"""
+
+
+@query("," + REVIEWED + """, f AS (SELECT *, string_split(format, ':') AS k, string_split(sample, ':') AS s FROM sample)
+SELECT s.vid, r.sig, r.review FROM f s JOIN r ON s.chrom = r.chrom AND s.pos = r.pos AND s.ref = r.ref AND s.alt = r.alt
+WHERE s.filt IN ('PASS', '.') AND r.sig IN ('Pathogenic', 'Likely_pathogenic') AND r.review NOT LIKE 'no_assertion%' AND try_cast(s.s[list_position(k, 'GQ')] AS INT) >= 50""", "sample")
+def reviewed_hits(spark, sf):
+    """Passing, well called variants whose last curated record is pathogenic and not of weak review."""
+    by = lambda n, *names: F.get(F.array(*[F.lit(x) for x in names]), F.least((F.col("l_partkey") % n).cast("int"), F.lit(len(names) - 1)))
+    curated = view(spark, sf, "v").where("l_orderkey % 5 = 0").select(
+        *annotate.KEY, by(4, "Pathogenic", "Likely_pathogenic", "Benign").alias("sig"), by(3, "no_assertion_criteria_provided", "criteria_provided", "reviewed_by_expert_panel").alias("review"),
+        (F.col("vid") * 10 + F.col("l_partkey") % 10).alias("line"),
+    )
+    found = annotate.exact_match(view(spark, sf, "sample"), curated, order="line")
+    return found.where(annotate.strong(F.col("filt"), F.col("sig"), F.col("review"), fields.sample_value(F.col("format"), F.col("sample"), "GQ"))).select("vid", "sig", "review")
+
+
+@query(""", e AS (SELECT acc, strand, cds_st, cds_en, st, en, sum(en - st + 1) OVER (PARTITION BY acc ORDER BY CASE WHEN strand = '-' THEN -st ELSE st END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tx),
+r AS (SELECT s.vid, s.acc, CASE WHEN bool_or(pos BETWEEN st AND en AND pos BETWEEN cds_st AND cds_en) THEN 'CDS' WHEN bool_or(pos BETWEEN st AND en) THEN 'UTR' WHEN min(least(abs(pos - st), abs(pos - en))) <= 8 THEN 'splicing' ELSE 'intronic' END AS region FROM site s JOIN tx ON s.acc = tx.acc GROUP BY 1, 2)
+SELECT vid, acc, region FROM r WHERE region LIKE '%splicing%'""", "site", "tx")
+def splicing_regions(spark, sf):
+    """Variants whose region's name holds a word."""
+    named = region_class(spark, sf).withColumn("region", F.when(F.col("region").startswith("splice"), "splicing").otherwise(F.col("region")))
+    return named.where(fields.mentions(F.col("region"), "splicing")).select("vid", "acc", "region")
+
+
+CHAIN = f""", e AS (SELECT *, coalesce(sum(en - st + 1) OVER (PARTITION BY acc ORDER BY CASE WHEN strand = '-' THEN -st ELSE st END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tx),
+b AS (SELECT acc, min(before + CASE WHEN strand = '-' THEN en - cds_en ELSE cds_st - st END) FILTER (CASE WHEN strand = '-' THEN cds_en ELSE cds_st END BETWEEN st AND en) AS cds_from, sum(greatest(0, least(en, cds_en) - greatest(st, cds_st) + 1)) AS cds_len FROM e GROUP BY acc),
+p AS (SELECT c.*, e.acc, e.strand, e.before + CASE WHEN e.strand = '-' THEN e.en - c.pos ELSE c.pos - e.st END AS tpos FROM change c JOIN e ON c.gene = e.gene AND CAST(substr(e.acc, 2) AS BIGINT) % 2 = 0 AND c.pos BETWEEN e.st AND e.en),
+k AS (SELECT p.*, q.seq, b.cds_from, p.tpos - b.cds_from AS cpos, CASE WHEN strand = '-' THEN translate(ref, 'ACGT', 'TGCA') ELSE ref END AS b0, CASE WHEN strand = '-' THEN translate(alt, 'ACGT', 'TGCA') ELSE alt END AS b1
+  FROM p JOIN b USING (acc) JOIN txseq q USING (acc) WHERE p.tpos - b.cds_from >= 0 AND p.tpos - b.cds_from < b.cds_len),
+m AS (SELECT *, cpos // 3 + 1 AS number, substr(seq, CAST(cds_from + cpos // 3 * 3 + 1 AS BIGINT), 3) AS codon FROM k WHERE substr(seq, CAST(tpos + 1 AS BIGINT), 1) = b0),
+n AS (SELECT *, substr(codon, 1, CAST(cpos % 3 AS BIGINT)) || b1 || substr(codon, CAST(cpos % 3 + 2 AS BIGINT)) AS mut FROM m),
+t AS (SELECT vid, acc, CAST(number AS BIGINT) AS number, {AA.format(c="codon")} AS aa0, {AA.format(c="mut")} AS aa1 FROM n)
+SELECT vid, acc, number, {SNV_CLASS} AS kind, CASE WHEN number = 1 AND aa0 <> aa1 THEN 'p.Met1?' WHEN aa0 = aa1 THEN 'p.' || {THREE.format(c="aa0")} || number || '=' ELSE 'p.' || {THREE.format(c="aa0")} || number || {THREE.format(c="aa1")} END AS change FROM t"""
+
+
+@query(CHAIN, "change", "tx", "txseq")
+def consequence_chain(spark, sf):
+    """Gene to transcript to structure to sequence to consequence, all from text files: variant, summary, GFF and FASTA files are
+    written from the derived rows to the shared folder and read by their readers."""
+    lines = {
+        "vcf": view(spark, sf, "change").selectExpr("concat_ws('\t', 'chr1', pos, vid, ref, alt, '.', 'PASS', concat('GENE=', gene), 'GT', '0/1') AS value"),
+        "gff": view(spark, sf, "tx").selectExpr("inline(array(struct('exon' AS kind, st AS a, en AS b, acc, gene, strand), struct('CDS' AS kind, greatest(st, cds_st) AS a, least(en, cds_en) AS b, acc, gene, strand)))")
+        .where("a <= b").selectExpr("concat_ws('\t', 'NC_000001.11', 'x', kind, a, b, '.', strand, '.', concat('ID=e;Parent=rna-', acc, ';gene=', gene)) AS value"),
+        "fasta": view(spark, sf, "txseq").selectExpr("concat('>', acc, ' derived\n', substr(seq, 1, 60), '\n', substr(seq, 61)) AS value"),
+    }
+    at = {name: new_path(spark, name) for name in (*lines, "summary")}
+    for name, rows in lines.items():
+        rows.write.text(at[name])
+    summary = view(spark, sf, "tx").where("CAST(substr(acc, 2) AS BIGINT) % 2 = 0 AND exon = 0").selectExpr("gene AS symbol", "'1' AS GRCh38_chr", "st AS chr_start", "en AS chr_end", "acc AS RefSeq_nuc")
+    sinks.write_tsv(summary, at["summary"])
+    variants = tables.read_vcf(spark, at["vcf"]).select(F.col("id").cast("long").alias("vid"), fields.info_text(F.col("info"), "GENE").alias("gene"), "pos", "ref", "alt")
+    gff = tables.read_gff(spark, at["gff"]).select("acc", "strand", "kind", "st", "en")
+    return consequence.protein_consequences(variants, tables.read_gene_summary(spark, at["summary"]).select("gene", "transcript"), gff, tables.read_fasta(spark, at["fasta"]))
+
+
+@query(""", a AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '-666' ELSE p_name END AS d FROM part), n AS (SELECT p_partkey, lower(CASE WHEN d IS NULL OR trim(d) IN ('', '-666') THEN 'BRD-' || p_partkey ELSE trim(d) END) AS compound FROM a)
+SELECT compound, count(*) AS n, CASE WHEN compound LIKE 'brd-%' THEN 'unnamed' WHEN max(CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 5 END) IS NOT NULL THEN CAST(max(CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 5 END) AS VARCHAR)
+  WHEN count(*) FILTER (p_partkey % 2 = 0) > 0 THEN '0' ELSE 'unknown' END AS phase FROM n GROUP BY compound""".replace(", a AS", "WITH a AS", 1))
+def cached_answers(spark, sf):
+    """Cached answers of services, kept as JSON files: hits of a signature with their compounds' names in one spelling, and the
+    highest clinical phase that a second service knows for each."""
+    hits_at, molecules_at = new_path(spark, "hits"), new_path(spark, "molecules")
+    part = view(spark, sf, "part")
+    desc = F.when(F.col("p_partkey") % 11 == 0, "-666").otherwise(F.col("p_name"))
+    sinks.write_json(part.select(F.col("p_partkey").cast("string").alias("sig_id"), desc.alias("pert_desc"), F.concat(F.lit("BRD-"), F.col("p_partkey").cast("string")).alias("pert_id")), hits_at)
+    hits_ = tables.read_signature_hits(spark, hits_at)
+    phase = F.when(F.col("p_partkey") % 3 > 0, (F.col("p_partkey") % 5).cast("string"))
+    known = part.withColumn("compound", nested.compound_name(desc, F.concat(F.lit("BRD-"), F.col("p_partkey").cast("string")))).groupBy("compound")
+    molecule = F.when(phase.isNotNull() | (F.col("p_partkey") % 2 == 0), F.struct(phase.alias("max_phase")))
+    sinks.write_json(known.agg(F.collect_list(molecule).alias("molecules")).withColumnRenamed("compound", "query"), molecules_at)
+    return nested.clinical_phases(hits_, tables.read_molecules(spark, molecules_at))
+
+
+@query(""", k AS (SELECT a, b, count(*) AS k FROM ps GROUP BY a, b), x AS (SELECT u.a, w.b, CAST(coalesce(k.k, 0) AS BIGINT) AS k FROM (SELECT DISTINCT a FROM ps) u CROSS JOIN (SELECT DISTINCT b FROM ps) w LEFT JOIN k ON k.a = u.a AND k.b = w.b)
+SELECT a, b, k, round((SELECT count(*) FROM x y WHERE y.a = x.a AND y.b <> x.b AND y.k >= x.k) * 1.0E0 / ((SELECT count(DISTINCT b) FROM ps) - 1), 9) AS p FROM x""", "ps")
+def overlap_against_others(spark, sf):
+    """For each two sets how many of the first one's other overlaps are at least as large."""
+    ps = view(spark, sf, "ps")
+    k = enrichment.overlaps(ps.select("a", "item"), ps.select("b", "item"), "item")
+    return enrichment.share_of_others(k, "a", "k").select("a", "b", "k", r9("p").alias("p"))
+
+
+@query(HYPER + """, z AS (SELECT p.a, p.b, round(least(0.0, ln(p.p)), 6) AS p FROM p), w AS (SELECT *, (SELECT count(*) FROM z y WHERE y.b = z.b AND y.p <= z.p) * 1.0E0 / (SELECT count(*) FROM z y WHERE y.b = z.b) AS share FROM z),
+f AS (SELECT p_brand AS a, max(p_size) % 5 AS phase FROM part WHERE p_partkey % 9 = 0 GROUP BY 1)
+SELECT w.a, w.b, CAST(x.k AS BIGINT) AS replicates, CAST(f.phase AS BIGINT) AS phase, round(w.share, 9) AS share FROM w JOIN x ON w.a = x.a AND w.b = x.b JOIN f ON f.a = w.a WHERE w.share <= 0.2 AND x.k > 0 AND f.phase = 4""", "ps")
+def specificity_table(spark, sf):
+    """Rare under the null, seen in a replicate, and in the last clinical phase."""
+    e = enriched(spark, sf).select("a", "b", F.col("k").alias("replicates"), F.round("log_p", 6).alias("p"))
+    phase = view(spark, sf, "part").where("p_partkey % 9 = 0").groupBy(F.col("p_brand").alias("a")).agg((F.max("p_size") % 5).cast("long").alias("phase"))
+    found = enrichment.null_share(e, "b", "p").where("share <= 0.2 AND replicates > 0").join(phase.where("phase = 4"), "a")
+    return found.select("a", "b", "replicates", "phase", r9("share").alias("share"))
+
+
+@query(" SELECT chrom, start, CASE WHEN cov_ratio > 1 THEN 4 * s / (1 - 2 * s) ELSE 4 * s / (1 + 2 * s) END AS share FROM (SELECT chrom, pos AS start, 1 + dp % 3 - 1.0E0 AS cov_ratio, (dp % 11) / 40.0E0 AS s FROM v) q WHERE CASE WHEN cov_ratio > 1 THEN 4 * s / (1 - 2 * s) ELSE 4 * s / (1 + 2 * s) END BETWEEN 0 AND 1", "v")
+def cell_shares(spark, sf):
+    """Share of cells with one copy more or less, where it is one."""
+    kind = F.when(F.col("dp") % 3 > 1, "gain").otherwise("loss")
+    s = view(spark, sf, "v").select("chrom", F.col("pos").alias("start"), windows.cell_share((F.col("dp") % 11) / 40, kind).alias("share"))
+    return s.where("share IS NOT NULL")

@@ -28,13 +28,13 @@ GAP = 65_536
 LINEAR = 14
 
 
+#: The six levels of the binning scheme of genomic indexes, as (first bin, shift).
+LEVELS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
+
+
 def bins(start: int, end: int) -> list[int]:
     """Index bins that may hold records overlapping [start, end), 0-based."""
-    found = [0]
-    for level, shift in enumerate((26, 23, 20, 17, 14)):
-        first = (8 ** (level + 1) - 1) // 7
-        found += range(first + (start >> shift), first + ((end - 1) >> shift) + 1)
-    return found
+    return [b for first, shift in LEVELS for b in range(first + (start >> shift), first + ((end - 1) >> shift) + 1)]
 
 
 @dataclass
@@ -99,6 +99,17 @@ def lines(file, first: int, last: int) -> Iterator[bytes]:
         yield rest
 
 
+def union(regions: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Regions that share a place as one, so that a record is read once."""
+    out: list[tuple[str, int, int]] = []
+    for chrom, start, end in sorted(regions):
+        if out and out[-1][0] == chrom and start <= out[-1][2] + 1:
+            out[-1] = chrom, out[-1][1], max(end, out[-1][2])
+        else:
+            out.append((chrom, start, end))
+    return out
+
+
 @dataclass
 class Part(InputPartition):
     chrom: str
@@ -125,6 +136,7 @@ class RegionReader(DataSourceReader):
             if not m or int(m[2]) > int(m[3]) or int(m[2]) < 1:
                 raise ValueError(f"not a region: {r}")
             self.regions.append((m[1], int(m[2]), int(m[3])))
+        self.regions = union(self.regions)
 
     def partitions(self) -> list[Part]:
         with opened(self.index) as file:
@@ -142,6 +154,8 @@ class RegionReader(DataSourceReader):
                     continue
                 pos = int(f[1])
                 if pos <= part.end and pos + len(f[3]) - 1 >= part.start:
+                    if any(c == part.chrom and pos <= e and pos + len(f[3]) - 1 >= b for c, b, e in self.regions if e < part.start):
+                        continue  # a long record that an earlier region gave
                     f += [None] * (10 - len(f))
                     yield (re.sub("^chr", "", f[0]), pos, *f[2:10])
 

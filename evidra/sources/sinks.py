@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -25,3 +25,8 @@ def append_log(df: DataFrame, path: str) -> None:
 def replace_state(df: DataFrame, path: str) -> None:
     """Overwrite a table; df must not read it."""
     df.write.mode("overwrite").parquet(path)
+
+
+def append_columns(table: DataFrame, path: str, **columns: Column) -> None:
+    """Write a table with columns appended to those that it has, in order."""
+    write_tsv(table.select("*", *[c.alias(n) for n, c in columns.items()]), path)

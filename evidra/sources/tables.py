@@ -100,6 +100,24 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_signature_hits(spark: SparkSession, path: str) -> DataFrame:
+    """Cached hits of a signature search: sig_id, pert_desc, pert_id, cell_id, score."""
+    return read_json_lines(spark, path, "sig_id string, pert_desc string, pert_id string, cell_id string, score double")
+
+
+def read_molecules(spark: SparkSession, path: str) -> DataFrame:
+    """Cached answers on compounds: query, molecules with their names and highest phases."""
+    return read_json_lines(spark, path, "query string, molecules array<struct<pref_name string, max_phase string>>")
+
+
+def read_targets(spark: SparkSession, path: str) -> DataFrame:
+    """Cached nested answers on targets, an error in one fails the read: symbol, effects, tractability, interactions."""
+    rows = read_json_lines(
+        spark, path, "symbol string, errors array<string>, effects array<double>, tractability array<struct<modality string, value boolean>>, interactions array<struct<drug string, approved boolean, types array<string>>>"
+    )
+    return rows.where(F.when(F.size("errors") > 0, F.raise_error(F.concat(F.lit("an answer is an error: "), F.get("errors", F.lit(0)))).cast("boolean")).otherwise(F.lit(True))).drop("errors")
+
+
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """path, length of the files below path whose name matches; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -28,16 +28,30 @@ def test_entry_points(spark):
 
 
 def test_motif_null_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
     from evidra.operators import motifs
 
-    rows = spark.createDataFrame([(1, "ACGTTGCAGTACGGTAACTTGC", 5, "G"), (2, "GGGG", 1, "A"), (3, "T", 1, "G")], "sid int, seq string, at int, base string")
-    got = {r.sid: (r.created, r.share) for r in motifs.motif_null(rows, draws=150, reach=6).collect()}
-    places = lambda s: {i for i in range(len(s) - 1) if s[i : i + 2] == "GT"}
+    seqs = ["CTCTCTTTCCTTCTCAGGCAGATAAGTACGTAAGTTTCTC", "GGGG", "T", "CCCTTTCCCTTTCCCAAGGG"]
+    rows = spark.createDataFrame([(i, s, 1 + len(s) // 3, b) for i, s in enumerate(seqs) for b in "ACGT"], "sid int, seq string, at int, base string")
+    draws, reach = 300, 9
+    got = {(r.sid, r.base): (r.created, r.share) for r in motifs.motif_null(rows, "sid", draws, reach).collect()}
+    consensus = ("AC", "A", "G", "G", "T", "AG", "A", "G", "T")
+
+    def made(seq, at, base):
+        new, n = seq[: at - 1] + base + seq[at:], 0
+        for i in range(len(new) - 1):
+            two, before = new[i : i + 2], new[max(0, i - 20) : i]
+            if two != seq[i : i + 2]:
+                n += two == "GT" and i >= 3 and i + 6 <= len(new) and sum(b in c for b, c in zip(new[i - 3 : i + 6], consensus, strict=True)) >= 6
+                n += two == "AG" and len(before) >= 12 and sum(b in "CT" for b in before) / len(before) >= 0.65
+        return n
+
+    some = 0
     for sid, seq, at, base in rows.collect():
-        new, hits = seq[: at - 1] + base + seq[at:], 0
-        for o, b in motifs.null_draws(150, 6, 20260912):
-            i = at + o
-            if 1 <= i <= len(seq):
-                other = "ACGT".replace(seq[i - 1], "")[b]
-                hits += bool(places(seq[: i - 1] + other + seq[i:]) - places(seq))
-        assert got[sid] == (len(places(new) - places(seq)), pytest.approx(hits / 150))
+        near = min(reach, max(at - 1, len(seq) - at))
+        offsets = [r.o for r in spark.range(1, draws + 1).select(motifs.draw(F.lit(sid), F.col("id"), F.lit(near), 20260912).alias("o")).collect()]
+        hits = sum(1 <= at + o <= len(seq) and seq[at + o - 1] != base and made(seq, at + o, base) > 0 for o in offsets)
+        some += hits
+        assert got[sid, base] == (made(seq, at, base), pytest.approx(hits / draws))
+    assert some > 0

@@ -78,6 +78,26 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
 
 
+def test_appended_columns_and_cached_targets(spark, tmp_path):
+    sinks.append_columns(spark.range(3).withColumn("s", F.lit("x")), str(tmp_path / "a"), twice=F.col("id") * 2)
+    got = tables.read_tsv(spark, str(tmp_path / "a"))
+    assert got.columns == ["id", "s", "twice"] and {r.twice for r in got.collect()} == {"0", "2", "4"}
+    (tmp_path / "t.json").write_text('{"symbol": "A", "effects": [1.5, null], "tractability": [{"modality": "m", "value": true}]}\n')
+    assert [(r.symbol, r.effects) for r in tables.read_targets(spark, str(tmp_path / "t.json")).collect()] == [("A", [1.5, None])]
+    (tmp_path / "e.json").write_text('{"errors": ["no such field"]}\n')
+    with pytest.raises(Exception, match="no such field"):
+        tables.read_targets(spark, str(tmp_path / "e.json")).collect()
+
+
+def test_overlapping_regions_give_a_record_once(spark, tmp_path):
+    records = [("chr1", 100 + 700 * i, "A" * (3000 if i % 50 == 3 else 1), "G") for i in range(200)]
+    indexed(tmp_path / "r.vcf.gz", records)
+    regions.register(spark)
+    some = [(1, 3000), (2000, 9000), (3500, 3600), (20000, 21000)]
+    got = spark.read.format("variant_regions").option("path", str(tmp_path / "r.vcf.gz")).option("regions", ";".join(f"1:{a}-{b}" for a, b in some)).load()
+    assert sorted(r.pos for r in got.collect()) == sorted(p for _, p, r, _ in records if any(p <= b and p + len(r) - 1 >= a for a, b in some))
+
+
 def block(data):
     packed = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = packed.compress(data) + packed.flush()
