@@ -1,18 +1,22 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-The mix is counted in blocks of BLOCK words. Blocks go to sources by the highest quotients target / (2 * given + 1),
-then in the same way from each source to its groups of shards (on the driver: sources times at most GROUPS rows) and
-from each group to its shards (a task per source and group); seats above what a shard can take go to others. A shard is a
-hash class of a source's documents, of about SHARD_WORDS of its words, so a rare source has few shards, and one that holds
-most words only has more. In a shard the documents of a source stand in a seeded order as one
-run of words that is divided into equal blocks; its quota takes every block as often as it goes round, and what is over
-as one run of blocks from a seeded start. So all but the run's first and last document are taken whole.
+The mix is counted in blocks of BLOCK words. Blocks go to sources by the highest quotients target / (2 * given + 1), then in
+the same way from each source to ranges of its shards and from each range to its shards; seats above what a shard can take go to
+others. A shard is a hash class of a source's documents, of about SHARD_WORDS of its words, so a rare source has few shards,
+and one that holds most words only has more. In a shard the documents of a source stand in a seeded order as one run of
+words that is divided into equal blocks; its quota takes every block as often as it goes round. What is over is a seeded
+choice of blocks, in stretches of STRETCH blocks, so that texts are not cut into single blocks: stretches are taken in an
+order that a seeded step and start give, the last of them in part.
 
 Targets: sources in code point order, null last, weigh WEIGHTS in turn and share SHARE of all words; a target stops at
 MOST times its source's words, the excess is shared again by weight among the others.
 
+Nothing grows on the driver: sources are a table, with targets by a few rounds of sums over it, and are dealt seats by CLASSES
+ranges of them on the driver and within each range in a task.
+
 Defined results: null or empty text: size 0, taken 0; null source: a source of its own; null doc_id: kept; repeated
-rows are counted one by one; empty table: no rows; columns of documents named like the plan's own come through unharmed.
+rows are counted one by one, and rows that differ in other columns only are told apart by these; empty table: no rows; columns
+of documents named like the plan's own come through unharmed.
 """
 
 from __future__ import annotations
@@ -34,27 +38,17 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BLOCK = 16
+STRETCH = 64
 SHARD_WORDS = 1 << 16
-GROUPS = 64
+#: Shards of a range, classes of sources, and sources up to which their numbers of shards are broadcast.
+RANGE = 1024
+CLASSES = 1024
+FEW_SOURCES = 100_000
 SEED = 20
+#: Steps of the stretches' orders; primes, so that each has no divisor in common with a number of stretches.
+STEPS = (2_147_483_647, 1_000_000_007, 1_073_741_789, 1_500_000_001, 998_244_353)
 #: Names that the plan of a mix uses.
-OWN = ("_size", "_source", "_order", "_shard", "_shards", "_words", "_quota", "_before", "_blocks", "_times", "_first", "_last", "_lo", "_hi", "_lo2", "_hi2", "source_size", "target", "taken")
-
-
-def targets(sizes: dict[str | None, int], share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> dict[str | None, float]:
-    """Each source's target in words."""
-    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    rest, open_, out = share * sum(sizes.values()), list(order), {}
-    while open_:
-        whole = sum(weight[s] for s in open_)
-        above = [s for s in open_ if rest * weight[s] / whole > most * sizes[s]]
-        if not above:
-            return out | {s: rest * weight[s] / whole for s in open_}
-        out |= {s: float(most * sizes[s]) for s in above}
-        rest -= sum(out[s] for s in above)
-        open_ = [s for s in open_ if s not in above]
-    return out
+OWN = ("_size", "_source", "_order", "_tie", "_shard", "_shards", "_words", "_quota", "_before", "_blocks", "_times", "_over", "_full", "_step", "_start", "_runs", "source_size", "target", "taken")
 
 
 def sainte_lague(weights: np.ndarray, seats: int) -> np.ndarray:
@@ -91,75 +85,100 @@ def capped(weights: np.ndarray, caps: np.ndarray, seats: int) -> np.ndarray:
 
 
 def sized(docs: DataFrame, seed: int = SEED, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """docs with their size in words and the keys of the mix: source as a string that is never null, shard, order."""
+    """docs with their size in words and the keys of the mix: source as a string that is never null, shard, order, tie."""
     h = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
-    rows = docs.withColumns({"_size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), "_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))})
-    shards = rows.groupBy("_source").agg(F.greatest(F.lit(1), F.ceil(F.sum("_size") / SHARD_WORDS)).cast("long").alias("_shards"))
-    # a row for each source
-    rows = rows.join(F.broadcast(cut(shards, "sources")), "_source").withColumn("_order", h).withColumn("_shard", F.pmod(h, F.col("_shards")))
-    return rows.select(*docs.columns, "_size", "_source", "_order", "_shard")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumns({"_size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), "_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t"))})
+    shards = cut(rows.groupBy("_source").agg(F.greatest(F.lit(1), F.ceil(F.sum("_size") / SHARD_WORDS)).cast("long").alias("_shards")), "sources")
+    if shards.count() <= FEW_SOURCES:
+        shards = F.broadcast(shards)
+    rows = rows.join(shards, "_source").withColumns({"_order": h, "_tie": F.xxhash64(*plain), "_shard": F.pmod(h, F.col("_shards"))})
+    return rows.select(*docs.columns, "_size", "_source", "_order", "_tie", "_shard")
 
 
 def blocks_of(block: int) -> F.Column:
     return F.greatest(F.lit(1), F.round(F.col("_words") / block)).cast("long")
 
 
-def quotas(rows: DataFrame, block: int = BLOCK, **shares) -> tuple[DataFrame, dict[str, int], dict[str, float]]:
-    """(_source, _shard, _words, _quota) in blocks, each source's size and target."""
-    shards = cut(rows.groupBy("_source", "_shard").agg(F.sum("_size").alias("_words")), "shards").withColumn("_group", F.pmod(F.col("_shard"), F.lit(GROUPS)))
-    shards = shards.withColumn("_cap", F.when(F.col("_words") > 0, blocks_of(block) * MOST).otherwise(0))
-    groups = shards.groupBy("_source", "_group").agg(F.sum("_words").alias("w"), F.sum("_cap").alias("cap")).orderBy("_source", "_group").collect()  # sources * GROUPS at most
-    sizes: dict[str, int] = {}
-    for g in groups:
-        sizes[g["_source"]] = sizes.get(g["_source"], 0) + g.w
-    names = {s: None if s == "n" else s[1:] for s in sizes}
-    goal = targets({names[s]: n for s, n in sizes.items()}, **shares)
-    target = {s: goal[names[s]] for s in sizes}
-    of = dict(zip(sizes, sainte_lague(np.array([target[s] for s in sizes]), round(sum(target.values()) / block)), strict=True))
-    given = []
-    for s in sizes:
-        own = [g for g in groups if g["_source"] == s]
-        given += [(s, g["_group"], int(n)) for g, n in zip(own, capped(np.array([g.w for g in own]), np.array([g.cap for g in own]), of[s]), strict=True)]
-    spark = rows.sparkSession
-    ship(spark)
-    seats = spark.createDataFrame(given, "_source string, _group long, _seats long")
+def placed(table: DataFrame, order: str) -> DataFrame:
+    """table with place, its rows' numbers from 0 in the order of a column of distinct values; no task sorts all rows."""
+    place = F.monotonically_increasing_id()  # the partition, then the row in it
+    parts = table.sparkSession.sparkContext.defaultParallelism
+    ranged = table.repartitionByRange(parts, order).sortWithinPartitions(order).select("*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
+    ranged = cut(ranged, "placed")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each partition
+    before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    return ranged.join(before, "_part").withColumn("place", F.col("_earlier") + F.col("_row")).drop("_part", "_row", "_earlier")
+
+
+def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """sizes (_source, source_size) with place and target in words, as a table."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = cut(placed(sizes, "_source").withColumn("_weight", weight), "weights")
+    full = most * F.col("source_size")
+    rate, closed = 0.0, None
+    all_ = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    while True:  # each round the targets that stop free some words for the others, until none more stops
+        above = F.col("_weight") * rate > full
+        r = rows.agg(F.sum(F.when(above, full)).alias("closed"), F.sum(F.when(~above, F.col("_weight"))).alias("open"), F.count_if(above).alias("n")).first()
+        if not r.open or r.n == closed:
+            break
+        rate, closed = (all_ - (r.closed or 0.0)) / r.open, r.n
+    return cut(rows.withColumn("target", F.least(F.col("_weight") * rate, full).cast("double")).drop("_weight"), "targets")
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_shard")
-        return pdf.assign(_quota=capped(pdf["_words"].to_numpy(), pdf["_cap"].to_numpy(), int(pdf["_seats"].iloc[0])))[["_source", "_shard", "_words", "_quota"]]
 
-    dealt = shards.join(seats, ["_source", "_group"]).groupBy("_source", "_group").applyInPandas(deal, "_source string, _shard long, _words long, _quota long")
-    return dealt, sizes, target
+def deal(df: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+    """Seats of each group of df (the same in all its rows) to its rows, by weight w and at most cap each, in order of keep."""
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("seats", T.LongType())])
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(keep)
+        return pdf.assign(seats=capped(pdf["w"].to_numpy(float), pdf["cap"].to_numpy(), int(pdf["seats"].iloc[0])))[[*keep, "seats"]]
 
-def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED, key: str = "doc_id", **shares) -> DataFrame:
-    """rows (of sized) with source_size, target, taken, and what to take: _times whole, then words from _lo to _hi, and
-    from _lo2 to _hi2 where the run of blocks goes round the shard's end."""
-    dealt, sizes, target = quotas(rows.select("_source", "_shard", "_size"), block, **shares)
+    ship(df.sparkSession)
+    return df.groupBy(*by).applyInPandas(run, schema)
+
+
+def quotas(rows: DataFrame, block: int = BLOCK, **shares) -> DataFrame:
+    """(_source, _shard, _words, _quota in blocks, source_size, target), as a table."""
     spark = rows.sparkSession
-    of = spark.createDataFrame([(s, sizes[s], target[s]) for s in sizes], "_source string, source_size long, target double")
-    w = Window.partitionBy("_source", "_shard").orderBy("_order", F.col(key), "_size").rowsBetween(Window.unboundedPreceding, -1)
+    shards = rows.groupBy("_source", "_shard").agg(F.sum("_size").alias("_words")).withColumn("cap", F.when(F.col("_words") > 0, blocks_of(block) * MOST).otherwise(0))
+    shards = cut(shards.withColumn("_range", F.expr(f"_shard div {RANGE}")), "shards")
+    ranges = cut(shards.groupBy("_source", "_range").agg(F.sum("_words").alias("w"), F.sum("cap").alias("cap")), "ranges")
+    sources = targets(ranges.groupBy("_source").agg(F.sum("w").alias("source_size")), **shares)
+    wide = sources.count() // CLASSES + 1
+    caps = ranges.groupBy("_source").agg(F.sum("cap").alias("cap"))
+    goals = cut(sources.join(caps, "_source").select("_source", F.expr(f"place div {wide}").alias("class"), F.col("target").alias("w"), "cap"), "goals")
+    classes = goals.groupBy("class").agg(F.sum("w").alias("w"), F.sum("cap").alias("cap")).orderBy("class").collect()  # CLASSES rows at most
+    w = np.array([c.w for c in classes], float)
+    seats = capped(w, np.array([c.cap for c in classes], np.int64), round(w.sum() / block)).tolist()
+    of_class = spark.createDataFrame([(c["class"], n) for c, n in zip(classes, seats, strict=True)], "class long, seats long")
+    of_source = cut(deal(goals.join(of_class, "class"), ["class"], ["_source"]), "seats")
+    of_range = cut(deal(ranges.join(of_source, "_source"), ["_source"], ["_source", "_range"]), "seats")
+    of_shard = deal(shards.withColumn("w", F.col("_words")).join(of_range, ["_source", "_range"]), ["_source", "_range"], ["_source", "_shard", "_words"])
+    return cut(of_shard.withColumnRenamed("seats", "_quota").join(sources.select("_source", "source_size", "target"), "_source"), "quotas")
+
+
+def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED, key: str = "doc_id", **shares) -> DataFrame:
+    """rows (of sized) with source_size, target, taken, and what to take: _times whole, then the words of _runs (lo, hi)."""
+    dealt = quotas(rows.select("_source", "_shard", "_size"), block, **shares)
+    # the shard's plan: rounds, blocks over, and of its whole stretches how many come whole
+    h = F.xxhash64(F.lit(seed), "_source", "_shard")
     plan = (
-        rows.withColumn("_before", F.coalesce(F.sum("_size").over(w), F.lit(0)))
-        .join(cut(dealt.join(of, "_source"), "quotas"), ["_source", "_shard"])
-        .withColumn("_blocks", blocks_of(block))
-        .withColumn("_quota", F.least("_quota", F.col("_blocks") * MOST))
-        .withColumn("_times", F.expr("_quota div _blocks"))
-        .withColumn("_first", F.pmod(F.xxhash64(F.lit(seed), "_source", "_shard"), F.col("_blocks")))
-        .withColumn("_last", F.col("_first") + F.col("_quota") % F.col("_blocks"))
-    )
-    at = "(_words * {} div _blocks)"
-    a, b, c = at.format("_first"), at.format("least(_last, _blocks)"), at.format("greatest(_last - _blocks, 0)")
-    return plan.selectExpr(
-        *[c for c in rows.columns],
-        "source_size",
-        "target",
-        "_times",
-        f"greatest(0, least(_size, {a} - _before)) AS _lo",
-        f"greatest(0, least(_size, {b} - _before)) AS _hi",
-        "0L AS _lo2",
-        f"greatest(0, least(_size, {c} - _before)) AS _hi2",
-    ).withColumn("taken", F.expr("_times * _size + (_hi - _lo) + _hi2"))
+        dealt.withColumn("_blocks", blocks_of(block)).withColumn("_times", F.expr("_quota div _blocks")).withColumn("_over", F.expr("_quota % _blocks")).withColumn("_full", F.expr(f"_blocks div {STRETCH}"))
+        .withColumn("_step", F.element_at(F.array(*[F.lit(x) for x in STEPS]), (F.pmod(h, F.lit(len(STEPS))) + 1).cast("int"))).withColumn("_start", F.shiftrightunsigned(h, 8) % 1_000_003)
+    )
+    w = Window.partitionBy("_source", "_shard").orderBy("_order", F.col(key), "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.withColumn("_before", F.coalesce(F.sum("_size").over(w), F.lit(0))).join(plan, ["_source", "_shard"])
+    # stretch s is the (s * step + start mod full)-th to be taken; what is left behind the whole stretches comes last
+    place = "IF(s < _full, (s * CAST(_step AS BIGINT) + _start) % _full, _full)"
+    taken = f"least({STRETCH}, greatest(0, _over - {STRETCH} * ({place})))"
+    word = "(_words * least(_blocks, {}) div _blocks)"
+    run = f"struct(greatest(0, {word.format(f's * {STRETCH}')} - _before) AS lo, least(_size, {word.format(f's * {STRETCH} + {taken}')} - _before) AS hi)"
+    at = f"(({{}}) * _blocks div _words) div {STRETCH}"
+    near = f"sequence(greatest(0, {at.format('_before')} - 1), {at.format('_before + _size')} + 1)"
+    runs = F.expr(f"IF(_size > 0 AND _over > 0, filter(transform({near}, s -> {run}), r -> r.hi > r.lo), array())")
+    return whole.withColumn("_runs", runs).select(*rows.columns, "source_size", "target", "_times", "_runs").withColumn("taken", F.expr("_times * _size + aggregate(_runs, 0L, (t, r) -> t + r.hi - r.lo)"))
 
 
 def mixed_texts(docs: DataFrame, seed: int = SEED, text: str = "text", source: str = "source", key: str = "doc_id", n_chars: str = "n_chars", **shares) -> DataFrame:
@@ -167,21 +186,22 @@ def mixed_texts(docs: DataFrame, seed: int = SEED, text: str = "text", source: s
     for each run of words that it takes more. Nothing is left of documents that it does not take."""
     docs, back = set_aside(docs, *OWN)
     kept = docs.columns
-    planned = mix(sized(docs, seed, text, source, key), seed=seed, key=key, **shares).select(*kept, "_size", "_times", "_lo", "_hi", "_lo2", "_hi2")
+    planned = mix(sized(docs, seed, text, source, key), seed=seed, key=key, **shares).select(*kept, "_size", "_times", "_runs")
     schema = T.StructType([docs.schema[c] for c in kept])
     word = re.compile(WORD)
 
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for some in slices(batch, 256):
-                rows, texts, of = [], [], zip(*(some.column(c).to_pylist() for c in (text, "_size", "_times", "_lo", "_hi", "_lo2", "_hi2")), strict=True)
-                for i, (t, size, times, *runs) in enumerate(of):
+                rows, texts, of = [], [], zip(*(some.column(c).to_pylist() for c in (text, "_size", "_times", "_runs")), strict=True)
+                for i, (t, size, times, runs) in enumerate(of):
                     texts += [t] * (times if size else 0)
-                    for lo, hi in (runs[:2], runs[2:]):
-                        if hi - lo == size > 0:
+                    spans = None
+                    for lo, hi in merged([(r["lo"], r["hi"]) for r in runs]):
+                        if hi - lo == size:
                             texts.append(t)
-                        elif hi > lo:
-                            spans = [m.span() for m in word.finditer(t)]
+                        else:
+                            spans = spans or [m.span() for m in word.finditer(t)]
                             texts.append(t[spans[lo][0] : spans[hi - 1][1]])
                     rows += [i] * (len(texts) - len(rows))
                 taken = some.take(pa.array(rows, pa.int64()))
@@ -189,3 +209,14 @@ def mixed_texts(docs: DataFrame, seed: int = SEED, text: str = "text", source: s
                 yield out | ({n_chars: [len(t) if t is not None else None for t in texts]} if n_chars in kept else {})
 
     return back(map_batches(planned, schema, take))
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs with those that follow on another as one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in runs:
+        if out and out[-1][1] == lo:
+            out[-1] = out[-1][0], hi
+        else:
+            out.append((lo, hi))
+    return out

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 from conftest_llm import SF, docs_frame
+from pyspark.sql import functions as F
 
 from evidra.llm import chat, components, embed_dedup, minhash, mixing, pii, quality, queries, topk
 
@@ -596,6 +597,39 @@ def test_quality_gradients():
         assert abs((up - down) / 2e-3 - grads[name].reshape(-1)[at]) < 0.05 * abs(grads[name].reshape(-1)[at]) + 1e-3
 
 
+# ---------------------------------------------------------------- odd inputs of all operators
+
+
+def test_columns_that_clash_do_no_harm(spark):
+    """Extra columns named like the operators' own, in other letter cases too."""
+    own = ["Entities", "N_ENTITIES", "SCORE", "Predicted", "_size", "_Runs", "taken", "node", "print", "keys", "component", "tile", "k", "n", "part", "text_hash", "dim", "grp", "t", "h"]
+    docs = spark.createDataFrame([(i, f"some words of text {i % 3} and a.b@c.de", "s") for i in range(9)], "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.lit("x").alias(c) for c in own])
+    private = pii.surrogates(docs, b"k")
+    assert {c for c in private.columns if c.lower() in ("entities", "n_entities")} == {"entities", "n_entities"} and {r.n_entities for r in private.collect()} == {1} and {r.SCORE for r in private.collect()} == {"x"}
+    scored = quality.score(docs, None)
+    assert {(r.score, r.predicted, r._size) for r in scored.collect()} == {(0.5, 1, "x")} and len(scored.columns) == len(docs.columns)
+    assert mixing.mixed_texts(docs).columns == docs.columns and {r.taken for r in mixing.mixed_texts(docs).collect()} == {"x"}
+    assert {r.component_id for r in minhash.near_duplicates(docs).collect()} == {0, 1, 2}
+    turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text", *[c for c in own if c != "t"], F.lit("x").alias("a"), F.lit("x").alias("line"))
+    assert chat.format_chats(turns).count() == 3
+    vec = docs.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"), F.lit(1).alias("label"), *own)
+    assert topk.top_k(vec, vec.where("vec_id = 0")).count() == 5 and embed_dedup.near_duplicates(vec).count() == 9
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(250_000)]
+    long = " ".join(words)
+    other = " ".join(words[:-100] + ["x"] * 100)
+    docs = docs_frame(spark, [long, other, "a b c d e f"])
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 2}
+    taken = {r.doc_id: (r["_size"], r.taken) for r in mixing.mix(mixing.sized(docs)).collect()}
+    assert taken[0][0] == 250_000 and abs(sum(t for _, t in taken.values()) - 1.5 * 500_006) <= 32
+    turns = spark.createDataFrame([(1, 0, "user", long), (2, 0, "user", long), (2, 1, "assistant", other)], "conv_id long, turn long, role string, text string")
+    assert [(r.conv_id, len(r.text) > 3_000_000) for r in chat.format_chats(turns).collect()] == [(2, True)]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
