@@ -46,13 +46,13 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = mixing.cut(mixing.sized(docs).select("doc_id", "_size", "_source", "_order", "_shard"), "sizes")
+    sized = mixing.cut(mixing.sized(docs).select("doc_id", "_size", "_source", "_order", "_tie", "_shard"), "sizes")
     return mixing.mix(sized).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_shards(table(spark, sf_dir, "documents"), sstable.folder(spark))
-    docs = sstable.read_shards(spark, manifest)
+    docs = sstable.read_shards(manifest)
     return docs.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

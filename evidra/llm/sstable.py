@@ -10,13 +10,14 @@ A shard file is: data blocks, a block index, a Bloom filter, a footer.
 - Bloom filter: number of hashes (uint32), number of bits (uint64), bits.
 - Footer, 56 bytes: index offset and length, filter offset and length, entries, ids (uint64 each), magic.
 
-Shards come from a range partitioning by (doc_id, hash of the text); each task streams its sorted rows into a file of
-its own name in the shared folder, so a retried or speculated task never touches another's file, and only files named in
-the returned manifest count. Texts are encoded after the exchange, once. A shard holds about SHARD_ROWS documents.
-Reading streams one block at a time. The ids before a shard follow from the manifest alone (one row per shard).
+Shards come from a range partitioning by (doc_id, hash of the text); each task streams its sorted rows into files of
+its own names in the shared folder, a new one after SHARD_BYTES of ids, so a retried or speculated task never touches another's
+file, and only files named in the manifest count. Tasks take LEAST_BYTES of text each, or more, up to TASK_BYTES, where that would
+be over MANY_TASKS tasks. Texts are encoded after the exchange, once. Reading streams one block at a time. The manifest is a table with a row
+for each shard; the ids before a shard are running sums over it, by ranges of partitions.
 
 Defined results: null text: empty; null doc_id: sorts first and reads back as null; equal doc_ids stand in order of
-their texts' hashes; an empty table gives no shards and no rows.
+their texts' hashes; an empty table gives no shards and no rows; other columns, whatever their names, are not written.
 """
 
 from __future__ import annotations
@@ -30,24 +31,30 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm.common import map_batches, new_path, slices
+from evidra.llm.common import cut, map_batches, new_path, slices
 from evidra.llm.tokens import default_path, encoder
 
-SHARD_ROWS = 8192
+SHARD_BYTES = 64 << 20
+TASK_BYTES = 256 << 20
+LEAST_BYTES = 16 << 20
+MANY_TASKS = 20_000
+#: Partitions whose ids are summed as one range.
+RANGE = 1024
 BLOCK_BYTES = 64 << 10
 BITS_PER_KEY = 10
 HASHES = 7
 RUN = 256
-MAGIC = b"EVSST002"
+MAGIC = b"EVSST003"
 FOOTER = struct.Struct("<6Q8s")
 
 MANIFEST = T.StructType(
-    [T.StructField("path", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("first_doc", "last_doc", "part", "docs", "ids", "bytes")]
+    [T.StructField("path", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("first_doc", "last_doc", "part", "shard", "docs", "ids", "bytes")]
 )
 
 
@@ -59,8 +66,9 @@ def from_key(key: bytes) -> int | None:
     return struct.unpack(">Q", key)[0] - 2**63 if key else None
 
 
-def bloom_bits(key: bytes, n_hashes: int, n_bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+def bloom_bits(key_hash: int, n_hashes: int, n_bits: int) -> list[int]:
+    """Places of a key by its 64-bit hash: the halves are two hashes that depend on every bit of the key."""
+    a, b = key_hash >> 32, key_hash & 0xFFFFFFFF | 1
     return [(a + i * b) % n_bits for i in range(n_hashes)]
 
 
@@ -102,7 +110,7 @@ class Writer:
         self.block += struct.pack("<BB", shared, len(key) - shared) + key[shared:] + struct.pack("<BI", width, len(ids) // 4) + data
         self.last = key
         self.entries += 1
-        self.keys.append(zlib.crc32(key) << 32 | zlib.crc32(key, 0x9E3779B9))
+        self.keys.append(xxhash.xxh64_intdigest(key))
         self.n_ids += len(ids) // 4
         self.n += 1
         if len(self.block) >= BLOCK_BYTES:
@@ -125,9 +133,7 @@ class Writer:
         n_bits = max(64, BITS_PER_KEY * self.n)
         bits = bytearray(-(-n_bits // 8))
         for x in self.keys:
-            a, b = x >> 32, x & 0xFFFFFFFF | 1
-            for i in range(HASHES):
-                bit = (a + i * b) % n_bits
+            for bit in bloom_bits(x, HASHES, n_bits):
                 bits[bit >> 3] |= 1 << (bit & 7)
         bloom = self.put(struct.pack("<IQ", HASHES, n_bits) + bytes(bits))
         self.put(FOOTER.pack(*index, *bloom, self.n, self.n_ids, MAGIC))
@@ -178,7 +184,7 @@ class Reader:
 
     def may_hold(self, key: bytes) -> bool:
         n_hashes, n_bits = struct.unpack("<IQ", self.read(self.bloom[0], 12))
-        return all(self.read(self.bloom[0] + 12 + (bit >> 3), 1)[0] >> (bit & 7) & 1 for bit in bloom_bits(key, n_hashes, n_bits))
+        return all(self.read(self.bloom[0] + 12 + (bit >> 3), 1)[0] >> (bit & 7) & 1 for bit in bloom_bits(xxhash.xxh64_intdigest(key), n_hashes, n_bits))
 
     def get(self, doc_id: int | None) -> list[bytes]:
         """The ids of every entry with this doc_id."""
@@ -195,43 +201,56 @@ class Reader:
         return found
 
 
-def write_shards(
-    docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, shard_rows: int = SHARD_ROWS, text: str = "text", key: str = "doc_id"
-) -> list[dict]:
-    """Write docs' ids into shards in folder; the manifest, in doc_id order, with the ids before each shard (start)."""
+def partitions(rows: int, size: int) -> int:
+    """How many tasks take rows of size bytes in all."""
+    return max(1, min(rows, max(math.ceil(size / TASK_BYTES), min(math.ceil(size / LEAST_BYTES), MANY_TASKS))))
+
+
+def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, shard_bytes: int = SHARD_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Write docs' ids into shards in folder; the manifest, a row for each shard, with the ids before it (start)."""
     path = path or default_path()
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         enc = encoder(path)
         writer = first = last = None
-        part = -1
+        part, shard = -1, 0
+
+        def done() -> dict:
+            size = writer.close()
+            return {k: [v] for k, v in zip(MANIFEST.fieldNames(), (writer.path, first, last, part, shard, writer.n, writer.n_ids, size), strict=True)}
+
         for batch in batches:
             for some in slices(batch, RUN):
                 docs, texts, parts = (some.column(c).to_pylist() for c in ("doc_id", "text", "part"))
-                if writer is None and docs:
-                    writer, first, part = Writer(f"{folder}/{uuid.uuid4().hex}.sst"), docs[0], parts[0]
                 for doc, ids in zip(docs, enc.encode([t or "" for t in texts]), strict=True):
+                    if writer is None:
+                        writer, first, part = Writer(f"{folder}/{uuid.uuid4().hex}.sst"), doc, parts[0]
                     writer.add(doc, ids + end)
                     last = doc
+                    if writer.n_ids * 4 >= shard_bytes:
+                        yield done()
+                        writer, shard = None, shard + 1
         if writer:
-            size = writer.close()
-            yield {k: [v] for k, v in zip(MANIFEST.fieldNames(), (writer.path, first, last, part, writer.n, writer.n_ids, size), strict=True)}
+            yield done()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    ranged = rows.repartitionByRange(max(1, math.ceil(docs.count() / shard_rows)), *order).sortWithinPartitions(*order)
-    shards = [r.asDict() for r in map_batches(ranged.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")), MANIFEST, run).collect()]
-    start = 0
-    for s in sorted(shards, key=lambda s: s["part"]):
-        s["start"], start = start, start + s["ids"]
-    return sorted(shards, key=lambda s: s["part"])
+    ranged = rows.repartitionByRange(partitions(n, size), *order).sortWithinPartitions(*order)
+    shards = cut(map_batches(ranged.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")), MANIFEST, run), "manifest")
+    shards = shards.withColumn("range", F.expr(f"part div {RANGE}"))
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each RANGE partitions
+    ranges = shards.groupBy("range").agg(F.sum("ids").alias("all")).select("range", F.coalesce(F.sum("all").over(before(Window.orderBy("range"))), F.lit(0)).alias("earlier"))
+    own = F.coalesce(F.sum("ids").over(before(Window.partitionBy("range").orderBy("part", "shard"))), F.lit(0))
+    return shards.withColumn("own", own).join(ranges, "range").select(*MANIFEST.fieldNames(), (F.col("earlier") + F.col("own")).alias("start"))
 
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
-def read_shards(spark: SparkSession, manifest: list[dict]) -> DataFrame:
+def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids, from the files."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -246,8 +265,8 @@ def read_shards(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                         start += len(ids) // 4
                     yield out
 
-    files = spark.createDataFrame([(s["path"], s["start"]) for s in manifest], "path string, start long")
-    return map_batches(files.repartition(max(1, len(manifest))), DOCS, run)
+    files = cut(manifest.select("path", "start"), "files")
+    return map_batches(files.repartition(max(1, files.count())), DOCS, run)
 
 
 def folder(spark: SparkSession) -> str:
