@@ -2,13 +2,13 @@
 
 Tier one is a compact table of the lengths of frequent pre-tokens, broadcast to all workers; tier two is each worker's
 own bounded cache, which encodes what the table misses through the tokenizer's library. No pre-token is shuffled: each
-document is counted where it is read. The table only saves work. It comes from a bounded random sample of documents and
-holds a bounded number of entries (SAMPLE_ROWS, TABLE_ENTRIES); every pre-token of every whole text is counted whether
-or not the table has it.
+document is counted where it is read. The table only saves work. It comes from all documents: each task tallies its own
+in bounded memory and gives its TASK_ENTRIES most frequent ones, and the sums of these decide on TABLE_ENTRIES entries. Every
+pre-token of every whole text is counted whether or not the table has it.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a null doc_id is kept; repeated rows are counted one
-by one; an empty table gives an empty result; further columns of the input pass through unless their names clash with
-the added ones, which then replace them.
+by one; an empty table gives an empty result; further columns of the input pass through unless their names, in whatever
+case, clash with the added ones, which then replace them.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm.common import map_batches, slices
+from evidra.llm.common import map_batches, slices, without
 from evidra.llm.tokens import LONGEST_KEPT, default_path, encoder
 
-SAMPLE_ROWS = 2_000
-SAMPLE_PARTS = 8
 TABLE_ENTRIES = 20_000
+#: Entries of a task's tally that it gives, and that it holds before the rarer half go.
+TASK_ENTRIES, HELD_ENTRIES = 8_192, 100_000
 #: A text held in Python at once, in rows.
 RUN = 256
 
@@ -43,28 +43,24 @@ ADDED = T.StructType(
 
 
 def frequent_lengths(docs: DataFrame, text: str, path: str) -> tuple[bytes, np.ndarray]:
-    """The most frequent pre-tokens of a bounded sample, as one byte string joined by zero bytes, and their lengths;
-    long ones are left to the second tier."""
-    rows = docs.count()
-    sample = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
-    if rows > SAMPLE_ROWS:
-        sample = sample.sample(fraction=SAMPLE_ROWS / rows, seed=1)
+    """The most frequent pre-tokens, as one byte string joined by zero bytes, and their lengths; long ones are left to the
+    second tier."""
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         enc, n = encoder(path), Counter()
         for batch in batches:
             for some in slices(batch, RUN):
                 for t in some.column(0).to_pylist():
-                    n.update(p for p in enc.pieces(t) or () if len(p) <= LONGEST_KEPT and "\0" not in p)
-        top = n.most_common(TABLE_ENTRIES)
+                    n.update([p for p in enc.pieces(t) or () if len(p) <= LONGEST_KEPT])
+                if len(n) > HELD_ENTRIES:
+                    n = Counter(dict(n.most_common(HELD_ENTRIES // 2)))
+        top = [(p, k) for p, k in n.most_common(TASK_ENTRIES) if "\0" not in p]
         if top:
             yield {"piece": [p for p, _ in top], "n": [k for _, k in top]}
 
     of = T.StructType([T.StructField("piece", T.StringType()), T.StructField("n", T.LongType())])
-    total: Counter = Counter()
-    for piece, n in map_batches(sample.repartition(SAMPLE_PARTS), of, tally).collect():  # SAMPLE_PARTS * TABLE_ENTRIES rows at most
-        total[piece] += n
-    pieces = [p for p, _ in total.most_common(TABLE_ENTRIES)]
+    tallies = map_batches(docs.select(F.col(text).alias("text")).where("text IS NOT NULL"), of, tally)
+    pieces = [r.piece for r in tallies.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "piece").limit(TABLE_ENTRIES).collect()]
     lengths = [len(x) // 4 for x in encoder(path).encode(pieces)]
     return "\0".join(pieces).encode(), np.array(lengths, dtype="<u2")
 
@@ -73,7 +69,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", l
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit) for the tokenizer file at path."""
     path = path or default_path()
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text, path))
-    kept = [c for c in docs.columns if c not in ADDED.fieldNames()]
+    kept = without(docs, *ADDED.fieldNames())
     schema = T.StructType([docs.schema[c] for c in kept] + ADDED.fields)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
