@@ -4,12 +4,14 @@ Each byte has a fixed code: its class (capital, small letter, digit, blank, othe
 pseudo-random numbers. Learned filters of WIDTH bytes move over the whole document by STRIDE. Chunks of two units of UNIT
 bytes overlap by half and cover the document from its first byte to its last; a filter's value in a chunk is its maximum
 there. Means, maxima and minima over the chunks go through one hidden layer into one probability. Training runs on the driver on
-at most TRAIN_ROWS labelled documents of at most TRAIN_BYTES each, a fixed number of steps; scoring is one narrow pass
-that holds a few documents' bytes at a time. Labels, languages, sources and ids are never inputs.
+at most TRAIN_ROWS labelled documents of at most TRAIN_BYTES each and TRAIN_ALL in all, a fixed number of steps; scoring is one
+narrow pass that holds a few documents' bytes at a time and goes through a long one in runs of RUN_BYTES, keeping sums, maxima
+and minima over its chunks. Labels, languages, sources and ids are never inputs.
 
 Defined results: null and empty texts get the score of a document without bytes; without any labelled row the score is
 0.5; with one class only, the network learns that class; null labels are left out; repeated rows are scored one by one;
-an empty table gives no rows; further columns pass through unless their names clash with score and predicted.
+an empty table gives no rows; further columns pass through unless their names, in whatever case, clash with score and
+predicted.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm.common import map_batches, slices
+from evidra.llm.common import map_batches, slices, without
 
 WIDTH, STRIDE, UNIT, FILTERS, HIDDEN = 16, 8, 256, 32, 16
-TRAIN_ROWS, TRAIN_BYTES = 2_000, 100_000
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_ALL = 2_000, 1 << 20, 64 << 20
 STEPS, BATCH = 1200, 16
 #: Bytes scored at once.
 RUN_BYTES = 1 << 18
@@ -65,14 +67,12 @@ class Network:
         first = np.concatenate([[0], np.cumsum(units)[:-1]])
         for t, f in zip(texts, first, strict=True):
             data[f * UNIT : f * UNIT + len(t)] = np.frombuffer(t, np.uint8)
-        x = CODES[data]
-        n, e = units.sum() * UNIT // STRIDE, x.shape[1]
-        windows = np.lib.stride_tricks.as_strided(x, (n, WIDTH * e), (STRIDE * e * 4, 4))
+        windows = self.windows(data, units.sum())
         z = windows @ p["w"]
         # a document's last window ends beyond its units: it sees PAD there, not the next document
         ends = (first + units) * (UNIT // STRIDE) - 1
         tail = windows[ends]
-        tail[:, STRIDE * e :] = 0
+        tail[:, STRIDE * CODES.shape[1] :] = 0
         z[ends] = tail @ p["w"]
         z = z.reshape(-1, UNIT // STRIDE, FILTERS)
         unit = z.max(1)
@@ -89,12 +89,38 @@ class Network:
         mean = np.add.reduceat(own, starts) / counts[:, None]
         top, low = np.maximum.reduceat(own, starts), np.minimum.reduceat(own, starts)
         f = np.hstack([mean, top, low]).astype(np.float32)
-        h = np.maximum(f @ p["v"] + p["c"], 0)
-        out = 1 / (1 + np.exp(-np.clip((h @ p["u"] + p["d"])[:, 0].astype(np.float64), -40, 40)))
+        h, out = self.head(f)
         if not keep:
             return out
         return out, {"windows": windows, "ends": ends, "tail": tail, "z": z, "unit": unit, "after": after, "right": right, "own": own, "use": use, "counts": counts, "top": top, "low": low, "f": f, "h": h}
 
+    def windows(self, data: np.ndarray, units: int) -> np.ndarray:
+        """The codes in each window of so many units; data goes on for a window's overhang."""
+        x = CODES[data]
+        e = x.shape[1]
+        return np.lib.stride_tricks.as_strided(x, (units * UNIT // STRIDE, WIDTH * e), (STRIDE * e * 4, 4))
+
+    def head(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = np.maximum(f @ self.p["v"] + self.p["c"], 0)
+        return h, 1 / (1 + np.exp(-np.clip((h @ self.p["u"] + self.p["d"])[:, 0].astype(np.float64), -40, 40)))
+
+    def long(self, text: bytes) -> float:
+        """The probability for one text of two units or more, of which only RUN_BYTES at a time are turned into windows."""
+        units, per = -(-len(text) // UNIT), RUN_BYTES // UNIT
+        total, top, low, before = np.zeros(FILTERS), np.zeros(FILTERS, np.float32), np.full(FILTERS, np.inf, np.float32), None
+        for at in range(0, units, per):
+            n = min(per, units - at)
+            data = np.full(n * UNIT + WIDTH, PAD, np.int64)
+            own = np.frombuffer(text[at * UNIT : (at + n) * UNIT + WIDTH - STRIDE], np.uint8)
+            data[: len(own)] = own
+            unit = (self.windows(data, n) @ self.p["w"]).reshape(-1, UNIT // STRIDE, FILTERS).max(1)
+            unit = unit if before is None else np.vstack([before, unit])
+            before = unit[-1:]
+            chunk = np.maximum(np.maximum(unit[:-1], unit[1:]) + self.p["b"], 0)
+            if len(chunk):
+                total, top, low = total + chunk.sum(0, dtype=np.float64), np.maximum(top, chunk.max(0)), np.minimum(low, chunk.min(0))
+        return float(self.head(np.hstack([total / (units - 1), top, low]).astype(np.float32)[None])[1][0])
+
     def gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         out, k = self.forward(texts, keep=True)
@@ -145,7 +171,9 @@ class Network:
             if t is None or held + len(t) > RUN_BYTES:
                 out += self.forward(run).tolist() if run else []
                 run, held = [], 0
-            if t is not None:
+            if t is not None and len(t) > RUN_BYTES:
+                out.append(self.long(t))
+            elif t is not None:
                 run.append(t)
                 held += len(t) + UNIT
         return out
@@ -158,16 +186,19 @@ def held_out(key: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id") -> Network | None:
     """A network fitted on a bounded, seeded sample of the labelled documents that are not held out."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    some = usable.orderBy(F.xxhash64("k"), "k", "y").limit(TRAIN_ROWS)
+    order = [F.xxhash64("k"), "k", "y"]
+    some = usable.orderBy(*order).limit(TRAIN_ROWS)
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") <= TRAIN_BYTES)
     # some has TRAIN_ROWS rows at most; a repeated key may join more documents, hence the second limit
-    rows = texts.join(F.broadcast(some), "k").orderBy(F.xxhash64("k"), "k", "y", "t").limit(TRAIN_ROWS).collect()
+    rows = texts.join(F.broadcast(some), "k").orderBy(*order, "t").limit(TRAIN_ROWS)
+    size = F.sum(F.octet_length("t")).over(Window.orderBy(*order, "t").rowsBetween(Window.unboundedPreceding, 0))  # TRAIN_ROWS rows
+    rows = rows.withColumn("_size", size).where(F.col("_size") <= TRAIN_ALL).orderBy(*order, "t").collect()
     return Network().fit([r.t.encode() for r in rows], [r.y for r in rows]) if rows else None
 
 
 def score(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
     """docs with score and predicted (score >= 0.5)."""
-    kept = [c for c in docs.columns if c not in ADDED.fieldNames()]
+    kept = without(docs, *ADDED.fieldNames())
     schema = T.StructType([docs.schema[c] for c in kept] + ADDED.fields)
     shared = docs.sparkSession.sparkContext.broadcast(network)  # a few ten thousand numbers
 
