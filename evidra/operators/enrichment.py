@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,26 +18,37 @@ def overlaps(a: DataFrame, b: DataFrame, item: str = "gene", left: str = "a", ri
 
 
 def log_factorial(n: Column) -> Column:
-    """ln(n!) as an expression: exact values below 10, Stirling's series from there, to within 1e-12; null below 0."""
-    small = F.get(F.array(*[F.lit(math.log(math.factorial(k))) for k in range(10)]), F.least(n, F.lit(9)).cast("int"))
-    x = n.cast("double")
-    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
-    return F.when(n < 10, small).otherwise(series)
+    """ln(n!) as an expression without branches, to within 1e-11: Stirling's series for n + 8, less the logarithm of the eight
+    factors too many. n from 0."""
+    z = n.cast("double") + 8.0
+    r = 1 / (z * z)
+    series = (z + 0.5) * F.log(z) - z + math.log(2 * math.pi) / 2 + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / z
+    factors = z * (z - 1) * (z - 2) * (z - 3) * (z - 4) * (z - 5) * (z - 6) * (z - 7)
+    return series - F.log(factors)
 
 
 def hypergeometric_tail(tests: DataFrame, population: int) -> DataFrame:
     """tests (with k, marked, drawn) with p = P(X >= k) and log_p, its natural logarithm: X of drawn items are marked, where marked
-    of population are. Terms are summed relative to the largest, so that log_p holds where p is too small for a double."""
+    of population are. Only the largest term is computed by logarithms; from there each term follows from its neighbour's, up
+    and down, within the row. So log_p holds where p is too small for a double."""
     k, marked, drawn, n = F.col("k"), F.col("marked"), F.col("drawn"), F.lit(population)
-    lf = log_factorial
-    fixed = lf(marked) + lf(drawn) + lf(n - marked) + lf(n - drawn) - lf(n)
-    term = lambda i: F.col("_fixed") - lf(i) - lf(marked - i) - lf(drawn - i) - lf(n - marked - drawn + i)
-    rows = tests.withColumns({"_fixed": fixed, "_most": F.least(marked, drawn), "_least": F.greatest(k, marked + drawn - n, F.lit(0))})
+    rows = tests.withColumns({"_most": F.least(marked, drawn), "_least": F.greatest(k, marked + drawn - n, F.lit(0))})
     mode = F.floor((marked + 1) * (drawn + 1) / (n + 2))
-    rows = rows.withColumn("_top", term(F.greatest(F.col("_least"), F.least(F.col("_most"), mode))))
-    rows = rows.withColumn("_i", F.explode(F.when(F.col("_least") <= F.col("_most"), F.sequence("_least", "_most")).otherwise(F.array().cast("array<bigint>"))))
-    sums = rows.groupBy(*tests.columns).agg((F.max("_top") + F.log(F.sum(F.exp(term(F.col("_i")) - F.col("_top"))))).alias("log_p"))
-    return tests.join(sums, tests.columns, "left").withColumn("log_p", F.when(F.col("log_p").isNull(), -math.inf).otherwise(F.least(F.col("log_p"), F.lit(0.0)))).withColumn("p", F.exp("log_p"))
+    rows = rows.withColumn("_mode", F.greatest(F.col("_least"), F.least(F.col("_most"), mode)))
+    i, lf = F.col("_mode"), log_factorial
+    top = lf(marked) + lf(drawn) + lf(n - marked) + lf(n - drawn) - lf(n) - lf(i) - lf(marked - i) - lf(drawn - i) - lf(n - marked - drawn + i)
+    ratio = lambda i: (marked - i + 1).cast("double") * (drawn - i + 1) / (i * (n - marked - drawn + i))  # noqa: E731  of term i to term i - 1
+
+    def total(places: Column, onward: Callable[[Column, Column], Column]) -> Column:
+        """The sum of the terms that follow one another from 1 at the mode."""
+        step = lambda x, i: F.struct(onward(x["t"], i).alias("t"), (x["s"] + onward(x["t"], i)).alias("s"))
+        return F.aggregate(places, F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")), step)["s"]
+
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    up = total(span(i + 1, F.col("_most")), lambda t, i: t * ratio(i))
+    down = total(F.reverse(span(F.col("_least") + 1, i)), lambda t, i: t / ratio(i))
+    log_p = F.when(F.col("_least") <= F.col("_most"), F.least(F.lit(0.0), top + F.log(1 + up + down))).otherwise(F.lit(-math.inf))
+    return rows.withColumn("log_p", log_p).withColumn("p", F.exp("log_p")).drop("_most", "_least", "_mode")
 
 
 def null_share(tests: DataFrame, by: str, value: str, name: str = "share") -> DataFrame:
