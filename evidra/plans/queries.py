@@ -705,7 +705,7 @@ def dag_ready(spark, sf):
     return tasks.ready(edges, tasks_)
 
 
-@query(""", up AS (SELECT task, dep AS top, 1 AS depth FROM dag UNION ALL SELECT u.task, d.dep, u.depth + 1 FROM up u JOIN dag d ON u.top = d.task WHERE u.depth < 40)
+@query(""", up AS (SELECT task, dep AS top, 1 AS depth FROM dag UNION ALL SELECT u.task, d.dep, u.depth + 1 FROM up u JOIN dag d ON u.top = d.task)
 SELECT task, arg_max(top, depth) AS root, CAST(max(depth) AS INTEGER) AS depth FROM up GROUP BY task""", "dag", recursive=True)
 def dag_depth(spark, sf):
     return tasks.ancestors(spark, view(spark, sf, "dag").select("task", "dep"))

@@ -1,7 +1,9 @@
 """Batch source of variant records by region, from block-gzip files with a bin index.
 
 register(spark); spark.read.format("variant_regions").option("path", ...).option("regions",
-"1:1000-2000;X:5-9").load() gives the records that overlap the regions, 1-based and both ends included. The index prunes
+"1:1000-2000;X:5-9").load() gives the records that overlap the regions, 1-based and both ends included. Without that option the
+region comes from filters on chrom (equal) and pos (bounds), where spark.sql.python.filterPushdown.enabled is true; without either
+the read fails. The index prunes
 the file to chunks: bins of the region, less those that end before the linear index's offset; chunks with small gaps are
 read as one. Each merged chunk is a partition, so tasks read only their own byte ranges. A region is whole or the task
 fails: nothing that cannot be read looks absent. A record starts where the chunk's virtual offset says, so no line of a
@@ -14,11 +16,11 @@ import gzip
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from evidra.ship import ship
 
@@ -26,6 +28,8 @@ SCHEMA = "chrom string, pos long, id string, ref string, alt string, qual string
 #: Chunks whose gap in the file is at most this many bytes are read together.
 GAP = 65_536
 LINEAR = 14
+#: The last position that the bins reach.
+LAST = 1 << 29
 
 
 #: The six levels of the binning scheme of genomic indexes, as (first bin, shift).
@@ -130,7 +134,7 @@ class RegionReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
         self.index = options.get("index") or self.path + ".tbi"
-        self.regions = []
+        self.regions: list[tuple[str, int, int]] = []
         for r in filter(None, options.get("regions", "").split(";")):
             m = re.fullmatch(r"(?:chr)?([^:]+):([0-9]+)-([0-9]+)", r.strip())
             if not m or int(m[2]) > int(m[3]) or int(m[2]) < 1:
@@ -160,6 +164,35 @@ class RegionReader(DataSourceReader):
                     yield (re.sub("^chr", "", f[0]), pos, *f[2:10])
 
 
+class FilteredReader(RegionReader):
+    """Of a read without named regions. Spark refuses it where spark.sql.python.filterPushdown.enabled is false."""
+
+    pushed = False
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes the region from the filters; Spark still applies them all to the rows."""
+        chrom, low, high = None, 1, LAST
+        for f in filters:
+            match f:
+                case EqualTo(("chrom",), value):
+                    chrom = value
+                case EqualTo(("pos",), value):
+                    low, high = max(low, value), min(high, value)
+                case GreaterThanOrEqual(("pos",), value) | GreaterThan(("pos",), value):
+                    low = max(low, value)
+                case LessThanOrEqual(("pos",), value) | LessThan(("pos",), value):
+                    high = min(high, value)
+        if chrom is None:
+            raise ValueError("name regions, or filter by chrom")
+        self.regions, self.pushed = [(chrom, low, high)] if low <= high else [], True
+        return filters
+
+    def partitions(self) -> list[Part]:
+        if not self.pushed:
+            raise ValueError("name regions, or filter by chrom")
+        return super().partitions()
+
+
 class RegionSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -169,7 +202,7 @@ class RegionSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> RegionReader:
-        return RegionReader(dict(self.options))
+        return (RegionReader if self.options.get("regions") else FilteredReader)(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:

@@ -98,6 +98,23 @@ def test_overlapping_regions_give_a_record_once(spark, tmp_path):
     assert sorted(r.pos for r in got.collect()) == sorted(p for _, p, r, _ in records if any(p <= b and p + len(r) - 1 >= a for a, b in some))
 
 
+def test_regions_from_filters(spark, tmp_path):
+    records = [("chr1", 100 + 700 * i, "A", "G") for i in range(200)]
+    indexed(tmp_path / "r.vcf.gz", records)
+    regions.register(spark)
+    read = lambda: spark.read.format("variant_regions").option("path", str(tmp_path / "r.vcf.gz")).load()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = read().where("chrom = '1' AND pos >= 30000 AND pos < 60000")
+        assert sorted(r.pos for r in got.collect()) == [p for _, p, *_ in records if 30000 <= p < 60000]
+        assert got.rdd.getNumPartitions() <= 2
+        assert read().where("chrom = '9'").count() == 0 and read().where("chrom = '1' AND pos > 5 AND pos < 3").count() == 0
+        with pytest.raises(Exception, match="name regions"):
+            read().collect()
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
 def block(data):
     packed = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = packed.compress(data) + packed.flush()
