@@ -18,12 +18,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id. Rows with one doc_id are one
-    document, of which the first text in order stays; rows without doc_id stay."""
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    docs, back = set_aside(docs, "_n")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text", *[c for c in docs.columns if c not in ("doc_id", "text")])]))
-    found = docs.join(kept, "doc_id", "left_semi").withColumn("_n", first).where("_n = 1").drop("_n")
+    """One document of each group of near duplicates: that with the smallest doc_id. Rows with one doc_id and text are one
+    document, of which the first in order of its other columns stays; rows without doc_id stay."""
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id", F.col("text_hash").alias("_h")).distinct()
+    docs, back = set_aside(docs, "_n", "_h")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(*[F.col(c) for c in ("text", *[c for c in docs.columns if c not in ("doc_id", "text")])]))
+    rows = docs.where("doc_id IS NOT NULL").withColumn("_h", F.xxhash64("text")).withColumn("_n", first).where("_n = 1")
+    found = rows.join(kept, ["doc_id", "_h"], "left_semi")
     return back(found.select(*docs.columns).unionByName(docs.where("doc_id IS NULL")))
 
 
