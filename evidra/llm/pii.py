@@ -1,22 +1,26 @@
 """Private data replaced by keyed, type-consistent surrogates.
 
-Detected: e-mail addresses, phone numbers, payment cards, IPv4 and MAC addresses, social security numbers, IBANs, cloud
-access keys, assigned secrets (password, token, key ... = value), and names after a title. An entity's surrogate is a
-keyed permutation of its form: digits stay digits, capitals capitals, hex stays hex, octets stay octets; separators,
-country codes, top-level domains, key prefixes and card issuer digits stay. Names keep title, script, capitals, the
-pattern of vowels and consonants, and their last letter, which marks gender in many scripts. Where nothing in the form can
-vary, the surrogate is keyed letters. A phone number ends with its country's known count of digits, where all have as many. Cards keep their
-checksum's remainder, so valid ones stay valid; IBANs get right check digits.
-
-The permutation is a bijection on each form, and never maps an entity to itself: different entities never share a
-surrogate, and an entity has the same surrogate in every document, letter case and separators aside (coreference). Each
-task so replaces without seeing others' entities. A check over all distinct entities confirms it: a group-by on keyed
-digests of (type, surrogate) counts the entities; a type with a collision gets its next key, until none has one. Only the
-number of each type's key goes to the tasks.
+Detected: e-mail addresses, phone numbers, payment cards (with a valid checksum), IPv4 and MAC addresses, social security
+numbers, IBANs, cloud access keys, assigned secrets (password, token, key ... = value), and names: after a title, or a listed
+given name before a capitalised word. Dotted numbers after words such as "version" or "section" are no addresses. An
+entity's surrogate is a keyed permutation of its form: digits stay digits, capitals capitals, hex stays hex, octets stay octets;
+separators, country codes, top-level domains, key prefixes and card issuer digits stay. A phone number ends with its country's known
+count of digits, where all have as many. Cards keep their checksum's remainder, so valid ones stay valid; IBANs get right check digits.
+
+Names are replaced word by word, so that a name's parts agree wherever they stand alone. A listed given name becomes another one
+of the same script and gender. Other words keep script, capitals, the pattern of vowels and consonants, and their last letter,
+which marks gender in many languages; their permutation goes on until it gives no listed name, so listed names come from
+listed names only. Where nothing in the form can vary, the surrogate is keyed letters.
+
+All permutations are bijections on a form, and map an entity to itself only by a chance that the check below finds: different
+entities never share a surrogate, and an entity has the same surrogate in every document, letter case and separators aside
+(coreference). Each task so replaces without seeing others' entities. A check over all distinct entities confirms it: a group-by on
+keyed digests of (type, surrogate) counts the entities; a type with a collision, or with an entity that is its own surrogate, gets
+its next key, until none has one. Only the number of each type's key goes to the tasks.
 
 Defined results: null text: null, no entities; empty text: unchanged; texts without private data are unchanged, byte by
-byte; repeated rows get equal results; empty table: no rows; other columns pass through unless they clash with entities
-or n_entities.
+byte; repeated rows get equal results; empty table: no rows; other columns pass through unless their names, in whatever case,
+clash with entities or n_entities.
 """
 
 from __future__ import annotations
@@ -33,12 +37,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm.common import map_batches, slices
+from evidra.llm.common import map_batches, slices, without
 
 #: The key of the registered query; a user passes one of their own.
 KEY = b"evidra surrogates"
 
 #: The forms of private data.
+GIVEN = {
+    "latin female": "Alice Anna Clara Elena Emma Eva Ida Julia Laura Lucia Maria Marie Nora Rosa Sarah Sofia",
+    "latin male": "Daniel David Felix Hugo John Leo Lukas Martin Oscar Paul Peter Pierre Simon Thomas Victor Walter",
+    "cyrillic female": "Анна Елена Ирина Мария Наталья Ольга Светлана Татьяна",
+    "cyrillic male": "Алексей Андрей Дмитрий Иван Михаил Николай Пётр Сергей",
+    "greek female": "Άννα Ελένη Μαρία Σοφία", "greek male": "Γιώργος Κώστας Νίκος Πέτρος",
+    "arabic female": "سارة فاطمة ليلى مريم", "arabic male": "أحمد علي عمر محمد",
+    "hebrew female": "לאה רבקה רחל שרה", "hebrew male": "אברהם דוד יוסף משה",
+}
+NOT_ADDRESSES = r"(?i)\b(?:version|release|revision|section|chapter|article|clause|ver|rev|v)[ .:]{0,2}$|§ ?$"
 TITLES = r"(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|Sr\.|Sra\.|Srta\.|Herr|Frau|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señor|Señora|Señorita|г-н|г-жа)"
 IP = r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9A-Za-z])"
 #: Digits after the country code, where all of a country's numbers have as many.
@@ -47,6 +61,9 @@ FIXED_PHONE = r"\+(?:" + "|".join(rf"{c}(?:[ .-]?\(0\))?(?:[ .-]?\(?[0-9]\)?){{{
 #: Numbers of other lengths: nine digits or more before a blank and a dotted number, or else groups of digits, of which none begins an address.
 ENDED_PHONE = r"\+[0-9](?:[ .-]?\(?[0-9]\)?){7,13}?[ .-]?[0-9](?= [0-9]+[.][0-9])"
 LONG_PHONE = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?|[0-9]{{1,4}}[ .-]?)[0-9]{{2,4}}(?:(?: (?!{IP})|[.-])?[0-9]{{2,4}}){{1,3}}"
+GIVEN_NAMES = [n for names in GIVEN.values() for n in names.split()]
+#: A capitalised word, or one of a script without capitals.
+WORD = r"[^\W\d_a-zà-ÿа-яё][^\W\d_]+"
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9_][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?i:\b(?:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token|private[_-]?key))(?: ?= ?[\"']?| ?: ?(?:[\"']|(?=[^\s\"']*[0-9])))(?P<secret>[A-Za-z0-9+/_.~!@#$%^&*-]{6,}={0,2})",
@@ -57,7 +74,8 @@ PATTERNS = {
     "phone": rf"(?<![0-9A-Za-z(+.-])(?:{FIXED_PHONE}|{ENDED_PHONE}|{LONG_PHONE}|\([0-9]{{3}}\)[ .-]?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}})(?![0-9])",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
     "ip": IP,
-    "name": rf"(?<!\w){TITLES} (?P<name>[^\W\d_a-zà-ÿа-я][^\W\d_]+(?:[ -][^\W\d_a-zà-ÿа-я][^\W\d_]+){{0,2}})",
+    "name": rf"(?<!\w){TITLES} (?P<name>{WORD}(?:[ -]{WORD}){{0,2}})",
+    "known": rf"(?<!\w)(?P<known>(?:{'|'.join(GIVEN_NAMES)})(?:[ -]{WORD}){{1,2}})",
 }
 TYPES = list(PATTERNS)
 TITLE_WORDS = [t.replace("\\", "") + " " for t in TITLES[3:-1].split("|")]
@@ -87,9 +105,13 @@ def possible(text: str) -> tuple[str, ...]:
         found.add("mac")
     if any(t in text for t in TITLE_WORDS):
         found.add("name")
+    if GIVEN_NAME.search(text):
+        found.add("known")
     return tuple(t for t in TYPES if t in found)
 
 
+GIVEN_NAME = re.compile(rf"(?:{'|'.join(GIVEN_NAMES)})[ -]")
+NOT_ADDRESS = re.compile(NOT_ADDRESSES)
 KEY_WORD = re.compile(r"(?i)(?:password|passwd|pwd|passphrase|secret|key|token) ?[=:]")
 ONE_DIGIT = re.compile("[0-9]")
 NUMBER = re.compile(r"[0-9][0-9 ().-]*")
@@ -122,10 +144,12 @@ def detect(text: str) -> list[Span]:
     found = []
     for m in finder(kinds).finditer(text):
         kind = next(t for t in kinds if m.group(f"{t}_") is not None)
-        inner = kind if kind in ("secret", "access_key", "name") else f"{kind}_"
-        if kind == "iban" and iban_rest(m.group().replace(" ", "")) != 1:
+        inner = kind if kind in ("secret", "access_key", "name", "known") else f"{kind}_"
+        if kind == "iban" and iban_rest(m.group().replace(" ", "")) != 1 or kind == "card" and luhn(re.sub("[ -]", "", m.group())):
             continue
-        found.append(Span(kind, *m.span(inner), m.group(inner)))
+        if kind == "ip" and NOT_ADDRESS.search(text[max(0, m.start() - 16) : m.start()]):
+            continue
+        found.append(Span("name" if kind == "known" else kind, *m.span(inner), m.group(inner)))
     return found
 
 
@@ -202,6 +226,10 @@ def digits_form(text: str, kept: int = 0, tail: int = 0) -> Form:
     return Form([int(text[i]) for i in vary], [10] * len(vary), render, f"{digits[:kept]}:{len(digits)}")
 
 
+#: The listed names, in small letters, of each listed name's script and gender.
+LISTED = {n.lower(): [x.lower() for x in names.split()] for names in GIVEN.values() for n in names.split()}
+
+
 def named(text: str) -> Form:
     """Letters vary among those like them in their script; a word's last letter stays."""
     classes: list[str | None] = []
@@ -242,6 +270,19 @@ class Surrogates:
         new = "".join(SMALL[draw // 26**i % 26] for i in range(max(2, len(text))))
         return new.capitalize() if new != text.lower() else new[::-1]
 
+    def name_word(self, word: str) -> str:
+        """A word of a name: a listed one becomes the next of its list in a keyed order, any other a permutation."""
+        if own := LISTED.get(word.lower()):
+            order = sorted(own, key=lambda n: self.mac("name", str(self.tweaks.get("name", 0)), "listed", n))
+            new = order[(order.index(word.lower()) + 1) % len(order)]
+            return new.upper() if word.isupper() else new if word.islower() else new.capitalize()
+        new, form = word, named(word)
+        if not form.values:
+            return self.drawn("name", word)
+        while (new := self.shaped("name", named(new))).lower() in LISTED:
+            pass
+        return new
+
     def shaped(self, kind: str, form: Form) -> str:
         return form.render(self.permuted(kind, form))
 
@@ -284,7 +325,9 @@ class Surrogates:
             check = 98 - iban_rest(changed[:2] + "00" + changed[4:])
             letters = iter(changed[:2] + f"{check:02d}" + changed[4:])
             return "".join(c if c == " " else next(letters) for c in text)
-        form = named(text) if kind == "name" else spelled(text, by_class(text))
+        if kind == "name":
+            return "".join(x if x in " -" else self.name_word(x) for x in re.split("([ -])", text))
+        form = spelled(text, by_class(text))
         return self.shaped(kind, form) if form.values else self.drawn(kind, text)
 
     def of(self, kind: str, text: str) -> str:
@@ -343,7 +386,7 @@ def surrogates(docs: DataFrame, key: bytes, text: str = "text", make: type = Sur
     tweaks: dict[str, int] = {}
     while found := collisions(docs, key, tweaks, text, make):
         tweaks |= {t: tweaks.get(t, 0) + 1 for t in found}
-    kept = [c for c in docs.columns if c not in ("entities", "n_entities")]
+    kept = without(docs, "entities", "n_entities")
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("entities", T.ArrayType(ENTITY)), T.StructField("n_entities", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
