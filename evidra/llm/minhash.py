@@ -1,10 +1,11 @@
 """Near-duplicate documents by HyperMinHash registers, banding, a collision-corrected estimate and an exact check.
 
 A document is the set of its distinct word shingles, as 64-bit hashes. Each hash falls by its first bits into one of
-BUCKETS buckets; a bucket keeps its smallest hash as a register of 32 bits: the number of leading zeros plus one, then
+BUCKETS buckets; a bucket keeps its smallest hash as a register of 16 bits: the number of leading zeros plus one, then
 the MANTISSA bits after the leading one (0: empty bucket). Bands of ROWS registers give the keys under which documents
-meet; bands of empty buckets only give none. With 32 bands of 4, a pair of similarity 0.85 is missed with probability
-(1 - 0.85^4)^32 < 1e-10, of 0.8 with 5e-8.
+meet; bands of empty buckets only give none. With 32 bands of 4 and all buckets full, a pair of similarity 0.85 is missed with
+probability (1 - 0.85^4)^32 < 1e-10, of 0.8 with 5e-8; small sets leave buckets empty and differ in few bands. The tests
+measure the recall for sets of all sizes.
 
 Documents with equal sets are one class from the start (its smallest doc_id stands for it), so copies cost one group-by.
 Pairs of representatives that share a band key are estimated from their registers, less the expected collisions of
@@ -19,7 +20,8 @@ shares a key and is similar ends in one component; there are no caps.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer words than a shingle: the
 whole sequence is the one shingle; null doc_id: linked with nothing, component null, kept; rows with one doc_id are one
-document, which links if any of its texts does; empty table: no rows.
+document, which links if any of its texts does; empty table: no rows; other columns, whatever their names, are not carried
+along.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm.common import cut, map_batches, slices
+from evidra.llm.common import cut, drop, map_batches, slices
 from evidra.llm.components import connected_components
 
-BUCKET_BITS, MANTISSA, ROWS = 7, 26, 4
+BUCKET_BITS, MANTISSA, ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
 FIRST_WAVE = 4
@@ -93,7 +95,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     rest = (least << U(BUCKET_BITS)) >> U(11)  # 53 bits, exact as doubles
     zeros = (53 - np.frexp(rest.astype(np.float64))[1]).clip(0, 52).astype(U)
     mantissa = ((rest << (zeros + U(12))) >> U(64 - MANTISSA)).astype(U)
-    return np.where(full, (zeros + U(1)) << U(MANTISSA) | mantissa, U(0)).astype(np.uint32)
+    return np.where(full, (zeros + U(1)) << U(MANTISSA) | mantissa, U(0)).astype(np.uint16)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
@@ -201,24 +203,24 @@ def links(key: int | None, members: list[Member], across: bool, percent: int) ->
 
 SIGNED = T.LongType()
 SETS = T.StructType([T.StructField("node", SIGNED), T.StructField("regs", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
-SIGNATURES = T.StructType([T.StructField("doc_id", SIGNED), T.StructField("n_shingles", SIGNED), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(SIGNED))])
+SIGNATURES = T.StructType([T.StructField("doc_id", SIGNED), T.StructField("text_hash", SIGNED), T.StructField("n_shingles", SIGNED), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(SIGNED))])
 LINKS = T.StructType([T.StructField("a", SIGNED), T.StructField("b", SIGNED)])
 
 
 def signatures(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """doc_id, number of shingles, 128-bit print of the set, band keys (null without shingles)."""
+    """doc_id, xxhash64 of the text, number of shingles, 128-bit print of the set, band keys (null without shingles)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for some in slices(batch, RUN):
                 sets = [shingles(t, words) for t in some.column("t").to_pylist()]
                 yield {
-                    "doc_id": some.column("doc_id"), "n_shingles": [len(s) for s in sets], "print": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                    "doc_id": some.column("doc_id"), "text_hash": some.column("text_hash"), "n_shingles": [len(s) for s in sets], "print": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "keys": [(k[k > 0]).view(np.int64) if len(s) else None for s in sets for k in [band_keys(registers(s))]],
                 }
         _words.clear()  # its memory is for the worker's next task, of whatever kind
 
-    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")), SIGNATURES, run)
+    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t")), SIGNATURES, run)
 
 
 def groups(batches: Iterable[pa.RecordBatch], full: bool) -> Iterator[tuple[tuple[int, int, int], list[Member]]]:
@@ -232,13 +234,13 @@ def groups(batches: Iterable[pa.RecordBatch], full: bool) -> Iterator[tuple[tupl
                     if len({m.component for m in members}) > 1:
                         yield now, members
                     now, members = (k, i, j), []
-                members.append(Member(node, component, tile, np.frombuffer(regs, np.uint32), n, np.frombuffer(hashes[0], U) if full else none))
+                members.append(Member(node, component, tile, np.frombuffer(regs, np.uint16), n, np.frombuffer(hashes[0], U) if full else none))
     if len({m.component for m in members}) > 1:
         yield now, members
 
 
 def compare(meeting: DataFrame, sets: DataFrame, percent: int, once: bool) -> DataFrame:
-    """Links of meeting (key, i, j, tile, node, component): who meets under (key, i, j). First registers decide which
+    """Links, as a table, of meeting (key, i, j, tile, node, component): who meets under (key, i, j). First registers decide which
     members have a pair to compare; only these bring their sets. once: a pair is compared under its first key only."""
     names = ["key", "i", "j", "tile", "node", "component"]
     unsigned = lambda k: k & (2**64 - 1) if once else None
@@ -259,7 +261,9 @@ def compare(meeting: DataFrame, sets: DataFrame, percent: int, once: bool) -> Da
     schema = T.StructType([T.StructField(n, T.IntegerType() if n in ("i", "j", "tile") else SIGNED) for n in names])
     chosen = cut(map_batches(together(meeting.join(brief, "node")).select(*names, "regs", "n"), schema, choose), "chosen")
     rows = together(chosen.join(sets.withColumn("n", F.expr("length(hashes) div 8")), "node")).select(*names, "regs", "n", "hashes")
-    return map_batches(rows, LINKS, join)
+    found = cut(map_batches(rows, LINKS, join), "links")
+    drop(chosen)
+    return found
 
 
 def tiles(n: str) -> F.Column:
@@ -273,12 +277,8 @@ def linear_wave(members: DataFrame) -> DataFrame:
     return m.withColumn("component", F.col("node")).select("key", "tile", "node", "component", F.inline(pairs))
 
 
-def full_wave(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of each key whose members are in several components: those outside its largest one meet all."""
-    m = members.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = m.groupBy("key", "component").agg(F.count("*").alias("k"))
-    keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("top")).where("parts > 1")
-    keys = keys.select("key", F.col("top.component").alias("top"), F.col("top.k").alias("major"), (F.col("all") - F.col("top.k")).alias("minor"))
+def full_wave(m: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of each key whose members (key, node, component) are in several components: those outside its largest one meet all."""
     m = m.join(keys, "key").withColumn("few", tiles("minor")).withColumn("many", tiles("major"))
     h = F.xxhash64("node")
     m = m.withColumn("tile", F.when(F.col("component") == F.col("top"), F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))).cast("int"))
@@ -289,17 +289,27 @@ def full_wave(members: DataFrame, labels: DataFrame) -> DataFrame:
     return m.select("key", "tile", "node", "component", F.inline(pairs))
 
 
+def open_keys(m: DataFrame) -> DataFrame:
+    """Keys whose members (key, node, component) are in several components: the largest one, its members and the others."""
+    parts = m.groupBy("key", "component").agg(F.count("*").alias("k"))
+    keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("top")).where("parts > 1")
+    return keys.select("key", F.col("top.component").alias("top"), F.col("top.k").alias("major"), (F.col("all") - F.col("top.k")).alias("minor"))
+
+
 def near_duplicates(docs: DataFrame, rule: Rule | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id (smallest
-    doc_id reachable by links), kept."""
+    doc_id reachable by links), kept, text_hash (xxhash64 of the text)."""
+    # what is joined with many rows a key is a table first, so that neither side of the join is an aggregate: then a large key can
+    # be split over tasks
     rule = rule or Rule()
     signed = cut(signatures(docs, rule.words, text, key), "signatures")
     usable = signed.where("print IS NOT NULL AND doc_id IS NOT NULL")
     classes = cut(usable.groupBy("print").agg(F.min("doc_id").alias("node")), "classes")
     stand = usable.join(classes, [usable["print"] == classes["print"], usable["doc_id"] == classes["node"]]).select("node", "keys")
     meet = cut(stand.select("node", F.explode("keys").alias("key")).distinct(), "keys")
-    counts = meet.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counts = cut(meet.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     members = cut(meet.join(counts, "key"), "members")
+    drop(meet, counts)
     nodes = members.select("node").distinct()
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).where("node IS NOT NULL").join(nodes, "node")
 
@@ -313,10 +323,17 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None, text: str = "text
     full = cut(map_batches(texts, SETS, sets).where("length(hashes) > 0"), "sets")
     # the first wave's keys: FIRST_WAVE in BANDS of all, taken by the key's hash, the same for all who meet under it
     some = members.where(F.pmod(F.xxhash64("key"), F.lit(BANDS)) < FIRST_WAVE)
-    first = cut(compare(linear_wave(some), full, rule.percent, once=False), "links")
+    first = compare(linear_wave(some), full, rule.percent, once=False)
     labels = connected_components(first)
-    second = cut(compare(full_wave(members, labels), full, rule.percent, once=True), "links")
+    labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    labelled = cut(labelled, "labelled")
+    keys = cut(open_keys(labelled), "open")
+    second = compare(full_wave(labelled, keys), full, rule.percent, once=True)
+    drop(members, full, labels, labelled, keys)
     labels = connected_components(first.unionByName(second))
-    found = signed.join(classes, "print", "left").join(labels, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("class_id"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    linked = cut(classes.join(labels, "node", "left").select("print", "node", F.coalesce("component", "node").alias("component")), "linked")
+    drop(first, second, classes, labels)
+    found = signed.join(linked, "print", "left")
+    known = F.col("doc_id").isNotNull()
+    component = F.when(known, F.coalesce("component", "doc_id"))
+    return found.select("doc_id", "n_shingles", F.when(known, F.coalesce("node", "doc_id")).alias("class_id"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
