@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import chat, embed_dedup, minhash, mixing, packing, pii, quality, sstable, token_counts, topk
+from evidra.llm import centroids, chat, divergence, embed_dedup, licenses, minhash, mixing, packing, pii, quality, sstable, token_counts, topk
 from evidra.llm.common import table
 
 
@@ -60,17 +60,33 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc32(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_pii_surrogates, op3_exact_top_k, op4_quality_classifier, op5_embedding_near_dedup, op6_chat_formatting,
         op7_minhash_near_dedup, op8_source_mixing, op9_token_shards, op10_best_fit_packing,
+        op11_license_scan, op12_source_divergence, op13_centroid_clustering,
     )
 }
 
 #: What DuckDB can say: the others are held against brute force in the tests.
 ORACLES: dict[str, str] = {
     "op6_chat_formatting": chat.SQL,
+    "op11_license_scan": licenses.sql(),
+    "op12_source_divergence": divergence.SQL,
+    "op13_centroid_clustering": centroids.sql(),
     "op3_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
