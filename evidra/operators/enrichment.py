@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def shared_items(a: DataFrame, b: DataFrame, item: str = "gene", left: str = "a", right: str = "b") -> DataFrame:
+    """left, right, k for the pairs of sets with k > 0 shared items."""
+    return a.select(left, item).distinct().join(b.select(right, item).distinct(), item).groupBy(left, right).agg(F.count("*").alias("k"))
+
+
 def overlaps(a: DataFrame, b: DataFrame, item: str = "gene", left: str = "a", right: str = "b") -> DataFrame:
     """left, right, k shared items, for every pair of sets, zeros too. Pairs come from an equi join on the item; the
     zero fill crosses the names of sets only."""
-    shared = a.select(left, item).distinct().join(b.select(right, item).distinct(), item).groupBy(left, right).agg(F.count("*").alias("k"))
     every = a.select(left).distinct().crossJoin(b.select(right).distinct())
-    return every.join(shared, [left, right], "left").select(left, right, F.coalesce("k", F.lit(0)).cast("long").alias("k"))
+    return every.join(shared_items(a, b, item, left, right), [left, right], "left").select(left, right, F.coalesce("k", F.lit(0)).cast("long").alias("k"))
 
 
 def log_factorial(n: Column) -> Column:

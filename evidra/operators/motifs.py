@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions.sequence import donor_score, motif_places, pyrimidine_share
+from evidra.operators.intervals import FEW
+from evidra.shared import cut, drop
+from evidra.sources import sequences
 
 
 def motif_counts(seqs: DataFrame, motif: str, seq: str = "seq") -> DataFrame:
@@ -49,24 +52,65 @@ def created_sites(changes: DataFrame) -> DataFrame:
     return changes.withColumn("sites", F.filter(sites, lambda x: x.isNotNull()))
 
 
-def draw(key: Column, i: Column, reach: Column, seed: int) -> Column:
-    """The i-th seeded offset of a row, between -reach and reach."""
-    return (F.pmod(F.xxhash64(F.lit(seed), key.cast("long"), i.cast("long")), 2 * reach + 1) - reach).cast("int")
-
-
-def motif_null(changes: DataFrame, key: str, draws: int = 2000, reach: int = 5000, seed: int = 20260912) -> DataFrame:
-    """changes with created (sites of the change) and share: how many of draws random places near it would have a plausible site
-    created by the change's own base. Places lie within reach, or within the sequence where that is shorter; those outside it, and
-    those that have the base already, create none. The denominator is always draws. Places that create a site are found once a
-    row; draws only look them up."""
-    seq, base = F.col("seq"), F.col("base")
-    near = F.least(F.lit(reach), F.greatest(F.col("at") - 1, F.length(seq) - F.col("at")))
-
-    def creates(p: Column) -> Column:
-        new = altered(seq, p, base)
-        return (F.substr(seq, p, F.lit(1)) != base) & (site_at(new, seq, p - 1).isNotNull() | site_at(new, seq, p).isNotNull())
-
-    places = F.filter(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("_near")), F.least(F.length(seq), F.col("at") + F.col("_near"))), creates)
-    hits = F.size(F.filter(F.sequence(F.lit(1), F.lit(draws)), lambda i: F.array_contains(F.col("_places"), F.col("at") + draw(F.col(key), i, F.col("_near"), seed))))
-    rows = created_sites(changes).withColumn("_near", near).withColumn("_places", places)
-    return rows.withColumn("created", F.size("sites").cast("long")).withColumn("share", hits / F.lit(draws)).drop("_near", "_places", "sites")
+#: Fixed value: bases on both sides of a place that decide whether a change makes a site there.
+FLANK = 30
+
+
+def site_made(window: Column, base: Column, flank: int = FLANK) -> Column:
+    """Whether base in the middle of a window of flank bases on both sides creates a plausible site. Only pairs of bases that hold the
+    middle can be new; a window with an N or of another length has none."""
+    middle, whole = F.lit(flank + 1), F.length(window) == 2 * flank + 1
+    new = altered(window, middle, base)
+    left, right = F.substr(window, F.lit(flank), F.lit(1)), F.substr(window, F.lit(flank + 2), F.lit(1))
+    pair = ((left == "G") & (base == "T")) | ((left == "A") & (base == "G")) | ((base == "G") & (right == "T")) | ((base == "A") & (right == "G"))
+    other = F.substr(window, middle, F.lit(1)) != base
+    found = site_at(new, window, middle - 1).isNotNull() | site_at(new, window, middle).isNotNull()
+    return F.coalesce(whole & other & pair & ~F.contains(window, F.lit("N")) & found, F.lit(False))
+
+
+def site_table(chunks: DataFrame, flank: int = FLANK) -> DataFrame:
+    """acc, pos, base: each place of a chunked sequence at which that base in place of its own creates a plausible site."""
+    rows = chunks.select("acc", "start", "seq", F.explode(F.sequence("own_start", "own_end")).alias("pos"))
+    rows = rows.select("acc", "pos", sequences.bases(F.col("seq"), F.col("start"), F.col("pos") - flank, F.col("pos") + flank).alias("window"))
+    rows = rows.select("acc", "pos", "window", F.explode(F.array(*[F.lit(b) for b in "ACGT"])).alias("base"))
+    return rows.where(site_made(F.col("window"), F.col("base"), flank)).select("acc", "pos", "base")
+
+
+def chunk_donor_sites(chunks: DataFrame) -> DataFrame:
+    """acc, at, score of each GT of a chunked sequence with room for the nine-base donor window."""
+    rows = chunks.select("acc", "start", "seq", F.explode(F.sequence("own_start", "own_end")).alias("at"))
+    window = sequences.bases(F.col("seq"), F.col("start"), F.col("at") - 3, F.col("at") + 5)
+    rows = rows.select("acc", F.col("at"), window.alias("_w")).where((F.length("_w") == 9) & (F.substr("_w", F.lit(4), F.lit(2)) == "GT"))
+    return rows.select("acc", "at", donor_score(F.col("_w")).alias("score"))
+
+
+#: The modulus and factor of the generator of draws.
+MODULUS, FACTOR = 2147483647, 48271
+
+
+def draw(key: Column, i: Column, reach: int, seed: int) -> Column:
+    """The i-th seeded offset of a key, between -reach and reach: a multiplicative generator whose state is squared twice, in whole
+    numbers below 2^62."""
+    state = F.pmod(F.pmod(key.cast("long"), F.lit(MODULUS)) * FACTOR + i.cast("long") * 16807 + F.lit(seed), F.lit(MODULUS))
+    for add in (11, 7):
+        state = (state * state % MODULUS * FACTOR + add) % MODULUS
+    return state % (2 * reach + 1) - reach
+
+
+def motif_null(changes: DataFrame, chunks: DataFrame, key: str, draws: int = 2000, reach: int = 5000, seed: int = 20260912, flank: int = FLANK, length: int = sequences.LENGTH) -> DataFrame:
+    """changes (key, which tells them apart, acc, pos, base) with created (whether the change makes a plausible site) and share: how
+    many of draws random places within reach of it would have one made by the change's own base. The denominator is always draws: places
+    beyond the sequence's ends, near an N, or that have the base already make none. Sites are a table of their own, made once for the chunks that
+    draws can reach; draws meet it by place and base. It is broadcast where it is counted few, and draws are shuffled else."""
+    first, last = F.floor((F.col("pos") - 1 - reach) / length), F.floor((F.col("pos") - 1 + reach) / length)
+    near = changes.select("acc", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("chunk")).distinct()
+    sites = cut(site_table(chunks.join(near, ["acc", "chunk"], "left_semi"), flank), "sites")
+    at = F.broadcast(sites) if sites.count() <= FEW else sites
+    drawn = changes.select(key, "acc", "base", "pos", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_i"))
+    drawn = drawn.select(key, "acc", "base", (F.col("pos") + draw(F.col(key), F.col("_i"), reach, seed)).alias("pos"))
+    hits = drawn.join(at, ["acc", "pos", "base"], "left_semi").groupBy(key).agg(F.count("*").alias("_hits"))
+    made = changes.join(at.withColumn("_made", F.lit(True)), ["acc", "pos", "base"], "left")
+    out = made.join(hits, key, "left").select(*[made[c] for c in changes.columns], F.coalesce("_made", F.lit(False)).alias("created"), (F.coalesce("_hits", F.lit(0)) / F.lit(draws)).alias("share"))
+    found = cut(out, "null")
+    drop(sites)
+    return found

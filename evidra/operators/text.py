@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: How contigs are written, and the rules of the first four detectors.
 CONTIG = r"(?:chr)?(?:[1-9]|1[0-9]|2[0-2]|X|Y|MT?)"
 DETECTORS = {
     "coordinate": rf"\b{CONTIG}\s*[:-]\s*[0-9]{{5,}}\b",

@@ -10,8 +10,8 @@ from evidra.functions.ranks import ordered_statistic
 
 
 def global_upper_median(df: DataFrame, value: str, name: str) -> DataFrame:
-    """One row; the running count goes over distinct values of a table of windows."""
-    return ordered_statistic(df.select(F.lit(0).alias("_all"), value), ["_all"], value, F.expr("n div 2"), name).select(name)
+    """One row, with null where df has none."""
+    return ordered_statistic(df.select(F.lit(0).alias("_all"), value), ["_all"], value, F.expr("n div 2"), name).agg(F.first(name).alias(name))
 
 
 def balance_windows(rows: DataFrame, width: int) -> DataFrame:
@@ -24,13 +24,14 @@ def balance_windows(rows: DataFrame, width: int) -> DataFrame:
 
 
 def excess(windows: DataFrame, min_het: int, min_sites: int = 500) -> DataFrame:
-    """Windows with enough sites: balance excess over the upper median of the autosomes' windows, and mean depth over that of the
-    autosomes' windows of at least min_sites. The medians are one row."""
+    """Windows with enough sites: balance excess over the upper median of the autosomes' windows (1 if there is none), and mean depth
+    over that of the autosomes' windows of at least min_sites (null if there is none). The medians are one row; no window is lost."""
     mean_dp = F.col("depth") / F.col("n")
     depths = windows.where(F.col("chrom").rlike(AUTOSOME) & (F.col("n") >= min_sites)).select(mean_dp.alias("mean_dp"))
     kept = windows.where((F.col("het") >= min_het) & (F.col("expected") > 0)).select("chrom", "start", "het", (F.col("observed") / F.col("expected")).alias("excess"), mean_dp.alias("mean_dp"))
     base = global_upper_median(kept.where(F.col("chrom").rlike(AUTOSOME)), "excess", "base_excess").crossJoin(global_upper_median(depths, "mean_dp", "base_dp"))
-    return kept.crossJoin(F.broadcast(base)).select("chrom", "start", "het", (F.col("excess") / F.col("base_excess")).alias("excess_norm"), (F.col("mean_dp") / F.col("base_dp")).alias("cov_ratio"))
+    over = F.col("excess") / F.coalesce("base_excess", F.lit(1.0))
+    return kept.crossJoin(F.broadcast(base)).select("chrom", "start", "het", over.alias("excess_norm"), (F.col("mean_dp") / F.col("base_dp")).alias("cov_ratio"))
 
 
 def mosaic_call(excess_: Column, cov: Column, min_excess: float = 1.25, band: float = 0.08) -> Column:

@@ -65,6 +65,8 @@ SELECT vid, concat('G', CAST(l_partkey % 600 AS @S)) AS gene, CASE WHEN l_linenu
        pos, vid % 3 = 0 AS impact
 FROM v WHERE gt = '0|1'""",
     "dna": "SELECT p_partkey AS sid, concat(" + ", ".join(f"substr('TCAG', CAST({base(str(o))} AS INT), 1)" for o in range(48)) + ") AS seq FROM part",
+    "chrpart": """
+SELECT concat('C', CAST((sid - 1) % 24 AS @S)) AS acc, (sid - 1) @D 24 AS k, sid, CASE WHEN sid % 50 = 0 THEN 'NNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNN' ELSE seq END AS seq FROM dna""",
     "tx": """
 SELECT concat('T', CAST(p_partkey AS @S)) AS acc, concat('G', CAST(p_partkey @D 2 AS @S)) AS gene, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
        k AS exon, (p_partkey * 2399) % 5000000 + k * 400 AS st, (p_partkey * 2399) % 5000000 + k * 400 + 59 + (p_partkey + k) % 90 AS en,

@@ -13,8 +13,8 @@ from evidra.functions import fields, ranks, sequence
 from evidra.operators import annotate, consequence, enrichment, genes, intervals, motifs, nested, scoring, tasks, text, windows
 from evidra.functions.sequence import AMINO
 from evidra.plans.fixtures import duck, view
-from evidra.shared import new_path
-from evidra.sources import sinks, tables
+from evidra.shared import cut, new_path, remove
+from evidra.sources import sequences, sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -404,10 +404,66 @@ def created_splice_sites(spark, sf):
     return motifs.created_sites(base_changes(spark, sf)).select("sid", F.explode("sites").alias("s")).select("sid", "s.kind", "s.at")
 
 
-@query()
+def chromosome_chunks(spark, sf) -> DataFrame:
+    """Long sequences, each the pieces of many rows in order."""
+    return sequences.assembled(view(spark, sf, "chrpart").select("acc", (F.col("k") * 48 + 1).alias("at"), F.col("seq").alias("bases")), sequences.LENGTH, sequences.HALO)
+
+
+CHROMOSOMES = ", chr AS MATERIALIZED (SELECT acc, string_agg(seq, '' ORDER BY k) AS s FROM chrpart GROUP BY acc)"
+
+
+@query(CHROMOSOMES + f""", c AS (SELECT acc, s, unnest(range(0, (length(s) + {sequences.LENGTH - 1}) // {sequences.LENGTH})) AS chunk FROM chr),
+e AS (SELECT *, greatest(1, chunk * {sequences.LENGTH} + 1 - {sequences.HALO}) AS start FROM c)
+SELECT acc, chunk, start, chunk * {sequences.LENGTH} + 1 AS own_start, least((chunk + 1) * {sequences.LENGTH}, length(s)) AS own_end,
+  md5(substr(s, start, least((chunk + 1) * {sequences.LENGTH} + {sequences.HALO}, length(s)) - start + 1)) AS bases FROM e""", "chrpart")
+def sequence_chunks(spark, sf):
+    """Sequence files, one a chromosome, written line by line to the shared folder and read by split into chunks."""
+    parts = view(spark, sf, "chrpart").select("acc", "k", F.col("seq").alias("value"))
+    heads = parts.groupBy("acc").agg(F.lit(-1).cast("long").alias("k"), F.concat(F.lit(">"), F.col("acc"), F.lit(" derived")).alias("value"))
+    at = new_path(spark, "chromosomes")
+    rows = heads.unionByName(parts.withColumn("k", F.col("k").cast("long"))).repartition("acc").sortWithinPartitions("acc", "k")
+    rows.select(F.col("acc").alias("file"), "value").write.partitionBy("file").text(at)
+    found = cut(sequences.read_chunks(spark, at).select("acc", "chunk", "start", "own_start", "own_end", F.md5("seq").alias("bases")), "chunks")
+    remove(spark, at)
+    return found
+
+
+LONG_DONORS = " + ".join(f"CASE WHEN instr('{b}', substr(w, {k + 1}, 1)) > 0 THEN 1 ELSE 0 END" for k, b in enumerate(sequence.DONOR))
+
+
+@query(CHROMOSOMES + f""", p AS (SELECT acc, i AS at, substr(s, i - 3, 9) AS w FROM chr, unnest(range(4, length(s) - 4)) t(i) WHERE substr(s, i, 2) = 'GT')
+SELECT acc, "at", CAST({LONG_DONORS} AS INTEGER) AS score FROM p WHERE length(w) = 9""", "chrpart")
+def chromosome_donor_sites(spark, sf):
+    """Donor scores along long sequences, chunk by chunk."""
+    return motifs.chunk_donor_sites(chromosome_chunks(spark, sf))
+
+
+def chromosome_changes(spark, sf) -> DataFrame:
+    """A change of one base in each piece of the long sequences."""
+    base = F.substr(F.lit("ACGT"), (F.col("sid") % 4 + 1).cast("int"), F.lit(1))
+    return view(spark, sf, "chrpart").select("sid", "acc", (F.col("k") * 48 + F.col("sid") % 48 + 1).alias("pos"), base.alias("base"))
+
+
+MADE = " OR ".join(
+    f"(substr(new, {i}, 2) = 'GT' AND substr(w, {i}, 2) <> 'GT' AND {' + '.join(f'CASE WHEN instr({b!r}, substr(new, {i - 3 + k}, 1)) > 0 THEN 1 ELSE 0 END' for k, b in enumerate(sequence.DONOR))} >= 6)"
+    f" OR (substr(new, {i}, 2) = 'AG' AND substr(w, {i}, 2) <> 'AG' AND length(regexp_replace(substr(new, {i - 20}, 20), '[^CT]', '', 'g')) >= 0.65 * 20)"
+    for i in (motifs.FLANK, motifs.FLANK + 1)
+)
+STEP = f"({{x}} * {{x}} % {motifs.MODULUS} * {motifs.FACTOR} + {{add}}) % {motifs.MODULUS}"
+
+
+@query(CHROMOSOMES + f""", w AS (SELECT acc, i AS pos, substr(s, i - 30, 61) AS w FROM chr, unnest(range(31, length(s) - 29)) t(i)),
+sites AS MATERIALIZED (
+  SELECT acc, pos, base FROM (SELECT *, substr(w, 1, 30) || base || substr(w, 32) AS new FROM w, (VALUES ('A'), ('C'), ('G'), ('T')) b(base)) x
+  WHERE instr(w, 'N') = 0 AND substr(w, 31, 1) <> base AND ({MADE})),
+c AS (SELECT sid, acc, k * 48 + sid % 48 + 1 AS pos, substr('ACGT', CAST(sid % 4 + 1 AS INTEGER), 1) AS base FROM chrpart),
+d0 AS (SELECT c.*, (sid % {motifs.MODULUS} * {motifs.FACTOR} + i * 16807 + 20260912) % {motifs.MODULUS} AS x FROM c, unnest(range(1, 2001)) t(i)),
+d1 AS (SELECT *, {STEP.format(x="x", add=11)} AS y FROM d0), d2 AS (SELECT *, {STEP.format(x="y", add=7)} AS z FROM d1),
+h AS (SELECT d2.sid, count(*) AS n FROM d2 JOIN sites s ON s.acc = d2.acc AND s.base = d2.base AND s.pos = d2.pos + z % 10001 - 5000 GROUP BY d2.sid)
+SELECT c.sid, s.pos IS NOT NULL AS created, coalesce(h.n, 0) / 2000 AS share FROM c LEFT JOIN sites s ON s.acc = c.acc AND s.pos = c.pos AND s.base = c.base LEFT JOIN h ON h.sid = c.sid""", "chrpart")
 def motif_null(spark, sf):
-    """Splice sites created by one change in each sequence, and the share of seeded random places at which it would create one."""
-    return motifs.motif_null(base_changes(spark, sf), "sid").select("sid", "created", "share")
+    """Whether each change makes a splice site, and the share of 2,000 seeded random places within 5,000 bases at which its base would."""
+    return motifs.motif_null(chromosome_changes(spark, sf), chromosome_chunks(spark, sf), "sid").select("sid", "created", "share")
 
 
 # ---------------------------------------------------------------- order statistics, histograms, windows
@@ -415,8 +471,9 @@ def motif_null(spark, sf):
 
 @query(" SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 9) AS med, round(sum(CASE WHEN l_discount BETWEEN 0.02 AND 0.08 THEN 0 ELSE 1 END) * 1.0E0 / count(*), 9) AS outside FROM lineitem GROUP BY 1, 2")
 def median_by_group(spark, sf):
-    out = F.avg((~F.col("l_discount").between(0.02, 0.08)).cast("int"))
-    return view(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(r9(ranks.median(F.col("l_extendedprice"))).alias("med"), r9(out).alias("outside"))
+    by, rows = ["l_returnflag", "l_linestatus"], view(spark, sf, "lineitem")
+    out = rows.groupBy(*by).agg(r9(F.avg((~F.col("l_discount").between(0.02, 0.08)).cast("int"))).alias("outside"))
+    return out.join(ranks.median(rows, by, "l_extendedprice", "med"), by, "left").withColumn("med", r9("med"))
 
 
 @query(" SELECT o_orderpriority, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS upper_median FROM orders GROUP BY 1")
@@ -605,7 +662,8 @@ SELECT event_type, count(*) AS n, median(k) AS med, round(count(*) FILTER (k < 2
 def nested_json_agg(spark, sf):
     k = F.from_json("props", "k double")["k"]
     e = view(spark, sf, "events").select("event_type", k.alias("k"))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), ranks.median(F.col("k")).alias("med"), r9(F.count_if(F.col("k") < 20) / F.count("k")).alias("low"))
+    counts = e.groupBy("event_type").agg(F.count("*").alias("n"), r9(F.count_if(F.col("k") < 20) / F.count("k")).alias("low"))
+    return counts.join(ranks.median(e, ["event_type"], "k", "med"), "event_type", "left")
 
 
 @query(""" SELECT 'P' || CAST(l_partkey AS VARCHAR) AS symbol, count(*) AS n, round(median(l_quantity - 25), 9) AS median_effect, round(count(*) FILTER (l_quantity - 25 < -1) * 1.0E0 / count(*), 9) AS dependent,
@@ -801,7 +859,7 @@ def set_equality(spark, sf):
     """Pairs of sets with shared members, and whether they are equal."""
     gs = view(spark, sf, "gs").distinct()
     n = gs.groupBy("grp").agg(F.count("*").alias("n"))
-    k = enrichment.overlaps(gs.select(F.col("grp").alias("a"), "gene"), gs.select(F.col("grp").alias("b"), "gene")).where("a < b AND k > 0")
+    k = enrichment.shared_items(gs.select(F.col("grp").alias("a"), "gene"), gs.select(F.col("grp").alias("b"), "gene"), "gene").where("a < b")
     both = k.join(n.select(F.col("grp").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("grp").alias("b"), F.col("n").alias("nb")), "b")
     return both.select("a", "b", "k", ((F.col("k") == F.col("na")) & (F.col("k") == F.col("nb"))).alias("equal"))
 

@@ -37,9 +37,15 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return table
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared folder."""
+    context = spark.sparkContext
+    for path in paths:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by cut() that no later plan reads."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        where = context._jvm.org.apache.hadoop.fs.Path(table._cut_path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        remove(table.sparkSession, table._cut_path)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions.fields import bare_contig, known
+from evidra.sources.lines import numbered
 
 VCF = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample")
 
@@ -45,8 +46,9 @@ def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gene_summary(spark: SparkSession, path: str) -> DataFrame:
-    """gene, chrom, st, en, transcript from a summary table by column name; of repeated symbols the last row."""
-    rows = read_tsv(spark, path).withColumn("_line", F.monotonically_increasing_id())
+    """gene, chrom, st, en, transcript from a summary table by column name; of repeated symbols the last row, in the order of
+    files and lines."""
+    rows = numbered(read_tsv(spark, path), "_line")
     cols = {"chrom": F.col("GRCh38_chr"), "st": F.col("chr_start").try_cast("long"), "en": F.col("chr_end").try_cast("long"), "transcript": F.col("RefSeq_nuc")}
     last = rows.groupBy(F.col("symbol").alias("gene")).agg(F.max_by(F.struct(*[c.alias(n) for n, c in cols.items()]), "_line").alias("r"))
     return last.select("gene", "r.*")

