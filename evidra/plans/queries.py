@@ -14,7 +14,7 @@ from evidra.operators import annotate, consequence, enrichment, genes, intervals
 from evidra.functions.sequence import AMINO
 from evidra.plans.fixtures import duck, view
 from evidra.shared import cut, new_path, remove
-from evidra.sources import sequences, sinks, tables
+from evidra.sources import blocks, sequences, sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -971,7 +971,22 @@ def consequence_chain(spark, sf):
     sinks.write_tsv(summary, at["summary"])
     variants = tables.read_vcf(spark, at["vcf"]).select(F.col("id").cast("long").alias("vid"), fields.info_text(F.col("info"), "GENE").alias("gene"), "pos", "ref", "alt")
     gff = tables.read_gff(spark, at["gff"]).select("acc", "strand", "kind", "st", "en")
-    return consequence.protein_consequences(variants, tables.read_gene_summary(spark, at["summary"]).select("gene", "transcript"), gff, tables.read_fasta(spark, at["fasta"]))
+    summary = tables.read_gene_summary(spark, at["summary"]).select("gene", "transcript")
+    found = cut(consequence.protein_consequences(variants, summary, gff, tables.read_fasta(spark, at["fasta"])), "consequences")
+    remove(spark, *at.values())
+    return found
+
+
+@query(""" SELECT chrom, pos, ref, alt, count(*) AS n, count(*) FILTER (filt = 'PASS') AS passed FROM v GROUP BY 1, 2, 3, 4""", "v")
+def block_gzip_scan(spark, sf):
+    """All variants written as block-gzip files to the shared folder and read back by byte ranges, many to a file."""
+    at = new_path(spark, "blocks")
+    lines = view(spark, sf, "v").selectExpr("concat_ws('\t', concat('chr', chrom), pos, vid, ref, alt, '.', filt, 'X=1', 'GT', gt) AS value")
+    cut(blocks.write_lines(lines, at), "written")
+    rows = tables.read_vcf(spark, at, split_bytes=1 << 20)
+    found = cut(rows.groupBy("chrom", "pos", "ref", "alt").agg(F.count("*").alias("n"), F.count_if(F.col("filter") == "PASS").alias("passed")), "scanned")
+    remove(spark, at)
+    return found
 
 
 @query(""", a AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '-666' ELSE p_name END AS d FROM part), n AS (SELECT p_partkey, lower(CASE WHEN d IS NULL OR trim(d) IN ('', '-666') THEN 'BRD-' || p_partkey ELSE trim(d) END) AS compound FROM a)
@@ -989,7 +1004,9 @@ def cached_answers(spark, sf):
     known = part.withColumn("compound", nested.compound_name(desc, F.concat(F.lit("BRD-"), F.col("p_partkey").cast("string")))).groupBy("compound")
     molecule = F.when(phase.isNotNull() | (F.col("p_partkey") % 2 == 0), F.struct(phase.alias("max_phase")))
     sinks.write_json(known.agg(F.collect_list(molecule).alias("molecules")).withColumnRenamed("compound", "query"), molecules_at)
-    return nested.clinical_phases(hits_, tables.read_molecules(spark, molecules_at))
+    found = cut(nested.clinical_phases(hits_, tables.read_molecules(spark, molecules_at)), "phases")
+    remove(spark, hits_at, molecules_at)
+    return found
 
 
 @query(""", k AS (SELECT a, b, count(*) AS k FROM ps GROUP BY a, b), x AS (SELECT u.a, w.b, CAST(coalesce(k.k, 0) AS BIGINT) AS k FROM (SELECT DISTINCT a FROM ps) u CROSS JOIN (SELECT DISTINCT b FROM ps) w LEFT JOIN k ON k.a = u.a AND k.b = w.b)

@@ -8,6 +8,9 @@ the file to chunks: bins of the region, less those that end before the linear in
 read as one. Each merged chunk is a partition, so tasks read only their own byte ranges. A region is whole or the task
 fails: nothing that cannot be read looks absent. A record starts where the chunk's virtual offset says, so no line of a
 chunk's ends is lost. The file may lie on any store that pyarrow can open by its URI.
+
+read_regions does the same for regions that are a table: bins, pruning and merging are joins and windows over the index's rows, and the byte
+ranges are rows that tasks read.
 """
 
 from __future__ import annotations
@@ -16,12 +19,16 @@ import gzip
 import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from evidra.shared import cut
 from evidra.ship import ship
 
 SCHEMA = "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string, format string, sample string"
@@ -34,6 +41,8 @@ LAST = 1 << 29
 
 #: The six levels of the binning scheme of genomic indexes, as (first bin, shift).
 LEVELS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
+#: The last bin of places; an index may have one beyond it for counts.
+LAST_BIN = 37448
 
 
 def bins(start: int, end: int) -> list[int]:
@@ -153,15 +162,97 @@ class RegionReader(DataSourceReader):
             return
         with opened(self.path) as file:
             for line in lines(file, part.first, part.last):
-                f = line.decode().split("\t")
-                if line.startswith(b"#") or len(f) < 8 or re.sub("^chr", "", f[0]) != part.chrom:
-                    continue
-                pos = int(f[1])
-                if pos <= part.end and pos + len(f[3]) - 1 >= part.start:
-                    if any(c == part.chrom and pos <= e and pos + len(f[3]) - 1 >= b for c, b, e in self.regions if e < part.start):
+                row = record(line, part.chrom)
+                if row and overlaps(row, [part.start], [part.end]):
+                    if any(c == part.chrom and overlaps(row, [b], [e]) for c, b, e in self.regions if e < part.start):
                         continue  # a long record that an earlier region gave
-                    f += [None] * (10 - len(f))
-                    yield (re.sub("^chr", "", f[0]), pos, *f[2:10])
+                    yield row
+
+
+INDEX = "chrom string, bin int, first long, last long"
+
+
+def index_rows(spark: SparkSession, index: str) -> DataFrame:
+    """The index as rows: chrom, bin, first, last (virtual offsets) of its chunks; bin is null for the linear index, of which first is the
+    window and last the offset. One task reads it, as it is one small gzip file."""
+    ship(spark)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            with opened(index) as file:
+                contigs = read_index(gzip.decompress(file.read()))
+            for name, c in contigs.items():
+                rows = [(b, x, y) for b, chunks in c.chunks.items() if b <= LAST_BIN for x, y in chunks] + [(None, w, v) for w, v in enumerate(c.linear)]
+                own = re.sub("^chr", "", name)
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["chrom", "bin", "first", "last"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, INDEX)
+
+
+def byte_ranges(regions: DataFrame, index: DataFrame, gap: int = GAP) -> DataFrame:
+    """chrom, first, last (virtual offsets), bytes (compressed, to the start of the last block) and regions (start, end of those that need it)
+    of what a table of regions (chrom, st, en: from 1, both ends included) needs of a file: bins of each region, less the chunks that end
+    before the linear index's offset, chunks with small gaps as one. Of a contig's regions those that share a place are one first."""
+    from evidra.operators.intervals import merged_spans, region_bins
+
+    own = merged_spans(regions.where("st <= en AND en >= 1").select(F.regexp_replace("chrom", "^chr", "").alias("chrom"), F.greatest("st", F.lit(1)).cast("long").alias("st"), F.least("en", F.lit(LAST)).cast("long").alias("en")).where("st <= en"), 1, ["chrom"])
+    linear = index.where("bin IS NULL").select("chrom", F.col("first").alias("window"), F.col("last").alias("least"))
+    tops = linear.groupBy("chrom").agg(F.max("window").alias("top"))
+    own = own.join(tops, "chrom", "left").withColumn("window", F.least(F.shiftright(F.col("st") - 1, LINEAR), F.col("top"))).join(linear, ["chrom", "window"], "left")
+    need = own.select("chrom", "st", "en", F.coalesce("least", F.lit(0)).alias("least"), F.explode(region_bins((F.col("st") - 1).cast("int"), F.col("en").cast("int"))).alias("bin"))
+    chunks = need.join(index.where("bin IS NOT NULL"), ["chrom", "bin"]).where("last > least")
+    # chunks of a contig as one where the next begins at most gap bytes after all before end
+    by = Window.partitionBy("chrom").orderBy("first", "last")
+    before = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(before.isNull() | (F.shiftright("first", 16) - F.shiftright(before, 16) > gap), 1).otherwise(0)
+    islands = chunks.withColumn("_new", new).withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    found = islands.groupBy("chrom", "_island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_sort(F.collect_set(F.struct("st", "en"))).alias("regions"))
+    return found.select("chrom", "first", "last", (F.shiftright("last", 16) - F.shiftright("first", 16)).alias("bytes"), "regions")
+
+
+def read_regions(spark: SparkSession, path: str, regions: DataFrame, index: str | None = None, task_bytes: int = 32 << 20) -> DataFrame:
+    """The records of an indexed file that overlap a table of regions (chrom, st, en), each once. Its byte ranges are rows, dealt to tasks by
+    bytes; tasks read theirs only, and no region goes through the driver."""
+    ranges = cut(byte_ranges(regions, cut(index_rows(spark, index or path + ".tbi"), "index")), "ranges")
+    n, size = ranges.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, -(-size // task_bytes)))
+    upto = F.sum("bytes").over(Window.partitionBy("chrom").orderBy("first"))
+    dealt = ranges.withColumn("_upto", upto).withColumn("_task", F.floor(F.col("_upto") / task_bytes))
+    dealt = dealt.repartition(tasks, "chrom", "_task").sortWithinPartitions("chrom", "first").select("chrom", "first", "last", F.transform("regions", lambda r: r["st"]).alias("sts"), F.transform("regions", lambda r: r["en"]).alias("ens"))
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = pa.schema([(n, pa.int64() if n == "pos" else pa.string()) for n in names])
+        with opened(path) as file:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    held = []
+                    for line in lines(file, r["first"], r["last"]):
+                        row = record(line, r["chrom"])
+                        if row and overlaps(row, r["sts"], r["ens"]):
+                            held.append(row)
+                        if len(held) == 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), to, strict=True)], schema=to)
+                            held = []
+                    if held:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), to, strict=True)], schema=to)
+
+    return dealt.mapInArrow(run, SCHEMA)
+
+
+def record(line: bytes, chrom: str) -> tuple | None:
+    """The columns of a line of a contig's record, or None."""
+    f = line.decode().split("\t")
+    if line.startswith(b"#") or len(f) < 8 or re.sub("^chr", "", f[0]) != chrom:
+        return None
+    f += [None] * (10 - len(f))
+    return (chrom, int(f[1]), *f[2:10])
+
+
+def overlaps(row: tuple, starts: list[int], ends: list[int]) -> bool:
+    """Whether a record shares a place with one of some sorted regions that share none with each other."""
+    at = bisect_right(starts, row[1] + len(row[3]) - 1) - 1
+    return at >= 0 and ends[at] >= row[1]
 
 
 class FilteredReader(RegionReader):

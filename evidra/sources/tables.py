@@ -7,22 +7,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions.fields import bare_contig, known
+from evidra.sources.blocks import read_lines
 from evidra.sources.lines import numbered
 
 VCF = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample")
 
 
-def read_vcf(spark: SparkSession, path: str, partitions: int | None = None, split_alleles: bool = True) -> DataFrame:
-    """Records of a plain or gzip variant file with one sample: contigs without chr, one row per alternate allele. A gzip
-    file is read by one task; partitions deals its rows out after parsing."""
-    f = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.size(f) >= 10)).select(*[F.get(f, F.lit(i)).alias(n) for i, n in enumerate(VCF)])
-    rows = rows.withColumns({"chrom": bare_contig(F.col("chrom")), "pos": F.col("pos").try_cast("long"), "qual": known(F.col("qual")).try_cast("double")}).where("pos IS NOT NULL")
-    if split_alleles:
-        rows = rows.withColumn("alt", F.explode(F.split("alt", ",")))
+def read_vcf(spark: SparkSession, path: str, partitions: int | None = None, split_alleles: bool = True, split_bytes: int | None = None) -> DataFrame:
+    """Records of a variant file, or a folder of them, with one sample: contigs without chr, one row per alternate allele, or only
+    records with one where split_alleles is false. split_bytes: a block-gzip file, read by a task for so many of its bytes. A gzip file is read
+    by one task else; partitions deals its rows out after parsing."""
+    rows = vcf_records(spark.read.text(path) if split_bytes is None else read_lines(spark, path, split_bytes))
+    rows = rows.withColumn("alt", F.explode(F.split("alt", ","))) if split_alleles else rows.where(~F.contains("alt", F.lit(",")) & (F.col("alt") != "."))
     return rows.repartition(partitions, "chrom", "pos") if partitions else rows
 
 
+def vcf_records(lines: DataFrame) -> DataFrame:
+    """The typed columns of lines of records with one sample; headers and short lines are left out."""
+    f = F.split("value", "\t")
+    rows = lines.where(~F.startswith("value", F.lit("#")) & (F.size(f) >= 10)).select(*[F.get(f, F.lit(i)).alias(n) for i, n in enumerate(VCF)])
+    return rows.withColumns({"chrom": bare_contig(F.col("chrom")), "pos": F.col("pos").try_cast("long"), "qual": known(F.col("qual")).try_cast("double")}).where("pos IS NOT NULL")
+
+
 def vcf_header(spark: SparkSession, path: str) -> DataFrame:
     """kind (reference, contig, source, FORMAT, INFO, samples) and value of the header lines."""
     h = spark.read.text(path).where(F.startswith("value", F.lit("#")))

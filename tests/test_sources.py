@@ -181,3 +181,64 @@ def test_region_source(spark, tmp_path, start, end, monkeypatch):
 def test_region_bins():
     assert regions.bins(0, 1) == [0, 1, 9, 73, 585, 4681]
     assert regions.bins(16383, 16385)[-2:] == [4681, 4682]
+
+
+def test_a_table_of_regions_reads_its_byte_ranges_only(spark, tmp_path):
+    records = [("chr1", 100 + 700 * i, "A" * (3000 if i % 50 == 3 else 1), "G") for i in range(400)]
+    path = tmp_path / "r.vcf.gz"
+    indexed(path, records)
+    some = [("1", 1, 3000), ("chr1", 2000, 9000), ("1", 3500, 3600), ("1", 200_000, 210_000), ("1", 260_000, 250_000), ("2", 1, 9), ("1", 900_000, 900_001), (None, 1, 2)]
+    table = spark.createDataFrame(some, "chrom string, st long, en long")
+    want = sorted(p for _, p, r, _ in records if any(c in ("1", "chr1") and p <= b and p + len(r) - 1 >= a for c, a, b in some if a <= b))
+    for task_bytes in (100, 1 << 20):
+        assert sorted(r.pos for r in regions.read_regions(spark, str(path), table, task_bytes=task_bytes).collect()) == want
+    ranges = regions.byte_ranges(table, regions.index_rows(spark, str(path) + ".tbi"), gap=0).collect()
+    assert 0 < sum(r.bytes for r in ranges) < path.stat().st_size / 2 and len(ranges) >= 2
+    assert regions.read_regions(spark, str(path), table.where("false")).count() == 0
+
+
+def bgzip(text: bytes, size: int) -> bytes:
+    return b"".join(block(text[i : i + size]) for i in range(0, len(text), size)) + block(b"")
+
+
+@pytest.mark.parametrize(("size", "split"), [(97, 100), (97, 333), (390, 1000), (5000, 64), (60000, 1 << 20)])
+def test_block_gzip_is_split_anywhere(spark, tmp_path, size, split):
+    import random
+
+    from evidra.sources import blocks
+
+    rng = random.Random(size)
+    lines = ["".join(rng.choice("ACGT\t.:é") for _ in range(rng.choice([0, 1, 30, 96, 97, 98, 400]))) for _ in range(300)]
+    text = "\n".join(lines).encode()
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.gz").write_bytes(bgzip(text + b"\n", size))
+    (tmp_path / "f" / "b.gz").write_bytes(bgzip(text + b"\nno newline at the end", size))
+    one = blocks.read_lines(spark, str(tmp_path / "f" / "a.gz"), split)
+    assert [r.value for r in one.collect()] == lines
+    both = blocks.read_lines(spark, str(tmp_path / "f"), split)
+    assert [r.value for r in both.collect()] == lines + lines + ["no newline at the end"]
+    assert split > 1000 or one.rdd.getNumPartitions() > 5
+    (tmp_path / "x.gz").write_bytes(gzip.compress(text * 40, 1))
+    with pytest.raises(Exception, match="block"):
+        blocks.read_lines(spark, str(tmp_path / "x.gz"), 64).collect()
+
+
+def test_variants_of_block_gzip_equal_the_plain_read(spark, tmp_path):
+    text = vcf_text(RECORDS * 5)
+    (tmp_path / "a.vcf.gz").write_bytes(bgzip(text.encode(), 777))
+    plain, split = tables.read_vcf(spark, str(tmp_path / "a.vcf.gz")), tables.read_vcf(spark, str(tmp_path / "a.vcf.gz"), split_bytes=500)
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, split.collect()), key=str) and split.rdd.getNumPartitions() > 10
+    single = tables.read_vcf(spark, str(tmp_path / "a.vcf.gz"), split_alleles=False)
+    assert single.count() == sum("," not in a for *_, a in RECORDS * 5)
+
+
+def test_block_gzip_files_written(spark, tmp_path):
+    from evidra.sources import blocks
+
+    rows = spark.range(0, 30_000, 1, 3).selectExpr("concat('line ', id, ' ', repeat('x', id % 50)) AS value")
+    files = blocks.write_lines(rows, str(tmp_path / "w")).collect()
+    assert len(files) == 3 and sum(f.n for f in files) == 30_000
+    got = blocks.read_lines(spark, str(tmp_path / "w"), 20_000)
+    assert sorted(r.value for r in got.collect()) == sorted(r.value for r in rows.collect())
+    assert gzip.decompress(open(files[0].path, "rb").read()).count(b"\n") == files[0].n
+    assert blocks.write_lines(rows.where("false"), str(tmp_path / "e")).count() == 0
