@@ -46,6 +46,8 @@ FIRST_WAVE = 4
 TILE = 256
 RUN = 256
 KEPT_WORDS = 200_000
+#: Words of 64 bits of the filter that texts pass before they move.
+WORDS = 1 << 18
 U = np.uint64
 
 
@@ -202,13 +204,14 @@ def links(key: int | None, members: list[Member], across: bool, percent: int) ->
 
 
 SIGNED = T.LongType()
-SETS = T.StructType([T.StructField("node", SIGNED), T.StructField("regs", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
-SIGNATURES = T.StructType([T.StructField("doc_id", SIGNED), T.StructField("text_hash", SIGNED), T.StructField("n_shingles", SIGNED), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(SIGNED))])
+SETS = T.StructType([T.StructField("node", SIGNED), T.StructField("hashes", T.BinaryType())])
+SIGNATURES = T.StructType([T.StructField("doc_id", SIGNED), T.StructField("text_hash", SIGNED), T.StructField("n_shingles", SIGNED), T.StructField("print", T.BinaryType()), T.StructField("regs", T.BinaryType())])
+KEYS = T.StructType([T.StructField("node", SIGNED), T.StructField("key", SIGNED)])
 LINKS = T.StructType([T.StructField("a", SIGNED), T.StructField("b", SIGNED)])
 
 
 def signatures(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """doc_id, xxhash64 of the text, number of shingles, 128-bit print of the set, band keys (null without shingles)."""
+    """doc_id, xxhash64 of the text, number of shingles, 128-bit print of the set, registers (both null without shingles)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -216,13 +219,66 @@ def signatures(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
                 sets = [shingles(t, words) for t in some.column("t").to_pylist()]
                 yield {
                     "doc_id": some.column("doc_id"), "text_hash": some.column("text_hash"), "n_shingles": [len(s) for s in sets], "print": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    "keys": [(k[k > 0]).view(np.int64) if len(s) else None for s in sets for k in [band_keys(registers(s))]],
+                    "regs": [registers(s).tobytes() if len(s) else None for s in sets],
                 }
         _words.clear()  # its memory is for the worker's next task, of whatever kind
 
     return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t")), SIGNATURES, run)
 
 
+def with_keys(stand: DataFrame) -> DataFrame:
+    """node, key: a row for each band key of a node's registers."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for some in slices(batch, RUN):
+                keys = [k[k > 0] for r in some.column("regs").to_pylist() for k in [np.unique(band_keys(np.frombuffer(r, np.uint16)))]]
+                yield {"node": np.repeat(some.column("node").to_numpy(), [len(k) for k in keys]), "key": np.concatenate([*keys, np.empty(0, U)]).view(np.int64)}
+
+    return map_batches(stand.select("node", "regs"), KEYS, run)
+
+
+def sieved(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """texts whose node is among nodes, and few others: nodes set bits of a filter of 64 * WORDS bits, whose WORDS words are broadcast. So
+    most texts that an exact join would drop don't move for it."""
+    bit = F.pmod(F.xxhash64(F.lit("sieve"), "node"), F.lit(64 * WORDS))
+    marked = lambda df: df.withColumn("_bit", bit).withColumns({"_w": F.shiftright("_bit", 6), "_mark": F.expr("shiftleft(1L, int(_bit & 63))")})
+    words = marked(nodes).groupBy("_w").agg(F.bit_or("_mark").alias("_set"))
+    return marked(texts).join(F.broadcast(words), "_w").where(F.col("_set").bitwiseAND(F.col("_mark")) != 0).select(*texts.columns)
+
+
+class Sets:
+    """Full sets of nodes, made from the texts when a node first needs its own; tables that are kept until done()."""
+
+    def __init__(self, docs: DataFrame, rule: Rule, text: str, key: str) -> None:
+        self.texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).where("node IS NOT NULL")
+        self.rule, self.tables = rule, []
+
+    def of(self, chosen: DataFrame) -> DataFrame:
+        """node, hashes of at least the nodes of chosen, a cut table."""
+        nodes = chosen.select("node").distinct()
+        for t in self.tables:
+            nodes = nodes.join(t.select("node"), "node", "left_anti")
+        nodes = cut(nodes, "nodes")
+        words = self.rule.words
+
+        def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                for some in slices(batch, RUN):
+                    yield {"node": some.column("node"), "hashes": [shingles(t, words).tobytes() for t in some.column("t").to_pylist()]}
+            _words.clear()
+
+        self.tables.append(cut(map_batches(sieved(self.texts, nodes).join(nodes, "node"), SETS, sets).where("length(hashes) > 0"), "sets"))
+        drop(nodes)
+        found = self.tables[0]
+        for t in self.tables[1:]:
+            found = found.unionByName(t)
+        return found
+
+    def done(self) -> None:
+        drop(*self.tables)
+
+
 def groups(batches: Iterable[pa.RecordBatch], full: bool) -> Iterator[tuple[tuple[int, int, int], list[Member]]]:
     """Runs of rows with one (key, i, j), as members, if there are several components."""
     now, members, none = None, [], np.empty(0, U)
@@ -239,9 +295,11 @@ def groups(batches: Iterable[pa.RecordBatch], full: bool) -> Iterator[tuple[tupl
         yield now, members
 
 
-def compare(meeting: DataFrame, sets: DataFrame, percent: int, once: bool) -> DataFrame:
-    """Links, as a table, of meeting (key, i, j, tile, node, component): who meets under (key, i, j). First registers decide which
-    members have a pair to compare; only these bring their sets. once: a pair is compared under its first key only."""
+def compare(meeting: DataFrame, brief: DataFrame, sets: Sets, once: bool) -> DataFrame:
+    """Links, as a table, of meeting (key, i, j, tile, node, component): who meets under (key, i, j). First registers (brief: node,
+    regs, n) decide which members have a pair to compare; only of these sets are made, and only these bring them. once: a pair is compared
+    under its first key only."""
+    percent = sets.rule.percent
     names = ["key", "i", "j", "tile", "node", "component"]
     unsigned = lambda k: k & (2**64 - 1) if once else None
     together = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -257,10 +315,9 @@ def compare(meeting: DataFrame, sets: DataFrame, percent: int, once: bool) -> Da
             if found := links(unsigned(k), members, i != j, percent):
                 yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
-    brief = sets.select("node", "regs", F.expr("length(hashes) div 8").alias("n"))
     schema = T.StructType([T.StructField(n, T.IntegerType() if n in ("i", "j", "tile") else SIGNED) for n in names])
     chosen = cut(map_batches(together(meeting.join(brief, "node")).select(*names, "regs", "n"), schema, choose), "chosen")
-    rows = together(chosen.join(sets.withColumn("n", F.expr("length(hashes) div 8")), "node")).select(*names, "regs", "n", "hashes")
+    rows = together(chosen.join(brief, "node").join(sets.of(chosen), "node")).select(*names, "regs", "n", "hashes")
     found = cut(map_batches(rows, LINKS, join), "links")
     drop(chosen)
     return found
@@ -305,31 +362,24 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None, text: str = "text
     signed = cut(signatures(docs, rule.words, text, key), "signatures")
     usable = signed.where("print IS NOT NULL AND doc_id IS NOT NULL")
     classes = cut(usable.groupBy("print").agg(F.min("doc_id").alias("node")), "classes")
-    stand = usable.join(classes, [usable["print"] == classes["print"], usable["doc_id"] == classes["node"]]).select("node", "keys")
-    meet = cut(stand.select("node", F.explode("keys").alias("key")).distinct(), "keys")
+    stand = usable.join(classes, [usable["print"] == classes["print"], usable["doc_id"] == classes["node"]]).select("node", "regs", F.col("n_shingles").alias("n"))
+    brief = cut(stand.distinct(), "brief")
+    meet = cut(with_keys(brief), "keys")
     counts = cut(meet.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     members = cut(meet.join(counts, "key"), "members")
     drop(meet, counts)
-    nodes = members.select("node").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).where("node IS NOT NULL").join(nodes, "node")
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for some in slices(batch, RUN):
-                own = [shingles(t, rule.words) for t in some.column("t").to_pylist()]
-                yield {"node": some.column("node"), "regs": [registers(h).tobytes() for h in own], "hashes": [h.tobytes() for h in own]}
-        _words.clear()
-
-    full = cut(map_batches(texts, SETS, sets).where("length(hashes) > 0"), "sets")
+    sets = Sets(docs, rule, text, key)
     # the first wave's keys: FIRST_WAVE in BANDS of all, taken by the key's hash, the same for all who meet under it
     some = members.where(F.pmod(F.xxhash64("key"), F.lit(BANDS)) < FIRST_WAVE)
-    first = compare(linear_wave(some), full, rule.percent, once=False)
+    first = compare(linear_wave(some), brief, sets, once=False)
     labels = connected_components(first)
     labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     labelled = cut(labelled, "labelled")
+    drop(members, labels)
     keys = cut(open_keys(labelled), "open")
-    second = compare(full_wave(labelled, keys), full, rule.percent, once=True)
-    drop(members, full, labels, labelled, keys)
+    second = compare(full_wave(labelled, keys), brief, sets, once=True)
+    sets.done()
+    drop(brief, labelled, keys)
     labels = connected_components(first.unionByName(second))
     linked = cut(classes.join(labels, "node", "left").select("print", "node", F.coalesce("component", "node").alias("component")), "linked")
     drop(first, second, classes, labels)
