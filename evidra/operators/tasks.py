@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.shared import cut
+from evidra.shared import cut, drop
 
 
 def orphans(edges: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -46,20 +46,75 @@ def branches(edges: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
     last = steps[-1].select(F.col("task").alias("dep"), "at", "depth", "open", F.lit(True).alias("met"))
     way = edges.join(branch, "task").join(last, "dep", "left")
     way = way.select("task", "dep", F.when(F.col("met"), F.col("at")).otherwise(F.col("dep")).alias("at"), (1 + F.coalesce("depth", F.lit(0))).alias("depth"), F.coalesce("open", F.lit(False)).alias("open"))
-    return branch, steps, cut(way, "ways")
+    way = cut(way, "ways")
+    drop(edges)
+    return branch, steps, way
 
 
 def renamed(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(old).alias(new) for old, new in names.items()])
 
 
+#: Walks kept at most for each edge; beyond it tasks are settled level by level.
+GROWTH = 16
+
+
+def long_walks(edges: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """(task, at) tables: from which task a walk of exactly 1, 2, 4 ... edges leads where, each pair once, made by doubling until no walk
+    is so long; and the tasks whose walks never end, where there are any, as they run into a cycle. An empty list where walks lead to so many
+    places that the tables would grow beyond GROWTH times the edges."""
+    found = [cut(edges.select("task", F.col("dep").alias("at")).distinct(), "walks")]
+    size = found[0].agg(F.count("*"), F.count_distinct("task")).first()
+    steps = 1
+    while True:
+        now = found[-1]
+        longer = cut(now.join(renamed(now, task="at", at="to"), "at").select("task", F.col("to").alias("at")).distinct(), "walks")
+        steps, n = 2 * steps, longer.count()
+        if not n:
+            drop(longer)
+            return found, None
+        if steps > size[1]:  # longer than all tasks in a row
+            return found, cut_and_drop(longer.select("task").distinct(), longer)
+        if n > GROWTH * size[0]:
+            drop(longer, *found)
+            return [], None
+        found.append(longer)
+
+
+def cut_and_drop(out: DataFrame, *tables: DataFrame) -> DataFrame:
+    kept = cut(out, "kept")
+    drop(*tables)
+    return kept
+
+
 def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """task, root, depth: each task's last ancestor, along the longest way where there are several; no root and no depth where
-    a way runs into a cycle. A round for each doubling of the chains' length, and for each level of tasks with several
-    dependencies."""
+    a way runs into a cycle. Walks are doubled in length, and then each task goes as far as any of its walks does, longest ones first:
+    two rounds for each doubling of the depth. Graphs in which walks of one length lead to very many places are settled by a round
+    for each level of tasks with several dependencies."""
+    tables, lost = long_walks(edges.where("dep IS NOT NULL"))
+    if not tables:
+        return by_levels(spark, edges)
+    at = tables[0].select("task").distinct().withColumns({"at": F.col("task"), "depth": F.lit(0)})
+    if lost is not None:
+        at = at.join(lost, "task", "left_anti")
+    at = cut(at, "at")
+    for k in reversed(range(len(tables))):
+        on = at.join(renamed(tables[k], task="at", at="to"), "at").select("task", F.col("to").alias("at"), (F.col("depth") + 2**k).alias("depth")).distinct()
+        on = cut(on, "at")
+        at = cut_and_drop(on.unionByName(at.join(on.select("task").distinct(), "task", "left_anti")), on, at)
+    out = at.groupBy("task").agg(F.max("at").alias("root"), F.max("depth").cast("int").alias("depth"))
+    if lost is not None:
+        out = out.unionByName(lost.select("task", F.lit(None).cast(out.schema["root"].dataType).alias("root"), F.lit(None).cast("int").alias("depth")))
+    return cut_and_drop(out, at, *tables, *([lost] if lost is not None else []))
+
+
+def by_levels(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """ancestors() by a round for each doubling of the chains' length, and for each level of tasks with several dependencies."""
     branch, steps, way = branches(edges)
     known = spark.createDataFrame([], T.StructType([T.StructField("task", branch.schema["task"].dataType), T.StructField("root", way.schema["at"].dataType), T.StructField("depth", T.LongType())]))
     inner = renamed(branch, task="at").withColumn("inner", F.lit(True))
+    tables = []
     while True:
         reached = way.join(inner, "at", "left").join(renamed(known, task="at", root="root", depth="more"), "at", "left")
         fixed = ~F.col("open") & (F.col("inner").isNull() | F.col("more").isNotNull())
@@ -67,14 +122,17 @@ def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
         new = reached.groupBy("task").agg(F.bool_and(fixed).alias("fixed"), best.alias("best")).where("fixed").join(known, "task", "left_anti")
         new = cut(new.select("task", "best.root", "best.depth"), "levels")
         if new.isEmpty():
+            drop(new)
             break
         known = cut(known.unionByName(new), "levels")
+        drop(new, *tables)
+        tables = [known]
     ends = steps[-1].join(inner, "at", "left").join(renamed(known, task="at", root="root", depth="more"), "at", "left")
     lost = F.col("open") | (F.col("inner").isNotNull() & F.col("more").isNull())
     single = ends.select(
         "task", F.when(~lost, F.when(F.col("more").isNull(), F.col("at")).otherwise(F.col("root"))).alias("root"), F.when(~lost, F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
     )
-    return single.unionByName(branch.join(known, "task", "left")).withColumn("depth", F.col("depth").cast("int"))
+    return cut_and_drop(single.unionByName(branch.join(known, "task", "left")).withColumn("depth", F.col("depth").cast("int")), branch, way, *steps, *tables)
 
 
 def cyclic(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -84,38 +142,43 @@ def cyclic(spark: SparkSession, edges: DataFrame) -> DataFrame:
     tasks are where all walks are after as many steps as there are tasks. All other cycles have tasks with several
     dependencies: the graph of these, its edges as long as the walks between, is peeled from both ends, and only in what is
     left are the shortest ways between all pairs sought."""
-    edges = cut(edges.where("dep IS NOT NULL").select("task", "dep").distinct(), "edges")
+    all_ = edges = cut(edges.where("dep IS NOT NULL").select("task", "dep").distinct(), "edges")
     self_ = edges.where("task = dep").select("task", F.lit(1).cast("long").alias("length"))
     branch, steps, way = branches(edges.where("task <> dep"))
     on = steps[-1].where("open").select(F.col("at").alias("task")).distinct()
     least = steps[0].join(on, "task", "left_semi").select("task", F.col("task").alias("least"))
+    used = [all_, branch, way, *steps]
     for s in steps:  # the least task of the first 1, 2, 4 ... of a walk
         then = s.join(renamed(least, task="at", least="then"), "at").select("task", "then")
-        least = cut(least.join(then, "task").select("task", F.least("least", "then").alias("least")), "cycles")
+        used.append(least := cut(least.join(then, "task").select("task", F.least("least", "then").alias("least")), "cycles"))
     alone = least.join(least.groupBy("least").agg(F.count("*").alias("length")), "least").select("task", "length")
 
     core = cut(way.where("NOT open").join(renamed(branch, task="at"), "at", "left_semi").select("task", "dep", "at", "depth"), "core")
+    used.append(core)
     n = core.count()
     while n:
         kept = core.join(core.select("task").withColumnRenamed("task", "at").distinct(), "at", "left_semi").join(core.select("at").withColumnRenamed("at", "task").distinct(), "task", "left_semi")
         core, before = cut(kept.select("task", "dep", "at", "depth"), "core"), n
+        used.append(core)
         n = core.count()
         if n == before:
             break
     if not n:
-        return shortest(self_.unionByName(alone))
+        return cut_and_drop(shortest(self_.unionByName(alone)), *used)
     ways = cut(core.groupBy("task", "at").agg(F.min("depth").alias("depth")), "pairs")
     size = None
     while size != (size := tuple(ways.agg(F.count("*"), F.sum("depth")).first())):
         longer = ways.join(renamed(ways, task="at", at="to", depth="more"), "at").select("task", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
-        ways = cut(ways.unionByName(longer).groupBy("task", "at").agg(F.min("depth").alias("depth")), "pairs")
+        ways = cut_and_drop(ways.unionByName(longer).groupBy("task", "at").agg(F.min("depth").alias("depth")), ways)
     back = renamed(ways, task="at", at="task", depth="more")
     through = cut(core.join(back, ["task", "at"], "left").select("task", "dep", F.when(F.col("task") == F.col("at"), F.col("depth")).otherwise(F.col("depth") + F.col("more")).alias("length")).where("length IS NOT NULL"), "through")
+    used += [ways, through]
     chain = shortest(renamed(through, dep="task", length="length"))
     for s in steps:  # a cycle that enters a walk goes through all of it
         onward = s.join(chain, "task").select(F.col("at").alias("task"), "length")
-        chain = cut(shortest(chain.unionByName(onward)), "through")
-    return shortest(self_.unionByName(alone).unionByName(through.select("task", "length")).unionByName(chain.join(branch, "task", "left_anti")))
+        used.append(chain := cut(shortest(chain.unionByName(onward)), "through"))
+    found = shortest(self_.unionByName(alone).unionByName(through.select("task", "length")).unionByName(chain.join(branch, "task", "left_anti")))
+    return cut_and_drop(found, *used)
 
 
 def shortest(lengths: DataFrame) -> DataFrame:

@@ -219,6 +219,47 @@ def test_long_chains_and_cycles(spark):
     assert got == dict.fromkeys(range(1, 31), 30)
 
 
+def tables_left(spark):
+    from pathlib import Path
+
+    from evidra.shared import shared_dir
+
+    return {p.name for p in Path(shared_dir(spark).removeprefix("file:")).iterdir()}
+
+
+def test_a_ladder_takes_rounds_by_the_logarithm_of_its_depth(spark, monkeypatch):
+    rounds, real = [], tasks.cut
+    monkeypatch.setattr(tasks, "cut", lambda df, what: rounds.append(what) or real(df, what))
+    steps = 5000
+    edges = spark.range(2, 2 * steps).selectExpr("explode(array(struct(id AS task, (id div 2 - 1) * 2 AS dep), struct(id AS task, (id div 2 - 1) * 2 + 1 AS dep))) AS e").select("e.*")
+    before = tables_left(spark)
+    got = tasks.ancestors(spark, edges)
+    assert len(rounds) < 60 and got.where("depth <> task div 2 OR root <> 1").count() == 0 and got.count() == 2 * steps - 2
+    assert len(tables_left(spark) - before) == 1  # the result
+
+
+@pytest.mark.parametrize("growth", [16, 0])
+def test_ways_of_different_lengths(spark, monkeypatch, growth):
+    monkeypatch.setattr(tasks, "GROWTH", growth)
+    edges = [(i, j) for i in range(1, 14) for j in range(i) if (i * 7 + j) % 3] + [(20, 21), (21, 22), (22, 21), (23, 1), (23, 20), (30, 30)]
+    out = {}
+    for t, d in edges:
+        out.setdefault(t, set()).add(d)
+    before = tables_left(spark)
+    got = {r.task: (r.depth, r.root) for r in tasks.ancestors(spark, spark.createDataFrame(edges, "task long, dep long")).collect()}
+
+    def far(t, path=()):
+        if t in path:
+            return None
+        ways = [far(d, (*path, t)) if d in out else (0, d) for d in out[t]]
+        return None if None in ways else max((k + 1, r) for k, r in ways)
+
+    assert got == {t: far(t) or (None, None) for t in out}
+    assert len(tables_left(spark) - before) == 1
+    assert {r.task for r in tasks.cyclic(spark, spark.createDataFrame(edges, "task long, dep long")).collect()} == {21, 22, 30}
+    assert len(tables_left(spark) - before) == 2
+
+
 def test_graphs_against_brute_force(spark):
     import random
 
