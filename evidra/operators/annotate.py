@@ -81,3 +81,10 @@ def most_common(df: DataFrame, by: list[str], value: str, order: str) -> DataFra
     """Each group's most frequent value; of equally frequent ones that which comes first in order."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
     return counts.groupBy(*by).agg(F.min_by(F.struct(value, "n"), F.struct((-F.col("n")).alias("k"), "_first")).alias("m")).select(*by, F.col(f"m.{value}").alias(value), F.col("m.n").alias("n"))
+
+
+def panel_join(panel: DataFrame, known: DataFrame, key: str, order: str, **defaults) -> DataFrame:
+    """Every row of a panel, order column included, with what is known of it; columns named in defaults have those values where nothing
+    is. Rows are put in order where they are shown or written: sort by order."""
+    rows = panel.join(known, key, "left")
+    return rows.select(*panel.columns, *[F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else c for c in known.columns if c != key])

@@ -31,28 +31,69 @@ def log_factorial(n: Column) -> Column:
     return series - F.log(factors)
 
 
+#: Populations up to which differences of log_factorial are exact to about 1e-9.
+SMALL_POPULATION = 1_000_000
+#: What Stirling's formula lacks of ln(n!), for n from 0 to 15 (of 0 it isn't used).
+LACKING = [0.0] + [math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16)]
+
+
+def stirling_lack(n: Column) -> Column:
+    """ln(n!) less Stirling's formula."""
+    r = 1 / (n.cast("double") * n)
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / n
+    return F.when(n < 16, F.get(F.array(*[F.lit(x) for x in LACKING]), n.cast("int"))).otherwise(series)
+
+
+def deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x, without cancellation where x is near mean."""
+    v = (x - mean) / (x + mean)
+    near = (x - mean) * v + 2 * x * v * sum((v ** (2 * j) / (2 * j + 1) for j in range(2, 9)), v * v / 3)
+    return F.when(F.abs(x - mean) < 0.1 * (x + mean), near).otherwise(x * F.log(x / mean) + mean - x)
+
+
+def log_binomial(x: Column, n: Column, share: Column, other: Column) -> Column:
+    """ln of the chance of x successes of n at a share (other is 1 - share), from deviances: exact however large n is."""
+    d = lambda c: c.cast("double")
+    inner = stirling_lack(n) - stirling_lack(x) - stirling_lack(n - x) - deviance(d(x), n * share) - deviance(d(n - x), n * other) + 0.5 * F.log(d(n) / (2 * math.pi * d(x) * (n - x)))
+    return F.when(n == 0, F.lit(0.0)).when(x == 0, n * F.log1p(-share)).when(x == n, n * F.log1p(-other)).otherwise(inner)
+
+
+#: Terms that are in a row at once.
+TERMS = 1024
+
+
 def hypergeometric_tail(tests: DataFrame, population: int) -> DataFrame:
     """tests (with k, marked, drawn) with p = P(X >= k) and log_p, its natural logarithm: X of drawn items are marked, where marked
     of population are. Only the largest term is computed by logarithms; from there each term follows from its neighbour's, up
-    and down, within the row. So log_p holds where p is too small for a double."""
+    and down, within the row. So log_p holds where p is too small for a double. Terms further from the largest than reach are less than
+    1e-20 of it together, by Hoeffding's bound for n draws, n the smaller of marked and drawn: a share of over
+    sqrt(n * (ln(n + 1) + 46) / 2) / n more than expected has a chance of at most exp(-46) / (n + 1), and the largest term is 1 / (n + 1) at least.
+    They are left out, and those within are taken in runs of TERMS, so a row holds no more of them whatever the sizes."""
     k, marked, drawn, n = F.col("k"), F.col("marked"), F.col("drawn"), F.lit(population)
-    rows = tests.withColumns({"_most": F.least(marked, drawn), "_least": F.greatest(k, marked + drawn - n, F.lit(0))})
+    few = F.least(marked, drawn).cast("double")
+    rows = tests.withColumns({"_most": F.least(marked, drawn), "_least": F.greatest(k, marked + drawn - n, F.lit(0)), "_reach": F.ceil(F.sqrt(few * (F.log(few + 1) + 46) / 2)) + 2})
     mode = F.floor((marked + 1) * (drawn + 1) / (n + 2))
     rows = rows.withColumn("_mode", F.greatest(F.col("_least"), F.least(F.col("_most"), mode)))
     i, lf = F.col("_mode"), log_factorial
-    top = lf(marked) + lf(drawn) + lf(n - marked) + lf(n - drawn) - lf(n) - lf(i) - lf(marked - i) - lf(drawn - i) - lf(n - marked - drawn + i)
+    if population <= SMALL_POPULATION:
+        top = lf(marked) + lf(drawn) + lf(n - marked) + lf(n - drawn) - lf(n) - lf(i) - lf(marked - i) - lf(drawn - i) - lf(n - marked - drawn + i)
+    else:
+        share, other = drawn / n, (n - drawn) / n
+        top = log_binomial(i, marked, share, other) + log_binomial(drawn - i, n - marked, share, other) - log_binomial(drawn, n, share, other)
     ratio = lambda i: (marked - i + 1).cast("double") * (drawn - i + 1) / (i * (n - marked - drawn + i))  # noqa: E731  of term i to term i - 1
 
-    def total(places: Column, onward: Callable[[Column, Column], Column]) -> Column:
-        """The sum of the terms that follow one another from 1 at the mode."""
-        step = lambda x, i: F.struct(onward(x["t"], i).alias("t"), (x["s"] + onward(x["t"], i)).alias("s"))
-        return F.aggregate(places, F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")), step)["s"]
+    def total(count: Column, place: Callable[[Column], Column], onward: Callable[[Column, Column], Column]) -> Column:
+        """The sum of count terms that follow one another from 1 at the mode; place gives the j-th one's, j from 1."""
+        step = lambda x, j: F.struct(onward(x["t"], place(j)).alias("t"), (x["s"] + onward(x["t"], place(j))).alias("s"))
+        run = lambda r: F.sequence(r * TERMS + 1, F.least(count, (r + 1) * TERMS))
+        runs = F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / TERMS))
+        none = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
+        return F.when(count > 0, F.aggregate(runs, none, lambda x, r: F.aggregate(run(r), x, step))["s"]).otherwise(0.0)
 
-    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
-    up = total(span(i + 1, F.col("_most")), lambda t, i: t * ratio(i))
-    down = total(F.reverse(span(F.col("_least") + 1, i)), lambda t, i: t / ratio(i))
+    up = total(F.least(F.col("_most") - i, F.col("_reach")).cast("long"), lambda j: i + j, lambda t, i: t * ratio(i))
+    down = total(F.least(i - F.col("_least"), F.col("_reach")).cast("long"), lambda j: i - j + 1, lambda t, i: t / ratio(i))
     log_p = F.when(F.col("_least") <= F.col("_most"), F.least(F.lit(0.0), top + F.log(1 + up + down))).otherwise(F.lit(-math.inf))
-    return rows.withColumn("log_p", log_p).withColumn("p", F.exp("log_p")).drop("_most", "_least", "_mode")
+    return rows.withColumn("log_p", log_p).withColumn("p", F.exp("log_p")).drop("_most", "_least", "_mode", "_reach")
 
 
 def null_share(tests: DataFrame, by: str, value: str, name: str = "share") -> DataFrame:

@@ -1,21 +1,27 @@
 """Interval operators: one-winner interval joins, index bins, merging of spans.
 
-Catalyst has no interval join. Here overlaps are resolved on the interval side first: its boundaries cut each contig into
-segments, each with the one interval that wins there, so a point meets at most one segment and needs no shuffle to pick a
+Catalyst has no interval join. Here overlaps are resolved on the interval side first: each contig is cut into
+segments, each with the one interval that wins there (a sweep by ranges of starts), so a point meets at most one segment and needs no shuffle to pick a
 winner afterwards. Segments are spread over fixed bins, so the join is an equi join on (contig, bin) with a residual; it is
 broadcast only where a bound of the segments, counted from the intervals, is low, and shuffled on (contig, bin) else.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from evidra.shared import cut
+from evidra.ship import ship
 from evidra.sources.regions import LEVELS
 
 BIN = 1 << 14
 #: Rows of the interval side up to which it is broadcast.
 FEW = 500_000
+#: Intervals that a task sweeps, more where that would be over so many ranges.
+RANGE_ROWS, MOST_RANGES = 50_000, 4_096
 
 
 def region_bins(start: Column, end: Column) -> Column:
@@ -24,18 +30,77 @@ def region_bins(start: Column, end: Column) -> Column:
     return F.flatten(F.array(*[F.sequence(F.lit(first) + F.shiftright(start, shift), F.lit(first) + F.shiftright(last, shift)) for first, shift in LEVELS]))
 
 
+def ranges(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own (chrom, s, e, ...) with range, as a table: stretches of each contig of about RANGE_ROWS intervals by their starts; and a row for each
+    range: chrom, range, low (its first start), high (the next range's, or null)."""
+    parts = max(1, min(MOST_RANGES, -(-own.count() // RANGE_ROWS)))
+    if parts == 1:
+        table = own.withColumn("range", F.lit(0))
+        return table, table.groupBy("chrom", "range").agg(F.min("s").alias("low")).withColumn("high", F.lit(None).cast("long"))
+    table = cut(own.repartitionByRange(parts, "chrom", "s").withColumn("range", F.spark_partition_id()), "intervals")
+    lows = table.groupBy("chrom", "range").agg(F.min("s").alias("low"))
+    # a row for each range
+    return table, lows.withColumn("high", F.lead("low").over(Window.partitionBy("chrom").orderBy("low")))
+
+
+def first_winners(own: DataFrame) -> DataFrame:
+    """Where the smallest (s, e, name) wins. It wins wherever none before it in that order reaches, as those before start no later: from
+    the greatest end before it on. Ends before a range are a running maximum over ranges."""
+    table, bounds = ranges(own)
+    tops = table.groupBy("chrom", "range").agg(F.max("e").alias("top")).join(bounds, ["chrom", "range"])
+    before = tops.select("chrom", "range", F.max("top").over(Window.partitionBy("chrom").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)).alias("_upto"))
+    inside = F.max("e").over(Window.partitionBy("chrom", "range").orderBy("s", "e", "name").rowsBetween(Window.unboundedPreceding, -1))
+    rows = table.withColumn("_in", inside).join(F.broadcast(before), ["chrom", "range"])  # MOST_RANGES rows, and one for each contig
+    rows = rows.withColumn("seg_st", F.greatest("s", F.coalesce(F.greatest("_in", "_upto") + 1, "s")))
+    return rows.where("seg_st <= e").select("chrom", "seg_st", F.col("e").alias("seg_en"), "name")
+
+
+def last_winners(own: DataFrame) -> DataFrame:
+    """Where the greatest (s, e, name) wins, by a sweep of each range. Of one start only the greatest can win. Of those that start before a
+    range, it meets those that end in it, of one end the greatest, and of those that go on beyond it the greatest only."""
+    own = own.groupBy("chrom", "s").agg(F.max(F.struct("e", "name")).alias("w")).select("chrom", "s", "w.e", "w.name")
+    table, bounds = ranges(own)
+    lows = bounds.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("low", "range"))).alias("lows"))
+    ends = table.join(F.broadcast(lows), "chrom").withColumn("_at", F.size(F.filter("lows", lambda x: x["low"] <= F.col("e"))))
+    first = F.size(F.filter("lows", lambda x: x["low"] <= F.col("s")))
+    ends = ends.withColumn("_from", first).withColumn("to", F.element_at("lows", F.col("_at"))["range"])
+    key = F.max(F.struct("s", "e", "name")).alias("w")
+    carried = ends.where("_at > _from").groupBy("chrom", F.col("to").alias("range"), F.col("e").alias("_e")).agg(key).select("chrom", "range", "w.*")
+    spans = ends.where("_at > _from + 1").groupBy("chrom", "_from", "_at").agg(key, F.first("lows").alias("lows"))
+    through = spans.select("chrom", "w", F.explode(F.slice("lows", F.col("_from") + 1, F.col("_at") - F.col("_from") - 1)).alias("l")).groupBy("chrom", F.col("l.range").alias("range")).agg(F.max("w").alias("w")).select("chrom", "range", "w.*")
+    names = ["chrom", "range", "s", "e", "name"]
+    rows = table.select(*names).unionByName(carried.select(*names)).unionByName(through.select(*names)).join(F.broadcast(bounds), ["chrom", "range"])
+    out = T.StructType([table.schema["chrom"], T.StructField("seg_st", T.LongType()), T.StructField("seg_en", T.LongType()), table.schema["name"]])
+    ship(own.sparkSession)
+    return rows.groupBy("chrom", "range").applyInPandas(lambda pdf: swept(pdf), out)
+
+
+def swept(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Segments of one range, each with the interval of the greatest (s, e, name) that holds it."""
+    low, high = int(pdf["low"].iloc[0]), pdf["high"].iloc[0]
+    last = int(pdf["e"].max()) if pd.isna(high) else int(high) - 1
+    rows = sorted(zip(pdf["s"].tolist(), pdf["e"].tolist(), pdf["name"].tolist(), strict=True), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or ""))
+    cuts = sorted({max(low, r[0]) for r in rows} | {r[1] + 1 for r in rows if r[1] < last})
+    # starts only grow, so the greatest is the latest that is still open: a stack, whose ended tops go
+    stack, at, found = [], 0, []
+    for i, place in enumerate(cuts):
+        while at < len(rows) and rows[at][0] <= place:
+            stack.append(rows[at])
+            at += 1
+        while stack and stack[-1][1] < place:
+            stack.pop()
+        if stack:
+            end = min(cuts[i + 1] - 1 if i + 1 < len(cuts) else last, stack[-1][1])
+            found.append((place, end, stack[-1][2]))
+    return pd.DataFrame({"chrom": [pdf["chrom"].iloc[0]] * len(found), "seg_st": [f[0] for f in found], "seg_en": [f[1] for f in found], "name": [f[2] for f in found]})
+
+
 def winners(intervals: DataFrame, policy: str, name: str = "gene", start: str = "st", end: str = "en", chrom: str = "chrom") -> DataFrame:
     """Disjoint segments (chrom, seg_st, seg_en, name): of the intervals over a place, first_start takes the smallest
-    (start, end, name) and last_start the greatest."""
-    own = intervals.select(F.col(chrom).alias("chrom"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), F.col(name).alias("name")).where("s <= e").distinct()
-    cuts = own.select("chrom", F.explode(F.array("s", F.col("e") + 1)).alias("seg_st")).distinct()
-    after = F.lead("seg_st").over(Window.partitionBy("chrom").orderBy("seg_st"))
-    segments = cuts.withColumn("seg_en", after - 1).where("seg_en IS NOT NULL")
-    bins = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div {BIN}"), F.expr(f"{b} div {BIN}")))
-    over = segments.withColumn("bin", F.expr(f"seg_st div {BIN}")).join(own.withColumn("bin", bins("s", "e")), ["chrom", "bin"]).where("s <= seg_st AND seg_en <= e")
-    order = F.struct("s", "e", "name")
-    pick = {"first_start": F.min, "last_start": F.max}[policy](order)
-    return over.groupBy("chrom", "seg_st", "seg_en").agg(pick.alias("w")).select("chrom", "seg_st", "seg_en", F.col("w.name").alias(name))
+    (start, end, name) and last_start the greatest. However many intervals lie over a place, each is looked at a few times."""
+    own = intervals.select(F.col(chrom).alias("chrom"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), F.col(name).alias("name")).where("s <= e AND chrom IS NOT NULL").distinct()
+    found = {"first_start": first_winners, "last_start": last_winners}[policy](own)
+    return found.withColumnRenamed("name", name)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, policy: str = "first_start", how: str = "inner", name: str = "gene", pos: str = "pos", pad: int = 0, start: str = "st", end: str = "en") -> DataFrame:

@@ -31,9 +31,23 @@ EGRESS = {
 }
 
 
+#: What a text has to hold for a detector to be tried: tests that are much cheaper than its expression.
+SIGNS = {
+    "coordinate": lambda t: F.contains(t, F.lit(":")) & t.rlike("[0-9]{5}") | t.rlike("-\\s*[0-9]{5}"),
+    "column_coordinate": lambda t: t.rlike("[,\t]\\s*[0-9]{5}"),
+    "rsid": lambda t: F.contains(t, F.lit("rs")),
+    "hgvs": lambda t: t.rlike("[cgmn][.]"),
+    "email": lambda t: F.contains(t, F.lit("@")),
+    "phone": lambda t: F.contains(t, F.lit("(")),
+}
+
+
 def scan(docs: DataFrame, detectors: dict[str, str] | None = None, text: str = "text") -> DataFrame:
     """docs with one boolean column for each detector; null texts match nothing."""
-    return docs.withColumns({f"has_{k}": F.coalesce(F.col(text).rlike(p), F.lit(False)) for k, p in (detectors or DETECTORS).items()})
+    t = F.col(text)
+    found = {k: t.rlike(p) for k, p in (detectors or DETECTORS).items()}
+    signs = {k: SIGNS[k](t) if k in SIGNS and p == DETECTORS.get(k) else F.lit(True) for k, p in (detectors or DETECTORS).items()}
+    return docs.withColumns({f"has_{k}": F.coalesce(F.when(signs[k], c), F.lit(False)) for k, c in found.items()})
 
 
 def blocked(text: Column, samples: tuple[str, ...] = ()) -> Column:

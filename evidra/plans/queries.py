@@ -639,10 +639,10 @@ def set_operations(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("""WITH s AS (SELECT l_shipmode_k, supp FROM (SELECT l_linenumber AS l_shipmode_k, l_suppkey AS supp, count(*) AS k FROM lineitem GROUP BY 1, 2) q),
-f AS (SELECT supp, count(*) AS df FROM s GROUP BY supp) SELECT df, count(*) AS n FROM f GROUP BY df""")
+@query("""WITH f AS (SELECT l_partkey, count(DISTINCT l_orderkey % 40) AS df FROM lineitem GROUP BY l_partkey) SELECT df, count(*) AS n FROM f GROUP BY df""")
 def document_frequency(spark, sf):
-    f = view(spark, sf, "lineitem").select("l_linenumber", "l_suppkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("df"))
+    """In how many of forty signatures each compound is."""
+    f = view(spark, sf, "lineitem").select((F.col("l_orderkey") % 40).alias("signature"), "l_partkey").distinct().groupBy("l_partkey").agg(F.count("*").alias("df"))
     return f.groupBy("df").agg(F.count("*").alias("n"))
 
 
@@ -742,6 +742,19 @@ def size_text(spark, sf):
     return view(spark, sf, "documents").select("doc_id", fields.size_text(n).alias("size"), fields.thousands(n).alias("dotted"))
 
 
+@query("""WITH f AS (SELECT replace(url, '://', '/') || '/' || page_id || CASE WHEN page_id % 3 = 0 THEN '.vcf.gz' ELSE '.html' END AS path, CAST(length(html) AS BIGINT) AS length FROM pages WHERE url IS NOT NULL),
+d AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS folder FROM f WHERE length % 5 = 0
+  UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) FROM f WHERE length % 7 = 0)
+SELECT 'folder' AS kind, folder AS path, CAST(sum(length) AS BIGINT) AS length, count(*) AS n FROM d JOIN f ON starts_with(path, folder || '/') GROUP BY folder
+UNION ALL SELECT 'file', path, length, 1 FROM f WHERE path LIKE '%.vcf.gz' AND NOT EXISTS (SELECT 1 FROM d WHERE starts_with(path, folder || '/'))""")
+def folder_sweep(spark, sf):
+    """Pages as files by their addresses: listed folders with all below them, and files of a kind that lie below none."""
+    name = F.concat(F.replace("url", F.lit("://"), F.lit("/")), F.lit("/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".vcf.gz").otherwise(".html"))
+    files = view(spark, sf, "pages").where("url IS NOT NULL").select(name.alias("path"), F.length("html").cast("long").alias("length"))
+    upper = lambda n, every: files.where(F.col("length") % every == 0).select(F.substring_index("path", "/", n).alias("folder"))
+    return tables.swept_files(files, upper(2, 5).unionByName(upper(3, 7)), text.GENOMIC_FILE)
+
+
 # ---------------------------------------------------------------- task graphs
 
 
@@ -807,11 +820,16 @@ def strong_hits(spark, sf):
 
 
 @query("""WITH p AS (SELECT p_partkey, p_name, p_brand FROM part), l AS (SELECT l_partkey, count(*) AS n, count(DISTINCT l_suppkey) AS supp FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT p_partkey, p_brand, coalesce(n, 0) AS n, coalesce(supp, 0) AS suppliers FROM p LEFT JOIN l ON p_partkey = l_partkey""")
+SELECT p_partkey, p_brand, CAST(row_number() OVER (ORDER BY p_brand, p_partkey) AS BIGINT) AS place, coalesce(n, 0) AS n, coalesce(supp, 0) AS suppliers FROM p LEFT JOIN l ON p_partkey = l_partkey""")
 def landscape_join(spark, sf):
-    """Every member of the panel, with what is known of it or noughts."""
+    """Every member of the panel in its order, with what is known of it or noughts. The panel is a list in a file."""
     known = view(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"))
-    return view(spark, sf, "part").join(known, "p_partkey", "left").select("p_partkey", "p_brand", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "suppliers")])
+    at, part = new_path(spark, "panel"), view(spark, sf, "part")
+    part.repartitionByRange("p_brand", "p_partkey").sortWithinPartitions("p_brand", "p_partkey").select(F.concat("p_partkey", F.lit(" # one")).alias("value")).write.text(at)
+    panel = tables.read_names(spark, at).select(F.col("gene").cast("long").alias("p_partkey"), "place").join(part.select("p_partkey", "p_brand"), "p_partkey")
+    found = cut(annotate.panel_join(panel, known, "p_partkey", "place", n=0, suppliers=0), "landscape")
+    remove(spark, at)
+    return found
 
 
 @query(""", b AS (SELECT max(span) AS longest FROM (SELECT max(pos) - min(pos) AS span FROM ph WHERE pid <> '.' GROUP BY pid HAVING count(*) >= 2) q)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 
 
@@ -23,8 +25,22 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def replace_state(df: DataFrame, path: str) -> None:
-    """Overwrite a table; df must not read it."""
-    df.write.mode("overwrite").parquet(path)
+    """Put df in a table's place: written aside whole, then renamed. Until then the old table stands, so df may read it, and a write that
+    fails leaves it as it was."""
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.parquet(aside + ".new")
+    context = df.sparkSession.sparkContext
+    new, old, at = (context._jvm.org.apache.hadoop.fs.Path(p) for p in (aside + ".new", aside + ".old", path))
+    store = at.getFileSystem(context._jsc.hadoopConfiguration())
+    had = store.exists(at)
+    if had and not store.rename(at, old):
+        raise OSError(f"{path} can't be moved")
+    if not store.rename(new, at):
+        if had:
+            store.rename(old, at)
+        raise OSError(f"{path} can't be replaced")
+    if had:
+        store.delete(old, True)
 
 
 def append_columns(table: DataFrame, path: str, **columns: Column) -> None:

@@ -89,8 +89,9 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
-    """Names, one a line; # starts a comment."""
-    return spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("gene")).where("gene <> ''")
+    """gene, place: names, one a line, with their lines' numbers; # starts a comment."""
+    rows = numbered(spark.read.text(path), "place")
+    return rows.select(F.trim(F.regexp_replace("value", "#.*", "")).alias("gene"), "place").where("gene <> ''")
 
 
 def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:
@@ -132,5 +133,27 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return files.select("path", "length").where(F.col("path").rlike(pattern))
 
 
-def distinct_blobs(blobs: DataFrame, key: str = "blob") -> DataFrame:
-    return blobs.dropDuplicates([key])
+def file_blobs(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
+    """blob (sha256 of the content), path, length, content of the files below path whose name matches."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("path").rlike(pattern))
+    return files.select(F.sha2("content", 256).alias("blob"), "path", "length", "content")
+
+
+def distinct_blobs(blobs: DataFrame, key: str = "blob", path: str = "path") -> DataFrame:
+    """A row for each content: of equal ones that with the smallest path, and n, how many there are."""
+    others = [c for c in blobs.columns if c not in (key, path)]
+    own = blobs.groupBy(key).agg(F.min_by(F.struct(*others, path), path).alias("_b"), F.count("*").alias("n"))
+    return own.select(key, *[F.col(f"_b.{c}").alias(c) for c in (path, *others)], "n")
+
+
+def swept_files(files: DataFrame, folders: DataFrame, pattern: str) -> DataFrame:
+    """kind, path, length, n: each listed folder (folder) that has files with the size and number of all below it, and each file (path,
+    length) that matches and lies below none of them. A file meets the folders by its path's prefixes, in an equi join, so a folder with a
+    longer name is not taken for one below."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat_ws("/", F.slice(parts, 1, i)))
+    names = folders.select(F.regexp_replace("folder", "/+$", "").alias("folder")).distinct()
+    below = files.where(F.size(parts) > 1).select("path", "length", F.explode(F.array_distinct(above)).alias("folder")).join(names, "folder")
+    sizes = below.groupBy("folder").agg(F.sum("length").alias("length"), F.count("*").alias("n"))
+    alone = files.where(F.col("path").rlike(pattern)).join(below.select("path"), "path", "left_anti")
+    return sizes.select(F.lit("folder").alias("kind"), F.col("folder").alias("path"), "length", "n").unionByName(alone.select(F.lit("file").alias("kind"), "path", "length", F.lit(1).cast("long").alias("n")))

@@ -65,6 +65,42 @@ def test_interval_policies_against_brute_force(spark):
     assert intervals.interval_join(points, iv.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("rows_", [7, 50_000])
+@pytest.mark.parametrize("policy", ["first_start", "last_start"])
+def test_winners_of_dense_intervals(spark, monkeypatch, policy, rows_):
+    import random
+
+    monkeypatch.setattr(intervals, "RANGE_ROWS", rows_)
+    rng, rows = random.Random(rows_), []
+    for c in "12":
+        rows += [(c, i, 200 - i, f"nested{i}") for i in range(0, 60, 3)] + [(c, 1, 300, "whole")]
+        rows += [(c, a, a + rng.choice([0, 2, 9, 40, 150]), f"g{rng.randrange(9)}") for a in (rng.randrange(250) for _ in range(40))]
+    rows += [("3", 5, 5, "one"), ("3", 5, 5, None), ("3", 9, 2, "none"), (None, 1, 9, "no contig")]
+    segments = intervals.winners(spark.createDataFrame(rows, "chrom string, st long, en long, gene string"), policy).collect()
+    held = {}
+    for r in segments:
+        for x in range(r.seg_st, r.seg_en + 1):
+            assert (r.chrom, x) not in held  # disjoint
+            held[r.chrom, x] = r.gene
+    pick = min if policy == "first_start" else max
+    for c in "123":
+        for x in range(0, 420):
+            over = [(s, e, g is not None, g or "", g) for d, s, e, g in rows if d == c and s <= x <= e]
+            assert held.get((c, x), "-") == (pick(over)[-1] if over else "-"), (c, x)
+
+
+@pytest.mark.parametrize("policy", ["first_start", "last_start"])
+def test_very_many_intervals_over_one_place(spark, policy):
+    import time
+
+    iv = spark.range(100_000).selectExpr("'1' AS chrom", "id AS st", "400000 - id AS en", "concat('g', id) AS gene")
+    began = time.time()
+    found = intervals.winners(iv, policy).collect()
+    assert time.time() - began < 60
+    assert len(found) == (1 if policy == "first_start" else len(found)) and sum(r.seg_en - r.seg_st + 1 for r in found) == 400_001
+    assert policy == "first_start" or {r.gene for r in found if r.seg_st <= 150_000 <= r.seg_en} == {"g99999"}
+
+
 def test_interval_join_left_and_plan(spark, monkeypatch):
     iv = spark.createDataFrame([("1", 10, 50, "a")], "chrom string, st long, en long, gene string")
     points = spark.createDataFrame([(1, "1", 10), (2, "1", 51)], "vid long, chrom string, pos long")
@@ -194,6 +230,65 @@ def test_enrichment(spark):
     assert got == pytest.approx({3: tail(3, 5, 6), 0: 1.0, 6: 0.0, 4: 1.0})
 
 
+def exact_log_tail(k, marked, drawn, n):
+    """ln P(X >= k) with logarithms of forty digits, and the terms' ratios summed from the largest."""
+    from decimal import Decimal, getcontext
+
+    import numpy as np
+
+    getcontext().prec = 45
+    pi = Decimal("3.14159265358979323846264338327950288419716939937510")
+
+    def lf(x):
+        if x < 200:
+            return sum((Decimal(i).ln() for i in range(2, x + 1)), Decimal(0))
+        d = Decimal(x)
+        return d * d.ln() - d + (2 * pi * d).ln() / 2 + 1 / (12 * d) - 1 / (360 * d**3) + 1 / (1260 * d**5) - 1 / (1680 * d**7)
+
+    least, most = max(k, marked + drawn - n, 0), min(marked, drawn)
+    i = max(least, min(most, (marked + 1) * (drawn + 1) // (n + 2)))
+    top = lf(marked) + lf(drawn) + lf(n - marked) + lf(n - drawn) - lf(n) - lf(i) - lf(marked - i) - lf(drawn - i) - lf(n - marked - drawn + i)
+    up = np.arange(i + 1, min(most, i + 1_000_000) + 1, dtype=float)
+    down = np.arange(i, max(least, i - 1_000_000), -1, dtype=float)
+    log_ratio = lambda x: np.log(marked - x + 1) + np.log(drawn - x + 1) - np.log(x) - np.log(n - marked - drawn + x)
+    return float(top) + float(np.log(1 + np.exp(np.cumsum(log_ratio(up))).sum() + np.exp(np.cumsum(-log_ratio(down))).sum()))
+
+
+def test_tails_of_large_populations(spark):
+    cases = {
+        10**9: [(10**7, 10**8, 10**8), (10**7 + 9000, 10**8, 10**8), (10**7 - 5000, 10**8, 10**8), (3, 5, 10**8), (0, 10, 10), (10**6, 10**6, 10**8 * 9), (40, 10**5, 10**5)],
+        10**5: [(700, 5000, 9000), (450, 5000, 9000), (1, 3, 99_999), (0, 50_000, 60_000)],
+    }
+    for population, own in cases.items():
+        got = enrichment.hypergeometric_tail(spark.createDataFrame(own, "k long, marked long, drawn long"), population).collect()
+        assert len(got) == len(own)
+        for r in got:
+            want = exact_log_tail(r.k, r.marked, r.drawn, population)
+            assert r.log_p == pytest.approx(min(0.0, want), rel=1e-9, abs=2e-9), (population, r)
+
+
+def test_sets_that_share_nothing_are_not_crossed(spark):
+    gs = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("c", "z")], "grp string, gene string")
+    k = enrichment.shared_items(gs.withColumnRenamed("grp", "a"), gs.withColumnRenamed("grp", "b"))
+    assert {tuple(r) for r in k.where("a < b").collect()} == {("a", "b", 1)}
+    plan = k._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_panels_keep_their_order(spark):
+    panel = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "gene string, place long")
+    known = spark.createDataFrame([("a", 5, "x")], "gene string, n int, kind string")
+    got = annotate.panel_join(panel, known, "gene", "place", n=0).orderBy("place").collect()
+    assert [tuple(r) for r in got] == [("b", 1, 0, None), ("a", 2, 5, "x"), ("c", 3, 0, None)]
+
+
+def test_signs_never_hide_what_a_detector_finds(spark):
+    docs = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(egress_cases())] + [(-1, None), (-2, "x, \t12345,7"), (-3, "7 -   123456"), (-4, "chrX : 123456"), (-5, "m.\n5"), (-6, "c. *9")], "i int, t string")
+    got = text.scan(docs, text="t")
+    for name, p in text.DETECTORS.items():
+        assert got.where(~F.col(f"has_{name}").eqNullSafe(F.coalesce(F.col("t").rlike(p), F.lit(False)))).count() == 0
+
+
 def test_nested(spark):
     rows = [("t", [0.0, -2.0, None, -3.0], [("m", True), ("n", False)]), ("u", [], []), ("v", [1.0, 2.0], None)]
     df = spark.createDataFrame(rows, "symbol string, effects array<double>, tractability array<struct<modality string, value boolean>>")

@@ -38,7 +38,7 @@ def test_text_tables(spark, tmp_path):
     (tmp_path / "m.tsv").write_text("symbol\tGRCh38_chr\tchr_start\tchr_end\tRefSeq_nuc\nA\t1\t5\t9\tT1\nB\t2\t1\t2\tT2\nA\t1\t50\t90\tT3\n")
     assert {(r.gene, r.st, r.transcript) for r in tables.read_gene_summary(spark, str(tmp_path / "m.tsv")).collect()} == {("A", 50, "T3"), ("B", 1, "T2")}
     (tmp_path / "n.txt").write_text("# all\nA # first\n\n B\n")
-    assert [r.gene for r in tables.read_names(spark, str(tmp_path / "n.txt")).collect()] == ["A", "B"]
+    assert [tuple(r) for r in tables.read_names(spark, str(tmp_path / "n.txt")).collect()] == [("A", 2), ("B", 4)]
     (tmp_path / "s.gmt").write_text("s up\tx\ta,1.0\tb\t\nshort\tx\n")
     assert [(r.name, r.genes) for r in tables.read_gene_sets(spark, str(tmp_path / "s.gmt")).collect()] == [("s up", ["A", "B"])]
     (tmp_path / "e.gmt").write_text("")
@@ -62,7 +62,17 @@ def test_files_and_blobs(spark, tmp_path):
     from evidra.operators.text import GENOMIC_FILE
 
     assert [r.length for r in tables.list_files(spark, str(tmp_path), GENOMIC_FILE).collect()] == [1]
-    assert tables.distinct_blobs(spark.createDataFrame([("a", 1), ("a", 2)], "blob string, n int")).count() == 1
+    (tmp_path / "d" / "z.txt").write_text("22")
+    blobs = tables.distinct_blobs(tables.file_blobs(spark, str(tmp_path), "txt$")).collect()
+    assert [(r.path.rpartition("/")[2], bytes(r.content), r.n) for r in blobs] == [("y.txt", b"22", 2)]
+
+
+def test_sweep_skips_what_lies_below_listed_folders(spark):
+    files = [("/a/b/x.vcf", 1), ("/a/b/c/y.vcf", 2), ("/a/b2/z.vcf", 4), ("/a/q.txt", 8), ("/d/x.bam", 16), ("top.vcf", 32), ("/a/b/c/n.txt", 64)]
+    folders = [("/a/b/",), ("/a/b/c",), ("/none",), ("/a/b",), (None,)]
+    got = tables.swept_files(spark.createDataFrame(files, "path string, length long"), spark.createDataFrame(folders, "folder string"), r"\.(vcf|bam)$")
+    want = {("folder", "/a/b", 67, 3), ("folder", "/a/b/c", 66, 2), ("file", "/a/b2/z.vcf", 4, 1), ("file", "/d/x.bam", 16, 1), ("file", "top.vcf", 32, 1)}
+    assert {tuple(r) for r in got.collect()} == want
 
 
 def test_sinks(spark, tmp_path):
@@ -76,6 +86,11 @@ def test_sinks(spark, tmp_path):
     sinks.replace_state(df, str(tmp_path / "p"))
     sinks.replace_state(df.limit(2), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    sinks.replace_state(spark.read.parquet(str(tmp_path / "p")).unionByName(df), str(tmp_path / "p"))  # may read what it replaces
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 7
+    with pytest.raises(Exception, match="wrong"):  # a write that fails leaves the old table
+        sinks.replace_state(df.withColumn("s", F.raise_error(F.lit("wrong")).cast("string")), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 7 and not [p for p in tmp_path.iterdir() if p.name.endswith(".old")]
 
 
 def test_appended_columns_and_cached_targets(spark, tmp_path):
