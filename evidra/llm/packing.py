@@ -4,7 +4,7 @@ Each task packs the documents it reads as they come: bounded-space online best-f
 they are kept by free space, with one bit per free space in a bitset, so that the fullest bin that still takes a piece
 is the lowest set bit at or above its length. When a bin more would be open, the fullest closes. Nothing is shuffled and
 a piece is put out as soon as it has its place, so memory is bounded by the open bins whatever the partition's size.
-Small partitions are joined until each has about MIN_ROWS rows, as the bins left open at a task's end stay unfilled.
+Small partitions are joined until each has about MIN_ROWS rows or TASK_BYTES of text, as the bins left open at a task's end stay unfilled.
 
 Documents: a null text is empty, and then only holds its end id; documents longer than the sequence are cut into whole
 sequences, of which the first may be shorter, and only these are cut. A null doc_id is kept. Repeated rows are packed one
@@ -27,6 +27,7 @@ from evidra.llm.tokens import default_path, encoder
 
 OPEN_BINS = 1024
 MIN_ROWS = 4096
+TASK_BYTES = 256 << 20
 RUN = 256
 
 PIECES = T.StructType(
@@ -96,8 +97,14 @@ def pack(
                         start += length
                 yield out
 
-    parts = max(1, math.ceil(docs.count() / MIN_ROWS))
-    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).coalesce(parts), PIECES, run)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_batches(rows.coalesce(tasks(rows)), PIECES, run)
+
+
+def tasks(rows: DataFrame) -> int:
+    """How many tasks pack rows at most: none with under MIN_ROWS rows, unless they have TASK_BYTES of text."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return max(1, math.ceil(n / MIN_ROWS), math.ceil(size / TASK_BYTES))
 
 
 def with_crc32(pieces: DataFrame) -> DataFrame:
