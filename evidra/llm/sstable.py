@@ -12,8 +12,8 @@ A shard file is: data blocks, a block index, a Bloom filter, a footer.
 
 Shards come from a range partitioning by (doc_id, hash of the text); each task streams its sorted rows into files of
 its own names in the shared folder, a new one after SHARD_BYTES of ids, so a retried or speculated task never touches another's
-file, and only files named in the manifest count. Tasks take LEAST_BYTES of text each, or more, up to TASK_BYTES, where that would
-be over MANY_TASKS tasks. Texts are encoded after the exchange, once. Reading streams one block at a time. The manifest is a table with a row
+file, and only files named in the manifest count. Tasks take LEAST_BYTES of text each, or more where that would be over MANY_TASKS
+tasks, and as many read. Texts are encoded after the exchange, once. Reading streams one block at a time. The manifest is a table with a row
 for each shard; the ids before a shard are running sums over it, by ranges of partitions.
 
 Defined results: null text: empty; null doc_id: sorts first and reads back as null; equal doc_ids stand in order of
@@ -41,7 +41,6 @@ from evidra.llm.common import cut, map_batches, new_path, slices
 from evidra.llm.tokens import default_path, encoder
 
 SHARD_BYTES = 64 << 20
-TASK_BYTES = 256 << 20
 LEAST_BYTES = 16 << 20
 MANY_TASKS = 20_000
 #: Partitions whose ids are summed as one range.
@@ -159,6 +158,7 @@ class Reader:
             self.index.append((index[at + 1 : at + 1 + n], *struct.unpack_from("<QII", index, at + 1 + n)))
             at += 17 + n
         self.bloom = places[2:]
+        self.filter = b""
 
     def read(self, at: int, length: int) -> bytes:
         self.file.seek(at)
@@ -183,8 +183,10 @@ class Reader:
             yield from self.entries(block)
 
     def may_hold(self, key: bytes) -> bool:
-        n_hashes, n_bits = struct.unpack("<IQ", self.read(self.bloom[0], 12))
-        return all(self.read(self.bloom[0] + 12 + (bit >> 3), 1)[0] >> (bit & 7) & 1 for bit in bloom_bits(xxhash.xxh64_intdigest(key), n_hashes, n_bits))
+        """Whether the filter, which is read once, has all bits of the key."""
+        self.filter = self.filter or self.read(*self.bloom)
+        n_hashes, n_bits = struct.unpack_from("<IQ", self.filter)
+        return all(self.filter[12 + (bit >> 3)] >> (bit & 7) & 1 for bit in bloom_bits(xxhash.xxh64_intdigest(key), n_hashes, n_bits))
 
     def get(self, doc_id: int | None) -> list[bytes]:
         """The ids of every entry with this doc_id."""
@@ -202,8 +204,9 @@ class Reader:
 
 
 def partitions(rows: int, size: int) -> int:
-    """How many tasks take rows of size bytes in all."""
-    return max(1, min(rows, max(math.ceil(size / TASK_BYTES), min(math.ceil(size / LEAST_BYTES), MANY_TASKS))))
+    """How many tasks take rows of size bytes in all: tasks grow from LEAST_BYTES with the input, so that there are at most MANY_TASKS.
+    A task streams, so its size is no matter of memory."""
+    return max(1, min(rows, math.ceil(size / LEAST_BYTES), MANY_TASKS))
 
 
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, shard_bytes: int = SHARD_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -265,8 +268,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         start += len(ids) // 4
                     yield out
 
-    files = cut(manifest.select("path", "start"), "files")
-    return map_batches(files.repartition(max(1, files.count())), DOCS, run)
+    # as many tasks as wrote, so that a task reads what is about LEAST_BYTES or more
+    files = cut(manifest.select("path", "start", "bytes"), "files")
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return map_batches(files.repartition(partitions(n, size)), DOCS, run)
 
 
 def folder(spark: SparkSession) -> str:
