@@ -7,8 +7,9 @@ entity's surrogate is a keyed permutation of its form: digits stay digits, capit
 separators, country codes, top-level domains, key prefixes and card issuer digits stay. A phone number ends with its country's known
 count of digits, where all have as many. Cards keep their checksum's remainder, so valid ones stay valid; IBANs get right check digits.
 
-Names are replaced word by word, so that a name's parts agree wherever they stand alone. A listed given name becomes another one
-of the same script and gender. Other words keep script, capitals, the pattern of vowels and consonants, and their last letter,
+Names are replaced word by word, and every other mention of a name's part in its document too, so that parts agree wherever they
+stand alone. A listed name followed by a word for a place, an institution or a thing is left. A listed given or family name becomes
+another one of the same script and gender. Other words keep script, capitals, the pattern of vowels and consonants, and their last letter,
 which marks gender in many languages; their permutation goes on until it gives no listed name, so listed names come from
 listed names only. Where nothing in the form can vary, the surrogate is keyed letters.
 
@@ -44,14 +45,28 @@ KEY = b"evidra surrogates"
 
 #: The forms of private data.
 GIVEN = {
-    "latin female": "Alice Anna Clara Elena Emma Eva Ida Julia Laura Lucia Maria Marie Nora Rosa Sarah Sofia",
-    "latin male": "Daniel David Felix Hugo John Leo Lukas Martin Oscar Paul Peter Pierre Simon Thomas Victor Walter",
-    "cyrillic female": "Анна Елена Ирина Мария Наталья Ольга Светлана Татьяна",
-    "cyrillic male": "Алексей Андрей Дмитрий Иван Михаил Николай Пётр Сергей",
+    "latin female": "Alice Amelia Angela Anna Barbara Camille Carla Caroline Catherine Christina Claire Clara Elena Elisabeth Emily Emma Eva Hannah Helena Ida Isabel Johanna Julia Katharina Laura Linda Lucia "
+    "Margaret Maria Marie Monika Nora Olivia Patricia Rosa Sabine Sarah Silvia Sofia Susanne Teresa Valentina",
+    "latin male": "Alexander Andrew Antonio Carlos Charles Daniel David Edward Felix François George Giovanni Henri Hugo James Javier Johannes John José Juan Julien Klaus Leo Luis Lukas Marco Martin Matthias Michael "
+    "Miguel Nicolas Oscar Pablo Paul Peter Pierre Robert Simon Stefan Thomas Victor Walter William",
+    "cyrillic female": "Анна Екатерина Елена Ирина Клара Мария Наталья Ольга Светлана Татьяна",
+    "cyrillic male": "Александр Алексей Андрей Владимир Дмитрий Иван Михаил Николай Пётр Сергей",
     "greek female": "Άννα Ελένη Μαρία Σοφία", "greek male": "Γιώργος Κώστας Νίκος Πέτρος",
     "arabic female": "سارة فاطمة ليلى مريم", "arabic male": "أحمد علي عمر محمد",
     "hebrew female": "לאה רבקה רחל שרה", "hebrew male": "אברהם דוד יוסף משה",
 }
+#: Family names that become each other, by script, and by gender where it shows.
+FAMILY = {
+    "latin": "Bauer Becker Bernard Brown Davis Dubois Durand Evans Fernandez Fischer Garcia Gomez Hoffmann Jackson Johnson Jones Keller Laurent Leroy Lopez Martinez Meyer Miller Moore Moreau Morel Novak Perez Petit "
+    "Richter Rodriguez Roux Ruiz Sanchez Schmidt Schneider Smith Taylor Torres Vogel Wagner Weber Williams Wilson",
+    "cyrillic female": "Васильева Иванова Кузнецова Морозова Новикова Петрова Попова Смирнова Соколова Фёдорова",
+    "cyrillic male": "Васильев Иванов Кузнецов Морозов Новиков Петров Попов Смирнов Соколов Фёдоров",
+}
+#: Words after or before a listed given name that make it a place, an institution or a thing.
+NO_PERSON = frozenset(
+    "Academy Avenue Award Beach Boulevard Bridge Castle Cathedral Church Clinic College Foundation Garden Gardens Hall High Highway Hospital House Institute Island Lake Lane Law Library Medal Memorial Mountain Museum "
+    "Palace Park Paradox Platz Port Saint San Santa Plaza Principle Prize River Road School Square Station Straße Strasse Street Syndrome Theatre Theater Theorem Tower University Universität Université Universidad Village".split()
+)
 NOT_ADDRESSES = r"(?i)\b(?:version|release|revision|section|chapter|article|clause|ver|rev|v)[ .:]{0,2}$|§ ?$"
 TITLES = r"(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|Sr\.|Sra\.|Srta\.|Herr|Frau|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señor|Señora|Señorita|г-н|г-жа)"
 IP = r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9A-Za-z])"
@@ -64,6 +79,7 @@ LONG_PHONE = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?|[0-9]{{1,4}}[ .-]?
 GIVEN_NAMES = [n for names in GIVEN.values() for n in names.split()]
 #: A capitalised word, or one of a script without capitals.
 WORD = r"[^\W\d_a-zà-ÿа-яё][^\W\d_]+"
+CAPITALS = r"[^\W\d_a-zà-ÿа-яё]{2,}(?!\w)"
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9_][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?i:\b(?:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token|private[_-]?key))(?: ?= ?[\"']?| ?: ?(?:[\"']|(?=[^\s\"']*[0-9])))(?P<secret>[A-Za-z0-9+/_.~!@#$%^&*-]{6,}={0,2})",
@@ -75,7 +91,7 @@ PATTERNS = {
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
     "ip": IP,
     "name": rf"(?<!\w){TITLES} (?P<name>{WORD}(?:[ -]{WORD}){{0,2}})",
-    "known": rf"(?<!\w)(?P<known>(?:{'|'.join(GIVEN_NAMES)})(?:[ -]{WORD}){{1,2}})",
+    "known": rf"(?<!\w)(?P<known>(?:{'|'.join(GIVEN_NAMES)})(?:[ -]{WORD}){{1,2}}|(?:{'|'.join(n.upper() for n in GIVEN_NAMES if n.upper() != n)})(?:[ -]{CAPITALS}){{1,2}})",
 }
 TYPES = list(PATTERNS)
 TITLE_WORDS = [t.replace("\\", "") + " " for t in TITLES[3:-1].split("|")]
@@ -110,7 +126,8 @@ def possible(text: str) -> tuple[str, ...]:
     return tuple(t for t in TYPES if t in found)
 
 
-GIVEN_NAME = re.compile(rf"(?:{'|'.join(GIVEN_NAMES)})[ -]")
+GIVEN_NAME = re.compile(rf"(?:{'|'.join([*GIVEN_NAMES, *(n.upper() for n in GIVEN_NAMES)])})[ -]")
+BEFORE = re.compile(r"(\w+) $")
 NOT_ADDRESS = re.compile(NOT_ADDRESSES)
 KEY_WORD = re.compile(r"(?i)(?:password|passwd|pwd|passphrase|secret|key|token) ?[=:]")
 ONE_DIGIT = re.compile("[0-9]")
@@ -149,8 +166,37 @@ def detect(text: str) -> list[Span]:
             continue
         if kind == "ip" and NOT_ADDRESS.search(text[max(0, m.start() - 16) : m.start()]):
             continue
+        if kind == "known" and not person(text, *m.span(inner)):
+            continue
         found.append(Span("name" if kind == "known" else kind, *m.span(inner), m.group(inner)))
-    return found
+    return with_mentions(text, found)
+
+
+def person(text: str, start: int, end: int) -> bool:
+    """Whether a listed given name with the words after it stands for a person: none of them, nor the next or the last word, names a
+    place or the like, and no article goes before."""
+    after = re.match(r" (\w+)", text[end : end + 40])
+    before = BEFORE.search(text[max(0, start - 20) : start])
+    around = [*re.split("[ -]", text[start:end]), after.group(1) if after else "", before.group(1) if before else ""]
+    return not any(w.capitalize() in NO_PERSON for w in around if w)
+
+
+def with_mentions(text: str, found: list[Span]) -> list[Span]:
+    """found, and every other word of the text that is a part of one of its names, as it stands there, capitalised or in capitals: one who is named
+    in full once is named by a part elsewhere."""
+    parts = {w for s in found if s.kind == "name" for w in re.split("[ -]", s.text) if len(w) > 1}
+    if not parts:
+        return found
+    words = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted({x for w in parts for x in (w, w.upper(), w.capitalize())}, key=len, reverse=True))) + r")(?!\w)")
+    out, at = [], 0
+    for s in [*found, Span("", len(text), len(text), "")]:
+        for m in words.finditer(text, at, s.start):
+            if person(text, *m.span()):
+                out.append(Span("name", *m.span(), m.group()))
+        if s.kind:
+            out.append(s)
+        at = s.end
+    return out
 
 
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуэюя", "greek": "αεηιουω"}
@@ -226,8 +272,8 @@ def digits_form(text: str, kept: int = 0, tail: int = 0) -> Form:
     return Form([int(text[i]) for i in vary], [10] * len(vary), render, f"{digits[:kept]}:{len(digits)}")
 
 
-#: The listed names, in small letters, of each listed name's script and gender.
-LISTED = {n.lower(): [x.lower() for x in names.split()] for names in GIVEN.values() for n in names.split()}
+#: The listed names, in small letters, of each listed name's script and gender, given and family names apart.
+LISTED = {n.lower(): [x.lower() for x in names.split()] for names in [*FAMILY.values(), *GIVEN.values()] for n in names.split()}
 
 
 def named(text: str) -> Form:

@@ -696,3 +696,28 @@ def test_stages_take_odd_tables(spark):
     rows += [(1, "another text under the first one's name", "en", "a", 39, *extra), (9, "clean words of a text", "en", "a", 21, *extra), (9, "a third text that nothing is like", "en", "a", 33, *extra)]
     kept = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), SF).collect()
     assert sorted((r.doc_id for r in kept), key=str) == [1, 1, 2, 3, 4, 5, 9, None] and len({r.text for r in kept if r.doc_id in (1, 9)}) == 3
+
+
+# ---------------------------------------------------------------- mentions of names
+
+
+@pytest.mark.parametrize(
+    ("text", "gone"),
+    [
+        ("Maria Garcia called. Maria left and Garcia paid.", ["Maria", "Garcia"]), ("Pat Smith met Ann. Mr. Smith wrote: SMITH again.", ["Smith", "SMITH"]),
+        ("DANIEL SMITH wrote; Daniel knew", ["DANIEL", "SMITH", "Daniel"]), ("Клара Иванова ушла, Иванова тоже", ["Клара", "Иванова"]),
+    ],
+)
+def test_all_mentions_of_a_name_go(text, gone):
+    new, found = pii.Surrogates(b"k").replaced(text)
+    assert not any(g in new for g in gone) and all(new[f["start"] : f["end"]] == f["surrogate"] for f in found)
+    words = new.replace(".", "").replace(",", "").replace(";", "").split()
+    before = text.replace(".", "").replace(",", "").replace(";", "").split()
+    of = {}
+    for a, b in zip(before, words, strict=True):  # a word has one surrogate wherever it stands
+        assert of.setdefault(a.lower(), b.lower()) == b.lower()
+
+
+@pytest.mark.parametrize("text", ["On Maria Theresa Street we met", "at John Hopkins University", "the Peter Principle holds", "San Pablo Bay", "Paul came alone", "smithson of Garcia Street"])
+def test_places_and_things_are_left(text):
+    assert pii.Surrogates(b"k").replaced(text) == (text, [])
