@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.sequence import donor_score, motif_places, pyrimidine_share
@@ -56,24 +56,25 @@ def created_sites(changes: DataFrame) -> DataFrame:
 FLANK = 30
 
 
-def site_made(window: Column, base: Column, flank: int = FLANK) -> Column:
-    """Whether base in the middle of a window of flank bases on both sides creates a plausible site. Only pairs of bases that hold the
+def may_make(window: Column, base: Column, flank: int = FLANK) -> Column:
+    """Whether base in the middle of a window of flank bases on both sides makes a new GT or AG. Only pairs of bases that hold the
     middle can be new; a window with an N or of another length has none."""
-    middle, whole = F.lit(flank + 1), F.length(window) == 2 * flank + 1
-    new = altered(window, middle, base)
+    middle, whole = F.substr(window, F.lit(flank + 1), F.lit(1)), F.length(window) == 2 * flank + 1
     left, right = F.substr(window, F.lit(flank), F.lit(1)), F.substr(window, F.lit(flank + 2), F.lit(1))
     pair = ((left == "G") & (base == "T")) | ((left == "A") & (base == "G")) | ((base == "G") & (right == "T")) | ((base == "A") & (right == "G"))
-    other = F.substr(window, middle, F.lit(1)) != base
-    found = site_at(new, window, middle - 1).isNotNull() | site_at(new, window, middle).isNotNull()
-    return F.coalesce(whole & other & pair & ~F.contains(window, F.lit("N")) & found, F.lit(False))
+    return whole & (middle != base) & pair & ~F.contains(window, F.lit("N"))
 
 
 def site_table(chunks: DataFrame, flank: int = FLANK) -> DataFrame:
     """acc, pos, base: each place of a chunked sequence at which that base in place of its own creates a plausible site."""
     rows = chunks.select("acc", "start", "seq", F.explode(F.sequence("own_start", "own_end")).alias("pos"))
     rows = rows.select("acc", "pos", sequences.bases(F.col("seq"), F.col("start"), F.col("pos") - flank, F.col("pos") + flank).alias("window"))
-    rows = rows.select("acc", "pos", "window", F.explode(F.array(*[F.lit(b) for b in "ACGT"])).alias("base"))
-    return rows.where(site_made(F.col("window"), F.col("base"), flank)).select("acc", "pos", "base")
+    rows = rows.select("acc", "pos", "window", F.explode(F.array(*[F.lit(b) for b in "ACGT"])).alias("base")).where(may_make(F.col("window"), F.col("base"), flank))
+    # the altered window is exploded, so that it is made once and not for each of its uses
+    middle = F.lit(flank + 1)
+    rows = rows.withColumn("new", F.explode(F.array(altered(F.col("window"), middle, F.col("base")))))
+    found = [site_at(F.col("new"), F.col("window"), i).isNotNull() for i in (middle - 1, middle)]
+    return rows.where(found[0] | found[1]).select("acc", "pos", "base")
 
 
 def chunk_donor_sites(chunks: DataFrame) -> DataFrame:
@@ -88,6 +89,10 @@ def chunk_donor_sites(chunks: DataFrame) -> DataFrame:
 MODULUS, FACTOR = 2147483647, 48271
 
 
+#: Places and draws that a task looks at.
+PLACES, DRAWN = 100_000, 2_000_000
+
+
 def draw(key: Column, i: Column, reach: int, seed: int) -> Column:
     """The i-th seeded offset of a key, between -reach and reach: a multiplicative generator whose state is squared twice, in whole
     numbers below 2^62."""
@@ -104,13 +109,21 @@ def motif_null(changes: DataFrame, chunks: DataFrame, key: str, draws: int = 200
     draws can reach; draws meet it by place and base. It is broadcast where it is counted few, and draws are shuffled else."""
     first, last = F.floor((F.col("pos") - 1 - reach) / length), F.floor((F.col("pos") - 1 + reach) / length)
     near = changes.select("acc", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("chunk")).distinct()
-    sites = cut(site_table(chunks.join(near, ["acc", "chunk"], "left_semi"), flank), "sites")
-    at = F.broadcast(sites) if sites.count() <= FEW else sites
-    drawn = changes.select(key, "acc", "base", "pos", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_i"))
-    drawn = drawn.select(key, "acc", "base", (F.col("pos") + draw(F.col(key), F.col("_i"), reach, seed)).alias("pos"))
-    hits = drawn.join(at, ["acc", "pos", "base"], "left_semi").groupBy(key).agg(F.count("*").alias("_hits"))
-    made = changes.join(at.withColumn("_made", F.lit(True)), ["acc", "pos", "base"], "left")
+    # few rows become very many, so they are dealt out by what they become
+    reached = cut(chunks.join(near, ["acc", "chunk"], "left_semi"), "chunks")
+    sites = cut(site_table(reached.repartition(max(1, reached.count() * length // PLACES), "acc", "chunk"), flank), "sites")
+    # a place and base as one number: the sequence's number, then the place, then the base
+    number = F.row_number().over(Window.orderBy("acc")).cast("long").alias("_acc")  # a row for each sequence
+    numbers = F.broadcast(sites.select("acc").distinct().select("acc", number))
+    code = lambda pos: (F.col("_acc") * (1 << 40) + pos * 4 + F.instr(F.lit("ACGT"), F.col("base")) - 1).alias("_code")
+    at = sites.join(numbers, "acc").select(code(F.col("pos")))
+    at = F.broadcast(at) if sites.count() <= FEW else at
+    own = changes.join(numbers, "acc").where(F.col("base").isin(*"ACGT"))
+    drawn = own.repartition(max(1, changes.count() * draws // DRAWN), key).select(key, "_acc", "base", "pos", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_i"))
+    drawn = drawn.select(key, code(F.col("pos") + draw(F.col(key), F.col("_i"), reach, seed))).where("_code >= 0")
+    hits = drawn.join(at, "_code", "left_semi").groupBy(key).agg(F.count("*").alias("_hits"))
+    made = changes.join(own.select(key, code(F.col("pos"))).join(at, "_code", "left_semi").select(key).withColumn("_made", F.lit(True)), key, "left")
     out = made.join(hits, key, "left").select(*[made[c] for c in changes.columns], F.coalesce("_made", F.lit(False)).alias("created"), (F.coalesce("_hits", F.lit(0)) / F.lit(draws)).alias("share"))
     found = cut(out, "null")
-    drop(sites)
+    drop(reached, sites)
     return found

@@ -788,6 +788,7 @@ CYCLE = "SELECT task, dep FROM dag UNION ALL SELECT 1 AS task, 12 AS dep UNION A
 @query(f""", e AS ({CYCLE}), up AS (SELECT task, dep AS top, 1 AS depth FROM e UNION ALL SELECT u.task, e.dep, u.depth + 1 FROM up u JOIN e ON u.top = e.task WHERE u.depth < 12 AND u.top <> u.task)
 SELECT task, CAST(min(depth) AS INTEGER) AS length FROM up WHERE top = task GROUP BY task""", "dag", recursive=True)
 def dag_cycles(spark, sf):
+    """Tasks on cycles. The SQL looks no further than twelve steps, which these cycles don't exceed."""
     edges = spark.sql(CYCLE.replace("FROM dag", "FROM {dag}").replace("FROM orders", "FROM {orders}"), dag=view(spark, sf, "dag"), orders=view(spark, sf, "orders"))
     return tasks.cyclic(spark, edges)
 

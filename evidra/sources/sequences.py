@@ -14,7 +14,7 @@ from evidra.shared import cut
 from evidra.sources.lines import AT, placed, with_splits
 
 #: Bases of a chunk. A place in a string is found by walking it, so chunks are short.
-LENGTH = 4096
+LENGTH = 1024
 HALO = 64
 
 
