@@ -189,3 +189,26 @@ def test_queries_have_the_contracts_types(spark):
         assert ", ".join(f"{n} {t}" for n, t in queries.QUERIES[name](spark, SF).dtypes) == types
     near = dict(queries.op7_minhash_near_dedup(spark, SF).dtypes)
     assert {n: near[n] for n in ("doc_id", "n_shingles", "component_id", "kept")} == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
+
+
+def test_shards_and_packing_take_megabytes_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(250_000)), "a b", None]
+    docs = docs_frame(spark, texts).selectExpr("*", "1 AS ids", "2 AS part", "3 AS h", "4 AS start", "5 AS piece", "6 AS sequence_id", "7 AS offset", "8 AS length")
+    want = {i: x for i, x in enumerate(library(t or "" for t in texts))}
+    assert len(texts[0]) > 1 << 20
+    manifest = sstable.write_shards(docs, str(tmp_path / "s"))
+    assert {r.doc_id: bytes(r.ids) for r in sstable.read_shards(manifest).collect()} == {d: packed([*i, 0]) for d, i in want.items()}
+    pieces = sorted(packing.pack(docs).collect(), key=lambda r: (r.doc_id, r.piece))
+    got = defaultdict(bytes)
+    for r in pieces:
+        assert r.length <= 1024 and r.start * 4 == len(got[r.doc_id])
+        got[r.doc_id] += bytes(r.ids)
+    assert got == {d: packed([*i, 2]) for d, i in want.items()}
+
+
+def test_few_rows_of_many_bytes_are_not_one_task(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_BYTES", 1000)
+    docs = docs_frame(spark, ["x" * 900] * 10).repartition(10)
+    assert packing.tasks(docs) == 9 and packing.pack(docs).rdd.getNumPartitions() == 9
+    assert packing.tasks(docs_frame(spark, ["x"] * 10)) == packing.tasks(docs_frame(spark, [])) == 1
