@@ -18,6 +18,7 @@ from __future__ import annotations
 import gzip
 import re
 import struct
+import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from evidra.shared import cut
+from evidra.shared import cut, drop
 from evidra.ship import ship
+from evidra.sources.blocks import BLOCK_TEXT, END, packed, store_of
 
 SCHEMA = "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string, format string, sample string"
 #: Chunks whose gap in the file is at most this many bytes are read together.
@@ -169,64 +171,72 @@ class RegionReader(DataSourceReader):
                     yield row
 
 
-INDEX = "chrom string, bin int, first long, last long"
+INDEX = "path string, chrom string, bin int, first long, last long"
 
 
-def index_rows(spark: SparkSession, index: str) -> DataFrame:
-    """The index as rows: chrom, bin, first, last (virtual offsets) of its chunks; bin is null for the linear index, of which first is the
-    window and last the offset. One task reads it, as it is one small gzip file."""
-    ship(spark)
+def index_rows(files: DataFrame) -> DataFrame:
+    """The indexes of files (path, index) as rows: path, chrom, bin, first, last (virtual offsets) of their chunks; bin is null for the linear
+    index, of which first is the window and last the offset. A task reads whole indexes, which are small files."""
+    ship(files.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            with opened(index) as file:
-                contigs = read_index(gzip.decompress(file.read()))
-            for name, c in contigs.items():
-                rows = [(b, x, y) for b, chunks in c.chunks.items() if b <= LAST_BIN for x, y in chunks] + [(None, w, v) for w, v in enumerate(c.linear)]
-                own = re.sub("^chr", "", name)
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["chrom", "bin", "first", "last"])
+        for batch in batches:
+            for path, index in zip(batch.column("path").to_pylist(), batch.column("index").to_pylist(), strict=True):
+                with opened(index) as file:
+                    contigs = read_index(gzip.decompress(file.read()))
+                for name, c in contigs.items():
+                    rows = [(b, x, y) for b, chunks in c.chunks.items() if b <= LAST_BIN for x, y in chunks] + [(None, w, v) for w, v in enumerate(c.linear)]
+                    own = [pa.array([path] * len(rows), pa.string()), pa.array([re.sub("^chr", "", name)] * len(rows), pa.string())]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["path", "chrom", "bin", "first", "last"])
 
-    return spark.range(0, 1, 1, 1).mapInArrow(run, INDEX)
+    return files.select("path", "index").mapInArrow(run, INDEX)
 
 
 def byte_ranges(regions: DataFrame, index: DataFrame, gap: int = GAP) -> DataFrame:
-    """chrom, first, last (virtual offsets), bytes (compressed, to the start of the last block) and regions (start, end of those that need it)
-    of what a table of regions (chrom, st, en: from 1, both ends included) needs of a file: bins of each region, less the chunks that end
+    """path, chrom, first, last (virtual offsets), bytes (compressed, to the start of the last block) and regions (start, end of those that
+    need it) of what a table of regions (chrom, st, en: from 1, both ends included) needs of the files: bins of each region, less the chunks that end
     before the linear index's offset, chunks with small gaps as one. Of a contig's regions those that share a place are one first."""
     from evidra.operators.intervals import merged_spans, region_bins
 
     own = merged_spans(regions.where("st <= en AND en >= 1").select(F.regexp_replace("chrom", "^chr", "").alias("chrom"), F.greatest("st", F.lit(1)).cast("long").alias("st"), F.least("en", F.lit(LAST)).cast("long").alias("en")).where("st <= en"), 1, ["chrom"])
-    linear = index.where("bin IS NULL").select("chrom", F.col("first").alias("window"), F.col("last").alias("least"))
-    tops = linear.groupBy("chrom").agg(F.max("window").alias("top"))
-    own = own.join(tops, "chrom", "left").withColumn("window", F.least(F.shiftright(F.col("st") - 1, LINEAR), F.col("top"))).join(linear, ["chrom", "window"], "left")
-    need = own.select("chrom", "st", "en", F.coalesce("least", F.lit(0)).alias("least"), F.explode(region_bins((F.col("st") - 1).cast("int"), F.col("en").cast("int"))).alias("bin"))
-    chunks = need.join(index.where("bin IS NOT NULL"), ["chrom", "bin"]).where("last > least")
+    linear = index.where("bin IS NULL").select("path", "chrom", F.col("first").alias("window"), F.col("last").alias("least"))
+    tops = index.groupBy("path", "chrom").agg(F.max(F.when(F.col("bin").isNull(), F.col("first"))).alias("top"))
+    own = own.join(tops, "chrom").withColumn("window", F.least(F.shiftright(F.col("st") - 1, LINEAR), F.col("top"))).join(linear, ["path", "chrom", "window"], "left")
+    need = own.select("path", "chrom", "st", "en", F.coalesce("least", F.lit(0)).alias("least"), F.explode(region_bins((F.col("st") - 1).cast("int"), F.col("en").cast("int"))).alias("bin"))
+    chunks = need.join(index.where("bin IS NOT NULL"), ["path", "chrom", "bin"]).where("last > least")
     # chunks of a contig as one where the next begins at most gap bytes after all before end
-    by = Window.partitionBy("chrom").orderBy("first", "last")
+    by = Window.partitionBy("path", "chrom").orderBy("first", "last")
     before = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.shiftright("first", 16) - F.shiftright(before, 16) > gap), 1).otherwise(0)
     islands = chunks.withColumn("_new", new).withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    found = islands.groupBy("chrom", "_island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_sort(F.collect_set(F.struct("st", "en"))).alias("regions"))
-    return found.select("chrom", "first", "last", (F.shiftright("last", 16) - F.shiftright("first", 16)).alias("bytes"), "regions")
+    found = islands.groupBy("path", "chrom", "_island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_sort(F.collect_set(F.struct("st", "en"))).alias("regions"))
+    return found.select("path", "chrom", "first", "last", (F.shiftright("last", 16) - F.shiftright("first", 16)).alias("bytes"), "regions")
+
+
+def one_file(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
+    """path, index of one indexed file."""
+    return spark.range(1).select(F.lit(path).alias("path"), F.lit(index or path + ".tbi").alias("index"))
 
 
-def read_regions(spark: SparkSession, path: str, regions: DataFrame, index: str | None = None, task_bytes: int = 32 << 20) -> DataFrame:
-    """The records of an indexed file that overlap a table of regions (chrom, st, en), each once. Its byte ranges are rows, dealt to tasks by
-    bytes; tasks read theirs only, and no region goes through the driver."""
-    ranges = cut(byte_ranges(regions, cut(index_rows(spark, index or path + ".tbi"), "index")), "ranges")
+def read_regions(files: DataFrame, regions: DataFrame, task_bytes: int = 32 << 20) -> DataFrame:
+    """The records of indexed files (path, index) that overlap a table of regions (chrom, st, en), each once. The files' byte ranges are rows,
+    dealt to tasks by bytes; tasks read theirs only, and no region goes through the driver."""
+    index = cut(index_rows(files), "index")
+    ranges = cut(byte_ranges(regions, index), "ranges")
+    drop(index)
     n, size = ranges.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     tasks = max(1, min(n, -(-size // task_bytes)))
-    upto = F.sum("bytes").over(Window.partitionBy("chrom").orderBy("first"))
-    dealt = ranges.withColumn("_upto", upto).withColumn("_task", F.floor(F.col("_upto") / task_bytes))
-    dealt = dealt.repartition(tasks, "chrom", "_task").sortWithinPartitions("chrom", "first").select("chrom", "first", "last", F.transform("regions", lambda r: r["st"]).alias("sts"), F.transform("regions", lambda r: r["en"]).alias("ens"))
+    upto = F.sum("bytes").over(Window.partitionBy("path", "chrom").orderBy("first"))
+    dealt = ranges.withColumn("_task", F.floor(upto / task_bytes)).repartition(tasks, "path", "chrom", "_task").sortWithinPartitions("path", "chrom", "first")
+    dealt = dealt.select("path", "chrom", "first", "last", F.transform("regions", lambda r: r["st"]).alias("sts"), F.transform("regions", lambda r: r["en"]).alias("ens"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = pa.schema([(n, pa.int64() if n == "pos" else pa.string()) for n in names])
-        with opened(path) as file:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    held = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                held = []
+                with opened(r["path"]) as file:
                     for line in lines(file, r["first"], r["last"]):
                         row = record(line, r["chrom"])
                         if row and overlaps(row, r["sts"], r["ens"]):
@@ -234,8 +244,8 @@ def read_regions(spark: SparkSession, path: str, regions: DataFrame, index: str
                         if len(held) == 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), to, strict=True)], schema=to)
                             held = []
-                    if held:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), to, strict=True)], schema=to)
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), to, strict=True)], schema=to)
 
     return dealt.mapInArrow(run, SCHEMA)
 
@@ -255,6 +265,90 @@ def overlaps(row: tuple, starts: list[int], ends: list[int]) -> bool:
     return at >= 0 and ends[at] >= row[1]
 
 
+def smallest_bin(start: int, end: int) -> int:
+    """The smallest bin that holds [start, end), 0-based."""
+    return next(first + (start >> shift) for first, shift in reversed(LEVELS) if start >> shift == (end - 1) >> shift)
+
+
+class IndexedFile:
+    """Writes one contig's records, in order, as a block-gzip file, then its bin index."""
+
+    def __init__(self, path: str, chrom: str) -> None:
+        self.path, self.chrom, self.at, self.buffer, self.n = path, chrom, 0, bytearray(), 0
+        self.chunks: dict[int, list[list[int]]] = {}
+        self.linear: dict[int, int] = {}
+        store, where = store_of(path)
+        store.create_dir(where.rpartition("/")[0])
+        self.file = store.open_output_stream(where, compression=None)
+
+    def add(self, pos: int, ref: str, line: bytes) -> None:
+        first = self.at << 16 | len(self.buffer)
+        self.buffer += line
+        while len(self.buffer) >= BLOCK_TEXT:
+            self.put(bytes(self.buffer[:BLOCK_TEXT]))
+            del self.buffer[:BLOCK_TEXT]
+        last, end = self.at << 16 | len(self.buffer), pos - 1 + max(1, len(ref))
+        own = self.chunks.setdefault(smallest_bin(pos - 1, end), [])
+        if own and own[-1][1] == first:
+            own[-1][1] = last
+        else:
+            own.append([first, last])
+        for w in range((pos - 1) >> LINEAR, ((end - 1) >> LINEAR) + 1):
+            self.linear.setdefault(w, first)
+        self.n += 1
+
+    def put(self, data: bytes) -> None:
+        block = packed(data)
+        self.file.write(block)
+        self.at += len(block)
+
+    def close(self) -> str:
+        if self.buffer:
+            self.put(bytes(self.buffer))
+        self.file.write(END)
+        self.file.close()
+        name = self.chrom.encode() + b"\0"
+        out = bytearray(b"TBI\1" + struct.pack("<8i", 1, 2, 1, 2, 0, ord("#"), 0, len(name)) + name + struct.pack("<i", len(self.chunks)))
+        for b, own in sorted(self.chunks.items()):
+            out += struct.pack("<Ii", b, len(own)) + b"".join(struct.pack("<QQ", *c) for c in own)
+        windows, last = range(max(self.linear, default=-1) + 1), 0
+        out += struct.pack("<i", len(windows))
+        for w in windows:
+            last = self.linear.get(w, last)
+            out += struct.pack("<Q", last)
+        store, where = store_of(self.path + ".tbi")
+        with store.open_output_stream(where, compression=None) as file:
+            for i in range(0, len(out), BLOCK_TEXT):
+                file.write(packed(bytes(out[i : i + BLOCK_TEXT])))
+            file.write(END)
+        return self.path + ".tbi"
+
+
+def write_indexed(rows: DataFrame, folder: str, stretch: int = 1 << 24) -> DataFrame:
+    """Write records (the columns of SCHEMA) as indexed block-gzip files, one for each stretch of places of a contig: path, index, chrom, n of
+    each, which have to be written as a table before they are used. A task writes whole stretches, in order of places, as they come; files
+    have names of their own, so only those that are named count."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    ship(rows.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = file = None
+        done = lambda f: pa.RecordBatch.from_arrays([pa.array([f.path]), pa.array([f.close()]), pa.array([f.chrom]), pa.array([f.n], pa.int64())], ["path", "index", "chrom", "n"])
+        for batch in batches:
+            for part, *row in zip(*(batch.column(n).to_pylist() for n in ("_part", *names)), strict=True):
+                if (row[0], part) != now:
+                    if file:
+                        yield done(file)
+                    now, file = (row[0], part), IndexedFile(f"{folder}/{uuid.uuid4().hex}.vcf.gz", row[0])
+                file.add(row[1], row[3] or "", "\t".join("." if x is None else str(x) for x in row).encode() + b"\n")
+        if file:
+            yield done(file)
+
+    parts = rows.where("chrom IS NOT NULL AND pos >= 1").select(F.expr(f"pos div {stretch}").alias("_part"), *names)
+    dealt = parts.repartition("chrom", "_part").sortWithinPartitions("chrom", "_part", "pos", "ref", "alt")
+    return dealt.mapInArrow(run, "path string, index string, chrom string, n long")
+
+
 class FilteredReader(RegionReader):
     """Of a read without named regions. Spark refuses it where spark.sql.python.filterPushdown.enabled is false."""
 

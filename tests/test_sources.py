@@ -206,10 +206,27 @@ def test_a_table_of_regions_reads_its_byte_ranges_only(spark, tmp_path):
     table = spark.createDataFrame(some, "chrom string, st long, en long")
     want = sorted(p for _, p, r, _ in records if any(c in ("1", "chr1") and p <= b and p + len(r) - 1 >= a for c, a, b in some if a <= b))
     for task_bytes in (100, 1 << 20):
-        assert sorted(r.pos for r in regions.read_regions(spark, str(path), table, task_bytes=task_bytes).collect()) == want
-    ranges = regions.byte_ranges(table, regions.index_rows(spark, str(path) + ".tbi"), gap=0).collect()
+        assert sorted(r.pos for r in regions.read_regions(regions.one_file(spark, str(path)), table, task_bytes).collect()) == want
+    ranges = regions.byte_ranges(table, regions.index_rows(regions.one_file(spark, str(path))), gap=0).collect()
     assert 0 < sum(r.bytes for r in ranges) < path.stat().st_size / 2 and len(ranges) >= 2
-    assert regions.read_regions(spark, str(path), table.where("false")).count() == 0
+    assert regions.read_regions(regions.one_file(spark, str(path)), table.where("false")).count() == 0
+
+
+def test_indexed_files_written_are_read_by_regions(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["1", "2", "X"]), rng.randrange(1, 300_000), f"v{i}", "A" * rng.choice([1, 1, 2, 40_000]), "G", ".", "PASS", "X=1", "GT", "0/1") for i in range(900)]
+    files = regions.write_indexed(spark.createDataFrame(rows, regions.SCHEMA), str(tmp_path / "w"), 100_000).collect()
+    assert sum(f.n for f in files) == 900 and len(files) == 9
+    table = spark.createDataFrame([(f["path"], f["index"]) for f in files], "path string, index string")
+    some = [("1", 1, 20_000), ("X", 150_000, 150_500), ("X", 150_400, 160_000), ("2", 299_000, 400_000), ("3", 1, 9)]
+    got = regions.read_regions(table, spark.createDataFrame(some, "chrom string, st long, en long"))
+    assert sorted(r.id for r in got.collect()) == sorted(v for c, p, v, r, *_ in rows if any(c == d and p <= e and p + len(r) - 1 >= s for d, s, e in some))
+    regions.register(spark)
+    one = next(f for f in files if f.chrom == "2")  # the source takes them too
+    read = spark.read.format("variant_regions").option("path", one.path).option("regions", "2:1-400000").load()
+    assert read.count() == one.n
 
 
 def bgzip(text: bytes, size: int) -> bytes:
