@@ -1,9 +1,10 @@
 """Token counts by a two-tier look-up on the map side.
 
 Tier one is a compact table of the lengths of frequent pre-tokens, broadcast to all workers; tier two is each worker's
-own bounded cache, which encodes what the table misses through the tokenizer's library. No pre-token is shuffled: each
-document is counted where it is read. The table only saves work. It comes from all documents: each task tallies its own
-in bounded memory and gives its TASK_ENTRIES most frequent ones, and the sums of these decide on TABLE_ENTRIES entries. Every
+own bounded cache, which encodes what the table misses through the tokenizer's library. No document's pre-tokens are
+shuffled: each is counted where it is read. The table only saves work. It comes from all documents: each task tallies its own
+in bounded memory and gives its TASK_ENTRIES most frequent ones, fewer where there are many tasks; only these tallies are shuffled, and
+their sums decide on TABLE_ENTRIES entries. Every
 pre-token of every whole text is counted whether or not the table has it.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a null doc_id is kept; repeated rows are counted one
@@ -27,8 +28,9 @@ from evidra.llm.common import map_batches, slices, without
 from evidra.llm.tokens import LONGEST_KEPT, default_path, encoder
 
 TABLE_ENTRIES = 20_000
-#: Entries of a task's tally that it gives, and that it holds before the rarer half go.
-TASK_ENTRIES, HELD_ENTRIES = 8_192, 100_000
+#: Entries of a task's tally that it gives, fewer where there are many tasks, so that all give GIVEN_ENTRIES at most or LEAST_ENTRIES
+#: each; and entries that a task holds before the rarer half go.
+TASK_ENTRIES, LEAST_ENTRIES, GIVEN_ENTRIES, HELD_ENTRIES = 8_192, 256, 1 << 26, 100_000
 #: A text held in Python at once, in rows.
 RUN = 256
 
@@ -46,6 +48,9 @@ def frequent_lengths(docs: DataFrame, text: str, path: str) -> tuple[bytes, np.n
     """The most frequent pre-tokens, as one byte string joined by zero bytes, and their lengths; long ones are left to the
     second tier."""
 
+    rows = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
+    given = max(LEAST_ENTRIES, min(TASK_ENTRIES, GIVEN_ENTRIES // max(1, rows.rdd.getNumPartitions())))
+
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         enc, n = encoder(path), Counter()
         for batch in batches:
@@ -54,12 +59,12 @@ def frequent_lengths(docs: DataFrame, text: str, path: str) -> tuple[bytes, np.n
                     n.update([p for p in enc.pieces(t) or () if len(p) <= LONGEST_KEPT])
                 if len(n) > HELD_ENTRIES:
                     n = Counter(dict(n.most_common(HELD_ENTRIES // 2)))
-        top = [(p, k) for p, k in n.most_common(TASK_ENTRIES) if "\0" not in p]
+        top = [(p, k) for p, k in n.most_common(given) if "\0" not in p]
         if top:
             yield {"piece": [p for p, _ in top], "n": [k for _, k in top]}
 
     of = T.StructType([T.StructField("piece", T.StringType()), T.StructField("n", T.LongType())])
-    tallies = map_batches(docs.select(F.col(text).alias("text")).where("text IS NOT NULL"), of, tally)
+    tallies = map_batches(rows, of, tally)
     pieces = [r.piece for r in tallies.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "piece").limit(TABLE_ENTRIES).collect()]
     lengths = [len(x) // 4 for x in encoder(path).encode(pieces)]
     return "\0".join(pieces).encode(), np.array(lengths, dtype="<u2")
