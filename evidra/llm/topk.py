@@ -202,7 +202,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE
     promised = T.StructType([T.StructField("tile", L), T.StructField("grp", L), T.StructField("total", T.DoubleType())])
     near = dealt(packs, tiles.select("dim", "tile", "q_terms"), ["dim"], MEETING, "tile")
     best = map_batches(near.select("dim", "tile", "q_terms", "grps", "high", "low"), promised, promise).groupBy("tile").agg(F.max_by("grp", "total").alias("grp"))
-    first = cut(best, "first").join(tiles, "tile").join(groups.select("grp", "ids", "terms"), "grp")
+    chosen = cut(best, "first")
+    # many tiles may promise one group: they are dealt into shares, to each of which the group goes
+    named = cut(chosen.join(tiles, "tile"), "first")
+    first = dealt(groups.select("grp", "ids", "terms"), named, ["grp"], MEETING, "tile")
     begun = T.StructType([*tiles.schema.fields, T.StructField("least", B)])
     ready = cut(map_batches(first.select("dim", "tile", "q_ids", "q_terms", "ids", "terms"), begun, begin), "tiles")
 
@@ -226,6 +229,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE
             yield out
 
     found = cut(map_batches(met.select("tile", "q_ids", "q_terms", "least", "dim", "ids", "terms"), FOUND, run), "found")
-    drop(index, asked, ready, meet)
+    drop(index, asked, ready, meet, packs, chosen, named)
     rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
