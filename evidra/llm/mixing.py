@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm.common import WORD, cut, map_batches, set_aside, slices
+from evidra.llm.common import WORD, cut, drop, map_batches, set_aside, slices
 from evidra.ship import ship
 
 WEIGHTS = (3, 1, 2)
@@ -108,13 +108,17 @@ def placed(table: DataFrame, order: str) -> DataFrame:
     ranged = cut(ranged, "placed")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each partition
     before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
-    return ranged.join(before, "_part").withColumn("place", F.col("_earlier") + F.col("_row")).drop("_part", "_row", "_earlier")
+    out = ranged.join(before, "_part").withColumn("place", F.col("_earlier") + F.col("_row")).drop("_part", "_row", "_earlier")
+    out._cut_path = ranged._cut_path  # for drop()
+    return out
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """sizes (_source, source_size) with place and target in words, as a table."""
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    rows = cut(placed(sizes, "_source").withColumn("_weight", weight), "weights")
+    numbered = placed(sizes, "_source")
+    rows = cut(numbered.withColumn("_weight", weight), "weights")
+    drop(numbered)
     full = most * F.col("source_size")
     rate, closed = 0.0, None
     all_ = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
@@ -124,7 +128,9 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
         if not r.open or r.n == closed:
             break
         rate, closed = (all_ - (r.closed or 0.0)) / r.open, r.n
-    return cut(rows.withColumn("target", F.least(F.col("_weight") * rate, full).cast("double")).drop("_weight"), "targets")
+    found = cut(rows.withColumn("target", F.least(F.col("_weight") * rate, full).cast("double")).drop("_weight"), "targets")
+    drop(rows)
+    return found
 
 
 def deal(df: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
@@ -156,7 +162,9 @@ def quotas(rows: DataFrame, block: int = BLOCK, **shares) -> DataFrame:
     of_source = cut(deal(goals.join(of_class, "class"), ["class"], ["_source"]), "seats")
     of_range = cut(deal(ranges.join(of_source, "_source"), ["_source"], ["_source", "_range"]), "seats")
     of_shard = deal(shards.withColumn("w", F.col("_words")).join(of_range, ["_source", "_range"]), ["_source", "_range"], ["_source", "_shard", "_words"])
-    return cut(of_shard.withColumnRenamed("seats", "_quota").join(sources.select("_source", "source_size", "target"), "_source"), "quotas")
+    found = cut(of_shard.withColumnRenamed("seats", "_quota").join(sources.select("_source", "source_size", "target"), "_source"), "quotas")
+    drop(shards, ranges, sources, goals, of_source, of_range)
+    return found
 
 
 def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED, key: str = "doc_id", **shares) -> DataFrame:
