@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.llm import minhash, mixing, packing, pii, quality
-from evidra.llm.common import cut, set_aside, table
+from evidra.llm.common import cut, drop, set_aside, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,12 +57,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = cut(docs, name)
-    return docs
+    """The stages over the documents; what a stage put out goes when its successor's result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        after = cut(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        docs = before = after
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: A trained network and a keyed permutation are not for SQL; tests/llm holds each stage against brute force.
