@@ -56,25 +56,34 @@ def created_sites(changes: DataFrame) -> DataFrame:
 FLANK = 30
 
 
-def may_make(window: Column, base: Column, flank: int = FLANK) -> Column:
-    """Whether base in the middle of a window of flank bases on both sides makes a new GT or AG. Only pairs of bases that hold the
-    middle can be new; a window with an N or of another length has none."""
-    middle, whole = F.substr(window, F.lit(flank + 1), F.lit(1)), F.length(window) == 2 * flank + 1
+def pairs_made(window: Column, base: Column, flank: int) -> Column:
+    """What base in the middle of a window of flank bases on both sides may make: for each GT its nine-base donor window, for each AG the
+    bases before it. Only pairs that hold the middle can be new. An array of (donor, acceptor), one of them null, or both."""
     left, right = F.substr(window, F.lit(flank), F.lit(1)), F.substr(window, F.lit(flank + 2), F.lit(1))
-    pair = ((left == "G") & (base == "T")) | ((left == "A") & (base == "G")) | ((base == "G") & (right == "T")) | ((base == "A") & (right == "G"))
-    return whole & (middle != base) & pair & ~F.contains(window, F.lit("N"))
+    part = lambda at, n: F.substr(window, F.lit(at), F.lit(n))
+    upper = lambda i: part(max(1, i - ACCEPTOR_BASES), min(i - 1, ACCEPTOR_BASES))
+    none = F.lit(None).cast("string")
+    made = lambda when, donor, acceptor: F.struct(F.when(when, donor).alias("donor"), F.when(when, acceptor).alias("acceptor"))
+    return F.array(
+        made((left == "G") & (base == "T"), F.concat(part(flank - 3, 4), base, part(flank + 2, 4)), none), made((base == "G") & (right == "T"), F.concat(part(flank - 2, 3), base, part(flank + 2, 5)), none),
+        made((left == "A") & (base == "G"), none, upper(flank)), made((base == "A") & (right == "G"), none, upper(flank + 1)),
+    )
 
 
 def site_table(chunks: DataFrame, flank: int = FLANK) -> DataFrame:
-    """acc, pos, base: each place of a chunked sequence at which that base in place of its own creates a plausible site."""
+    """acc, pos, base: each place of a chunked sequence at which that base in place of its own creates a plausible site. A place with
+    an N or a sequence's end within flank bases has none. Steps go by explodes, each of a short expression, so that generated code stays small
+    and nothing is computed twice."""
+    if flank < ACCEPTOR_LEAST:
+        raise ValueError(f"a site takes {ACCEPTOR_LEAST} bases before it")
     rows = chunks.select("acc", "start", "seq", F.explode(F.sequence("own_start", "own_end")).alias("pos"))
-    rows = rows.select("acc", "pos", sequences.bases(F.col("seq"), F.col("start"), F.col("pos") - flank, F.col("pos") + flank).alias("window"))
-    rows = rows.select("acc", "pos", "window", F.explode(F.array(*[F.lit(b) for b in "ACGT"])).alias("base")).where(may_make(F.col("window"), F.col("base"), flank))
-    # the altered window is exploded, so that it is made once and not for each of its uses
-    middle = F.lit(flank + 1)
-    rows = rows.withColumn("new", F.explode(F.array(altered(F.col("window"), middle, F.col("base")))))
-    found = [site_at(F.col("new"), F.col("window"), i).isNotNull() for i in (middle - 1, middle)]
-    return rows.where(found[0] | found[1]).select("acc", "pos", "base")
+    window = sequences.bases(F.col("seq"), F.col("start"), F.col("pos") - flank, F.col("pos") + flank)
+    rows = rows.select("acc", "pos", F.explode(F.array(window)).alias("w")).where((F.length("w") == 2 * flank + 1) & ~F.contains("w", F.lit("N")))
+    rows = rows.select("acc", "pos", "w", F.explode(F.array(*[F.lit(b) for b in "ACGT"])).alias("base")).where(F.substr("w", F.lit(flank + 1), F.lit(1)) != F.col("base"))
+    rows = rows.select("acc", "pos", "base", F.inline(pairs_made(F.col("w"), F.col("base"), flank)))
+    donor = F.col("donor").isNotNull() & (donor_score(F.col("donor")) >= DONOR_MIN)
+    acceptor = F.col("acceptor").isNotNull() & (pyrimidine_share(F.col("acceptor")) >= ACCEPTOR_SHARE)
+    return rows.where(donor | acceptor).select("acc", "pos", "base").distinct()
 
 
 def chunk_donor_sites(chunks: DataFrame) -> DataFrame:
