@@ -32,7 +32,7 @@ BYTE_CHARS = byte_chars()
 OTHER = re.compile(r"[^\t-\r -~\xa1-ɏ‐-‧‰-⁞₠-₿]")
 
 #: Cached pre-tokens of one worker; beyond this the cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Longer pre-tokens are not kept, so that the cache's size in bytes has a bound too.
 LONGEST_KEPT = 64
 
