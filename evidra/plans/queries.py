@@ -4,35 +4,21 @@ ROUND rounds what sums of doubles in another order may change."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import fields, ranks, sequence
 from evidra.operators import annotate, consequence, enrichment, genes, intervals, motifs, nested, scoring, tasks, text, windows
 from evidra.functions.sequence import AMINO
-from evidra.plans.fixtures import duck, view
+from evidra.plans import file_queries  # noqa: F401  registers its own
+from evidra.plans.fixtures import view
+from evidra.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from evidra.shared import cut, new_path, remove
 from evidra.sources import blocks, regions, sequences, sinks, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 L = "BIGINT"
 
 
-def query(sql: str | None = None, *views: str, recursive: bool = False):
-    """Register a query under its name; sql follows the WITH clause of the views."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (duck(*views, recursive=recursive) if views else "") + sql
-        return f
-
-    return register
-
-
 def r9(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 9)
 
