@@ -100,11 +100,9 @@ def indexed_region_scan(spark, sf):
     with folders(spark, "scanned") as at:
         regions.register(spark)
         files = cut(regions.write_indexed(records, at.scanned), "files")
-        found = None
-        for f in files.select("chrom", "path", "index").collect():  # a row for each stretch of 16,777,216 places of a contig
-            wanted = ";".join(f"{f['chrom']}:{a}-{b}" for a, b in SCANNED)
-            own = spark.read.format("variant_regions").option("path", f["path"]).option("index", f["index"]).option("regions", wanted).load()
-            found = own if found is None else found.unionByName(own)
+        named = files.select("chrom", "path").collect()  # a row for each stretch of 16,777,216 places of a contig
+        wanted = ";".join(f"{chrom}:{a}-{b}" for chrom in sorted({f["chrom"] for f in named}) for a, b in SCANNED)
+        found = spark.read.format("variant_regions").option("regions", wanted).load([f["path"] for f in named])
         out = found.select("chrom", "pos", "ref", "alt", F.col("id").alias("src"), fields.info_number(F.col("info"), "AN", "bigint").alias("an"))
         out = cut(out, "scan")
         remove(spark, files._cut_path)

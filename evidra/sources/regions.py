@@ -7,7 +7,8 @@ the read fails. The index prunes
 the file to chunks: bins of the region, less those that end before the linear index's offset; chunks with small gaps are
 read as one. Each merged chunk is a partition, so tasks read only their own byte ranges. A region is whole or the task
 fails: nothing that cannot be read looks absent. A record starts where the chunk's virtual offset says, so no line of a
-chunk's ends is lost. The file may lie on any store that pyarrow can open by its URI.
+chunk's ends is lost. load() may be given a list of files, each with its index beside it (<file>.tbi); indexes are read by the driver, so
+for very many files read_regions is the way. A file may lie on any store that pyarrow can open by its URI.
 
 read_regions does the same for regions that are a table: bins, pruning and merging are joins and windows over the index's rows, and the byte
 ranges are rows that tasks read.
@@ -16,6 +17,7 @@ ranges are rows that tasks read.
 from __future__ import annotations
 
 import gzip
+import json
 import re
 import struct
 import uuid
@@ -127,6 +129,7 @@ def union(regions: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Part(InputPartition):
+    path: str
     chrom: str
     start: int
     end: int
@@ -143,8 +146,10 @@ def opened(path: str):
 
 class RegionReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"]
-        self.index = options.get("index") or self.path + ".tbi"
+        paths = json.loads(options["paths"]) if options.get("paths") else [options["path"]]
+        if options.get("index") and len(paths) > 1:
+            raise ValueError("of several files each one's index lies beside it")
+        self.files = [(p, options.get("index") or p + ".tbi") for p in paths]
         self.regions: list[tuple[str, int, int]] = []
         for r in filter(None, options.get("regions", "").split(";")):
             m = re.fullmatch(r"(?:chr)?([^:]+):([0-9]+)-([0-9]+)", r.strip())
@@ -154,15 +159,18 @@ class RegionReader(DataSourceReader):
         self.regions = union(self.regions)
 
     def partitions(self) -> list[Part]:
-        with opened(self.index) as file:
-            index = read_index(gzip.decompress(file.read()))
-        own = {re.sub("^chr", "", name): contig for name, contig in index.items()}
-        return [Part(c, s, e, a, b) for c, s, e in self.regions if c in own for a, b in chunks_of(own[c], s - 1, e)]
+        parts = []
+        for path, at in self.files:
+            with opened(at) as file:
+                index = read_index(gzip.decompress(file.read()))
+            own = {re.sub("^chr", "", name): contig for name, contig in index.items()}
+            parts += [Part(path, c, s, e, a, b) for c, s, e in self.regions if c in own for a, b in chunks_of(own[c], s - 1, e)]
+        return parts
 
     def read(self, part: Part) -> Iterator[tuple]:
         if part is None:
             return
-        with opened(self.path) as file:
+        with opened(part.path) as file:
             for line in lines(file, part.first, part.last):
                 row = record(line, part.chrom)
                 if row and overlaps(row, [part.start], [part.end]):

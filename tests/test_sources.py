@@ -113,6 +113,22 @@ def test_overlapping_regions_give_a_record_once(spark, tmp_path):
     assert sorted(r.pos for r in got.collect()) == sorted(p for _, p, r, _ in records if any(p <= b and p + len(r) - 1 >= a for a, b in some))
 
 
+def test_regions_of_several_files(spark, tmp_path):
+    """Places, lengths and regions are such that both files have records in a region, and one has none in another."""
+    own = {n: [("chr1", first + 700 * i, "ACG" if i % 9 == 0 else "A", "G") for i in range(120)] for n, first in (("a", 100), ("b", 60_000))}
+    for n, records in own.items():
+        indexed(tmp_path / f"{n}.vcf.gz", records)
+    regions.register(spark)
+    some = [(1, 900), (70_000, 75_000), (140_000, 150_000), (72_000, 76_000)]
+    read = spark.read.format("variant_regions").option("regions", ";".join(f"1:{a}-{b}" for a, b in some))
+    paths = [str(tmp_path / f"{n}.vcf.gz") for n in own]
+    want = sorted(p for records in own.values() for _, p, r, _ in records if any(p <= b and p + len(r) - 1 >= a for a, b in some))
+    assert sorted(r.pos for r in read.load(paths).collect()) == want
+    assert sorted(r.pos for r in read.load(paths[:1]).collect()) == [p for p in want if p in {p for _, p, _, _ in own["a"]}]
+    with pytest.raises(Exception, match="beside it"):
+        read.option("index", paths[0] + ".tbi").load(paths).collect()
+
+
 def test_regions_from_filters(spark, tmp_path):
     records = [("chr1", 100 + 700 * i, "A", "G") for i in range(200)]
     indexed(tmp_path / "r.vcf.gz", records)
