@@ -27,6 +27,22 @@ def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_written_folders_go_when_a_query_fails_too(spark):
+    import os
+
+    from evidra.plans import file_queries
+    from evidra.shared import shared_dir
+
+    shared_dir(spark)
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    with pytest.raises(ValueError, match="on purpose"), file_queries.folders(spark, "one", "two") as at:
+        spark.range(3).write.parquet(at.one)
+        raise ValueError("on purpose")
+    found = file_queries.queue_state(spark, SF)
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
+    assert {f.rpartition("/")[2] for f in (found._cut_path,)} == left
+
+
 def test_motif_null_against_brute_force(spark):
     import random
 
