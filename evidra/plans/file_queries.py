@@ -99,8 +99,8 @@ def indexed_region_scan(spark, sf):
     )
     with folders(spark, "scanned") as at:
         regions.register(spark)
-        files = cut(regions.write_indexed(records, at.scanned), "files")
-        named = files.select("chrom", "path").collect()  # a row for each stretch of 16,777,216 places of a contig
+        files = regions.write_indexed(records, at.scanned)
+        named = files.select("chrom", "path").collect()  # a row for each 500,000 records or stretch of 16,777,216 places of a contig
         wanted = ";".join(f"{chrom}:{a}-{b}" for chrom in sorted({f["chrom"] for f in named}) for a, b in SCANNED)
         found = spark.read.format("variant_regions").option("regions", wanted).load([f["path"] for f in named])
         out = found.select("chrom", "pos", "ref", "alt", F.col("id").alias("src"), fields.info_number(F.col("info"), "AN", "bigint").alias("an"))

@@ -332,10 +332,14 @@ class IndexedFile:
         return self.path + ".tbi"
 
 
-def write_indexed(rows: DataFrame, folder: str, stretch: int = 1 << 24) -> DataFrame:
-    """Write records (the columns of SCHEMA) as indexed block-gzip files, one for each stretch of places of a contig: path, index, chrom, n of
-    each, which have to be written as a table before they are used. A task writes whole stretches, in order of places, as they come; files
-    have names of their own, so only those that are named count."""
+#: Records that a task sorts and writes as indexed files.
+FILE_ROWS = 500_000
+
+
+def write_indexed(rows: DataFrame, folder: str, stretch: int = 1 << 24, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Write records (the columns of SCHEMA) as indexed block-gzip files, one or more for each stretch of places of a contig: a table of path,
+    index, chrom, n of each. A task sorts about file_rows records, however many a stretch has, and writes them in order of places; files have names
+    of their own, so only those that are named count."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     ship(rows.sparkSession)
 
@@ -352,9 +356,12 @@ def write_indexed(rows: DataFrame, folder: str, stretch: int = 1 << 24) -> DataF
         if file:
             yield done(file)
 
-    parts = rows.where("chrom IS NOT NULL AND pos >= 1").select(F.expr(f"pos div {stretch}").alias("_part"), *names)
-    dealt = parts.repartition("chrom", "_part").sortWithinPartitions("chrom", "_part", "pos", "ref", "alt")
-    return dealt.mapInArrow(run, "path string, index string, chrom string, n long")
+    parts = cut(rows.where("chrom IS NOT NULL AND pos >= 1").select(F.expr(f"pos div {stretch}").alias("_part"), *names), "records")
+    order = ["chrom", "_part", "pos", "ref", "alt"]
+    dealt = parts.repartitionByRange(max(1, -(-parts.count() // file_rows)), *order).sortWithinPartitions(*order)
+    files = cut(dealt.mapInArrow(run, "path string, index string, chrom string, n long"), "files")
+    drop(parts)
+    return files
 
 
 class FilteredReader(RegionReader):

@@ -245,6 +245,14 @@ def test_indexed_files_written_are_read_by_regions(spark, tmp_path):
     assert read.count() == one.n
 
 
+def test_tasks_write_a_bounded_number_of_records_of_a_stretch(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("'1' AS chrom", "1 + id % 500 AS pos", "concat('v', id) AS id", "'AC' AS ref", "concat('G', id) AS alt", "'.' AS qual", "'PASS' AS filter", "'X=1' AS info", "'GT' AS format", "'0/1' AS sample")
+    files = regions.write_indexed(rows, str(tmp_path / "w"), file_rows=300)
+    assert max(f.n for f in files.collect()) < 1000 and sum(f.n for f in files.collect()) == 3000
+    read = regions.read_regions(files.select("path", "index"), spark.createDataFrame([("1", 100, 100)], "chrom string, st long, en long"))
+    assert sorted(r.id for r in read.collect()) == sorted(f"v{i}" for i in range(3000) if 1 + i % 500 in (99, 100))
+
+
 def bgzip(text: bytes, size: int) -> bytes:
     return b"".join(block(text[i : i + size]) for i in range(0, len(text), size)) + block(b"")
 
