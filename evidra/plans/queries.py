@@ -892,12 +892,11 @@ def gene_bounded_lookup(spark, sf):
     panel, at = view(spark, sf, "g").where("p_partkey % 20 = 0"), new_path(spark, "frequencies")
     dot = F.lit(".")
     records = view(spark, sf, "fr").select("chrom", "pos", F.col("src").alias("id"), "ref", "alt", dot.alias("qual"), F.lit("PASS").alias("filter"), F.concat(F.lit("AN="), "an").alias("info"), dot.alias("format"), dot.alias("sample"))
-    files = cut(regions.write_indexed(records, at), "files")
+    files = regions.write_indexed(records, at)
     read = regions.read_regions(files, panel.select("chrom", "st", "en"))
-    found = intervals.overlapping(read.withColumn("an", fields.info_number(F.col("info"), "AN", "bigint")), panel)
-    found = cut(found.select("gene", "chrom", "pos", "ref", "alt", F.col("id").alias("src"), "an"), "looked_up")
-    remove(spark, at)
-    return found
+    remove(spark, at, files._cut_path)
+    found = read.select("chrom", "pos", "ref", "alt", F.col("id").alias("src"), fields.info_number(F.col("info"), "AN", "bigint").alias("an"))
+    return intervals.overlapping(found, panel).select("gene", "chrom", "pos", "ref", "alt", "src", "an")
 
 
 @query("""WITH h AS (SELECT o_orderstatus, least(59, greatest(0, CAST(trunc((log10(greatest(o_totalprice, 1)) - 2) / 4 * 60) AS INTEGER))) AS bin FROM orders), k AS (SELECT o_orderstatus, bin, count(*) AS n FROM h GROUP BY 1, 2)

@@ -227,8 +227,9 @@ def one_file(spark: SparkSession, path: str, index: str | None = None) -> DataFr
 
 
 def read_regions(files: DataFrame, regions: DataFrame, task_bytes: int = 32 << 20) -> DataFrame:
-    """The records of indexed files (path, index) that overlap a table of regions (chrom, st, en), each once. The files' byte ranges are rows,
-    dealt to tasks by bytes; tasks read theirs only, and no region goes through the driver."""
+    """The records of indexed files (path, index) that overlap a table of regions (chrom, st, en), each once, as a table: Catalyst would take
+    rows that a function makes of a few byte ranges to be few, and broadcast them in a join. The files' byte ranges are rows, dealt to tasks by
+    bytes; tasks read theirs only, and no region goes through the driver."""
     index = cut(index_rows(files), "index")
     ranges = cut(byte_ranges(regions, index), "ranges")
     drop(index)
@@ -255,7 +256,9 @@ def read_regions(files: DataFrame, regions: DataFrame, task_bytes: int = 32 << 2
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), to, strict=True)], schema=to)
 
-    return dealt.mapInArrow(run, SCHEMA)
+    found = cut(dealt.mapInArrow(run, SCHEMA), "records")
+    drop(ranges)
+    return found
 
 
 def record(line: bytes, chrom: str) -> tuple | None:

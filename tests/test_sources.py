@@ -245,6 +245,14 @@ def test_indexed_files_written_are_read_by_regions(spark, tmp_path):
     assert read.count() == one.n
 
 
+def test_records_of_regions_are_not_taken_to_be_few(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("'1' AS chrom", "id + 1 AS pos", "'x' AS id", "'A' AS ref", "'G' AS alt", "'.' AS qual", "'PASS' AS filter", "concat('X=', id) AS info", "'GT' AS format", "'0/1' AS sample")
+    files = regions.write_indexed(rows, str(tmp_path / "w"))
+    read = regions.read_regions(files.select("path", "index"), spark.createDataFrame([("1", 1, 20_000)], "chrom string, st long, en long"))
+    assert read.count() == 20_000
+    assert int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 20_000  # else a join broadcasts them
+
+
 def test_tasks_write_a_bounded_number_of_records_of_a_stretch(spark, tmp_path):
     rows = spark.range(3000).selectExpr("'1' AS chrom", "1 + id % 500 AS pos", "concat('v', id) AS id", "'AC' AS ref", "concat('G', id) AS alt", "'.' AS qual", "'PASS' AS filter", "'X=1' AS info", "'GT' AS format", "'0/1' AS sample")
     files = regions.write_indexed(rows, str(tmp_path / "w"), file_rows=300)
