@@ -875,14 +875,15 @@ def set_equality(spark, sf):
 @query(""" SELECT c.sig, g.gene, count(*) AS n, count(*) FILTER (c.sig IN ('Pathogenic', 'Likely_pathogenic')) AS pathogenic FROM cvr c JOIN g ON c.chrom = g.chrom AND c.pos BETWEEN g.st AND g.en GROUP BY 1, 2""", "cvr", "g")
 def gene_class_counts(spark, sf):
     """Curated records by gene and class; a record in several genes counts for each."""
-    found = intervals.overlapping(view(spark, sf, "cvr"), view(spark, sf, "g"))
+    found = intervals.overlap_counts(view(spark, sf, "cvr"), view(spark, sf, "g"), ["sig"])
     plp = fields.starts_with_any(F.col("sig"), "Pathogenic", "Likely_pathogenic")
-    return found.groupBy("sig", "gene").agg(F.count("*").alias("n"), F.count_if(plp).alias("pathogenic"))
+    return found.select("sig", "gene", "n", F.when(plp, F.col("n")).otherwise(0).alias("pathogenic"))
 
 
 @query(", x AS (SELECT g.gene, unnest(string_split(c.dn, '|')) AS disease FROM cvr c JOIN g ON c.chrom = g.chrom AND c.pos BETWEEN g.st AND g.en) SELECT gene, disease, count(*) AS n FROM x GROUP BY gene, disease", "cvr", "g")
 def gene_disease_counts(spark, sf):
-    return annotate.exploded_counts(intervals.overlapping(view(spark, sf, "cvr"), view(spark, sf, "g")), ["gene"], "dn", name="disease")
+    listed = view(spark, sf, "cvr").select("chrom", "pos", F.explode(F.split("dn", r"\|")).alias("disease"))
+    return intervals.overlap_counts(listed, view(spark, sf, "g"), ["disease"]).select("gene", "disease", "n")
 
 
 @query(""" SELECT g.gene, f.chrom, f.pos, f.ref, f.alt, f.src, f.an FROM g JOIN fr f ON f.chrom = g.chrom AND f.pos BETWEEN g.st AND g.en WHERE g.p_partkey % 20 = 0""", "fr", "g")

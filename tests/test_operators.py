@@ -428,3 +428,21 @@ def test_text(spark):
     for n in (0, 5, 1023, 1024, 1280, 1792, 1075, 1076, 1048575, 5 * 1024**2, 3 * 1024**3, 7 * 1024**4):
         unit = min(3, next(k for k in range(9) if n < 1024 ** (k + 1)))
         assert one(spark, fields.size_text(F.lit(n).cast("long"))) == f"{n / 1024**unit:.1f} {('B', 'KB', 'MB', 'GB')[unit]}"
+
+
+def test_overlaps_are_counted_without_their_pairs(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(9)
+    points = [(rng.choice(["1", "2", None]), rng.choice([5, rng.randrange(1, 400), rng.randrange(-3, 3000)]), rng.choice(["x", "y", None])) for _ in range(800)]
+    spans = [("1", 0, 2999, "all"), ("1", 5, 5, "one"), ("2", 9, 8, "none"), ("2", -2, 0, "low"), (None, 1, 9, "lost"), ("1", 7, 7, "one")]
+    spans += [(rng.choice("12"), a := rng.randrange(0, 2900), a + rng.randrange(0, 1 << rng.randrange(11)), f"g{i % 40}") for i in range(90)]
+    table = spark.createDataFrame(spans, "chrom string, st long, en long, gene string")
+    got = intervals.overlap_counts(spark.createDataFrame(points, "chrom string, pos long, kind string"), table, ["kind"])
+    want = Counter((k, g) for c, p, k in points for d, a, b, g in spans if c is not None and c == d and a <= p <= b)
+    assert {(r.kind, r.gene): r.n for r in got.collect()} == dict(want)
+    # 20,000 points in 20,000 spans over one place: 400,000,000 pairs
+    many = spark.range(20_000)
+    got = intervals.overlap_counts(many.selectExpr("'1' AS chrom", "500 + id % 10 AS pos", "id % 2 AS kind"), many.selectExpr("'1' AS chrom", "id % 100 AS st", "1000 + id % 77 AS en", "id AS gene"), ["kind"])
+    assert got.count() == 40_000 and got.where("n <> 10000").isEmpty()
