@@ -135,19 +135,36 @@ def by_levels(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return cut_and_drop(single.unionByName(branch.join(known, "task", "left")).withColumn("depth", F.col("depth").cast("int")), branch, way, *steps, *tables)
 
 
+#: Rounds of peeling go on while each takes away at least this share of the edges.
+PEELED = 1 / 8
+
+
+def peeled(edges: DataFrame) -> DataFrame:
+    """edges (task, dep) as a table, without those that are on no cycle because nothing needs their task or their dep needs nothing. All
+    rounds together look at a few times the edges, as each leaves less; what a round hardly changes, such as long chains, is left."""
+    edges = cut(edges, "peeled")
+    n, before = edges.count(), 0
+    while n and (not before or before - n >= PEELED * before):
+        needed, needing = edges.select(F.col("dep").alias("task")), edges.select(F.col("task").alias("dep"))
+        edges = cut_and_drop(edges.join(needed, "task", "left_semi").join(needing, "dep", "left_semi").select("task", "dep"), edges)
+        n, before = edges.count(), n
+    return edges
+
+
 def cyclic(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Tasks on a cycle, with the length of the shortest one through them.
 
-    Tasks with one dependency are followed by pointer doubling. What never stops leads to a cycle of such tasks alone: its
+    What is on no cycle is peeled first, as far as that goes quickly. Tasks with one dependency are followed by pointer doubling. What never stops leads to a cycle of such tasks alone: its
     tasks are where all walks are after as many steps as there are tasks. All other cycles have tasks with several
     dependencies: the graph of these, its edges as long as the walks between, is peeled from both ends, and only in what is
     left are the shortest ways between all pairs sought."""
     all_ = edges = cut(edges.where("dep IS NOT NULL").select("task", "dep").distinct(), "edges")
     self_ = edges.where("task = dep").select("task", F.lit(1).cast("long").alias("length"))
-    branch, steps, way = branches(edges.where("task <> dep"))
+    inner = peeled(edges.where("task <> dep"))
+    branch, steps, way = branches(inner)
     on = steps[-1].where("open").select(F.col("at").alias("task")).distinct()
     least = steps[0].join(on, "task", "left_semi").select("task", F.col("task").alias("least"))
-    used = [all_, branch, way, *steps]
+    used = [all_, inner, branch, way, *steps]
     for s in steps:  # the least task of the first 1, 2, 4 ... of a walk
         then = s.join(renamed(least, task="at", least="then"), "at").select("task", "then")
         used.append(least := cut(least.join(then, "task").select("task", F.least("least", "then").alias("least")), "cycles"))

@@ -446,3 +446,15 @@ def test_overlaps_are_counted_without_their_pairs(spark):
     many = spark.range(20_000)
     got = intervals.overlap_counts(many.selectExpr("'1' AS chrom", "500 + id % 10 AS pos", "id % 2 AS kind"), many.selectExpr("'1' AS chrom", "id % 100 AS st", "1000 + id % 77 AS en", "id AS gene"), ["kind"])
     assert got.count() == 40_000 and got.where("n <> 10000").isEmpty()
+
+
+def test_cycles_are_sought_where_peeling_leaves_them(spark, monkeypatch):
+    tree = [(i, i // 2) for i in range(2, 5000)] + [(1, 12), (77, 77)]
+    seen = []
+    monkeypatch.setattr(tasks, "branches", lambda edges, old=tasks.branches: seen.append(edges.count()) or old(edges))
+    got = tasks.cyclic(spark, spark.createDataFrame(tree, "task long, dep long"))
+    assert {r.task: r.length for r in got.collect()} == {1: 4, 3: 4, 6: 4, 12: 4, 77: 1}
+    assert seen[0] < 20  # all 5,000 edges before
+    chain = [(i, i + 1) for i in range(60)] + [(61, 60), (60, 61), (5, 3)]
+    got = tasks.cyclic(spark, spark.createDataFrame(chain, "task long, dep long"))
+    assert {r.task: r.length for r in got.collect()} == {3: 3, 4: 3, 5: 3, 60: 2, 61: 2}
