@@ -13,7 +13,7 @@ from evidra.functions.sequence import AMINO
 from evidra.plans import file_queries  # noqa: F401  registers its own
 from evidra.plans.fixtures import view
 from evidra.plans.registry import ORACLES, QUERIES, query  # noqa: F401
-from evidra.shared import cut, new_path, remove
+from evidra.shared import cut, new_path, once, remove
 from evidra.sources import blocks, regions, sequences, sinks, tables
 
 L = "BIGINT"
@@ -68,9 +68,9 @@ def depth_filter(spark, sf):
     """PASS single-base variants on canonical contigs with depth from the AD key of each row's own FORMAT."""
     s = view(spark, sf, "sample").where(F.col("filt").isin("PASS", ".") & F.col("chrom").rlike(fields.CANONICAL) & fields.is_snv(F.col("ref"), F.col("alt")))
     get = lambda key: fields.sample_value(F.col("format"), F.col("sample"), key)
-    ad = F.split(get("AD"), ",")
-    part = lambda i: F.get(ad, F.lit(i)).try_cast("int")
-    d = s.select("chrom", (part(0) + part(1)).alias("depth"), part(1).alias("alt_depth"), get("GQ").alias("gq")).where("depth >= 20")
+    part = lambda i: F.get("_ad", F.lit(i)).try_cast("int")
+    d = once(s.select("chrom", "format", "sample"), "_ad", F.split(get("AD"), ",")).select("chrom", "format", "sample", (part(0) + part(1)).alias("depth"), part(1).alias("alt_depth"))
+    d = once(d.where("depth >= 20"), "gq", get("GQ"))
     return d.groupBy("chrom").agg(F.count("*").alias("n"), F.sum("depth").alias("depth"), F.sum("alt_depth").alias("alt_depth"), F.count("gq").alias("with_gq"))
 
 

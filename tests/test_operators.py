@@ -458,3 +458,10 @@ def test_cycles_are_sought_where_peeling_leaves_them(spark, monkeypatch):
     chain = [(i, i + 1) for i in range(60)] + [(61, 60), (60, 61), (5, 3)]
     got = tasks.cyclic(spark, spark.createDataFrame(chain, "task long, dep long"))
     assert {r.task: r.length for r in got.collect()} == {3: 3, 4: 3, 5: 3, 60: 2, 61: 2}
+
+
+def test_depths_are_taken_from_a_row_once(spark):
+    from evidra.plans import queries
+
+    plan = queries.QUERIES["depth_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position(") <= 10  # five for each of two keys; more where the filter and each column write them out
