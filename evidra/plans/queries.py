@@ -344,10 +344,15 @@ def transcript_offset(spark, sf):
     return view(spark, sf, "site").join(e, "acc").where(F.col("pos").between(F.col("st"), F.col("en"))).select("vid", "acc", consequence.offset(F.col("pos")).alias("tpos"))
 
 
+#: Sites that a task meets with their exons.
+SITES = 250_000
+
+
 @query(""", d AS (SELECT vid, s.acc, bool_or(pos BETWEEN st AND en) AS exonic, bool_or(pos BETWEEN st AND en AND pos BETWEEN cds_st AND cds_en) AS coding, min(least(abs(pos - st), abs(pos - en))) AS dist FROM site s JOIN tx ON s.acc = tx.acc GROUP BY vid, s.acc)
 SELECT vid, acc, CASE WHEN coding THEN 'CDS' WHEN exonic THEN 'UTR' WHEN dist <= 2 THEN 'splice_2' WHEN dist <= 8 THEN 'splice_8' ELSE 'intronic' END AS region, CAST(dist AS BIGINT) AS distance FROM d""", "site", "tx")
 def region_class(spark, sf):
-    j = view(spark, sf, "site").join(view(spark, sf, "tx"), "acc")
+    sites = view(spark, sf, "site")
+    j = sites.repartition(max(1, -(-sites.count() // SITES)), "acc").join(view(spark, sf, "tx"), "acc")
     exonic = F.col("pos").between(F.col("st"), F.col("en"))
     d = j.groupBy("vid", "acc").agg(
         F.bool_or(exonic).alias("exonic"), F.bool_or(exonic & F.col("pos").between(F.col("cds_st"), F.col("cds_en"))).alias("coding"),

@@ -465,3 +465,11 @@ def test_depths_are_taken_from_a_row_once(spark):
 
     plan = queries.QUERIES["depth_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_position(") <= 10  # five for each of two keys; more where the filter and each column write them out
+
+
+def test_sites_are_dealt_out_by_their_number(spark, monkeypatch):
+    from evidra.plans import queries
+
+    monkeypatch.setattr(queries, "SITES", 1000, raising=False)
+    plan = queries.QUERIES["region_class"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [acc" in plan and ", 6" in plan.split("RepartitionByExpression [acc")[1].split("\n")[0]
