@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import fields
 from evidra.operators import annotate, nested, text
-from evidra.plans.fixtures import view
+from evidra.plans.fixtures import frequencies, view
 from evidra.plans.registry import query
 from evidra.shared import cut, new_path, remove
 from evidra.sources import regions, sinks, tables
@@ -94,7 +94,7 @@ def indexed_region_scan(spark, sf):
     """Regions of every contig by the batch source: each contig's block-gzip file is read where its bin index says, and records that
     lie in several of the regions come once."""
     dot = F.lit(".")
-    records = view(spark, sf, "fr").select(
+    records = frequencies(spark, sf).select(
         "chrom", "pos", F.col("src").alias("id"), "ref", "alt", dot.alias("qual"), F.lit("PASS").alias("filter"), F.concat(F.lit("AN="), "an").alias("info"), dot.alias("format"), dot.alias("sample"),
     )
     with folders(spark, "scanned") as at:

@@ -7,6 +7,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -133,3 +134,24 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name].replace("@S", "STRING").replace("@D", "DIV")
     needs = [t for t in (*TABLES, *VIEWS) if re.search(rf"(FROM|JOIN) {t}\b", text)]
     return spark.sql(re.sub(rf"(FROM|JOIN) ({'|'.join(needs)})\b", r"\1 {\2}", text), **{n: view(spark, sf_dir, n) for n in needs})
+
+
+#: Variants that a task takes where they are dealt out by their key.
+DEALT = 250_000
+
+
+def dealt_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks take the variants by their key: the more variants, the more tasks; on small tables one for each core."""
+    return max(spark.sparkContext.defaultParallelism, -(-view(spark, sf_dir, "lineitem").count() // DEALT))
+
+
+def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the view fr. Variants are read once and dealt out by their key, and a task makes both sources' records of its own, so
+    aggregates by the key, or by the key and more, shuffle nothing else. A union of two reads would be shuffled for each of them."""
+    v = view(spark, sf_dir, "v").where("l_partkey % 5 <> 0").select("chrom", "pos", "ref", "alt", "l_orderkey", "l_partkey")
+    v = v.repartition(dealt_tasks(spark, sf_dir), "chrom", "pos", "ref", "alt")
+    exome = F.expr("struct('exome' AS src, l_orderkey % 3 < 2 AS here, 1000 + l_orderkey % 5000 AS an)")
+    genome = F.expr("struct('genome' AS src, l_orderkey % 3 > 0 AS here, 1000 + (l_orderkey * 7) % 5000 AS an)")
+    af = F.expr("CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE (l_partkey % 200) / 100000.0E0 END AS af")
+    records = v.select("chrom", "pos", "ref", "alt", af, F.inline(F.array(exome, genome))).where("here")
+    return records.groupBy("chrom", "pos", "ref", "alt", "src").agg(F.max("af").alias("af"), F.max("an").alias("an"))

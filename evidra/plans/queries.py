@@ -11,7 +11,7 @@ from evidra.functions import fields, ranks, sequence
 from evidra.operators import annotate, consequence, enrichment, genes, intervals, motifs, nested, scoring, tasks, text, windows
 from evidra.functions.sequence import AMINO
 from evidra.plans import file_queries  # noqa: F401  registers its own
-from evidra.plans.fixtures import view
+from evidra.plans.fixtures import frequencies, view
 from evidra.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from evidra.shared import cut, new_path, once, remove
 from evidra.sources import blocks, regions, sequences, sinks, tables
@@ -164,7 +164,7 @@ MERGED = ", fm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chro
 
 @query(MERGED + " SELECT chrom, pos, ref, alt, src, af, an FROM fm", "fr")
 def priority_merge(spark, sf):
-    return annotate.priority_merge(view(spark, sf, "fr")).select("chrom", "pos", "ref", "alt", "src", "af", "an")
+    return annotate.priority_merge(frequencies(spark, sf)).select("chrom", "pos", "ref", "alt", "src", "af", "an")
 
 
 CLASSED = HITS + MERGED + """, classed AS (SELECT h.*, fm.af, fm.src, CASE WHEN fm.src IS NULL AND CAST(substr(h.gene, 2) AS BIGINT) % 10 = 0 THEN 'unannotated' WHEN fm.src IS NULL THEN 'absent'
@@ -174,7 +174,7 @@ CLASSED = HITS + MERGED + """, classed AS (SELECT h.*, fm.af, fm.src, CASE WHEN
 
 def classed(spark, sf) -> DataFrame:
     failed = view(spark, sf, "g").where("p_partkey % 10 = 0").select("gene").distinct()
-    return annotate.fail_closed(hits(spark, sf), annotate.priority_merge(view(spark, sf, "fr")), failed)
+    return annotate.fail_closed(hits(spark, sf), annotate.priority_merge(frequencies(spark, sf)), failed)
 
 
 @query(CLASSED + " SELECT vid, gene, class, af, src FROM classed", "v", "g", "fr")
@@ -797,7 +797,7 @@ def queue_generation(spark, sf):
 WHERE coalesce(fm.af, 0.0) <= 0.001 GROUP BY h.gene""", "v", "g", "fr")
 def rarity_filter(spark, sf):
     """Hits at most 0.001 frequent; what has no frequency counts as nought."""
-    found = hits(spark, sf).join(annotate.priority_merge(view(spark, sf, "fr")), annotate.KEY, "left").where(F.coalesce("af", F.lit(0.0)) <= 0.001)
+    found = hits(spark, sf).join(annotate.priority_merge(frequencies(spark, sf)), annotate.KEY, "left").where(F.coalesce("af", F.lit(0.0)) <= 0.001)
     return found.groupBy("gene").agg(F.count("*").alias("n"), F.count_if(F.col("src").isNull()).alias("absent"))
 
 
@@ -897,7 +897,7 @@ def gene_bounded_lookup(spark, sf):
     read: a look-up never goes by where the sample's variants lie."""
     panel, at = view(spark, sf, "g").where("p_partkey % 20 = 0"), new_path(spark, "frequencies")
     dot = F.lit(".")
-    records = view(spark, sf, "fr").select("chrom", "pos", F.col("src").alias("id"), "ref", "alt", dot.alias("qual"), F.lit("PASS").alias("filter"), F.concat(F.lit("AN="), "an").alias("info"), dot.alias("format"), dot.alias("sample"))
+    records = frequencies(spark, sf).select("chrom", "pos", F.col("src").alias("id"), "ref", "alt", dot.alias("qual"), F.lit("PASS").alias("filter"), F.concat(F.lit("AN="), "an").alias("info"), dot.alias("format"), dot.alias("sample"))
     files = regions.write_indexed(records, at)
     read = regions.read_regions(files, panel.select("chrom", "st", "en"))
     remove(spark, at, files._cut_path)

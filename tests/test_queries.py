@@ -85,3 +85,24 @@ def test_motif_null_against_brute_force(spark):
         some += hits
         assert got[sid] == (made(seqs[acc], p, base), pytest.approx(hits / draws)), (acc, p, base)
     assert some > 0
+
+
+def test_sources_are_merged_by_as_many_tasks_as_there_are_variants_for(spark, con, monkeypatch):
+    """Without a second shuffle, whose tasks would hold the more the larger the tables are; also where a key or number is missing."""
+    from collections import Counter
+
+    from evidra.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "DEALT", 250, raising=False)
+    merged = queries.QUERIES["priority_merge"](spark, SF)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    held = merged.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(held) == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 250) and max(held) <= 2 * 250
+    assert compare.differences(merged, con, queries.ORACLES["priority_merge"]) is None
+    odd = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr(
+        "nullif(l_orderkey, 7) * IF(l_linenumber = 2, -1, 1) AS l_orderkey", "nullif(l_partkey, 9) AS l_partkey", "nullif(l_suppkey, 3) AS l_suppkey", "nullif(l_linenumber, 3) AS l_linenumber", "l_quantity", "l_returnflag"
+    )
+    as_given = fixtures.view
+    monkeypatch.setattr(fixtures, "view", lambda s, sf, name: odd.unionAll(odd) if name == "lineitem" else as_given(s, sf, name))
+    rows = lambda df: Counter(tuple(r) for r in df.select("chrom", "pos", "ref", "alt", "src", "af", "an").collect())
+    assert rows(fixtures.frequencies(spark, SF)) == rows(fixtures.view(spark, SF, "fr"))
