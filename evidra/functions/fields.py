@@ -55,8 +55,9 @@ def bare_contig(chrom: Column) -> Column:
 
 def normal_contig(chrom: Column) -> Column:
     """chr1 ... chr22, chrX, chrY, chrM, or null for any other name."""
-    bare = F.upper(F.regexp_replace(F.trim(chrom), "(?i)^chr", ""))
-    return F.when(bare.rlike("^([1-9]|1[0-9]|2[0-2]|X|Y)$"), F.concat(F.lit("chr"), bare)).when(bare.isin("M", "MT"), "chrM")
+    name = F.upper(F.trim(chrom))
+    bare = F.when(F.startswith(name, F.lit("CHR")), F.substr(name, F.lit(4))).otherwise(name)
+    return F.when(bare.isin(*[str(n) for n in range(1, 23)], "X", "Y"), F.concat(F.lit("chr"), bare)).when(bare.isin("M", "MT"), "chrM")
 
 
 def accession_chrom(acc: Column) -> Column:

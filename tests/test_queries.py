@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import compare
 import pytest
+from pyspark.sql import functions as F
 
 from evidra.plans import queries
 
@@ -106,3 +107,61 @@ def test_sources_are_merged_by_as_many_tasks_as_there_are_variants_for(spark, co
     monkeypatch.setattr(fixtures, "view", lambda s, sf, name: odd.unionAll(odd) if name == "lineitem" else as_given(s, sf, name))
     rows = lambda df: Counter(tuple(r) for r in df.select("chrom", "pos", "ref", "alt", "src", "af", "an").collect())
     assert rows(fixtures.frequencies(spark, SF)) == rows(fixtures.view(spark, SF, "fr"))
+
+
+def test_columns_are_appended_to_files_of_like_sizes_without_sorts(spark, con, monkeypatch):
+    """A second shuffle of the rows, or sorts of them, took most of the first pass; with few files the later passes had few tasks."""
+    from pathlib import Path
+
+    from evidra.plans import file_queries, fixtures
+
+    plans, files = [], {}
+    write, read = file_queries.sinks.write_tsv, file_queries.tables.read_tsv
+
+    def written(df, path, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, path, *more)
+
+    def found(spark, path, *more):
+        files[path.rpartition("/")[2].partition("-")[0]] = [f.stat().st_size for f in Path(path.removeprefix("file:")).glob("part-*")]
+        return read(spark, path, *more)
+
+    monkeypatch.setattr(fixtures, "DEALT", 250, raising=False)
+    monkeypatch.setattr(file_queries.sinks, "write_tsv", written)
+    monkeypatch.setattr(file_queries.tables, "read_tsv", found)
+    few = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = file_queries.appended_columns(spark, SF)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", few)
+    assert not [p for p in plans if "SortMergeJoin" in p] and "Exchange" not in plans[0]
+    assert len(files["curated"]) == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 250) and max(files["curated"]) <= 2 * sum(files["curated"]) / len(files["curated"])
+    assert compare.differences(got, con, queries.ORACLES["appended_columns"]) is None
+
+
+def test_repeated_rows_are_appended_to_once_and_a_failed_pass_leaves_no_files(spark, monkeypatch):
+    import os
+
+    from evidra.plans import file_queries, fixtures
+    from evidra.shared import shared_dir
+
+    as_given = fixtures.view
+    twice = lambda s, sf, name: as_given(s, sf, name).unionAll(as_given(s, sf, name)) if name == "lineitem" else as_given(s, sf, name)
+    want = sorted(map(str, file_queries.appended_columns(spark, SF).collect()))
+    monkeypatch.setattr(fixtures, "view", twice)
+    monkeypatch.setattr(file_queries, "view", lambda s, sf, name: fixtures.view(s, sf, name))
+    assert sorted(map(str, file_queries.appended_columns(spark, SF).collect())) == want
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    monkeypatch.setattr(file_queries.fields, "normal_contig", lambda c: F.raise_error(F.concat(F.lit("on purpose"), c)).cast("string"))
+    with pytest.raises(Exception, match="on purpose"):
+        file_queries.appended_columns(spark, SF)
+    assert set(os.listdir(shared_dir(spark).removeprefix("file:"))) == before
+
+
+def test_normal_contigs(spark):
+    from evidra.functions import fields
+
+    names = {"1": "chr1", " chr22 ": "chr22", "CHRx": "chrX", "y": "chrY", "mt": "chrM", "chrM": "chrM", "0": None, "23": None, "01": None, "chrchr1": None, "": None, "chr": None, "chr1_alt": None, "1\n": None, None: None}
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", fields.normal_contig(F.col("n")).alias("c"))
+    assert {r.n: r.c for r in df.collect()} == names
