@@ -22,8 +22,8 @@ BIN = 1 << 14
 FEW = 500_000
 #: Intervals that a task sweeps, more where that would be over so many ranges.
 RANGE_ROWS, MOST_RANGES = 50_000, 4_096
-#: Intervals whose stretches a task meets with the counts of points.
-SPANS = 10_000
+#: Intervals, or points, whose stretches a task meets, and what names a stretch (its number sorts fastest).
+SPANS, NODE = 50_000, ["_node", "_level", "chrom"]
 
 
 def region_bins(start: Column, end: Column) -> Column:
@@ -128,28 +128,31 @@ def overlapping(points: DataFrame, intervals: DataFrame, name: str = "gene", pos
     return p.join(spread, (p["chrom"] == spread["_chrom"]) & (p["_at"] == spread["_bin"]) & p[pos].between(F.col("_st"), F.col("_en"))).select(*[p[c] for c in points.columns], spread[name])
 
 
-def node_counts(points: DataFrame, by: list[str], pos: str, top: int) -> DataFrame:
-    """How many points of each group lie in each stretch of 1, 2, 4 ... 2^top places that holds any: chrom, _level, _node, by, _k."""
-    own = points.where(F.col("chrom").isNotNull() & F.col(pos).isNotNull()).groupBy("chrom", F.col(pos).cast("long").alias("_pos"), *by).agg(F.count("*").alias("_k"))
-    rows = own.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    return rows.groupBy("chrom", "_level", F.expr("shiftright(_pos, _level)").alias("_node"), *by).agg(F.sum("_k").alias("_k"))
+def node_counts(points: DataFrame, by: list[str], top: int, parts: int) -> DataFrame:
+    """How many points (chrom, _pos, by, _k) of each group lie in each stretch of 1, 2, 4 ... 2^top places that holds any: chrom, _level, _node,
+    by, _k, dealt out by stretch. Points are dealt out by bins first, within which a task counts whole stretches before they are shuffled."""
+    rows = points.withColumn("_bin", F.expr(f"_pos div {BIN}")).repartition(parts, "chrom", "_bin").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    rows = rows.groupBy("chrom", "_bin", "_level", F.expr("shiftright(_pos, _level)").alias("_node"), *by).agg(F.sum("_k").alias("_k"))
+    return rows.repartition(parts, *NODE).groupBy(*NODE, *by).agg(F.sum("_k").alias("_k"))
 
 
 def overlap_counts(points: DataFrame, intervals: DataFrame, by: list[str], name: str = "gene", pos: str = "pos", start: str = "st", end: str = "en") -> DataFrame:
     """by, name, n: how many points of each group the intervals of a name hold, where any; a point in several intervals counts for each. The
     pairs are never made: an interval is put together from stretches of 1, 2, 4 ... places, at most two of a length, and these meet the
-    counts of the points in them by an equi join. So a row of the result costs a few rows, however many points or intervals share a place."""
+    counts of the points in them by an equi join. So a row of the result costs a few rows, however many points or intervals share a place.
+    Both sides are dealt out by their number and merged: Catalyst takes the stretches to be as few as the intervals, and would broadcast them."""
     own = intervals.select("chrom", F.col(start).cast("long").alias("_st"), F.col(end).cast("long").alias("_en"), F.col(name).alias("_name")).where("_st <= _en")
     longest, n = own.agg(F.max(F.col("_en") - F.col("_st") + 1), F.count("*")).first()
+    held = points.where(F.col("chrom").isNotNull() & F.col(pos).isNotNull()).groupBy("chrom", F.col(pos).cast("long").alias("_pos"), *by).agg(F.count("*").alias("_k"))
+    held = cut(held, "points")
+    tasks = max(own.sparkSession.sparkContext.defaultParallelism, -(-max(n, held.count()) // SPANS))
     # of a length, the first stretch is needed where its number is odd, as none twice as long begins there, and so is the last where the end's is
-    rows = own.withColumn("_level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_en") - F.col("_st") + 1)).cast("int"))))
+    rows = own.repartition(tasks).withColumn("_level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_en") - F.col("_st") + 1)).cast("int"))))
     rows = rows.select("chrom", "_name", "_level", F.expr("shiftright(_st - 1, _level) + 1").alias("_a"), F.expr("shiftright(_en + 1, _level)").alias("_b")).where("_a < _b")
     ends = F.array(F.when(F.col("_a") % 2 != 0, F.col("_a")), F.when(F.col("_b") % 2 != 0, F.col("_b") - 1))
-    parts = rows.select("chrom", "_name", "_level", F.explode(ends).alias("_node")).where("_node IS NOT NULL")
-    # few rows become many, so they are dealt out by their number
-    parts = parts.repartition(max(1, n // SPANS), "chrom", "_level", "_node")
-    held = parts.join(node_counts(points, by, pos, (longest or 1).bit_length() - 1), ["chrom", "_level", "_node"])
-    return held.groupBy(*by, F.col("_name").alias(name)).agg(F.sum("_k").alias("n"))
+    parts = rows.select("chrom", "_name", "_level", F.explode(ends).alias("_node")).where("_node IS NOT NULL").repartition(tasks, *NODE)
+    met = parts.hint("merge").join(node_counts(held, by, (longest or 1).bit_length() - 1, tasks), NODE)
+    return met.groupBy(*by, F.col("_name").alias(name)).agg(F.sum("_k").alias("n"))
 
 
 def merged_spans(spans: DataFrame, gap: int, by: list[str], start: str = "st", end: str = "en") -> DataFrame:

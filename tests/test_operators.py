@@ -448,6 +448,19 @@ def test_overlaps_are_counted_without_their_pairs(spark):
     assert got.count() == 40_000 and got.where("n <> 10000").isEmpty()
 
 
+def test_stretches_are_dealt_out_and_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "SPANS", 100)
+    points = spark.range(3000).selectExpr("CAST(id % 2 AS string) AS chrom", "id * 37 % 90000 AS pos", "id % 3 AS kind")
+    table = spark.range(900).selectExpr("CAST(id % 2 AS string) AS chrom", "id * 91 % 80000 AS st", "id * 91 % 80000 + id * 13 % 9000 AS en", "id AS gene")
+    got = intervals.overlap_counts(points, table, ["kind"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # few bytes of intervals become many stretches, which a plan takes to be as few
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    # a number of tasks for the points, which are more than the intervals here
+    assert plan.count(", 30), REPARTITION_BY_NUM") == 3 and "RoundRobinPartitioning(30)" in plan
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in intervals.overlapping(points, table).groupBy("kind", "gene").agg(F.count("*").alias("n")).collect()}
+
+
 def test_cycles_are_sought_where_peeling_leaves_them(spark, monkeypatch):
     tree = [(i, i // 2) for i in range(2, 5000)] + [(1, 12), (77, 77)]
     seen = []
