@@ -461,6 +461,13 @@ def test_stretches_are_dealt_out_and_never_broadcast(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in intervals.overlapping(points, table).groupBy("kind", "gene").agg(F.count("*").alias("n")).collect()}
 
 
+@pytest.mark.parametrize("name", ["gene_class_counts", "gene_disease_counts"])
+def test_counts_in_genes_broadcast_nothing(spark, name):
+    from evidra.plans import queries
+
+    assert "Broadcast" not in queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cycles_are_sought_where_peeling_leaves_them(spark, monkeypatch):
     tree = [(i, i // 2) for i in range(2, 5000)] + [(1, 12), (77, 77)]
     seen = []
