@@ -22,6 +22,8 @@ BIN = 1 << 14
 FEW = 500_000
 #: Intervals that a task sweeps, more where that would be over so many ranges.
 RANGE_ROWS, MOST_RANGES = 50_000, 4_096
+#: Points that a task joins with all intervals that hold them.
+MET = 250_000
 #: Intervals, or points, whose stretches a task meets, and what names a stretch (its number sorts fastest).
 SPANS, NODE = 50_000, ["_node", "_level", "chrom"]
 
@@ -120,11 +122,14 @@ def interval_join(points: DataFrame, intervals: DataFrame, policy: str = "first_
 
 
 def overlapping(points: DataFrame, intervals: DataFrame, name: str = "gene", pos: str = "pos", start: str = "st", end: str = "en") -> DataFrame:
-    """points with the name of each interval that holds pos, a row for each: an equi join on (contig, bin) with a residual, in
-    which Catalyst may broadcast or split either side."""
+    """points (a table, they are counted) with the name of each interval that holds pos, a row for each: an equi join on (contig, bin) with a
+    residual. Both sides are dealt out by the number of points, as few become many, and merged: a task holds the intervals of a bin at most. A plan
+    takes the rows by bin to be as few as the intervals and would broadcast them, and a hash table is slow where many share a bin."""
     spread = intervals.select(F.col("chrom").alias("_chrom"), F.col(start).alias("_st"), F.col(end).alias("_en"), name).where("_st <= _en")
     spread = spread.withColumn("_bin", F.explode(F.sequence(F.expr(f"_st div {BIN}"), F.expr(f"_en div {BIN}"))))
-    p = points.withColumn("_at", F.expr(f"{pos} div {BIN}"))
+    tasks = max(points.sparkSession.sparkContext.defaultParallelism, -(-points.count() // MET))
+    p = points.withColumn("_at", F.expr(f"{pos} div {BIN}")).repartition(tasks, "chrom", "_at")
+    spread = spread.repartition(tasks, "_chrom", "_bin").hint("merge")
     return p.join(spread, (p["chrom"] == spread["_chrom"]) & (p["_at"] == spread["_bin"]) & p[pos].between(F.col("_st"), F.col("_en"))).select(*[p[c] for c in points.columns], spread[name])
 
 

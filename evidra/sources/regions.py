@@ -25,8 +25,11 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
@@ -234,9 +237,11 @@ def read_regions(files: DataFrame, regions: DataFrame, task_bytes: int = 32 << 2
     ranges = cut(byte_ranges(regions, index), "ranges")
     drop(index)
     n, size = ranges.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    tasks = max(1, min(n, -(-size // task_bytes)))
+    # on small files a few tasks for each core, as ranges that are dealt out by their names may meet
+    share = max(1, min(task_bytes, size // (3 * files.sparkSession.sparkContext.defaultParallelism)))
+    tasks = max(1, min(n, -(-size // share)))
     upto = F.sum("bytes").over(Window.partitionBy("path", "chrom").orderBy("first"))
-    dealt = ranges.withColumn("_task", F.floor(upto / task_bytes)).repartition(tasks, "path", "chrom", "_task").sortWithinPartitions("path", "chrom", "first")
+    dealt = ranges.withColumn("_task", F.floor(upto / share)).repartition(tasks, "path", "chrom", "_task").sortWithinPartitions("path", "chrom", "first")
     dealt = dealt.select("path", "chrom", "first", "last", F.transform("regions", lambda r: r["st"]).alias("sts"), F.transform("regions", lambda r: r["en"]).alias("ens"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -276,61 +281,74 @@ def overlaps(row: tuple, starts: list[int], ends: list[int]) -> bool:
     return at >= 0 and ends[at] >= row[1]
 
 
-def smallest_bin(start: int, end: int) -> int:
-    """The smallest bin that holds [start, end), 0-based."""
-    return next(first + (start >> shift) for first, shift in reversed(LEVELS) if start >> shift == (end - 1) >> shift)
+def smallest_bins(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each [start, end), 0-based, the smallest bin that holds it."""
+    inside = [start >> shift == (end - 1) >> shift for _, shift in LEVELS]
+    if not inside[0].all():
+        raise ValueError("a record goes on beyond the last position that the bins reach")
+    return np.select(inside[::-1], [first + (start >> shift) for first, shift in reversed(LEVELS)])
 
 
 class IndexedFile:
-    """Writes one contig's records, in order, as a block-gzip file, then its bin index."""
+    """Writes one contig's records, in order, as a block-gzip file, then its bin index. What it keeps of a record is its place, its reference's
+    length and its line's; blocks hold BLOCK_TEXT bytes of text, so where a line begins in the file follows from where it does in the text."""
 
     def __init__(self, path: str, chrom: str) -> None:
-        self.path, self.chrom, self.at, self.buffer, self.n = path, chrom, 0, bytearray(), 0
-        self.chunks: dict[int, list[list[int]]] = {}
-        self.linear: dict[int, int] = {}
+        self.path, self.chrom, self.at, self.rest, self.n = path, chrom, 0, b"", 0
+        self.begins = [0]
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         store, where = store_of(path)
         store.create_dir(where.rpartition("/")[0])
         self.file = store.open_output_stream(where, compression=None)
 
-    def add(self, pos: int, ref: str, line: bytes) -> None:
-        first = self.at << 16 | len(self.buffer)
-        self.buffer += line
-        while len(self.buffer) >= BLOCK_TEXT:
-            self.put(bytes(self.buffer[:BLOCK_TEXT]))
-            del self.buffer[:BLOCK_TEXT]
-        last, end = self.at << 16 | len(self.buffer), pos - 1 + max(1, len(ref))
-        own = self.chunks.setdefault(smallest_bin(pos - 1, end), [])
-        if own and own[-1][1] == first:
-            own[-1][1] = last
-        else:
-            own.append([first, last])
-        for w in range((pos - 1) >> LINEAR, ((end - 1) >> LINEAR) + 1):
-            self.linear.setdefault(w, first)
-        self.n += 1
+    def add(self, pos: np.ndarray, length: np.ndarray, sizes: np.ndarray, text: bytes) -> None:
+        """The next records: their places, the lengths of their references and of their lines in bytes, and the lines."""
+        self.kept.append((pos, length, sizes))
+        self.n += len(pos)
+        text = self.rest + text
+        whole = len(text) - len(text) % BLOCK_TEXT
+        for i in range(0, whole, BLOCK_TEXT):
+            self.put(text[i : i + BLOCK_TEXT])
+        self.rest = text[whole:]
 
     def put(self, data: bytes) -> None:
         block = packed(data)
         self.file.write(block)
         self.at += len(block)
+        self.begins.append(self.at)
+
+    def index(self) -> bytes:
+        pos, length, sizes = (np.concatenate(c) for c in zip(*self.kept, strict=True))
+        text = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = np.array(self.begins, np.int64)[text // BLOCK_TEXT] << 16 | text % BLOCK_TEXT
+        start, end = pos - 1, pos - 1 + np.maximum(1, length)
+        # records of a bin that follow each other are a chunk
+        own = smallest_bins(start, end)
+        first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+        order = np.argsort(own[first], kind="stable")
+        chunks = np.stack([offsets[first], offsets[np.append(first[1:], self.n)]], 1)[order].astype("<u8")
+        bins, upto = np.unique(own[first][order], return_index=True)
+        # of each window the first record that lies in it, or else the one of the window before
+        wide = ((end - 1) >> LINEAR) - (start >> LINEAR) + 1
+        record = np.repeat(np.arange(self.n), wide)
+        windows, met = np.unique(np.repeat((start >> LINEAR) - np.cumsum(wide) + wide, wide) + np.arange(len(record)), return_index=True)
+        linear = np.concatenate([[0], offsets[record[met]]])[np.searchsorted(windows, np.arange(windows[-1] + 1), "right")].astype("<u8")
+        name = self.chrom.encode() + b"\0"
+        out = [b"TBI\1", struct.pack("<8i", 1, 2, 1, 2, 0, ord("#"), 0, len(name)), name, struct.pack("<i", len(bins))]
+        for b, c in zip(bins.tolist(), np.split(chunks, upto[1:]), strict=True):
+            out += [struct.pack("<Ii", b, len(c)), c.tobytes()]
+        return b"".join([*out, struct.pack("<i", len(linear)), linear.tobytes()])
 
     def close(self) -> str:
-        if self.buffer:
-            self.put(bytes(self.buffer))
+        out = self.index()
+        if self.rest:
+            self.put(self.rest)
         self.file.write(END)
         self.file.close()
-        name = self.chrom.encode() + b"\0"
-        out = bytearray(b"TBI\1" + struct.pack("<8i", 1, 2, 1, 2, 0, ord("#"), 0, len(name)) + name + struct.pack("<i", len(self.chunks)))
-        for b, own in sorted(self.chunks.items()):
-            out += struct.pack("<Ii", b, len(own)) + b"".join(struct.pack("<QQ", *c) for c in own)
-        windows, last = range(max(self.linear, default=-1) + 1), 0
-        out += struct.pack("<i", len(windows))
-        for w in windows:
-            last = self.linear.get(w, last)
-            out += struct.pack("<Q", last)
         store, where = store_of(self.path + ".tbi")
         with store.open_output_stream(where, compression=None) as file:
             for i in range(0, len(out), BLOCK_TEXT):
-                file.write(packed(bytes(out[i : i + BLOCK_TEXT])))
+                file.write(packed(out[i : i + BLOCK_TEXT]))
             file.write(END)
         return self.path + ".tbi"
 
@@ -350,18 +368,27 @@ def write_indexed(rows: DataFrame, folder: str, stretch: int = 1 << 24, file_row
         now = file = None
         done = lambda f: pa.RecordBatch.from_arrays([pa.array([f.path]), pa.array([f.close()]), pa.array([f.chrom]), pa.array([f.n], pa.int64())], ["path", "index", "chrom", "n"])
         for batch in batches:
-            for part, *row in zip(*(batch.column(n).to_pylist() for n in ("_part", *names)), strict=True):
-                if (row[0], part) != now:
+            if not batch.num_rows:
+                continue
+            chroms, part, pos, length = (batch.column(n) for n in ("chrom", "_part", "pos", "_length"))
+            text = batch.column("_line").cast(pa.large_string())
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            new = np.flatnonzero(pc.or_(pc.not_equal(chroms[1:], chroms[:-1]), pc.not_equal(part[1:], part[:-1])).to_numpy(zero_copy_only=False)) + 1
+            for a, b in pairwise([0, *new.tolist(), len(text)]):
+                if (key := (chroms[a].as_py(), part[a].as_py())) != now:
                     if file:
                         yield done(file)
-                    now, file = (row[0], part), IndexedFile(f"{folder}/{uuid.uuid4().hex}.vcf.gz", row[0])
-                file.add(row[1], row[3] or "", "\t".join("." if x is None else str(x) for x in row).encode() + b"\n")
+                    now, file = key, IndexedFile(f"{folder}/{uuid.uuid4().hex}.vcf.gz", key[0])
+                # a copy, as Spark may use a batch's memory again
+                file.add(pos[a:b].to_numpy().copy(), length[a:b].to_numpy().astype(np.int64), np.diff(ends[a : b + 1]), text.buffers()[2][ends[a] : ends[b]].to_pybytes())
         if file:
             yield done(file)
 
     parts = cut(rows.where("chrom IS NOT NULL AND pos >= 1").select(F.expr(f"pos div {stretch}").alias("_part"), *names), "records")
     order = ["chrom", "_part", "pos", "ref", "alt"]
     dealt = parts.repartitionByRange(max(1, -(-parts.count() // file_rows)), *order).sortWithinPartitions(*order)
+    line = F.concat(F.concat_ws("\t", *[F.coalesce(F.col(n).cast("string"), F.lit(".")) for n in names]), F.lit("\n"))
+    dealt = dealt.select("chrom", "_part", F.col("pos").cast("long"), F.coalesce(F.length("ref"), F.lit(0)).alias("_length"), line.alias("_line"))
     files = cut(dealt.mapInArrow(run, "path string, index string, chrom string, n long"), "files")
     drop(parts)
     return files

@@ -461,6 +461,19 @@ def test_stretches_are_dealt_out_and_never_broadcast(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in intervals.overlapping(points, table).groupBy("kind", "gene").agg(F.count("*").alias("n")).collect()}
 
 
+def test_points_that_meet_many_intervals_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "MET", 100, raising=False)
+    points = spark.range(3000).selectExpr("CASE WHEN id % 7 < 6 THEN CAST(id % 2 AS string) END AS chrom", "id * 37 % 90000 AS pos", "id AS n")
+    table = spark.range(300).selectExpr("CAST(id % 3 AS string) AS chrom", "id * 91 % 80000 AS st", "id * 91 % 80000 + id * 1300 % 90000 - 9 AS en", "concat('g', id) AS gene")
+    got = intervals.overlapping(points, table)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count(", 30), REPARTITION_BY_NUM") == 2
+    points.createOrReplaceTempView("dealt_points")
+    table.createOrReplaceTempView("dealt_intervals")
+    want = spark.sql("SELECT p.*, gene FROM dealt_points p, dealt_intervals i WHERE p.chrom = i.chrom AND pos BETWEEN st AND en").collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 9000
+
+
 @pytest.mark.parametrize("name", ["gene_class_counts", "gene_disease_counts"])
 def test_counts_in_genes_broadcast_nothing(spark, name):
     from evidra.plans import queries

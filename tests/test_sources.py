@@ -261,6 +261,36 @@ def test_tasks_write_a_bounded_number_of_records_of_a_stretch(spark, tmp_path):
     assert sorted(r.id for r in read.collect()) == sorted(f"v{i}" for i in range(3000) if 1 + i % 500 in (99, 100))
 
 
+@pytest.mark.parametrize("cuts", [[], [1, 2, 9], [400, 401, 1500]])
+def test_indexed_files_are_written_from_whole_batches(tmp_path, cuts):
+    import gzip
+    import random
+
+    import numpy as np
+
+    def smallest(start, end):
+        return next(first + (start >> shift) for first, shift in reversed(regions.LEVELS) if start >> shift == (end - 1) >> shift)
+
+    rng = random.Random(len(cuts))
+    rows = sorted((rng.choice([1, 5, rng.randrange(1, 400_000)]), "A" * rng.choice([0, 1, 1, 3, 40_000]), i) for i in range(2000))
+    lines = [f"1\t{p}\té{i}\t{r}\n".encode() for p, r, i in rows]
+    file = regions.IndexedFile(str(tmp_path / "f.vcf.gz"), "1")
+    for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+        file.add(np.array([p for p, *_ in rows[a:b]]), np.array([len(r) for _, r, _ in rows[a:b]]), np.array([len(x) for x in lines[a:b]]), b"".join(lines[a:b]))
+    with gzip.open(file.close()) as index:
+        contig = regions.read_index(index.read())["1"]
+    assert gzip.open(tmp_path / "f.vcf.gz").read() == b"".join(lines)
+    with open(tmp_path / "f.vcf.gz", "rb") as f:
+        # each bin's chunks hold the records of that bin, in order
+        for b, chunks in contig.chunks.items():
+            own = [x for (p, r, _), x in zip(rows, lines, strict=True) if smallest(p - 1, p - 1 + max(1, len(r))) == b]
+            assert [x + b"\n" for c in chunks for x in regions.lines(f, *c)] == own
+        for w, first in enumerate(contig.linear):
+            met = [x for (p, r, _), x in zip(rows, lines, strict=True) if (p - 1) >> 14 <= w <= (p - 2 + max(1, len(r))) >> 14]
+            if met:
+                assert next(regions.lines(f, first, 1 << 60)) + b"\n" == met[0]
+
+
 def bgzip(text: bytes, size: int) -> bytes:
     return b"".join(block(text[i : i + size]) for i in range(0, len(text), size)) + block(b"")
 
